@@ -64,19 +64,25 @@ def _found(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def _starts(hits: str, pieces: str) -> Column:
-    """The code point at which each match starts: the lengths of all before it."""
-    upto = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + x)
-    return F.transform(F.col(f"{hits}_n"), lambda h, i: upto(F.col(f"{pieces}_n"), i + 1) + upto(F.col(f"{hits}_n"), i))
+    """The code point at which each match starts: a fold over the lengths of what stands before it."""
+    lengths = F.zip_with(F.slice(pieces, 1, F.size(hits)), F.col(hits), lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct((a.at + x.p + x.h).alias("at"), F.array_append(a.starts, a.at + x.p).alias("starts"))
+    return F.aggregate(lengths, first, step, lambda a: a.starts)
 
 
-def _with_spans(x: DataFrame, name: str, pattern: str, only: Column, extra=None) -> DataFrame:
-    """Column ``name``: array of (s, e, v) of the matches of ``pattern`` in ``text`` where ``only`` holds, with more fields from ``extra``."""
+def _with_spans(x: DataFrame, name: str, pattern: str, only: Column, around: int = 0) -> DataFrame:
+    """Column ``name``: array of (s, e, v) of the matches of ``pattern`` in ``text`` where ``only`` holds; with ``around``, also that many characters to the left and right."""
     hits, pieces = _found(F.col("text"), pattern)
     none = F.array().cast("array<string>")
-    x = x.withColumn("_h", F.when(only, hits).otherwise(none)).withColumn("_p", F.when(only, pieces).otherwise(none))
-    x = x.withColumn("_h_n", F.transform("_h", F.length)).withColumn("_p_n", F.transform("_p", F.length)).withColumn("_s", _starts("_h", "_p"))
-    fields = lambda h, i: [F.get("_s", i).cast("long").alias("s"), (F.get("_s", i) + F.length(h)).cast("long").alias("e"), h.alias("v"), *(extra(i) if extra else [])]
-    return x.withColumn(name, F.transform("_h", lambda h, i: F.struct(*fields(h, i)))).drop("_h", "_p", "_h_n", "_p_n", "_s")
+    x = x.withColumn("_h", F.when(only, hits).otherwise(none)).withColumn("_p", F.when(only, pieces).otherwise(none)).withColumn("_s", _starts("_h", "_p"))
+    spans = F.zip_with("_h", "_s", lambda h, s: F.struct(s.cast("long").alias("s"), (s + F.length(h)).cast("long").alias("e"), h.alias("v")))
+    if around:
+        left = F.transform(F.slice("_p", 1, F.size("_h")), lambda p: F.right(p, F.lit(around)))
+        right = F.transform(F.slice("_p", 2, F.size("_h")), lambda p: F.substring(p, 1, around))
+        sides = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+        spans = F.zip_with(spans, sides, lambda m, c: F.struct(m.s.alias("s"), m.e.alias("e"), m.v.alias("v"), c.left.alias("left"), c.right.alias("right")))
+    return x.withColumn(name, spans).drop("_h", "_p", "_s")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -96,8 +102,7 @@ def _word(c: Column, pattern: str) -> Column:
 def candidates(spanned: DataFrame) -> DataFrame:
     """doc_id, h, (s, e, v) of identifier-like tokens with their patterns, and whether a base span overlaps them."""
     space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-    around = lambda i: [F.substr(F.get("_p", i), F.greatest(F.length(F.get("_p", i)) - 79, F.lit(1))).alias("left"), F.substring(F.get("_p", i + 1), 1, 80).alias("right")]
-    x = _with_spans(spanned, "_t", TOKEN, F.rlike("text", F.lit("[0-9@]")), around)
+    x = _with_spans(spanned, "_t", TOKEN, F.rlike("text", F.lit("[0-9@]")), 80)
     bases = F.concat(*[F.col(f"_{k}") for k, *_ in KINDS])
     x = x.select("doc_id", "h", F.transform(bases, lambda b: F.struct(b.s.alias("s"), b.e.alias("e"))).alias("b"), F.explode("_t").alias("t"))
     trimmed = F.regexp_replace("t.v", EDGE, "")
