@@ -103,8 +103,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select(*_DOC, F.explode("lns").alias("ln")).groupBy(*_DOC).agg(F.sort_array(F.collect_set("ln")).alias("lines"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from ``text``, and ``_cut``: the numbers of the deleted lines."""
+def _with_cuts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """``docs`` under names c0, c1 ... with the text that is left and ``_cut``, the numbers of the deleted lines; the text's name."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
     ids, texts = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
@@ -114,15 +114,24 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     x = x.join(cut, x[ids].eqNullSafe(cut._d) & (x._h == cut._k), "left").drop("_d", "_h", "_k")
     left = F.array_join(F.filter(_lines(F.col(texts)), lambda l, i: ~F.array_contains("_cut", i)), "\n")
     x = x.withColumn(texts, F.when(F.col("_cut").isNull(), F.col(texts)).otherwise(left))
-    return x.toDF(*docs.columns, "_cut")
+    return x, texts
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later copies of repeated line runs deleted from ``text``; a column ``n_chars`` follows."""
+    x, texts = _with_cuts(docs, min_words)
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        x = x.withColumn(n, F.when(F.col("_cut").isNull(), F.col(n)).otherwise(F.length(texts)).cast(docs.schema["n_chars"].dataType))
+    return x.drop("_cut").toDF(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:
     """doc_id, lines, deleted lines, maximal deleted runs, and the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).alias("n_lines"))
-    x = dedup(docs)
+    x, _ = _with_cuts(docs, MIN_WORDS)
     cut = F.coalesce("_cut", F.array().cast("array<int>"))
-    return x.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_deleted"), "text")
+    return x.select(F.col("c0").alias("doc_id"), F.greatest("c2", F.lit(0)).cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_deleted"), F.col("c1").alias("text"))
 
 
 SQL = f"""

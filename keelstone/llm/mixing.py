@@ -92,10 +92,10 @@ def apportion(df: DataFrame, share: str, seats: str, keys: list[str], name: str)
 
 
 def mix(sizes: DataFrame) -> DataFrame:
-    """``sizes`` (doc_id, source, size, any others) with source_size, target, taken."""
+    """doc_id, source, size of ``sizes`` with source_size, target, taken."""
     spark = sizes.sparkSession
     prepare(spark)
-    sizes = keep(sizes)
+    sizes = keep(sizes.select("doc_id", "source", "size"))
     goal = small(keep(targets(sizes)).withColumnRenamed("source", "_source"))
     x = sizes.join(goal, sizes.source.eqNullSafe(F.col("_source")), "left").drop("_source")
     x = x.withColumn("_draw", _draw("", F.col("doc_id"))).withColumn("_shard", _number(F.col("_draw")) % F.expr(f"source_size div {SHARD} + 1"))
