@@ -29,7 +29,7 @@ SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MIN_GROUP = 200
 #: Sketched measures: guard values that a fence never undercuts, so that clean groups with no spread lose nothing.
-UPPER = {"symbol_bp": 1000, "dup_bp": 3000, "repeat_bp": 3000, "word_len": 1500}
+UPPER = {"symbol_bp": 1000, "dup_bp": 4000, "repeat_bp": 3000, "word_len": 1500}
 LOWER = {"word_len": 200}
 REACH = 3
 
