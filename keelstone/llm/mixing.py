@@ -12,7 +12,9 @@ into shards of about ``SHARD`` words by a seeded hash (a hot source has many
 shards, so no window holds a source), and the source's quota goes to its shards by
 the same rule.  Within a shard documents lie in seeded order and the quota picks
 whole rounds plus one seeded arc of blocks; a document's ``taken`` words are what
-of it lies in the picked blocks.  No block is picked more than ``EPOCHS`` times.
+of it lies in the picked blocks.  No block is picked more than ``EPOCHS`` times.  The last block of a
+shard may be short, so a source's words differ from its target by less than
+``EPOCHS`` + 1 blocks per shard.
 
 Defined results: null text has size 0 and takes 0; a null source is a source;
 repeated rows are separate rows with interchangeable shares; null ``doc_id`` counts
@@ -67,6 +69,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return apportion(w, "target", "n_all", [], "source").select("source", "source_size", "target", F.col("quota").alias("blocks"))
 
 
+def _over(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return a / F.when(b != 0, b)
+
+
 def apportion(df: DataFrame, share: str, seats: str, keys: list[str], name: str) -> DataFrame:
     """``quota``: integer seats for each row by Sainte-Laguë within ``keys``.
 
@@ -78,9 +85,9 @@ def apportion(df: DataFrame, share: str, seats: str, keys: list[str], name: str)
     """
     every = Window.partitionBy(*keys)
     total, rows = F.sum(share).over(every), F.count("*").over(every)
-    x = df.withColumn("_q0", F.coalesce(F.round(F.col(share) / (total / F.col(seats))).cast("long"), F.lit(0)))
+    x = df.withColumn("_q0", F.coalesce(F.round(_over(F.col(share), _over(total, F.col(seats)))).cast("long"), F.lit(0)))
     x = x.withColumn("_gap", F.col(seats) - F.sum("_q0").over(every))
-    reach = F.coalesce(F.ceil(1.5 * rows * F.col(share) / total), F.lit(0)).cast("int") + 2
+    reach = F.coalesce(F.ceil(_over(1.5 * rows * F.col(share), total)), F.lit(0)).cast("int") + 2
     back = [c for c in x.columns if c != "_gap"]
     x = x.withColumn("_reach", reach).withColumn("_j", F.explode(F.sequence(F.lit(1), F.when(F.col("_gap") == 0, 1).otherwise(F.col("_reach")))))
     seat = F.when(F.col("_gap") > 0, F.col("_q0") + F.col("_j")).otherwise(F.col("_q0") - F.col("_j") + 1)
@@ -100,7 +107,7 @@ def mix(sizes: DataFrame) -> DataFrame:
     x = sizes.join(goal, sizes.source.eqNullSafe(F.col("_source")), "left").drop("_source")
     x = x.withColumn("_draw", _draw("", F.col("doc_id"))).withColumn("_shard", _number(F.col("_draw")) % F.expr(f"source_size div {SHARD} + 1"))
     quotas = x.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.max("source_size").alias("_all"), F.max("blocks").alias("_blocks"))
-    quotas = quotas.withColumn("_n", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}")).withColumn("_share", F.col("_words") / F.col("_all") * F.col("_blocks"))
+    quotas = quotas.withColumn("_n", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}")).withColumn("_share", _over(F.col("_words"), F.col("_all")) * F.col("_blocks"))
     quotas = apportion(quotas, "_share", "_blocks", ["source"], "_shard")
     quotas = quotas.withColumn("quota", F.least("quota", EPOCHS * F.col("_n")))
     quotas = quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_k"), "_words", "_n", "quota")
