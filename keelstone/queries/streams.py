@@ -42,6 +42,17 @@ def t1(spark, d):
     return landed(spark, d, files=FILES).table("raw_events").read().select("EVENT_KEY", "USER", "KIND", "AMOUNT")
 
 
+def t3(spark, d):
+    """A continuous query, stopped when it has caught up."""
+    target = landing.Landing(spark, f"{shared_folder(spark)}/tables", ROUTES)
+    q = landing.run(landing.records(spark, record_files(spark, d), FILES), target, f"{shared_folder(spark)}/checkpoint", "1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return target.table("raw_users").read().select("USER", "UPDATED", "KIND")
+
+
 def l4(spark, d):
     x = landed(spark, d).appended("dead_letters", landing.LETTERS)
     return x.select("topic", "stage", "error", "offset")
@@ -62,6 +73,7 @@ def t4(spark, d):
 QUERIES = {
     "t1_batch_loop": t1,
     "t2_drain_backlog": lambda s, d: t1(s, d).groupBy("KIND").agg(F.count("*").alias("n")),
+    "t3_continuous_run": t3,
     "t4_replay": t4,
     "t6_late_data": lambda s, d: landed(s, d).table("raw_users").read().select("USER", "UPDATED"),
     "t7_tombstones": lambda s, d: landing.split(landing.validated(s.read.schema(landing.RECORD).json(record_files(s, d)), STATE), STATE)[0].agg(F.count("*").alias("n")),
@@ -77,6 +89,7 @@ _T4 = f"SELECT \"USER\", max(UPDATED) AS UPDATED, arg_max(KIND, (UPDATED, -event
 SQL = {
     "t1_batch_loop": _T1,
     "t2_drain_backlog": f"SELECT KIND, count(*) AS n FROM ({_T1}) GROUP BY KIND",
+    "t3_continuous_run": _T4,
     "t4_replay": _T4,
     "t6_late_data": f"SELECT \"USER\", UPDATED FROM ({_T4})",
     "t7_tombstones": "SELECT count(*) AS n FROM events WHERE event_id % 103 <> 0 AND (event_id % 2 = 1 OR event_id % 101 <> 0)",
