@@ -65,8 +65,9 @@ def shingler(words: int = WORDS):
         w = (text or "").encode("utf-8", "surrogatepass").split()
         if len(ids) > 500_000:
             ids.clear()
-        for x in set(w) - ids.keys():
-            ids[x] = xxhash.xxh3_64_intdigest(x)
+        for x in set(w):
+            if x not in ids:
+                ids[x] = xxhash.xxh3_64_intdigest(x)
         h = np.fromiter(map(ids.__getitem__, w), np.uint64, len(w))
         k = min(words, len(h))
         if not k:
@@ -88,7 +89,6 @@ def signer(n_bands: int, rows: int):
 
     rng = np.random.default_rng(7)
     a = rng.integers(1, 1 << 63, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.uint64)
     salt = rng.integers(1, 1 << 63, n_bands, dtype=np.uint64)
 
     def sign(s):
@@ -96,8 +96,7 @@ def signer(n_bands: int, rows: int):
             return []
         least = np.full(n_bands * rows, np.iinfo(np.uint64).max, np.uint64)
         for part in range(0, len(s), 2048):
-            x = s[part : part + 2048, None] * a + b
-            least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
+            np.minimum(least, np.multiply.outer(a, s[part : part + 2048]).min(axis=1), out=least)  # a times well-mixed hashes, mod 2^64, is a permutation of them
         out = salt.copy()
         for i in range(rows):
             out = (out ^ least[i::rows][:n_bands]) * np.uint64(_ODD)
