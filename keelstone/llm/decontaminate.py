@@ -35,7 +35,7 @@ from .common import doc_hash, keep, map_rows, prepare, small, table
 SEED = 3
 RARE = 1e-7
 SCORE = 0.5
-ITEMS = 20_000
+ITEMS = 5_000
 EDIT = 0.5
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
