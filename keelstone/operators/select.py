@@ -25,15 +25,20 @@ def _day(text: str) -> dt.datetime:
         raise ValueError(f"INVALID_DATE: {text}") from e
 
 
+def _lit(value) -> Column:
+    """A literal.  Instants go as text, which takes the column's own type (with or without zone), so the column stays bare and the filter can be pushed."""
+    return F.lit(value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value)
+
+
 def day_range(column: str, day: str) -> Column:
     """The whole UTC day ``day``."""
     d = _day(day)
-    return (F.col(column) >= F.lit(d)) & (F.col(column) < F.lit(d + dt.timedelta(days=1)))
+    return (F.col(column) >= _lit(d)) & (F.col(column) < _lit(d + dt.timedelta(days=1)))
 
 
 def date_window(column: str, first: str, last: str) -> Column:
     """From ``first`` to ``last``, both days included."""
-    return (F.col(column) >= F.lit(_day(first))) & (F.col(column) < F.lit(_day(last) + dt.timedelta(days=1)))
+    return (F.col(column) >= _lit(_day(first))) & (F.col(column) < _lit(_day(last) + dt.timedelta(days=1)))
 
 
 def clamp_limit(limit: int, maximum: int = LIST_LIMIT) -> int:
@@ -74,15 +79,16 @@ def most_recent(df: DataFrame, stamp: str, key: Iterable[str], limit: int) -> Da
 
 
 def seek(order: list[tuple[str, bool]], last: list) -> Column:
-    """Rows strictly after ``last``: an OR over the prefixes of the order."""
+    """Rows strictly after ``last``: an OR over the prefixes of the order, behind a bound on the first column that the scan can use."""
     out = F.lit(False)
     for i, (name, up) in enumerate(order):
         tie = F.lit(True)
         for (n, _), v in zip(order[:i], last):
-            tie = tie & (F.col(n) == F.lit(v))
-        step = F.col(name) > F.lit(last[i]) if up else F.col(name) < F.lit(last[i])
+            tie = tie & (F.col(n) == _lit(v))
+        step = F.col(name) > _lit(last[i]) if up else F.col(name) < _lit(last[i])
         out = out | (tie & step)
-    return out
+    first, up = order[0]
+    return (F.col(first) >= _lit(last[0]) if up else F.col(first) <= _lit(last[0])) & out
 
 
 def page(df: DataFrame, order: list[tuple[str, bool]], limit: int = LIST_LIMIT, after: list | None = None) -> tuple[list, bool]:

@@ -73,7 +73,7 @@ def stamp(df: DataFrame) -> DataFrame:
 def incremental(source: DataFrame, column: str, watermark: dt.datetime | None, overlap: dt.timedelta = OVERLAP) -> DataFrame:
     """Rows changed since the watermark less an overlap; no watermark means everything.  The filter reaches the source."""
     start = EPOCH if watermark is None else watermark - overlap
-    return source.filter(F.col(column) >= F.lit(start))
+    return source.filter(F.col(column) >= F.lit(start.isoformat(sep=" ")))  # as text, so the column keeps its type and the filter is pushed
 
 
 def poll(source: DataFrame, column: str, marks: VersionedTable, name: str, write, full: bool = False) -> dt.datetime | None:

@@ -83,8 +83,9 @@ def test_limits_and_dates():
         select.day_range("d", "2024-02-30")
 
 
-def test_day_filter_reaches_the_scan(spark, tmp_path):
-    x = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 59),), (dt.datetime(2024, 1, 2),)], "d timestamp")
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_day_filter_reaches_the_scan(spark, tmp_path, kind):
+    x = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 59),), (dt.datetime(2024, 1, 2),)], f"d {kind}")
     x.write.parquet(str(tmp_path / "t"))
     y = spark.read.parquet(str(tmp_path / "t")).filter(select.day_range("d", "2024-01-01"))
     assert y.count() == 1
