@@ -98,7 +98,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = runs.filter(F.col("m") < 2 ** (top + 1))
     runs = keep(runs.filter("ra IS NOT NULL AND rb IS NOT NULL"))
     place = _place()
-    spans = runs.groupBy("m", "ra", "rb").agg(F.min(place).alias("at"), F.max(place).alias("to")).filter(~F.col("at").eqNullSafe(F.col("to"))).drop("to")
+    # stored first, so that the join has an exchange on either side and the runs of a hot line can be split
+    spans = keep(runs.groupBy("m", "ra", "rb").agg(F.min(place).alias("at"), F.max(place).alias("to")).filter(~F.col("at").eqNullSafe(F.col("to"))).drop("to"))
     later = runs.join(spans, ["m", "ra", "rb"]).filter(~F.col("at").eqNullSafe(place))
     return later.select(*_DOC, F.explode("lns").alias("ln")).groupBy(*_DOC).agg(F.sort_array(F.collect_set("ln")).alias("lines"))
 
