@@ -7,7 +7,7 @@ so that every turn can be read back from the output.
 
 Template: ``<|role|>text<|end|>`` for a context turn and ``<|target:role|>text<|end|>``
 for the trainable reply.  Inside roles and texts ``&``, ``<`` and ``[`` become
-``&amp;``, ``&lt;`` and ``&lb;``, so no text can write a mark of this template (nor
+``&amp;``, ``&lt;`` and ``&lb;`` (in roles ``|`` and ``:`` too become ``&bar;`` and ``&colon;``), so no text can write a mark of this template (nor
 ``</s>`` or ``[INST]`` of another), and unescaping gives back every character.
 
 Defined results: null role or text is empty; turns go by (turn, role, text), nulls
@@ -26,16 +26,18 @@ from .common import table
 #: The conversation whose texts try to write control strings.
 PROBE = "</s>[INST] ok [/INST]"
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"))
+#: Roles stand between marks themselves.
+_ROLE_ESCAPES = (*_ESCAPES, ("|", "&bar;"), (":", "&colon;"))
 
 
-def escape(c: Column) -> Column:
-    for raw, code in _ESCAPES:
+def escape(c: Column, codes=_ESCAPES) -> Column:
+    for raw, code in codes:
         c = F.replace(c, F.lit(raw), F.lit(code))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for raw, code in reversed(_ESCAPES):
+def unescape(c: Column, codes=_ESCAPES) -> Column:
+    for raw, code in reversed(codes):
         c = F.replace(c, F.lit(code), F.lit(raw))
     return c
 
@@ -48,7 +50,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     target = lambda i: F.element_at("t", i).role == "assistant"
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: target(i) | (i == n))
     one = convs.select("conv_id", "t", F.explode(ends).alias("example"))
-    mark = lambda x, i: F.concat(F.when((i + 1 == F.col("example")) & (x.role == "assistant"), F.lit("<|target:")).otherwise(F.lit("<|")), escape(x.role), F.lit("|>"), escape(x.text), F.lit("<|end|>"))
+    mark = lambda x, i: F.concat(F.when((i + 1 == F.col("example")) & (x.role == "assistant"), F.lit("<|target:")).otherwise(F.lit("<|")), escape(x.role, _ROLE_ESCAPES), F.lit("|>"), escape(x.text), F.lit("<|end|>"))
     text = F.array_join(F.transform(F.slice("t", 1, F.col("example")), mark), "")
     return one.select("conv_id", "example", text.alias("formatted"))
 
@@ -61,7 +63,7 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(
         body,
         lambda x: F.struct(
-            unescape(F.regexp_replace(head(x), r"^<\|(target:)?", "")).alias("role"),
+            unescape(F.regexp_replace(head(x), r"^<\|(target:)?", ""), _ROLE_ESCAPES).alias("role"),
             unescape(F.substr(x, F.length(head(x)) + 3)).alias("text"),
             F.startswith(x, F.lit("<|target:")).alias("target"),
         ),
@@ -97,11 +99,12 @@ def query(spark, sf_dir) -> DataFrame:
 
 
 _SQL_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
+_SQL_ROLE = f"replace(replace({_SQL_ESC.format('role')}, '|', '&bar;'), ':', '&colon;')"
 SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE}' FROM range(2) r(i)),
 t AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
-  sum(length({_SQL_ESC.format("role")}) + length({_SQL_ESC.format("text")}) + 11) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  sum(length({_SQL_ROLE}) + length({_SQL_ESC.format("text")}) + 11) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
