@@ -207,7 +207,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCOR
 def query(spark, sf_dir) -> DataFrame:
     x = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return x.select("doc_id", "item_id", "score", "n_seeds", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
-
-
-def report(rows):
-    print(rows.score.describe(), rows.doc_id.nunique())

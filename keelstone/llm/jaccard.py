@@ -285,7 +285,3 @@ l AS (SELECT a, count(*) AS n_links, CAST(sum(c.n) AS BIGINT) AS n_linked_docs,
 SELECT d.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_linked_docs, 0) AS n_linked_docs, best_id, best_similarity, coalesce(group_id, c.class_id) AS group_id
 FROM documents d JOIN c ON coalesce(d.text, '') = c.text LEFT JOIN l ON l.a = c.class_id LEFT JOIN grp ON grp.id = c.class_id
 """
-
-
-def report(rows):
-    print(rows[["n_links", "n_linked_docs"]].describe(), bands())

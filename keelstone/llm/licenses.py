@@ -169,7 +169,3 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
 def query(spark, sf_dir) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
-
-
-def report(rows):
-    print(rows.labels.value_counts().head(20), rows.score.value_counts().head(10))

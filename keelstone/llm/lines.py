@@ -151,7 +151,3 @@ LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents) ANTI JOIN c USING (doc_id, ln) GROUP BY doc_id) x USING (doc_id)
 GROUP BY d.doc_id, d.text
 """
-
-
-def report(rows):
-    print(rows[["n_lines", "n_deleted"]].sum(), (rows.text == "").sum())

@@ -164,10 +164,3 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN n > 0 THEN quota // n *
   + greatest(0, least(e, (start + quota % n) * {BLOCK}) - greatest(e - size, start * {BLOCK}))
   + greatest(0, least(e, (start + quota % n - n) * {BLOCK}) - greatest(e - size, 0)) ELSE 0 END AS BIGINT) AS taken FROM p
 """
-
-
-def report(rows):
-    import pandas as pd  # noqa: F401
-
-    r = rows.groupby(["source_size", "target"]).taken.sum().reset_index()
-    print(r.assign(rel=r.taken / r.target).to_string(), (rows.taken > 3 * rows["size"]).sum())

@@ -157,21 +157,3 @@ def query(spark, sf_dir) -> DataFrame:
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, say("context")), ",").alias("spans"), F.size("context").cast("long").alias("n_context"),
     )
-
-
-def report(rows):
-    print(rows[["n_email", "n_ip", "n_card", "n_phone", "n_context"]].sum())
-    import hashlib, re  # noqa: E401
-    import duckdb
-
-    def luhn(d):
-        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
-
-    pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 16 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s)), "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15}
-    bad = 0
-    got = dict(zip(rows.doc_id, rows.base_sha256))
-    for d, t in duckdb.sql("select doc_id,text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
-        s = ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in pats.items() for m in re.finditer(p, t) if ok[k](m[0]))
-        bad += hashlib.sha256(s.encode()).hexdigest() != got[d]
-    print("bad", bad)

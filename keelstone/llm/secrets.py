@@ -124,8 +124,3 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
-
-
-def report(rows):
-    print(rows[["n_assign", "n_access", "n_hex", "n_novel"]].sum())
-    print(rows[rows.n_novel > 0].head(5).to_string())
