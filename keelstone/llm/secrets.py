@@ -1,15 +1,15 @@
 """Operator 8: secret scans by dictionary-primed zstandard novelty.
 
-Base kinds are fixed patterns.  Besides them, every long token that stands near a
-sensitive word is a candidate.  For each candidate the marginal compressed bytes
+Base kinds are fixed patterns.  Besides them, every long token near a sensitive
+word is a candidate.  For each candidate the marginal compressed bytes
 are measured: zstandard, primed with a dictionary of the identifiers that the
-corpus uses around candidates, compresses the surrounding code with and without the
-candidate.  A candidate of ``n`` characters that adds at least ``NOVEL`` x n bytes is
+corpus uses around candidates, compresses the surrounding code, all candidates and
+base spans blanked, with and without the candidate.  A candidate of ``n`` characters that adds at least ``NOVEL`` x n bytes is
 incompressible and is reported as ``novel``; names and prose, which the dictionary
 or the surroundings hold already, add little.
 
 The dictionary is made of the most frequent identifiers around all candidates,
-counted by Spark over the whole table and cut to ``DICT_BYTES``, its size bound.
+counted once for each distinct surrounding text, by Spark over the whole table, and cut to ``DICT_BYTES``, its size bound.
 
 Defined results: null text is empty; spans are code points, end exclusive;
 repeated rows each get a row; texts are read whole; an empty table gives no rows.
@@ -52,13 +52,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, token, text around it) of long tokens near a sensitive word, other than the base spans."""
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if not re.search("[0-9+/=]", m[0]) or any(s < b and a < e for s, _, e in base):
+    """(start, end, token, text around it) of long tokens near a sensitive word, other than the base spans.
+
+    The surroundings hold no candidate (nor another copy of one) and no base span: these are blanked, so secrets do not vouch for each other.
+    """
+    long = [(*m.span(), m[0]) for m in TOKEN.finditer(text)]
+    if not long:
+        return
+    found, n, reach = [], 0, 0
+    for a, b, token in long:
+        while n < len(base) and base[n][0] < b:
+            reach = max(reach, base[n][2])
+            n += 1
+        if a < reach or not re.search("[0-9+/=]", token):
             continue
         if SENSITIVE.search(text, max(0, a - NEAR), min(len(text), b + NEAR)):
-            yield a, b, m[0], text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]
+            found.append((a, b, token))
+    tokens = {token for *_, token in found}
+    blank, at = [], 0
+    for a, b in sorted([(a, b) for a, b, token in long if token in tokens] + [(a, e) for a, _, e in base]):
+        blank += [text[at:a], " " * (b - max(a, at))]
+        at = max(at, b)
+    blank = "".join([*blank, text[at:]])
+    for a, b, token in found:
+        yield a, b, token, blank[max(0, a - AROUND) : a] + " " + blank[b : b + AROUND]
 
 
 def _said(spans) -> str:
@@ -82,8 +99,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def identifiers(found: DataFrame, most: int = DICT_BYTES) -> bytes:
-    """The most frequent identifiers around candidates; the size of the result is bounded by ``most``."""
-    words = found.select(F.explode("found.around").alias("s")).select(F.explode(F.regexp_extract_all("s", F.lit(IDENTIFIER.pattern), F.lit(0))).alias("w"))
+    """The identifiers around candidates that stand in most different surroundings (copies count once); the size of the result is bounded by ``most``."""
+    around = found.select(F.explode("found.around").alias("s")).distinct()
+    words = around.select(F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(IDENTIFIER.pattern), F.lit(0)))).alias("w"))
     top = words.filter(F.length("w") <= 64).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most // 4)
     out, size = [], 0
     for r in top.collect():

@@ -358,6 +358,26 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_documents(empty).count() == 0
 
 
+def novel_of(spark, table):
+    """The novel strings of each document."""
+    got = secrets.scan_documents(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    return {r.doc_id: [dict(table)[r.doc_id][int(a) : int(b)] for k, a, b in [x.split(":") for x in r.spans.split(",") if x] if k == "novel"] for r in got}
+
+
+def random_token(seed, n, chars="ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"):
+    r = random.Random(seed)
+    return "".join(r.choice(chars) for _ in range(n - 1)) + "7" if "7" in chars else "".join(r.choice(chars) for _ in range(n))
+
+
+def test_copies_of_secrets_do_not_vouch_for_each_other(spark):
+    x, y, z = (random_token(k, 20) for k in (1, 2, 3))
+    twice = (1, f"bearer {x} and once more bearer {x} end")
+    many = [(100 + i, f"note {prose(i, 4)} bearer {y} with bearer {z} {prose(i + 5000, 4)}") for i in range(300)]
+    got = novel_of(spark, [twice, *many])
+    assert got[1] == [x, x]
+    assert all(got[d] == [y, z] for d, _ in many)
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
