@@ -1,7 +1,8 @@
 """Operator 8: secret scans by dictionary-primed zstandard novelty.
 
-Base kinds are fixed patterns.  Besides them, every long token near a sensitive
-word is a candidate.  For each candidate the marginal compressed bytes
+Base kinds are fixed patterns.  Besides them, every long token in the context of a
+sensitive word is a candidate: near the word, after it on its line, or on the
+lines that directly follow.  For each candidate the marginal compressed bytes
 are measured: zstandard, primed with a dictionary of the identifiers that the
 corpus uses around candidates, compresses the surrounding code, all candidates and
 base spans blanked, with and without the candidate.  A candidate of ``n`` characters that adds at least ``NOVEL`` x n bytes is
@@ -51,22 +52,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def in_context(text: str):
+    """(start, end) of what a sensitive word governs: from the word on the rest of its line, and the directly following lines of its block.
+
+    A blank line ends a block, except between BEGIN and END marks.
+    """
+    at, on, framed = 0, False, False
+    for line in text.split("\n"):
+        framed = framed or "-----BEGIN" in line
+        if not line.strip():
+            on = on and framed
+        elif on:
+            yield at, at + len(line)
+        elif m := SENSITIVE.search(line):
+            on = True
+            yield at + m.start(), at + len(line)
+        framed = framed and "-----END" not in line
+        at += len(line) + 1
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, token, text around it) of long tokens near a sensitive word, other than the base spans.
+    """(start, end, token, text around it) of long tokens in the context of a sensitive word, other than the base spans.
 
     The surroundings hold no candidate (nor another copy of one) and no base span: these are blanked, so secrets do not vouch for each other.
     """
     long = [(*m.span(), m[0]) for m in TOKEN.finditer(text)]
     if not long:
         return
-    found, n, reach = [], 0, 0
+    lines, found, k, n, reach = list(in_context(text)), [], 0, 0, 0
     for a, b, token in long:
         while n < len(base) and base[n][0] < b:
             reach = max(reach, base[n][2])
             n += 1
-        if a < reach or not re.search("[0-9+/=]", token):
+        if a < reach:
             continue
-        if SENSITIVE.search(text, max(0, a - NEAR), min(len(text), b + NEAR)):
+        while k < len(lines) and lines[k][1] <= a:
+            k += 1
+        if (k < len(lines) and lines[k][0] < b) or SENSITIVE.search(text, max(0, a - NEAR), min(len(text), b + NEAR)):
             found.append((a, b, token))
     tokens = {token for *_, token in found}
     blank, at = [], 0

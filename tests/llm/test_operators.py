@@ -378,6 +378,18 @@ def test_copies_of_secrets_do_not_vouch_for_each_other(spark):
     assert all(got[d] == [y, z] for d, _ in many)
 
 
+def test_secrets_without_digits_and_in_blocks(spark):
+    letters = random_token(11, 24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    block = [random_token(20 + k, 64) for k in range(8)]
+    row = random_token(31, 24)
+    table = [
+        (1, f"the bearer {letters} ends"), (2, "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n\n" + "\n".join(block) + "\n-----END RSA PRIVATE KEY-----\n\n" + prose(4, 12) + "\n" + random_token(40, 64)),
+        (3, f"| user | credential |\n| {prose(1, 12)} | {row} |\n\n{random_token(41, 30)}"), (4, f"bearer: {prose(2, 20)} {row}"),
+        (5, "the key " + "a" * 40 + " token " + "-" * 40),
+    ]
+    assert novel_of(spark, table) == {1: [letters], 2: block, 3: [row], 4: [row], 5: []}
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
