@@ -5,7 +5,9 @@ and ``<name:n>`` a replaceable region of at most ``n`` words.  It is compiled in
 a token automaton (states are positions between tokens, optional regions are
 skip edges, replaceable regions are bounded wildcard loops), which a document's
 words drive from every place where its first mandatory word stands.  A template
-is accepted if some run reads all of its mandatory wording exactly, in order.
+is accepted if some run reads all of its mandatory wording exactly, in order; what
+follows the wording in a document is not read.  Typographic quotes, dashes and bullets
+are no part of the templates' words.
 
 The base rule looks for a few phrases whose words stand consecutively.  Words are
 the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z, i.e. of ASCII
@@ -30,7 +32,21 @@ from .common import map_rows, prepare, table
 #: Fixed values of the base rule.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+#: Regions that several templates share.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <holders:12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "{1} {a} {i} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "{2} {b} {ii} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERTISING = "{3} {c} {iii} all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <organization:16>"
+_BSD_NAMES = "neither the name of <the copyright holder:12> nor the names of <its:4> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by <holders:12> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <holders:12> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC_OPENING = "permission to use copy modify and {or} distribute this software for any purpose with or without fee is hereby granted"
+_ISC_AS_IS = "the software is provided as is and <the author:12> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <the author:12> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_GPL_OPENING = "<program:4> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GPL_REST = "<program:4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with <program:4> if not"
+
 #: label: template.  Words are compared after the same normalisation as the texts.
+#: A *-text or *-header holds the whole mandatory wording, a *-notice one sentence that refers to a licence or opens it.
 TEMPLATES = {
     "mit-notice": "released under the {terms of the} mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0 {the license}",
@@ -39,13 +55,29 @@ TEMPLATES = {
     "cc-by-4.0-notice": "licensed under {a} {creative commons} cc by 4 0",
     "cc-by-nc-4.0-notice": "licensed under {a} cc by nc 4 0",
     "cc-by-sa-4.0-notice": "licensed under {a} cc by sa 4 0",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction",
-    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use <this file:4> except in compliance with the license",
-    "bsd-3-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-header": "<program:4> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense-text": "this is free and unencumbered software released into the public domain",
+    "mit-opening-notice": "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction",
+    "bsd-opening-notice": _BSD_OPENING,
+    "isc-opening-notice": _ISC_OPENING,
+    "gpl-opening-notice": _GPL_OPENING,
+    "apache-2.0-opening-notice": "licensed under the apache license version 2 0 the license you may not use <this file:4> except in compliance with the license",
+    "mpl-2.0-opening-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense-opening-notice": "this is free and unencumbered software released into the public domain",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {including the next paragraph} shall be included in all copies or substantial portions of the software "
+    + _AS_IS,
+    "bsd-2-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_AS_IS}",
+    "bsd-3-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {{3}} {{c}} {{iii}} {_BSD_NAMES} {_BSD_AS_IS}",
+    "bsd-4-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_ADVERTISING} {{4}} {{d}} {{iv}} {_BSD_NAMES} {_BSD_AS_IS}",
+    "isc-text": f"{_ISC_OPENING} provided that the above copyright notice and this permission notice appear in all copies {_ISC_AS_IS}",
+    "0bsd-text": f"{_ISC_OPENING} {_ISC_AS_IS}",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+    + _AS_IS
+    + " {for more information please refer to <address:6>}",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use <this file:4> except in compliance with the license you may obtain a copy of the license at <scheme:1> {www} apache org licenses license 2 0 {txt} {html} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-2.0-header": f"{_GPL_OPENING} either version 2 of the license or at your option any later version {_GPL_REST}",
+    "gpl-3.0-header": f"{_GPL_OPENING} either version 3 of the license or at your option any later version {_GPL_REST}",
+    "gpl-2.0-only-header": f"{_GPL_OPENING} version 2 {{of the license}} {_GPL_REST}",
+    "gpl-3.0-only-header": f"{_GPL_OPENING} version 3 {{of the license}} {_GPL_REST}",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <scheme:1> {www} mozilla org mpl 2 0",
 }
 FAINT = 0.5
 
@@ -128,6 +160,7 @@ def scanner(templates: dict[str, str] | None = None):
     starts: dict[bytes, list] = {}
     for a in automata:
         starts.setdefault(a.key, []).append(a)
+    marks = str.maketrans("\u2018\u2019\u201c\u201d\u2022\u2013\u2014", " " * 7)  # typographic marks are no part of a licence's words
     second = {a.label: next((a.steps[i][1] for i in range(a.first + 1, len(a.steps)) if a.weight[i]), None) for a in automata}
 
     def scan(text: str | None):
@@ -142,16 +175,18 @@ def scanner(templates: dict[str, str] | None = None):
                 places += found
                 base |= {label} if found else set()
         labels, score = set(base), 0.0
+        n_words, read = len(words), words if not text or text.isascii() else words_of(text.translate(marks))
+        have = set(read)
         for key in starts.keys() & have:
             todo = [a for a in starts[key] if second[a.label] is None or second[a.label] in have]
             if todo:
-                for i, w in enumerate(words):
+                for i, w in enumerate(read):
                     if w == key:
                         for a in todo:
-                            if (s := a.run(words, i)) >= FAINT:
+                            if (s := a.run(read, i)) >= FAINT:
                                 score = max(score, s)
                                 labels |= {a.label} if s == 1.0 else set()
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+        return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     return scan
 

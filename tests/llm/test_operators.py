@@ -435,6 +435,42 @@ def test_automata_equal_regular_expressions():
             assert mine == bool(rx.search(" ".join(w) + " ")), (t, w)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \u201cSoftware\u201d), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED \u201cAS IS\u201d, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = ["""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+""", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Example Project.\n", """{} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+""", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""]
+ISC = ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ", provided that the above copyright notice and this permission notice appear in all copies", """.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""]
+
+
+def test_only_whole_licenses_are_texts():
+    scan = licenses.scanner()
+    texts = lambda t: {x for x in scan(t)[5].split(",") if x.endswith(("-text", "-header"))}
+    b2, b3, b4 = BSD[0] + BSD[3], BSD[0] + BSD[2].format("3.") + BSD[3], BSD[0] + BSD[1] + BSD[2].format("4.") + BSD[3]
+    whole = {"mit-text": MIT, "bsd-2-clause-text": b2, "bsd-3-clause-text": b3, "bsd-4-clause-text": b4, "isc-text": "".join(ISC), "0bsd-text": ISC[0] + ISC[2]}
+    for label, t in whole.items():
+        assert texts(f"some words before. {t} and after") == {label} and scan(t)[6] == 1.0
+    for old, new in [("without restriction, including", "for non-commercial use, including"), ("subject to the following conditions:", "subject to the following conditions: No commercial use."), ("sublicense, and/or sell", "and/or sublicense"), ("SHALL THE AUTHORS", "MAY THE AUTHORS"), (MIT[-40:], "")]:
+        assert old in MIT and texts(MIT.replace(old, new)) == set()
+    assert texts(b3.replace("without specific", "with specific")) == texts(b2.replace("must retain", "may retain")) == texts(BSD[0]) == set()
+    for label, t in licenses.TEMPLATES.items():  # each template reads its own mandatory wording, and not with one word less
+        a = licenses.Automaton(label, t)
+        w = [x for (kind, x), n in zip(a.steps, a.weight) if n]
+        assert a.run(w, 0) == 1.0 and a.run(w[: len(w) // 2] + w[len(w) // 2 + 1 :], 0) < 1.0
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
