@@ -7,7 +7,8 @@ into many documents keeps its seeds.  Documents are read once more: where a seed
 occurs, the passage around it becomes a row for that item, and the passages are
 joined to the items and aligned.  The score is that of the best local alignment
 (+1 for an equal word, -1/2 for a changed, missing or added one) over the item's
-words; a pair with at least ``SCORE`` is contamination.
+words; a pair with at least ``SCORE``, or whose alignment itself reaches ``LONG`` words
+whatever the item's length, is contamination.
 
 Words are lower-cased and stripped of leading and trailing ASCII punctuation.
 
@@ -35,6 +36,7 @@ from .common import doc_hash, keep, map_rows, prepare, small, table
 SEED = 3
 RARE = 1e-7
 SCORE = 0.5
+LONG = 13
 ITEMS = 5_000
 EDIT = 0.5
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -178,17 +180,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> D
             rows = batch.to_pylist()
             pairs = [(words_of(r["item_text"]), r["passage"].encode("utf-8", "surrogatepass").split()) for r in rows]
             order = sorted(range(len(rows)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
-            got = [0.0] * len(rows)
+            got, raw = [0.0] * len(rows), [0.0] * len(rows)
             for at in range(0, len(order), 128):
                 part = order[at : at + 128]
                 for k, s in zip(part, align([pairs[k] for k in part])):
-                    got[k] = s / max(1, len(pairs[k][0]))
+                    got[k], raw[k] = s / max(1, len(pairs[k][0])), s
             out = batch.select(["doc_id", "h", "item_id", "start", "end", "n_seeds"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(got, pa.float64())], names=[*out.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(got, pa.float64()), pa.array(raw, pa.float64())], names=[*out.schema.names, "score", "raw"])
 
     # the passages of a hot item or document spread evenly before they are aligned
     spread = rows.select("doc_id", "h", "item_id", "start", "end", "n_seeds", "passage", "item_text").repartition(F.xxhash64("doc_id", "h", "item_id", "start"))
-    done = spread.mapInArrow(scored, f"doc_id {kind}, h bigint, item_id {item_kind}, start bigint, end bigint, n_seeds bigint, score double").filter(F.col("score") >= score)
+    done = spread.mapInArrow(scored, f"doc_id {kind}, h bigint, item_id {item_kind}, start bigint, end bigint, n_seeds bigint, score double, raw double").filter((F.col("score") >= score) | (F.col("raw") >= LONG))
     best = F.max_by(F.struct("start", "end", "n_seeds"), F.struct("score", -F.col("start"))).alias("b")
     return done.groupBy("doc_id", "h", "item_id").agg(F.max("score").alias("score"), best).select("doc_id", "h", "item_id", "score", "b.*")
 

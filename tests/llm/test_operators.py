@@ -264,6 +264,16 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_long_parts_of_long_items_are_leaks(spark):
+    items = [(0, prose(110, 59)), (1, prose(111, 400))]
+    part = lambda i, a, n: " ".join(items[i][1].split()[a : a + n])
+    leaks = [(1, f"{prose(12, 80)} {part(0, 10, 28)} {prose(13, 80)}"), (2, f"{prose(14, 80)} {part(1, 200, 150)} {prose(15, 80)}"), (3, f"{prose(16, 80)} {part(1, 30, 8)} {prose(17, 80)}"), (4, prose(18, 300))]
+    x, bench = spark.createDataFrame(leaks, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(x, bench).collect()}
+    assert set(got) == {(1, 0), (2, 1)} and max(got.values()) < decontaminate.SCORE
+    assert {r.doc_id for r in decontaminate.drop_contaminated(x, bench).collect()} == {3, 4}
+
+
 def test_all_copied_items_are_found(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     want = {(d, i) for d, t, _ in sample() for i, b in items if b in t}
