@@ -3,6 +3,7 @@
 Base kinds are fixed patterns with checks.  Their matches are the seeds of a
 bootstrap: every identifier-like token (one with a digit or an ``@``) is an instance,
 and the words next to it are its patterns (left word, right word, two left words).
+A neighbour with a digit or an ``@`` counts as its shape (``<num>``, ``<at>``).
 On the graph of patterns and instances confidence flows back and forth: a pattern's
 is the smoothed share of its occurrences whose instance is believed, an instance's
 that of its best trusted pattern; seeds stay at 1.  After ``ROUNDS`` rounds, tokens in
@@ -78,11 +79,17 @@ def _with_spans(x: DataFrame, name: str, pattern: str, only: Column, around: int
     x = x.withColumn("_h", F.when(only, hits).otherwise(none)).withColumn("_p", F.when(only, pieces).otherwise(none)).withColumn("_s", _starts("_h", "_p"))
     spans = F.zip_with("_h", "_s", lambda h, s: F.struct(s.cast("long").alias("s"), (s + F.length(h)).cast("long").alias("e"), h.alias("v")))
     if around:
-        left = F.transform(F.slice("_p", 1, F.size("_h")), lambda p: F.right(p, F.lit(around)))
-        right = F.transform(F.slice("_p", 2, F.size("_h")), lambda p: F.substring(p, 1, around))
-        sides = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+        # words longer than the cut are folded, so that no part of a word passes for one
+        tail = lambda p: F.when(F.length(p) > around, F.concat(F.lit(" "), F.regexp_replace(F.right(p, F.lit(around + 1)), r"^[^\x20\x09-\x0D]+", "<long>"))).otherwise(p)
+        head = lambda p: F.when(F.length(p) > around, F.concat(F.regexp_replace(F.substring(p, 1, around + 1), r"[^\x20\x09-\x0D]+$", "<long>"), F.lit(" "))).otherwise(p)
+        # neighbours that are matches themselves are folded to their shape; two before a match, one after it
+        x = x.withColumn("_f", F.transform("_h", lambda h: F.when(F.contains(h, F.lit("@")), "<at>").otherwise("<num>"))).withColumn("_b", F.transform("_p", tail)).withColumn("_a", F.transform("_p", head))
+        of = lambda c, i: F.when(i >= 0, F.coalesce(F.get(c, i), F.lit(""))).otherwise("")
+        left = F.transform("_b", lambda p, i: F.concat(of("_f", i - 2), of("_b", i - 1), of("_f", i - 1), p))
+        right = F.transform("_a", lambda p, i: F.concat(p, of("_f", i)))
+        sides = F.zip_with(F.slice(left, 1, F.size("_h")), F.slice(right, 2, F.size("_h")), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
         spans = F.zip_with(spans, sides, lambda m, c: F.struct(m.s.alias("s"), m.e.alias("e"), m.v.alias("v"), c.left.alias("left"), c.right.alias("right")))
-    return x.withColumn(name, spans).drop("_h", "_p", "_s")
+    return x.withColumn(name, spans).drop("_h", "_p", "_s", "_f", "_b", "_a")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:

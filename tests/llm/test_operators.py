@@ -192,6 +192,25 @@ def test_contexts_find_what_patterns_miss(spark):
     assert not any(v for k, v in got.items() if k != 50)
 
 
+def test_neighbours_with_digits_are_context(spark):
+    texts = [(1, "acct 12345 67890 24680"), (2, "see a7@b x 1234 then"), (3, "w" * 90 + " 5678 " + "é" * 90 + " 24 9876"), (4, "\t4321\n")]
+    x = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("h", F.lit(0).cast("long"))
+    got = {(r.doc_id, r.v): sorted(r.pats) for r in pii.candidates(pii.base_spans(x)).collect()}
+    assert got[(1, "12345")] == ["L:acct", "R:<num>"]
+    assert got[(1, "67890")] == ["L:<num>", "LL:acct <num>", "R:<num>"]
+    assert got[(1, "24680")] == ["L:<num>", "LL:<num> <num>"]
+    assert got[(2, "1234")] == ["L:x", "LL:<at> x", "R:then"]
+    assert got[(3, "5678")] == ["L:<long>", "R:<long>"] and got[(3, "9876")][0] == "L:<num>" and got[(4, "4321")] == []
+
+
+def test_contexts_in_lists_of_numbers(spark):
+    known = [(i, f"{prose(i, 3)} row {i} mail user{i}@mail.example.com {i} end") for i in range(12)]
+    new = (50, "words row 77 x99y(at)mail9 12 z")
+    table = [*known, (60, "7 user@mail.example.com 8"), *[(70 + i, f"id {i} u{i}@h.example.com {i}") for i in range(12)], (90, "id 5 q99(at)mail9 6")]
+    got = {r.doc_id: [(m.s, m.e) for m in r.context] for r in pii.find(spark.createDataFrame([*table, new], "doc_id bigint, text string")).collect()}
+    assert got[90] == [(5, 17)] and not any(v for k, v in got.items() if k not in (50, 90))
+
+
 def test_personal_data_query(spark):
     for r in Q.QUERIES["op4_personal_data"](spark, SF).collect():
         want = pii_base(dict((d, t) for d, t, _ in sample())[r.doc_id])
