@@ -4,21 +4,28 @@ Every document gets integer measures.  For each language and source the measures
 of the documents that pass the base rules go into a mergeable quantile sketch: a
 histogram whose buckets keep six significant bits, so a quantile is off by at most
 1/32 of its value, two sketches merge by adding counts, and the result does not
-depend on the order of merging.  Fences come from the quartiles of the sketch
-(Tukey's far-out fence); a group with fewer than ``min_group`` documents takes the
-sketch merged over its language, and a small language the one merged over all.
-The thresholds are then joined to the documents and the filter applied.
+depend on the order of merging.
+
+No cutoff is fixed.  The limit of a measure in a group is a high (or low) quantile of
+the group's sketch plus ``REACH`` times its mean deviation from the median, which is
+positive as soon as any document differs.  ``LEVELS`` holds the quantiles.  A group's
+sketch is merged with ``PRIOR`` documents' worth of its language's sketch and as much
+of the one over all, so that a small group follows its parents and a large one
+itself, without a switch between them.  The limits are joined to the documents and
+the filter applied.
 
 Defined results: null or empty text has no words and fails the base rule; null
-``lang`` or ``source`` is a group of its own; repeated rows each get a row; extra
-columns pass through ``filter_documents`` untouched; an empty table gives no rows.
+``lang`` or ``source`` is a group of its own; repeated rows each get a row and count
+each; ties at a limit are kept; texts are read whole, whatever their length; extra
+columns of any name pass through ``filter_documents`` untouched; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +34,12 @@ from .common import keep, prepare, small, table
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
-MIN_GROUP = 200
-#: Sketched measures: guard values that a fence never undercuts, so that clean groups with no spread lose nothing.
-UPPER = {"symbol_bp": 1000, "dup_bp": 4000, "repeat_bp": 3000, "word_len": 1500}
-LOWER = {"word_len": 200}
+#: Per sketched measure: the quantile (in thousandths) that an upper or a lower limit starts from.
+LEVELS = {"symbol_bp": (900, None), "dup_bp": (995, None), "repeat_bp": (995, None), "word_len": (950, 50)}
 REACH = 3
+#: Documents that each parent sketch counts for in a group's, and the fractions that counts are held in.
+PRIOR = 100
+UNIT = 1024
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
 
@@ -63,6 +71,10 @@ def _measures(text):
     return pd.DataFrame([measure(x) for x in text], columns=MEASURES.names)
 
 
+#: Not to be repeated: else filters on the measures are pushed below them and take each one again.
+_measures = _measures.asNondeterministic()
+
+
 def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct column ``_m``: the counts and the integer rates derived from them."""
     return docs.withColumn("_m", _measures("text"))
@@ -81,7 +93,7 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def sketches(rated: DataFrame) -> DataFrame:
     """One row per (lang, source, measure, bucket) with its count; sketches merge by summing ``n``."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{m}").alias("v")) for m in UPPER]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{m}").alias("v")) for m in LEVELS]))
     step = "CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT)"
     return (
         rated.filter("NOT _base_failed").select("lang", "source", pairs.alias("p")).select("lang", "source", "p.*")
@@ -90,62 +102,82 @@ def sketches(rated: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Quartiles of the sketch merged over all but ``keys``; a group's list has at most a few hundred buckets."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    lists = merged.groupBy(*keys, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("total"))
-    q = lambda num: F.expr(
-        f"aggregate(h, named_struct('c', 0L, 'q', CAST(NULL AS BIGINT)), (a, x) -> named_struct('c', a.c + x.n, 'q', CASE WHEN a.q IS NULL AND 4 * (a.c + x.n) >= {num} * total THEN x.bucket ELSE a.q END), a -> a.q)"
+def blended(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, measure, bucket, w): each group's sketch merged with its share of its parents', in UNITs of a document."""
+    groups = sketch.groupBy("lang", "source", "measure").agg(F.sum("n").alias("total"))
+    own = sketch.select("lang", "source", "measure", "bucket", (F.col("n") * UNIT).alias("w"))
+    parts = [own]
+    for keys in (["lang"], []):
+        sums = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+        totals = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("t"))
+        totals = totals.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("measure").alias("t_measure"), "t")
+        on = sums.measure == totals.t_measure
+        for k in keys:
+            on = on & sums[k].eqNullSafe(totals[f"t_{k}"])
+        share = F.expr(f"({UNIT} * least({prior}, t) * n) div t").alias("w")
+        up = sums.join(totals, on).select(*[F.col(k).alias(f"u_{k}") for k in keys], F.col("measure").alias("u_measure"), "bucket", share)
+        on = groups.measure == up.u_measure
+        for k in keys:
+            on = on & groups[k].eqNullSafe(up[f"u_{k}"])
+        parts.append(groups.join(up, on).select("lang", "source", "measure", "bucket", "w"))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.groupBy("lang", "source", "measure", "bucket").agg(F.sum("w").alias("w"))
+
+
+def quantile(level: int, at: str = "h", total: str = "total") -> Column:
+    """The least bucket of the list ``at`` of (bucket, w) that has ``level`` thousandths of the weight at or below it."""
+    return F.expr(
+        f"aggregate({at}, named_struct('c', 0L, 'q', CAST(NULL AS BIGINT)), (a, x) -> named_struct("
+        f"'c', a.c + x.w, 'q', CASE WHEN a.q IS NULL AND a.c + x.w >= ({level} * {total} + 999) div 1000 THEN x.bucket ELSE a.q END), a -> a.q)"
     )
-    return lists.select(*keys, "measure", "total", q(1).alias("q1"), q(3).alias("q3"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Per (lang, source): ``hi_<measure>`` and ``lo_<measure>`` from the finest sketch with enough documents."""
-    own = _quartiles(sketch, "lang", "source")
-    lang = _quartiles(sketch, "lang").select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("total").alias("l_total"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
-    every = _quartiles(sketch).select(F.col("measure").alias("e_measure"), F.col("q1").alias("e_q1"), F.col("q3").alias("e_q3"))
-    x = own.join(lang, own.lang.eqNullSafe(lang.l_lang) & (own.measure == lang.l_measure)).join(F.broadcast(every), F.col("measure") == F.col("e_measure"))  # every: one row per measure
-    pick = lambda q: F.when(F.col("total") >= min_group, F.col(q)).when(F.col("l_total") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
-    x = x.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    at = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
-    hi = [F.greatest(F.lit(g), at(m, "q3") + REACH * (at(m, "q3") - at(m, "q1"))).alias(f"hi_{m}") for m, g in UPPER.items()]
-    lo = [F.least(F.lit(g), at(m, "q1") - REACH * (at(m, "q3") - at(m, "q1"))).alias(f"lo_{m}") for m, g in LOWER.items()]
-    return x.groupBy("lang", "source").agg(*hi, *lo)
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """Per (lang, source): ``hi_<measure>`` and ``lo_<measure>``; a group's list has at most a few hundred buckets a measure."""
+    x = blended(sketch, prior).groupBy("lang", "source", "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("h"), F.sum("w").alias("total"))
+    x = x.withColumn("mid", quantile(500))
+    x = x.withColumn("spread", F.expr("aggregate(h, 0L, (a, y) -> a + y.w * abs(y.bucket - mid)) div total"))
+    limits = []
+    for m, (hi, lo) in LEVELS.items():
+        of = lambda c: F.max(F.when(F.col("measure") == m, c))  # noqa: B023, E731
+        limits.append(of(quantile(hi) + REACH * F.col("spread")).alias(f"hi_{m}"))
+        if lo is not None:
+            limits.append(of(quantile(lo) - REACH * F.col("spread")).alias(f"lo_{m}"))
+    return x.groupBy("lang", "source").agg(*limits)
 
 
 def _judged(rated: DataFrame, limits: DataFrame) -> DataFrame:
     t = small(limits.select(F.col("lang").alias("_t_lang"), F.col("source").alias("_t_source"), *[F.col(c).alias(f"_{c}") for c in limits.columns if c[:3] in ("hi_", "lo_")]))
     ok = F.lit(True)
-    for m in UPPER:
-        ok = ok & (F.col(f"_{m}") <= F.coalesce(F.col(f"_hi_{m}"), F.lit(UPPER[m])))
-    for m in LOWER:
-        ok = ok & (F.col(f"_{m}") >= F.coalesce(F.col(f"_lo_{m}"), F.lit(LOWER[m])))
+    for m, (_, lo) in LEVELS.items():
+        ok = ok & (F.col(f"_{m}") <= F.col(f"_hi_{m}"))
+        if lo is not None:
+            ok = ok & (F.col(f"_{m}") >= F.col(f"_lo_{m}"))
     joined = rated.join(t, rated.lang.eqNullSafe(t._t_lang) & rated.source.eqNullSafe(t._t_source), "left")
-    return joined.withColumn("_kept", ~F.col("_base_failed") & ok)
+    return joined.withColumn("_kept", F.when(F.col("_base_failed"), False).otherwise(ok))  # a group without limits has failed documents only
 
 
-def assess(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def assess(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, ``base_failed`` and ``kept`` for every row of ``docs``."""
     prepare(docs.sparkSession)
     rated = keep(_rates(with_measures(docs.select("doc_id", "lang", "source", "text")).drop("text")))
-    judged = _judged(rated, keep(thresholds(sketches(rated), min_group)))
+    judged = _judged(rated, keep(thresholds(keep(sketches(rated)), prior)))
     return judged.select("doc_id", "_m.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
-def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
     The thresholds are fixed first; the measures are then taken again while the
     rows stream by, which is cheaper than shuffling or storing the texts.
     """
     prepare(docs.sparkSession)
-    rated = _rates(with_measures(docs.select("lang", "source", "text")).drop("text"))
-    limits = keep(thresholds(sketches(rated), min_group))
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name, clashing ones included
     wide = docs.toDF(*names)
     at = {c: names[docs.columns.index(c)] for c in ("lang", "source", "text")}
-    row = wide.select(F.struct(*names).alias("_row"), F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))
+    rated = _rates(with_measures(wide.select(*[F.col(at[c]).alias(c) for c in at])).drop("text"))
+    limits = keep(thresholds(keep(sketches(rated)), prior))
+    row = wide.select(F.struct(*names).alias("_row"), *[F.col(at[c]).alias(c) for c in at])
     out = _judged(_rates(with_measures(row)).drop("text"), limits).filter("_kept")
     return out.select("_row.*").toDF(*docs.columns)
 
@@ -154,15 +186,32 @@ def query(spark, sf_dir) -> DataFrame:
     return assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: From the table ``r`` of rated documents to each group's limits ``lim``.
+_LIMITS = f"""v AS (
+  SELECT lang, source, unnest([{", ".join(f"'{m}'" for m in LEVELS)}]) AS measure, unnest([{", ".join(LEVELS)}]) AS v FROM r WHERE NOT base_failed),
+sk AS (SELECT lang, source, measure, v - v % CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source, measure FROM sk),
+l AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure) AS t FROM (SELECT lang, measure, bucket, sum(n) AS n FROM sk GROUP BY ALL)),
+e AS (SELECT *, sum(n) OVER (PARTITION BY measure) AS t FROM (SELECT measure, bucket, sum(n) AS n FROM sk GROUP BY ALL)),
+mixed AS (SELECT lang, source, measure, bucket, sum(w) AS w FROM (
+    SELECT lang, source, measure, bucket, {UNIT} * n AS w FROM sk
+    UNION ALL SELECT g.lang, g.source, g.measure, bucket, {UNIT} * least({PRIOR}, t) * n // t FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure
+    UNION ALL SELECT g.lang, g.source, g.measure, bucket, {UNIT} * least({PRIOR}, t) * n // t FROM g JOIN e ON g.measure = e.measure)
+  GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS c, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM mixed),
+p AS (SELECT *, min(bucket) FILTER (WHERE c >= (500 * total + 999) // 1000) OVER (PARTITION BY lang, source, measure) AS mid FROM c),
+s AS (SELECT lang, source, measure, sum(w * abs(bucket - mid)) // max(total) AS spread FROM p GROUP BY ALL),
+lim AS (SELECT lang, source, {{limits}} FROM p JOIN s USING (measure) WHERE p.lang IS NOT DISTINCT FROM s.lang AND p.source IS NOT DISTINCT FROM s.source GROUP BY lang, source)"""
 
-def _q(keys: str, name: str) -> str:
-    part = f"{keys} measure"
-    return f"""{name} AS (
-  SELECT {keys} measure, max(total) AS total, min(bucket) FILTER (WHERE 4 * c >= total) AS q1, min(bucket) FILTER (WHERE 4 * c >= 3 * total) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY {part}) AS total
-        FROM (SELECT {keys} measure, bucket, sum(n) AS n FROM sk GROUP BY {keys} measure, bucket))
-  GROUP BY {keys} measure)"""
 
+def _sql_limits() -> str:
+    at = lambda m, level, sign: f"min(bucket) FILTER (WHERE measure = '{m}' AND c >= ({level} * total + 999) // 1000) {sign} {REACH} * max(spread) FILTER (WHERE measure = '{m}')"
+    out = [f"{at(m, hi, '+')} AS hi_{m}" for m, (hi, _) in LEVELS.items()]
+    out += [f"{at(m, lo, '-')} AS lo_{m}" for m, (_, lo) in LEVELS.items() if lo is not None]
+    return _LIMITS.format(limits=",\n  ".join(out)).replace("SELECT lang, source, min(bucket)", "SELECT p.lang, p.source, min(bucket)").replace("GROUP BY lang, source)", "GROUP BY p.lang, p.source)")
+
+
+_OK = " AND ".join([f"{m} <= hi_{m}" for m in LEVELS] + [f"{m} >= lo_{m}" for m, (_, lo) in LEVELS.items() if lo is not None])
 
 SQL = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -179,17 +228,8 @@ m AS (SELECT d.doc_id, lang, source, len(regexp_extract_all(text, '[^\\x20\\x09-
 r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbol_bp, CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_bp,
   CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeat_bp, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_len FROM m),
-v AS (SELECT lang, source, unnest(['symbol_bp', 'dup_bp', 'repeat_bp', 'word_len']) AS measure, unnest([symbol_bp, dup_bp, repeat_bp, word_len]) AS v FROM r WHERE NOT base_failed),
-sk AS (SELECT lang, source, measure, v - v % CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
-{_q("lang, source,", "own")}, {_q("lang,", "bylang")}, {_q("", "every")},
-q AS (SELECT own.lang, own.source, own.measure,
-  CASE WHEN own.total >= {MIN_GROUP} THEN own.q1 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q1 ELSE every.q1 END AS q1,
-  CASE WHEN own.total >= {MIN_GROUP} THEN own.q3 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q3 ELSE every.q3 END AS q3
-  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.measure = bylang.measure JOIN every ON own.measure = every.measure),
-lim AS (SELECT lang, source, {", ".join(f"greatest({g}, max(q3 + {REACH} * (q3 - q1)) FILTER (WHERE measure = '{m}')) AS hi_{m}" for m, g in UPPER.items())},
-  {", ".join(f"least({g}, max(q1 - {REACH} * (q3 - q1)) FILTER (WHERE measure = '{m}')) AS lo_{m}" for m, g in LOWER.items())} FROM q GROUP BY lang, source)
+{_sql_limits()}
 SELECT r.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"{m} <= coalesce(hi_{m}, {g})" for m, g in UPPER.items())} AND {" AND ".join(f"{m} >= coalesce(lo_{m}, {g})" for m, g in LOWER.items())} AS kept
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE {_OK} END AS kept
 FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """

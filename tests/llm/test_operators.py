@@ -60,6 +60,45 @@ def brute_measure(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(ls), len(ls) - len(set(ls)), len(at)
 
 
+def brute_rates(m):
+    w, chars, sym, ls, dup, rep = m
+    return {"symbol_bp": 10000 * sym // chars if chars else 0, "dup_bp": 10000 * dup // ls if ls else 0, "repeat_bp": 10000 * rep // w if w else 0, "word_len": 100 * chars // w if w else 0}
+
+
+def brute_limits(passing):
+    """passing: (lang, source, rates) -> {(lang, source, measure): (low, high)} by weighing every document's bucket."""
+    out = {}
+    for lang, source in {x[:2] for x in passing}:
+        for m, (hi, lo) in quality.LEVELS.items():
+            h = Counter()
+            for mine, keep in (((lang, source), lambda x: x[:2] == (lang, source)), (None, lambda x: x[0] == lang), (None, lambda x: True)):
+                n = Counter(x[2][m] - x[2][m] % 2 ** max(0, x[2][m].bit_length() - 6) for x in passing if keep(x))
+                t = sum(n.values())
+                for b, k in n.items():
+                    h[b] += quality.UNIT * k if mine else quality.UNIT * min(quality.PRIOR, t) * k // t
+            order, total = sorted(h.items()), sum(h.values())
+
+            def at(level):
+                c = 0
+                for b, k in order:
+                    c += k
+                    if 1000 * c >= level * total:
+                        return b
+
+            spread = sum(k * abs(b - at(500)) for b, k in order) // total
+            out[lang, source, m] = (at(lo) - quality.REACH * spread if lo else None, at(hi) + quality.REACH * spread)
+    return out
+
+
+def brute_verdicts(measured):
+    """measured: (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, lang, source)."""
+    failed = [x[0] < 50 or 100 * x[5] > 50 * x[0] for x in measured]
+    rated = [(x[6], x[7], brute_rates(x[:6])) for x in measured]
+    limits = brute_limits([r for r, f in zip(rated, failed) if not f])
+    inside = lambda v, low, high: v <= high and (low is None or v >= low)
+    return [not f and all(inside(v[m], *limits[lang, source, m]) for m in quality.LEVELS) for (lang, source, v), f in zip(rated, failed)]
+
+
 def test_quality(docs, empty):
     got = rows(quality.assess(docs))
     assert len(got) == len(TEXTS)
@@ -68,18 +107,54 @@ def test_quality(docs, empty):
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert not (r["kept"] and r["base_failed"])
+    verdict = brute_verdicts([(*brute_measure(t), l, s) for _, t, l, s in TEXTS])
+    assert Counter((r["doc_id"], r["n_words"], r["kept"]) for r in got) == Counter((d, len(WORD.findall(t or "")), k) for (d, t, *_), k in zip(TEXTS, verdict))
     kept = quality.filter_documents(docs)
+    assert str(kept._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1  # each text is measured once a pass
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
     assert quality.assess(empty).count() == 0 and quality.filter_documents(empty).count() == 0
 
 
 def test_sketch_is_close_and_mergeable(spark, docs):
     n = 5000
-    x = spark.range(n).select(F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit(False).alias("_base_failed"), *[(F.col("id") * 7).alias(f"_{m}") for m in quality.UPPER])
-    q = quality._quartiles(quality.sketches(x), "lang").filter("measure = 'dup_bp'").first()
+    x = spark.range(n).select(F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit(False).alias("_base_failed"), *[(F.col("id") * 7).alias(f"_{m}") for m in quality.LEVELS])
+    h = quality.sketches(x).filter("measure = 'dup_bp'").groupBy("bucket").agg(F.sum("n").alias("w"))
+    q = h.agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("h"), F.sum("w").alias("total")).select("total", *[quality.quantile(p).alias(f"q{p}") for p in (250, 750, 995)]).first()
     assert q.total == n
-    for got, p in ((q.q1, 0.25), (q.q3, 0.75)):
-        assert 0 <= p * n * 7 - got <= p * n * 7 / 32 + 7
+    for p in (250, 750, 995):
+        assert 0 <= p * n * 7 / 1000 - q[f"q{p}"] <= p * n * 7 / 32000 + 7
+
+
+def test_limits_follow_the_groups(spark):
+    """The same text is kept in a source of such texts and rejected in one of prose; limits and verdicts equal brute force."""
+    r = random.Random(5)
+    sym = lambda i, k: prose(i, 80) + " " + " ".join(r.choice("#*$%") * 3 for _ in range(k))
+    table = [(i, prose(i, 60 + i % 50), "en", "plain") for i in range(1500)] + [(10_000 + i, sym(i, 4 + i % 20), "en", "code") for i in range(300)] + [(3000 + i, prose(i, 55), "de", f"few{i % 3}") for i in range(9)]
+    same = sym(77, 15)
+    table += [(5000, same, "en", "plain"), (5001, same, "en", "code"), (5002, "", None, None), (5003, prose(9, 70), None, "code")]
+    x = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string").repartition(4)
+    rated = quality._rates(quality.with_measures(x).drop("text"))
+    got = {(t.lang, t.source): t for t in quality.thresholds(quality.sketches(rated)).collect()}
+    assert got["en", "plain"].hi_symbol_bp < got["en", "code"].hi_symbol_bp
+    measured = [(*brute_measure(t), l, s) for _, t, l, s in table]
+    passing = [(l, s, brute_rates(m)) for *m, l, s in measured if m[0] >= 50 and 2 * m[5] <= m[0]]
+    for (l, s, m), (low, high) in brute_limits(passing).items():
+        assert got[l, s][f"hi_{m}"] == high and (low is None or got[l, s][f"lo_{m}"] == low), (l, s, m)
+    kept = {y.doc_id: y.kept for y in quality.assess(x).collect()}
+    assert kept == {d: k for (d, *_), k in zip(table, brute_verdicts(measured))}
+    assert not kept[5000] and kept[5001] and not kept[5002] and sum(kept[i] for i in range(1500)) > 1480
+
+
+def test_labelled_good_documents_stay(spark):
+    """On the middle table: nearly all documents labelled good pass, nearly all poor ones go, and no fixed cutoff does the same."""
+    d = "/root/testdata/sf0.1"
+    x = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")
+    rated = quality.keep(quality._rates(quality.with_measures(x).drop("text")))
+    limits = quality.keep(quality.thresholds(quality.sketches(rated)))
+    n = {r.quality: (r.n, r.k) for r in quality._judged(rated, limits).filter("NOT _base_failed").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("_kept").cast("int")).alias("k")).collect()}
+    assert n[1][1] >= 0.99 * n[1][0] and n[0][1] <= 0.05 * n[0][0]
+    for m in quality.LEVELS:
+        assert limits.select(f"hi_{m}").distinct().count() > 10
 
 
 # 2 ------------------------------------------------------------------------------------------------
