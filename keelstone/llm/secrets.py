@@ -1,30 +1,36 @@
 """Operator 8: secret scans by dictionary-primed zstandard novelty.
 
-Base kinds are fixed patterns.  Besides them, every long token in the context of a
-sensitive word is a candidate: near the word, after it on its line, or on the
-lines that directly follow.  For each candidate the marginal compressed bytes
-are measured: zstandard, primed with a dictionary of the identifiers that the
-corpus uses around candidates, compresses the surrounding code, all candidates and
-base spans blanked, with and without the candidate.  A candidate of ``n`` characters that adds at least ``NOVEL`` x n bytes is
-incompressible and is reported as ``novel``; names and prose, which the dictionary
-or the surroundings hold already, add little.
-
-The dictionary is made of the most frequent identifiers around all candidates,
-counted once for each distinct surrounding text, by Spark over the whole table, and cut to ``DICT_BYTES``, its size bound.
+Base kinds are fixed patterns.  Candidates are all strings in a sensitive context:
+the values of the base spans, and every long token near a sensitive word, after it on
+its line, or on the lines that directly follow.  For each candidate the marginal
+compressed bytes are measured: zstandard, primed with a dictionary of the corpus'
+identifiers, compresses the surrounding code, all candidates and base spans blanked,
+with and without the candidate.  A candidate of ``n`` bytes that adds at least
+``NOVEL`` x n bytes is incompressible: a token is reported as ``novel``, a base span
+counts in ``n_base_novel``.  Names and prose, which the dictionary or the surroundings
+hold already, add little.  Base spans stay whatever their novelty.
+
+The dictionary is made of the identifiers that stand in most documents.  Spark counts
+them over all texts, candidates and base spans blanked there too, so that copies of a
+secret never vouch for it; it is cut to ``DICT_BYTES``, its size bound.
 
 Defined results: null text is empty; spans are code points, end exclusive;
-repeated rows each get a row; texts are read whole; an empty table gives no rows.
+repeated rows each get a row; ties between identifiers go to the smaller word; texts
+are read whole and the work is linear in their length; other columns of any name are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from statistics import median_low
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_rows, prepare, table
+from .common import map_rows, prepare, table
 
 #: The base kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,23 +38,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(r"password|passwd|secret|token|api_?key|credential|bearer|private|auth|key", re.I | re.A)
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}(?![A-Za-z0-9_])")
 AROUND = 200
 NEAR = 40
-NOVEL = 0.6
+NOVEL = 0.8
 DICT_BYTES = 16 << 10
+LEVEL = 9
+STRETCH, STRETCHES = 1500, 5
+#: Different identifiers that a task counts before it passes them on.
+COUNTED = 200_000
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base kinds by start, then kind."""
+def base_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind, end, value) of the base kinds by start, then kind."""
     found = []
     if "=" in text or ":" in text:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     return sorted(found)
 
 
@@ -71,15 +81,13 @@ def in_context(text: str):
         at += len(line) + 1
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, token, text around it) of long tokens in the context of a sensitive word, other than the base spans.
-
-    The surroundings hold no candidate (nor another copy of one) and no base span: these are blanked, so secrets do not vouch for each other.
-    """
+def candidates(text: str) -> tuple[list[tuple[int, int, int, str]], str]:
+    """(start, kind, end, string) of the base spans and of the long tokens in a sensitive context beside them, and the text with all of these (and every copy of such a token) blanked."""
+    found = base_spans(text)
     long = [(*m.span(), m[0]) for m in TOKEN.finditer(text)]
     if not long:
-        return
-    lines, found, k, n, reach = list(in_context(text)), [], 0, 0, 0
+        return found, text
+    lines, base, more, k, n, reach = list(in_context(text)), found, [], 0, 0, 0
     for a, b, token in long:
         while n < len(base) and base[n][0] < b:
             reach = max(reach, base[n][2])
@@ -89,15 +97,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
         while k < len(lines) and lines[k][1] <= a:
             k += 1
         if (k < len(lines) and lines[k][0] < b) or SENSITIVE.search(text, max(0, a - NEAR), min(len(text), b + NEAR)):
-            found.append((a, b, token))
-    tokens = {token for *_, token in found}
+            more.append((a, 3, b, token))
+    tokens = {token for *_, token in more}
     blank, at = [], 0
-    for a, b in sorted([(a, b) for a, b, token in long if token in tokens] + [(a, e) for a, _, e in base]):
+    for a, b in sorted([(a, b) for a, b, token in long if token in tokens] + [(a, b) for a, _, b, _ in base]):
         blank += [text[at:a], " " * (b - max(a, at))]
         at = max(at, b)
-    blank = "".join([*blank, text[at:]])
-    for a, b, token in found:
-        yield a, b, token, blank[max(0, a - AROUND) : a] + " " + blank[b : b + AROUND]
+    return sorted(base + more), "".join([*blank, text[at:]])
 
 
 def _said(spans) -> str:
@@ -105,61 +111,84 @@ def _said(spans) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts and digest of the base kinds, their spans, and the candidates of each document with what surrounds them."""
+    """doc_id and ``found``: each document's candidates with what surrounds them."""
 
     def make():
         def one(doc_id, text):
-            text = text or ""
-            base = base_spans(text)
-            n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            yield doc_id, *n, hashlib.sha256(_said(base).encode()).hexdigest(), [{"a": a, "k": k, "b": b} for a, k, b in base], [{"a": a, "b": b, "token": t, "around": s} for a, b, t, s in candidates(text, base)]
+            found, blank = candidates(text or "")
+            yield doc_id, [{"a": a, "k": k, "b": b, "value": v, "around": blank[max(0, a - AROUND) : a] + " " + blank[b : b + AROUND]} for a, k, b, v in found]
 
         return one
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<a:bigint,k:bigint,b:bigint>>, found array<struct<a:bigint,b:bigint,token:string,around:string>>")
+    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, found array<struct<a:bigint,k:bigint,b:bigint,value:string,around:string>>")
+
+
+def identifiers(docs: DataFrame, most: int = DICT_BYTES) -> list[str]:
+    """The identifiers that stand in most documents outside of candidates, most frequent first; together at most ``most`` bytes."""
 
+    def count(batches):
+        import pyarrow as pa
 
-def identifiers(found: DataFrame, most: int = DICT_BYTES) -> bytes:
-    """The identifiers around candidates that stand in most different surroundings (copies count once); the size of the result is bounded by ``most``."""
-    around = found.select(F.explode("found.around").alias("s")).distinct()
-    words = around.select(F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(IDENTIFIER.pattern), F.lit(0)))).alias("w"))
-    top = words.filter(F.length("w") <= 64).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most // 4)
+        table = lambda n: pa.RecordBatch.from_pydict({"w": list(n), "n": list(n.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(IDENTIFIER.findall(candidates(text or "")[1])))
+                if len(seen) > COUNTED:
+                    yield table(seen)
+                    seen.clear()
+        yield table(seen)
+
+    words = docs.select("text").mapInArrow(count, "w string, n bigint")
+    top = words.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most // 4)
     out, size = [], 0
     for r in top.collect():
         size += len(r.w) + 1
         if size > most:
             break
         out.append(r.w)
-    return " ".join(reversed(out)).encode()  # zstandard reaches the end of a dictionary most cheaply
+    return out
+
 
+def novelty(words: list[str]):
+    """(surroundings, string) -> the bytes that the string adds to the compressed surroundings.
 
-def novelty(primer: bytes):
-    """(surroundings, token) -> the bytes that the token adds to the compressed surroundings."""
+    Short blocks are coded in steps of several bytes, so the surroundings stand behind a
+    stretch of the dictionary's words, and the median over ``STRETCHES`` such stretches
+    counts.
+    """
     import zstandard
 
+    primer = " ".join(reversed(words)).encode()  # zstandard reaches the end of a dictionary most cheaply
+    before = [" ".join(words[k::STRETCHES])[:STRETCH] for k in range(STRETCHES)]
     prime = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(primer) >= 8 else None
-    size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False, write_checksum=False).compress(x.encode("utf-8", "surrogatepass")))
-    return lambda around, token: size(f"{around} {token}") - size(around)
+    if prime:
+        prime.precompute_compress(level=LEVEL)
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=prime, write_content_size=False, write_checksum=False)
+    size = lambda x: len(press.compress(x.encode("utf-8", "surrogatepass")))
+    return lambda around, value: median_low(size(f"{b} {around} {value}") - size(f"{b} {around} ") for b in before)
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
+    """A row per document: the base kinds' counts and digest, all spans, and how many tokens and how many base spans are novel."""
     prepare(docs.sparkSession)
-    found = keep(find(docs))
-    primer = identifiers(found)
+    words = identifiers(docs)
 
     def make():
-        marginal = novelty(primer)
+        marginal = novelty(words)
 
-        def one(doc_id, n_assign, n_access, n_hex, digest, base, more):
-            spans = [(x["a"], x["k"], x["b"]) for x in base]
-            novel = [(x["a"], 3, x["b"]) for x in more if marginal(x["around"], x["token"]) >= NOVEL * len(x["token"])]
-            yield doc_id, n_assign, n_access, n_hex, digest, _said(spans + novel), len(novel)
+        def one(doc_id, found):
+            is_novel = [marginal(x["around"], x["value"]) >= NOVEL * len(x["value"]) for x in found]
+            base = [(x["a"], x["k"], x["b"]) for x in found if x["k"] < 3]
+            novel = [(x["a"], x["k"], x["b"]) for x, y in zip(found, is_novel) if y and x["k"] == 3]
+            n = [sum(k == i for _, k, _ in base) for i in range(3)]
+            yield doc_id, *n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(base + novel), len(novel), sum(y for x, y in zip(found, is_novel) if x["k"] < 3)
 
         return one
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(found, make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
+    return map_rows(find(docs), make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint, n_base_novel bigint")
 
 
 def query(spark, sf_dir) -> DataFrame:

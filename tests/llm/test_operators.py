@@ -494,6 +494,93 @@ def test_secrets_without_digits_and_in_blocks(spark):
     assert novel_of(spark, table) == {1: [letters], 2: block, 3: [row], 4: [row], 5: []}
 
 
+def brute_novel(table):
+    """(doc_id, text) -> novel spans and the number of novel base spans, by the plain definition."""
+    import zstandard
+
+    def candidates(t):
+        base = [(a, e, secret_value(k, t[a:e])) for a, _, k, e in secret_base(t)]
+        governed, on, framed, at = set(), False, False, 0
+        for line in t.split("\n"):
+            framed |= "-----BEGIN" in line
+            m = secrets.SENSITIVE.search(line)
+            if not line.strip():
+                on &= framed
+            elif on:
+                governed |= set(range(at, at + len(line)))
+            elif m:
+                on = True
+                governed |= set(range(at + m.start(), at + len(line)))
+            framed &= "-----END" not in line
+            at += len(line) + 1
+        long = [(m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t)]
+        free = [x for x in long if not any(a < x[1] and x[0] < e for a, e, _ in base)]
+        more = [x for x in free if governed & set(range(x[0], x[1])) or secrets.SENSITIVE.search(t[max(0, x[0] - 40) : x[1] + 40])]
+        chars = list(t)
+        for a, e in [x[:2] for x in base] + [x[:2] for x in long if x[2] in {y[2] for y in more}]:
+            chars[a:e] = " " * (e - a)
+        return base, more, "".join(chars)
+
+    found = {d: candidates(t or "") for d, t in table}
+    n = Counter(w for d, t in table for w in set(re.findall(r"(?<![A-Za-z0-9_])(?:[0-9]*)([A-Za-z_][A-Za-z0-9_]{2,39})(?![A-Za-z0-9_])", found[d][2])))
+    words, size = [], 0
+    for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0])):
+        size += len(w) + 1
+        if size > secrets.DICT_BYTES:
+            break
+        words.append(w)
+    prime = zstandard.ZstdCompressionDict(" ".join(words[::-1]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False).compress(x.encode()))
+
+    def novel(x, blank):
+        a, e, v = x
+        around = blank[max(0, a - 200) : a] + " " + blank[e : e + 200]
+        adds = sorted(size(f"{b} {around} {v}") - size(f"{b} {around} ") for b in (" ".join(words[k::5])[:1500] for k in range(5)))
+        return adds[2] >= secrets.NOVEL * len(v)
+
+    return words, {d: ([x[:2] for x in more if novel(x, blank)], sum(novel(x, blank) for x in base)) for d, (base, more, blank) in found.items()}
+
+
+def secret_value(kind, span):
+    return re.search("[A-Za-z0-9+/_.=-]+$", span)[0] if kind != "assign" else re.search(r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", span)[1]
+
+
+def planted_secrets(texts, n, seed=1):
+    """(doc_id, text, secret or ordinary word): prose with a long string in a sensitive context that no base kind covers."""
+    r, out = random.Random(seed), []
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = [lambda: "".join(r.choice(b62) for _ in range(24)), lambda: "".join(r.choice(b62 + "+/") for _ in range(40)), lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(32)), lambda: "".join(r.choice(b62[:52]) for _ in range(20)), lambda: "-".join("".join(r.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12))]
+    plain = [w for t in texts for w in secrets.TOKEN.findall(t) if w.isalpha()]
+    for i in range(n):
+        t = r.choice(texts)
+        w = make[i % 5]() if i % 2 else r.choice(plain)
+        at = r.randrange(len(t))
+        out.append((i, f"{t[:at]} {r.choice(['bearer', 'the private key is', 'credential', 'auth'])} {w} {t[at:][:3000]}", w, i % 2))
+    return out
+
+
+def test_novel_spans_equal_brute_force(spark):
+    texts = [t for _, t, _ in sample() if t and 300 < len(t) < 6000]
+    planted = planted_secrets(texts, 120)
+    table = [(d, t) for d, t, *_ in planted] + list(enumerate(SECRETS, 1000)) + [(2000 + i, t) for i, t in enumerate(texts[:80])] + [(3000, "secret = " + random_token(5, 30)), (3001, "password: passwordpassword")]
+    x = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    words, want = brute_novel(table)
+    assert secrets.identifiers(x) == words and len(words) > 1000
+    got = {r.doc_id: ([tuple(map(int, y.split(":")[1:])) for y in r.spans.split(",") if y.startswith("novel")], r.n_base_novel) for r in secrets.scan_documents(x).collect()}
+    assert got == want and want[3000][1] == 1 and want[3001][1] == 0
+
+
+def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) BETWEEN 300 AND 6000 ORDER BY doc_id").fetchall()]
+    planted = planted_secrets(texts, 600, 2)
+    x = spark.createDataFrame([(d, t) for d, t, *_ in planted] + [(10_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: [y.split(":")[1:] for y in r.spans.split(",") if y.startswith("novel")] for r in secrets.scan_documents(x).collect()}
+    hit = lambda d, t, w: any(t[int(a) : int(b)] == w for a, b in got[d])
+    share = lambda kind: sum(hit(d, t, w) for d, t, w, k in planted if k == kind) / sum(k == kind for *_, k in planted)
+    assert share(1) >= 0.9 and share(0) <= 0.08
+    assert sum(bool(got[10_000 + i]) for i in range(len(texts))) <= 0.01 * len(texts)
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
