@@ -11,6 +11,7 @@ document by its ``doc_id`` (null included) and a 64-bit hash of both columns.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,27 @@ def prepare(spark: SparkSession) -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a (small) table to the shared checkpoint folder and cut its lineage."""
-    return df.checkpoint(eager=True)
+    """Write a table to the shared checkpoint folder, as Parquet, and read it again.
+
+    Lineage ends there, and later plans know the table's size; a checkpoint would hand
+    on the estimate of its plan, which loops of joins multiply without bound.
+    """
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def forget(*tables: DataFrame | str) -> None:
+    """Delete tables that ``keep`` wrote (or folders) and that nothing reads any more."""
+    from pyspark.sql import SparkSession
+
+    sc = SparkSession.active().sparkContext
+    for t in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.kept_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

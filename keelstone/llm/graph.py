@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,11 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = keep(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = keep(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
-        near = pairs.join(labels, pairs.b == labels.id).groupBy("a").agg(F.min("root").alias("n"))
+        near = pairs.join(labels.drop("old"), pairs.b == labels.id).groupBy("a").agg(F.min("root").alias("n"))
         low = labels.join(near, labels.id == near.a, "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("n", "root")).alias("root"))
         low = keep(low)
+        forget(labels)
         up = low.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
         then = keep(low.join(up, low.root == up._i, "left").select("id", "old", F.least("root", F.coalesce("_r", "root")).alias("root")))
+        forget(low)
         if then.filter("root <> old").isEmpty():
+            forget(pairs)
             return then.select("id", "root")
-        labels = then.select("id", "root")
+        labels = then

@@ -191,27 +191,50 @@ def test_longest_match_on_toy_vocabularies():
 def brute_dedup(table, least):
     """table: (doc_id, text) of distinct documents -> text that is left."""
     order = sorted(table, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
-    seen, out = set(), {}
+    first, out = {}, {}
     for d, t, h in order:
         ls = (t or "").split("\n")
         at = [i for i, x in enumerate(ls) if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
         body = [ls[i].strip("\x20\x09\x0a\x0b\x0c\x0d") for i in at]
         nw = [min(least, len(WORD.findall(x))) for x in body]
-        cut, fresh = set(), []
+        cut = set()
         for s in range(len(body)):
             for e in range(s + 1, min(len(body), s + least) + 1):
                 if sum(nw[s:e]) >= least and (sum(nw[s + 1 : e]) < least or sum(nw[s : e - 1]) < least):
-                    run = tuple(body[s:e])
-                    if run in seen:
+                    kept = first.setdefault(tuple(body[s:e]), (d, t, s, e))
+                    if kept[:2] != (d, t) or s >= kept[3]:
                         cut |= set(range(s, e))
-                    else:
-                        seen.add(run)
-            fresh.append(s)
         gone = {at[i] for i in cut}
         out[(d, t)] = None if t is None else "\n".join(x for i, x in enumerate(ls) if i not in gone)
     return out
 
 
+def brute_runs(table, least):
+    """doc_id -> (number of maximal repeated runs of ``least`` words that start in it, lines of the longest)."""
+    strip = "\x20\x09\x0a\x0b\x0c\x0d"
+    body = {d: [x.strip(strip) for x in (t or "").split("\n") if x.strip(strip)] for d, t in table}
+    at = defaultdict(list)
+    for d, ls in body.items():
+        for p, x in enumerate(ls):
+            at[x].append((d, p))
+    out = {}
+    for d, ls in body.items():
+        reach = []
+        for p, x in enumerate(ls):
+            best = 0
+            for e, q in at[x]:
+                if (e, q) != (d, p):
+                    n = 1
+                    while p + n < len(ls) and q + n < len(body[e]) and ls[p + n] == body[e][q + n]:
+                        n += 1
+                    best = max(best, n)
+            reach.append(best)
+        words = lambda p: sum(len(WORD.findall(x)) for x in ls[p : p + reach[p]])  # noqa: B023, E731
+        tops = [p for p, n in enumerate(reach) if n and (p == 0 or reach[p - 1] <= n) and words(p) >= least]
+        out[d] = (len(tops), max((reach[p] for p in tops), default=0))
+    return out
+
+
 @pytest.mark.parametrize("least", [1, 3, 8])
 def test_lines(spark, docs, least):
     h = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
@@ -228,9 +251,23 @@ def test_lines_random(spark):
     for least in (2, 5):
         want = brute_dedup([(d, t, 0) for d, t in table], least)
         assert {r.doc_id: r.text for r in lines.dedup(x, least).collect()} == {d: want[(d, t)] for d, t in table}
+        runs = {r.doc_id: (r.n_runs, r.longest_run) for r in lines.find_repeats(x, least).collect() if r.n_runs}
+        assert runs == {d: n for d, n in brute_runs(table, least).items() if n[0]}
     assert lines.dedup(x.filter("false")).count() == 0
 
 
+def test_long_and_overlapping_runs(spark):
+    """Runs of over 100 lines are found whole; of a run that overlaps itself the first place stays."""
+    long = [prose(2000 + i, 3) for i in range(150)]
+    table = [(1, "\n".join(long)), (2, "head of its own\n" + "\n".join(long[:131]) + "\ntail of its own"), (3, "a b\n" * 40), (4, "\n".join(long[20:60] + ["between them"] + long[100:148])), (5, "x y z\n" * 3 + "w")]
+    x = spark.createDataFrame(table, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lines.find_repeats(x).collect()}
+    assert {d: (r.n_runs, r.longest_run) for d, r in got.items()} == {d: n for d, n in brute_runs(table, 8).items() if n[0]}
+    assert got[2].longest_run == 131 and got[2].lines == list(range(1, 132)) and got[1].lines is None
+    left = {r.doc_id: r.text for r in lines.dedup(x).collect()}
+    assert left[3] == "a b\n" * 4 and left[4] == "between them" and left[5] == table[4][1]
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
