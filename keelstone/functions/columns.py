@@ -115,9 +115,9 @@ def code(c: Column, values: dict[str, str], default: str) -> Column:
 
 
 def content_hash(columns: list[str], exclude: tuple[str, ...] = ()) -> Column:
-    """16 hex digits over the columns' names and values, whatever their order; nulls are left out."""
-    cols = [F.col(c) for c in sorted(columns) if c not in exclude]
-    return F.substring(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "true"}), 256), 1, 16)
+    """16 hex digits over the columns' names and values (as text, nulls kept), whatever their order: SHA-256 of their JSON object."""
+    cols = [F.col(c).cast("string").alias(c) for c in sorted(columns) if c not in exclude]
+    return F.substring(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
 SEDOL_WEIGHTS = (1, 3, 1, 7, 3, 9)

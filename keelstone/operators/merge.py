@@ -28,21 +28,24 @@ def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str
 
     Without ``ordering`` the last arrival replaces the row.  With it a row is replaced only
     by a strictly newer one: current wins ties, stamped beats unstamped, and of equal
-    incoming rows the first arrival wins.  ``arrival`` is unique within the batch; it and
-    ``createdAt`` (kept from the current row where there is one) never leave the merge.
+    incoming rows the first arrival wins.  ``arrival`` is unique within the batch, a number
+    or a struct of numbers (offset and partition of a stream); it and ``createdAt`` (kept
+    from the current row where there is one) never leave the merge.
     """
     cols = current.columns
-    a = current.withColumn("_src", F.lit(0)).withColumn(arrival, F.lit(0).cast("bigint"))
-    b = incoming.withColumn("_src", F.lit(1))
-    both = a.unionByName(b.select(*cols, "_src", F.col(arrival).cast("bigint")))
+    parts = incoming.select(f"{arrival}.*").columns if incoming.schema[arrival].dataType.typeName() == "struct" else []
+    names = [f"_at{i}" for i in range(max(1, len(parts)))]
+    at = [F.col(f"{arrival}.{p}").cast("bigint") for p in parts] or [F.col(arrival).cast("bigint")]
+    a = current.withColumn("_src", F.lit(0)).withColumns({n: F.lit(0).cast("bigint") for n in names})
+    both = a.unionByName(incoming.select(*cols, F.lit(1).alias("_src"), *[c.alias(n) for n, c in zip(names, at)]))
     if ordering is None:
-        rank = F.struct("_src", arrival)
+        rank = F.struct("_src", *names)
     else:
-        rank = F.struct(F.col(ordering).isNotNull(), F.coalesce(F.col(ordering).cast("string"), F.lit("")), F.col("_src") == 0, -F.col(arrival))
+        rank = F.struct(F.col(ordering).isNotNull(), F.coalesce(F.col(ordering).cast("string"), F.lit("")), F.col("_src") == 0, *[(-F.col(n)).alias(n) for n in names])
     values = [c for c in cols if c not in key]
     agg = [F.max_by(F.struct(*values), rank).alias("_v")]
     if "createdAt" in values:
-        agg.append(F.min_by("createdAt", F.struct("_src", arrival)).alias("_created"))
+        agg.append(F.min_by("createdAt", F.struct("_src", *names)).alias("_created"))
     x = both.groupBy(*key).agg(*agg)
     out = [F.col("_created").alias(c) if c == "createdAt" else F.col(c) if c in key else F.col(f"_v.{c}") for c in cols]
     return x.select(*out)

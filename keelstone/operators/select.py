@@ -79,16 +79,27 @@ def most_recent(df: DataFrame, stamp: str, key: Iterable[str], limit: int) -> Da
 
 
 def seek(order: list[tuple[str, bool]], last: list) -> Column:
-    """Rows strictly after ``last``: an OR over the prefixes of the order, behind a bound on the first column that the scan can use."""
+    """Rows strictly after ``last``: an OR over the prefixes of the order, behind a bound on the first column that the scan can use.
+
+    Nulls have their place in the order, as in ``ordered``: first going up, last going down.
+    """
+
+    def beyond(name: str, up: bool, v) -> Column:
+        c = F.col(name)
+        if v is None:
+            return c.isNotNull() if up else F.lit(False)
+        return c > _lit(v) if up else (c < _lit(v)) | c.isNull()
+
     out = F.lit(False)
     for i, (name, up) in enumerate(order):
         tie = F.lit(True)
         for (n, _), v in zip(order[:i], last):
-            tie = tie & (F.col(n) == _lit(v))
-        step = F.col(name) > _lit(last[i]) if up else F.col(name) < _lit(last[i])
-        out = out | (tie & step)
-    first, up = order[0]
-    return (F.col(first) >= _lit(last[0]) if up else F.col(first) <= _lit(last[0])) & out
+            tie = tie & (F.col(n).isNull() if v is None else F.col(n) == _lit(v))
+        out = out | (tie & beyond(name, up, last[i]))
+    (first, up), v = order[0], last[0]
+    if v is None:
+        return out if up else F.col(first).isNull() & out
+    return (F.col(first) >= _lit(v) if up else (F.col(first) <= _lit(v)) | F.col(first).isNull()) & out
 
 
 def page(df: DataFrame, order: list[tuple[str, bool]], limit: int = LIST_LIMIT, after: list | None = None) -> tuple[list, bool]:

@@ -10,6 +10,7 @@ from ..operators.delta import delta, index_of
 from ..operators.merge import merge
 from ..operators.resolve import identifier_map, resolve_small, with_vendor_candidates
 from ..registry import VENDOR_FIELDS
+from ..tables import VersionedTable, fixed
 
 #: Three generations of the vendor's status words.
 STATUS = {"ACTIVE": ("A", "ACT", "ACTIVE"), "MATURED": ("M", "MAT", "MATURED", "MAT'D"), "DELISTED": ("D", "DEL", "DELISTED", "INACTIVE", "I")}
@@ -59,6 +60,19 @@ def true_up(previous: DataFrame, incoming: DataFrame, now_iso: Column) -> DataFr
     return up.select(*cols).unionByName(down.select(*cols))
 
 
+def apply_true_up(index: VersionedTable, incoming: DataFrame, now_iso: Column, write, dry_run: bool = False) -> DataFrame:
+    """One snapshot cycle: the emitted records, written by ``write``; only then is the retained snapshot replaced.
+
+    A dry run writes nothing and keeps the retained snapshot.  A cycle that fails after
+    the write emits the same records again, which the guarded landing ignores.
+    """
+    emitted = fixed(true_up(index.read(incoming.schema), incoming, now_iso))
+    if not dry_run:
+        write(emitted)
+        index.write(incoming)
+    return emitted
+
+
 def land(current: DataFrame, emitted: DataFrame) -> DataFrame:
     """Ordering-guarded landing of either channel into the raw vendor table."""
     return merge(current, emitted, ["Vendor_Ref"], "SRC_UPDATED_AT")

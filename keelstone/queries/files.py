@@ -36,7 +36,7 @@ def s3(spark, d):
 def s4(spark, d):
     lines = _lines(spark, d)
     x = fw.manifests(fw.controls(lines), fw.batch_ids(lines), F.lit(AT))
-    return x.select(F.substring_index("batchId", ":", 1).alias("batchName"), "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
+    return x.select(F.substring_index("batchId", ":", 1).alias("batchName"), F.length("batchId").cast("bigint").alias("id_length"), "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
 
 
 def s5(spark, d):
@@ -84,6 +84,28 @@ def s10(spark, d):
     return x.agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("ts").alias("watermark"))
 
 
+def s10_cycle(spark, d):
+    """Two polls of a table to which rows are added while the first one writes: together they land every row once or more, and none is skipped."""
+    from ..tables import VersionedTable, shared_folder
+
+    e, root = load(spark, d, "events").select("event_id", "ts"), shared_folder(spark)
+    half = e.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    e.filter(F.col("ts") <= F.lit(half)).write.parquet(f"{root}/source")
+    later, marks = e.filter(F.col("ts") > F.lit(half)), VersionedTable(spark, f"{root}/marks")
+
+    def write(rows):
+        first = not landed
+        landed.append(f"{root}/landed/{len(landed)}")
+        rows.write.parquet(landed[-1])
+        if first:
+            later.write.mode("append").parquet(f"{root}/source")
+
+    landed: list[str] = []
+    for _ in range(2):
+        feeds.poll(spark.read.parquet(f"{root}/source"), "ts", marks, "events", write)
+    return spark.read.parquet(*landed).distinct()
+
+
 def s11(spark, d):
     from ..registry import ACCOUNT_IMAGE
 
@@ -114,18 +136,19 @@ def c6(spark, d):
 
 
 def c7(spark, d):
-    """Hashes do not depend on the order of columns, and tell apart what differs."""
+    """The hash of every row, whatever the order of its columns, and without one of them."""
     x = S.transactions(spark, d)
     from ..functions.columns import content_hash
 
     cols = x.columns
-    y = x.select("transactionId", content_hash(cols).alias("a"), content_hash(cols[::-1]).alias("b"), content_hash(cols, ("status",)).alias("c"))
-    return y.agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_distinct"), F.sum((F.col("a") == F.col("b")).cast("bigint")).alias("n_same"), F.sum((F.col("a") == F.col("c")).cast("bigint")).alias("n_without_status"))
+    return x.select("transactionId", content_hash(cols).alias("a"), content_hash(cols[::-1]).alias("b"), content_hash(cols, ("status",)).alias("c"))
 
 
-QUERIES = {"s1_fixed_width_scan": s1, "s2_sequence": s2, "s3_control_totals": s3, "s4_manifests": s4, "s5_quarantine": s5, "s6_unseen_batches": s6, "s7_delimited_drops": s7, "s8_snapshot_gate": s8, "s9_discovery": s9, "s10_incremental": s10, "s11_change_events": s11, "s12_source_stamp": s12, "j8_snapshot_delta": j8, "a7_delta_statistics": a7, "c6_true_up": c6, "c7_content_hash": c7}
+QUERIES = {"s1_fixed_width_scan": s1, "s2_sequence": s2, "s3_control_totals": s3, "s4_manifests": s4, "s5_quarantine": s5, "s6_unseen_batches": s6, "s7_delimited_drops": s7, "s8_snapshot_gate": s8, "s9_discovery": s9, "s10_incremental": s10, "s10_poll_cycle": s10_cycle, "s11_change_events": s11, "s12_source_stamp": s12, "j8_snapshot_delta": j8, "a7_delta_statistics": a7, "c6_true_up": c6, "c7_content_hash": c7}
 
 _F = "'CUSTPOS_2024011' || f"
+_TX = ["accountId", "netAmount", "status", "tradeDate", "transactionId", "transactionType"]
+_hash = lambda cols: "substr(sha256(CAST(to_json({" + ", ".join(f"'{c}': CAST({c} AS VARCHAR)" for c in cols) + "}) AS VARCHAR)), 1, 16)"
 _DELTA = """SELECT coalesce(a.p_partkey, b.p_partkey) AS key, CASE WHEN a.p_partkey IS NULL THEN 'ADDED' WHEN b.p_partkey IS NULL THEN 'REMOVED' WHEN a.p_partkey % 11 = 0 THEN 'CHANGED' ELSE 'UNCHANGED' END AS change
   FROM (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0) a FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey % 37 <> 0) b ON a.p_partkey = b.p_partkey"""
 _CTL = f"""SELECT f, {_F} AS file, count(*) FILTER (WHERE ok) AS recordCount, count(*) FILTER (WHERE NOT ok) AS rejectedCount, count(*) AS trailerRecordCount, CAST(coalesce(sum(qty) FILTER (WHERE ok), 0) AS DECIMAL(28,4)) AS totalQty, CAST(coalesce(sum(val) FILTER (WHERE ok), 0) AS DECIMAL(28,2)) AS totalValue,
@@ -134,7 +157,7 @@ SQL = {
     "s1_fixed_width_scan": sql(f"SELECT {_F} || '.dat' AS file, CASE WHEN ok THEN 'detail' ELSE 'reject' END AS kind, count(*) AS n FROM wire GROUP BY ALL UNION ALL SELECT {_F} || '.dat', unnest(['header', 'trailer']), 1 FROM (SELECT DISTINCT f FROM wire)", "wire"),
     "s2_sequence": sql("SELECT '2024011' || f || '-' || lpad(CAST(row_number() OVER (PARTITION BY f ORDER BY rn) AS VARCHAR), 6, '0') AS REC_ID, acct, CASE WHEN blank THEN '' ELSE 'US' || lpad(CAST(k AS VARCHAR), 9, '0') || k % 10 END AS POS_ISIN_NBR, lpad(CAST(CAST(qty * 10000 AS BIGINT) AS VARCHAR), 16, '0') AS POS_SHR_QTY, lpad(CAST(CAST(val * 100 AS BIGINT) AS VARCHAR), 15, '0') AS POS_MKT_VALUE FROM wire WHERE ok", "wire"),
     "s3_control_totals": sql(f"SELECT * EXCLUDE (f) FROM ({_CTL})", "wire"),
-    "s4_manifests": sql(f"SELECT file AS batchName, substr(file, 9) AS cycleDate, file AS fileName, recordCount, totalQty AS controlTotalQty, status, failReason, rejectedCount FROM ({_CTL})", "wire"),
+    "s4_manifests": sql(f"SELECT file AS batchName, 29 AS id_length, substr(file, 9) AS cycleDate, file AS fileName, recordCount, totalQty AS controlTotalQty, status, failReason, rejectedCount FROM ({_CTL})", "wire"),
     "s5_quarantine": sql(f"SELECT file, recordCount AS n, 'landed' AS what FROM ({_CTL}) WHERE status = 'COMPLETE' UNION ALL SELECT file, least(rejectedCount, 100), 'quarantined' FROM ({_CTL}) WHERE status = 'FAILED' AND rejectedCount > 0", "wire"),
     "s6_unseen_batches": sql(f"SELECT DISTINCT {_F} AS file FROM wire WHERE f IN (2, 3)", "wire"),
     "s7_delimited_drops": sql("""SELECT strftime(day, '%Y%m%d') AS MOV_FILE_DATE, '1030' AS MOV_FILE_TIME, 'CASHMOV_' || strftime(day, '%Y%m%d') || '_1030-' || lpad(CAST(row_number() OVER (PARTITION BY day ORDER BY event_id) AS VARCHAR), 5, '0') AS MOVEMENT_ID,
@@ -142,11 +165,12 @@ SQL = {
     "s8_snapshot_gate": sql("SELECT Vendor_Ref, coalesce(isin, CASE WHEN k % 5 = 2 THEN '#N/A' ELSE '-' END) AS isin, p_name AS SecurityDesc, TRUE AS bad_copy_refused FROM vend WHERE channel = 0", "vend"),
     "s9_discovery": sql(f"SELECT DISTINCT {_F} AS file FROM wire", "wire"),
     "s10_incremental": "SELECT count(*) AS n, min(event_id) AS first, max(ts) AS watermark FROM events WHERE ts >= TIMESTAMP '2024-01-19 23:59:00'",
+    "s10_poll_cycle": "SELECT event_id, ts FROM events",
     "s11_change_events": sql("SELECT lsn || '-accounts-' || pk AS EVENT_ID, op AS OP, pk AS PK, CAST(lsn AS VARCHAR) AS LSN, CAST(ms AS VARCHAR) AS TS_MS, CASE WHEN op <> 'd' THEN account_name END AS after_name, CASE WHEN op = 'd' THEN account_name END AS before_name, NULL AS reject FROM ace", "ace"),
     "s12_source_stamp": sql("SELECT Vendor_Ref, stamp AS SRC_UPDATED_AT FROM vend WHERE channel = 0", "vend"),
     "j8_snapshot_delta": _DELTA,
     "a7_delta_statistics": f"SELECT *, added + changed + unchanged AS in_snapshot, added + changed + removed AS emitted, round(1 - (added + changed + removed) / (added + changed + unchanged), 4) AS suppression_ratio FROM (SELECT count(*) FILTER (WHERE change = 'ADDED') AS added, count(*) FILTER (WHERE change = 'CHANGED') AS changed, count(*) FILTER (WHERE change = 'REMOVED') AS removed, count(*) FILTER (WHERE change = 'UNCHANGED') AS unchanged FROM ({_DELTA}))",
     "c6_true_up": sql("""SELECT Vendor_Ref, CASE WHEN k % 37 = 0 THEN 'REMOVED' WHEN k % 50 = 0 THEN 'ADDED' ELSE 'CHANGED' END AS change, CASE WHEN k % 37 = 0 THEN '2026-02-01T00:00:00+00:00' ELSE stamp END AS SRC_UPDATED_AT,
       CASE WHEN k % 37 = 0 THEN 'DELISTED' ELSE ['A', 'ACT', 'mat''d', 'Delisted', '???'][k % 5 + 1] END AS ISSUE_STATUS, coalesce(cusip, 'N/A') AS Cusip FROM vend WHERE channel = 0 AND ((k % 37 = 0 AND k % 50 <> 0) OR (k % 37 <> 0 AND (k % 50 = 0 OR k % 11 = 0)))""", "vend"),
-    "c7_content_hash": sql("SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_same, 0 AS n_without_status FROM tx", "tx"),
+    "c7_content_hash": sql(f"SELECT transactionId, {_hash(_TX)} AS a, {_hash(_TX)} AS b, {_hash([c for c in _TX if c != 'status'])} AS c FROM tx", "tx"),
 }

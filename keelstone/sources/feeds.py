@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import iso, vendor_timestamp
 from ..registry import CASH_FIELDS, VENDOR_FIELDS
-from ..tables import VersionedTable
+from ..tables import VersionedTable, fixed
 from .fixed_width import read_lines
 
 OVERLAP = dt.timedelta(seconds=60)
@@ -77,9 +77,13 @@ def incremental(source: DataFrame, column: str, watermark: dt.datetime | None, o
 
 
 def poll(source: DataFrame, column: str, marks: VersionedTable, name: str, write, full: bool = False) -> dt.datetime | None:
-    """One poll: read from the watermark, write the target, and only then advance the watermark."""
+    """One poll: read from the watermark, write the target, and only then advance the watermark.
+
+    The rows are fixed before they are written, and the watermark comes from them: what
+    arrives during the write is beyond the watermark, for the next poll.
+    """
     known = marks.read("source string, value timestamp, recordsTotal bigint, polls bigint").filter(F.col("source") == name).first()
-    rows = incremental(source, column, None if full or known is None else known.value)
+    rows = fixed(incremental(source, column, None if full or known is None else known.value))
     write(rows)
     got = rows.agg(F.max(column).alias("m"), F.count("*").alias("n")).first()
     value = max([x for x in (got.m, known.value if known and not full else None) if x is not None], default=None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zoned
 from ..registry import CUSTODY_FIELDS
+from ..tables import small
 
 WIDTH = 200
 #: The record layouts (field, width).
@@ -25,10 +26,14 @@ def fields(line: Column, layout: tuple[tuple[str, int], ...]) -> list[Column]:
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """file, block, at, line: ``(block, at)`` orders the lines of a file, however many splits it has."""
+    """file, block, at, line: ``(block, at)`` orders the lines of a file, however many splits it has.
+
+    ``file`` is the batch name in the path; a name that is no batch name is an error, not a batch of its own.
+    """
     x = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([A-Z]+_[0-9]{8}(?:_[0-9]{4})?)\.(?:dat|csv)", 1)
-    return x.select(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    known = F.when(name != "", name).otherwise(F.raise_error(F.concat(F.lit("BAD_FILE_NAME: "), F.col("_metadata.file_path"))))
+    return x.select(known.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).filter(F.trim("line") != "")
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -88,25 +93,34 @@ def manifests(verdicts: DataFrame, ids: DataFrame, extracted_at: Column) -> Data
 
 def accepted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of complete batches: a failed one emits none.  A verdict is a row per file."""
-    return rows.join(F.broadcast(verdicts.filter("status = 'COMPLETE'").select("file")), "file", "left_semi")
+    return rows.join(small(verdicts.filter("status = 'COMPLETE'").select("file")), "file", "left_semi")
 
 
 def quarantined(lines: DataFrame, verdicts: DataFrame, limit: int = QUARANTINE) -> DataFrame:
     """The first reject lines of every failed batch."""
     from pyspark.sql import Window
 
-    failed = F.broadcast(verdicts.filter("status = 'FAILED'").select("file"))
+    failed = small(verdicts.filter("status = 'FAILED'").select("file"))
     w = Window.partitionBy("file").orderBy("block", "at")
     return lines.filter("kind = 'reject'").join(failed, "file", "left_semi").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit)
 
 
-def batch_ids(lines: DataFrame) -> DataFrame:
-    """file, batchId = <name>:<first 12 digits of a content hash>, from ordered per-split hashes, so files of any size do."""
-    from pyspark.sql import Window
+#: Lines that are hashed together; a file's id is the hash of its chunks' hashes.
+CHUNK = 10_000
 
-    split = lines.groupBy("file", "block").agg(F.sum(F.xxhash64("line", F.col("at").bitwiseAND((1 << 33) - 1)).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    whole = split.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "s", "n"))).alias("h"))
-    return whole.select("file", F.concat(F.col("file"), F.lit(":"), F.substring(F.sha2(F.to_json("h"), 256), 1, 12)).alias("batchId"))
+
+def batch_ids(lines: DataFrame) -> DataFrame:
+    """file, batchId = <name>:<first 12 hex digits of a content hash>.
+
+    The hash depends on the file's lines and their places alone: SHA-256 over the chunks'
+    SHA-256, a chunk being ``CHUNK`` lines joined by line feeds.  How the file is split
+    among tasks, and what else is in the folder, does not matter; files of any size do.
+    """
+    x = with_sequence(lines.withColumn("kind", F.lit("detail"))).withColumn("chunk", F.expr(f"(seq - 1) div {CHUNK}"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r.line), "\n")
+    chunks = x.groupBy("file", "chunk").agg(F.sha2(text, 256).alias("h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "h"))), lambda r: r.h), "")
+    return chunks.groupBy("file").agg(F.concat(F.col("file"), F.lit(":"), F.substring(F.sha2(whole, 256), 1, 12)).alias("batchId"))
 
 
 def unseen(ids: DataFrame, ledger: DataFrame) -> DataFrame:

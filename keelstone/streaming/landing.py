@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.merge import merge
 from ..registry import EntitySpec
-from ..tables import VersionedTable
 
 RECORD = "topic string, partition int, offset bigint, key string, value string, ts timestamp"
 BATCH_FILES = 8
@@ -34,8 +34,8 @@ def validated(batch: DataFrame, spec: EntitySpec) -> DataFrame:
 
 
 def split(judged: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with ``_arrival``, dead letters)."""
-    ok = judged.filter(F.size("errors") == 0).select(*spec.columns, F.col("offset").alias("_arrival"))
+    """(valid rows with ``_arrival``: offset and partition, dead letters)."""
+    ok = judged.filter(F.size("errors") == 0).select(*spec.columns, F.struct("offset", "partition").alias("_arrival"))
     bad = judged.filter(F.size("errors") > 0).select("topic", F.lit("landing").alias("stage"), F.substring(F.concat(F.lit("missing: "), F.array_join("errors", ",")), 1, ERROR_CHARS).alias("error"), "partition", "offset", F.col("ts").alias("at"), F.col("value").alias("payload"))
     return ok, bad
 
@@ -43,16 +43,15 @@ def split(judged: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:
 class Landing:
     """``foreachBatch`` target: routes a batch by topic into raw tables, rejects to dead letters, heartbeats beside them.
 
-    Every table write carries the batch id and depends on the batch alone, so a retried
-    batch changes nothing (the letters and heartbeats of one batch are one write each).
+    A batch appends its rows to each table's log as one partition ``batch=<id>``, which a
+    retried batch overwrites, so its work depends on the batch alone, not on the table.
+    ``current`` merges a log by key; ``compact`` does so for the batches so far and
+    keeps the result as the log's first partition.
     """
 
     def __init__(self, spark: SparkSession, root: str, routes: dict[str, EntitySpec]):
         self.spark, self.root, self.routes = spark, root, routes
 
-    def table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{name}")
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
@@ -60,18 +59,40 @@ class Landing:
             for topic, spec in self.routes.items():
                 judged = validated(batch.filter(F.col("topic") == topic), spec)
                 ok, bad = split(judged, spec)
-                t = self.table(spec.name)
-                t.write(merge(t.read(spec.schema), ok, list(spec.key), spec.ordering), batch_id)
+                self._put(spec.name, ok, batch_id)
                 beat = judged.filter(F.size("errors") == 0).agg(F.count("*").alias("n"), F.max("ts").alias("at")).select(F.lit(topic).alias("topic"), F.lit(spec.name).alias("collection"), "n", "at")
                 letters = bad if letters is None else letters.unionByName(bad)
                 beats = beat if beats is None else beats.unionByName(beat)
-            beats = beats.filter("n > 0")
-            for name, rows in (("dead_letters", letters), ("sink_progress", beats)):
-                rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+            for name, rows in (("dead_letters", letters), ("sink_progress", beats.filter("n > 0"))):
+                self._put(name, rows, batch_id)
         finally:
             batch.unpersist()
 
-    def appended(self, name: str, schema: str) -> DataFrame:
+    def _put(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+
+    def log(self, spec: EntitySpec) -> DataFrame:
+        """Every landed row with ``_arrival`` and its batch."""
+        more = T.StructType.fromDDL("_arrival struct<offset: bigint, partition: int>, batch bigint")
+        schema = T.StructType([*spec.schema.fields, *more.fields])
+        return self.appended(spec.name, schema)
+
+    def current(self, name: str) -> DataFrame:
+        """The table as it stands: one aggregate over its log."""
+        spec = next(s for s in self.routes.values() if s.name == name)
+        none = self.spark.createDataFrame([], spec.schema)
+        return merge(none, self.log(spec).drop("batch"), list(spec.key), spec.ordering)
+
+    def compact(self, name: str, target: str) -> None:
+        """The rows that decide the current ones, as a log of one batch at ``target``; a reader moves there when it is written."""
+        spec = next(s for s in self.routes.values() if s.name == name)
+        x = self.log(spec)
+        at = [F.col("_arrival.offset"), F.col("_arrival.partition")]
+        rank = F.struct(*at) if spec.ordering is None else F.struct(F.col(spec.ordering).isNotNull(), F.coalesce(F.col(spec.ordering).cast("string"), F.lit("")), *[-c for c in at])
+        rows = x.groupBy(*spec.key).agg(F.max_by(F.struct(*x.drop("batch").columns), rank).alias("r")).select("r.*")
+        rows.write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
+
+    def appended(self, name: str, schema: str | T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
 

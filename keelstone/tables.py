@@ -57,7 +57,7 @@ class VersionedTable:
     def version(self) -> tuple[int, int]:
         """(version, last batch); (0, -1) before the first write."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._p(self.path))] if self._fs.exists(self._p(self.path)) else []
-        found = [tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("pointer-")]
+        found = [tuple(map(int, n.split("-", 2)[1:])) for n in names if n.startswith("pointer-")]
         return max(found, default=(0, -1)) if found else (0, -1)
 
     def read(self, schema=None) -> DataFrame | None:

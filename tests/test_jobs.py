@@ -67,8 +67,66 @@ def test_control_reasons(spark, tmp_path, body, reason):
 
 
 def test_batch_id_follows_the_bytes(spark, tmp_path):
-    ids = [fw.batch_ids(fw.read_lines(spark, write(spark, tmp_path, "CUSTPOS_20240110.dat", [detail(acct)]))).first().batchId for acct in ("1", "2", "1")]
-    assert ids[0] == ids[2] != ids[1]
+    """The id is the hash of the file's lines, whatever else is in the folder and however the file is split."""
+    import hashlib
+
+    body = [detail(str(i)) for i in range(400)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = "CUSTPOS_20240110:" + sha(sha("\n".join(body)))[:12]
+    ids = lambda p: {r.file: r.batchId for r in fw.batch_ids(fw.read_lines(spark, p)).collect()}
+    path = write(spark, tmp_path, "CUSTPOS_20240110.dat", body)
+    assert ids(path) == {"CUSTPOS_20240110": want}
+    for day in range(11, 18):
+        write(spark, tmp_path, f"CUSTPOS_202401{day}.dat", body[: day * 3])
+    assert ids(path)["CUSTPOS_20240110"] == want
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        assert ids(path)["CUSTPOS_20240110"] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    chunk, fw.CHUNK = fw.CHUNK, 150
+    try:
+        assert ids(path)["CUSTPOS_20240110"] == "CUSTPOS_20240110:" + sha("".join(sha("\n".join(body[i : i + 150])) for i in (0, 150, 300)))[:12]
+    finally:
+        fw.CHUNK = chunk
+    write(spark, tmp_path, "CUSTPOS_20240110.dat", [*body[:-1], detail("7")])
+    assert ids(path)["CUSTPOS_20240110"] != want
+    with pytest.raises(Exception, match="BAD_FILE_NAME"):
+        ids(write(spark, tmp_path, "other.txt", body))
+
+
+def test_true_up_twice_emits_nothing(spark):
+    from keelstone.plans import vendor
+    from keelstone.tables import VersionedTable, shared_folder
+
+    index, sent = VersionedTable(spark, shared_folder(spark)), []
+    put = lambda x: sent.append(sorted((r.Vendor_Ref, r.change) for r in x.collect()))
+    rows = feeds.stamp(S.vendor_rows(spark, SF, 0))
+    keys = sorted(r.Vendor_Ref for r in rows.select("Vendor_Ref").collect())
+    at = F.lit("2026-02-01T00:00:00+00:00")
+    assert vendor.apply_true_up(index, rows, at, put, dry_run=True).count() == len(keys) and not sent and index.version()[0] == 0
+    vendor.apply_true_up(index, rows, at, put)
+    vendor.apply_true_up(index, rows, at, put)
+    assert sent == [[(k, "ADDED") for k in keys], []]
+    vendor.apply_true_up(index, rows.filter(F.col("Vendor_Ref") != keys[0]), at, put)
+    assert sent[2] == [(keys[0], "REMOVED")]
+
+
+def test_landing_by_partition_and_compaction(spark, tmp_path):
+    from keelstone.queries.streams import EVENT, ROUTES
+    from keelstone.streaming import landing
+
+    rec = lambda key, user, partition, offset: (EVENT.topic, partition, offset, None, f'{{"EVENT_KEY": "{key}", "USER": "{user}"}}', None)
+    t = landing.Landing(spark, str(tmp_path / "a"), ROUTES)
+    for n, part in enumerate([[rec("k", "a", 1, 5), rec("k", "b", 0, 5), rec("m", "x", 0, 1)], [rec("k", "c", 0, 4)], [rec("m", "y", 1, 2)]]):
+        for _ in range(2):  # a retried batch changes nothing
+            t(spark.createDataFrame(part, landing.RECORD), n)
+    got = sorted((r.EVENT_KEY, r.USER) for r in t.current("raw_events").collect())
+    assert got == [("k", "a"), ("m", "y")]
+    t.compact("raw_events", str(tmp_path / "b"))
+    u = landing.Landing(spark, str(tmp_path / "b"), ROUTES)
+    assert u.log(EVENT).count() == 2 and sorted((r.EVENT_KEY, r.USER) for r in u.current("raw_events").collect()) == got
 
 
 def test_crm_is_order_free(spark):
