@@ -1,44 +1,49 @@
 """Operator 6: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-The corpus' frequencies of the benchmark's words say how likely a run of ``SEED``
-words is by chance; an item's seeds are its runs less likely than ``RARE``, and in any
-case its rarest quarter.  Rarity comes from single words, so a passage that leaked
-into many documents keeps its seeds.  Documents are read once more: where a seed
-occurs, the passage around it becomes a row for that item, and the passages are
-joined to the items and aligned.  The score is that of the best local alignment
+An item's grams are its runs of ``SEED`` words (a shorter item is one gram).  They are
+a table keyed by hash; so are their counts in all documents.  An item's seeds are its
+grams that occur at most ``RARE`` times, and in any case the rarer half, ties
+included, so a passage that leaked into many documents keeps its seeds.  The documents'
+seed occurrences are joined to the seeds on the hash, those of one item that lie about
+as far apart as in the item make up a passage, and passages are aligned to the items.  The score is that of the best local alignment
 (+1 for an equal word, -1/2 for a changed, missing or added one) over the item's
 words; a pair with at least ``SCORE``, or whose alignment itself reaches ``LONG`` words
 whatever the item's length, is contamination.
 
 Words are lower-cased and stripped of leading and trailing ASCII punctuation.
 
-Seeds are matched in the tasks, for one block of at most ``ITEMS`` items at a time (a
-benchmark of any size is read in such blocks, each with a pass over the
-documents), so what is shipped to the tasks is bounded.  All other steps are joins
-and aggregates.
-
-Defined results: null text has no words; an item without text or with fewer than
-``SEED`` words has no seed and matches nothing; items with the same id are aligned as
-separate texts and their best score counts; rows that agree in doc_id and text
-give one result; extra columns pass through ``drop_contaminated``; empty tables give no
-rows (or all documents, when filtering).
+The documents are read twice, however large the benchmark is: once to count grams,
+once to find seeds.  Either time a bitmap of the grams' hashes, of at most ``BITS`` bits,
+keeps most other grams from leaving a task; the join on the hash is exact.
+A passage spans at most about four times its item's words, and pairs are aligned in
+batches of at most ``CELLS`` cells a row, so a worker's memory depends on the longest
+item only.
+
+Defined results: null text has no words; an item without words matches nothing; an
+item of one or two words matches where they stand; items with the same id are aligned
+as separate texts and their best score counts, ties going to the earliest passage; rows that agree in doc_id and text
+give one result; texts are read whole, whatever their length; extra columns of any name
+pass through ``drop_contaminated``; empty tables give no rows (or all documents, when
+filtering).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_hash, keep, map_rows, prepare, small, table
 
 SEED = 3
-RARE = 1e-7
+RARE = 16
 SCORE = 0.5
 LONG = 13
-ITEMS = 5_000
 EDIT = 0.5
+BITS = (24, 27)
+CELLS = 1 << 19
+#: Different grams that a task counts before it passes them on.
+COUNTED = 200_000
+_ODD = 0x9E3779B97F4A7C15
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -47,66 +52,141 @@ def words_of(text: str | None) -> list[bytes]:
     return [x for x in w if x]
 
 
-def frequencies(docs: DataFrame, items: DataFrame) -> tuple[dict[bytes, int], int]:
-    """How often each word of (a block of) items occurs in all documents, and the number of all words."""
-    vocabulary = {w for r in items.collect() for w in words_of(r.text)}
+def grammer(lengths: list[int]):
+    """text -> (words, [(gram hashes, length)]): a hash for every run of each of the ``lengths`` words."""
+    import numpy as np
+    import xxhash
+
+    ids: dict[bytes, tuple[int, bytes]] = {}
+    mult = [np.uint64(pow(_ODD, i + 1, 1 << 64)) for i in range(SEED + 1)]
+
+    def grams(text):
+        raw = (text or "").lower().encode("utf-8", "surrogatepass").split()
+        if len(ids) > 500_000:
+            ids.clear()
+        for x in set(raw):
+            if x not in ids:
+                w = x.strip(_EDGE)
+                ids[x] = (xxhash.xxh3_64_intdigest(w), w)
+        pairs = [p for p in map(ids.__getitem__, raw) if p[1]]
+        h = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
+        out = []
+        for k in lengths:
+            n = max(0, len(h) - k + 1)
+            g = np.full(n, k, np.uint64) * mult[SEED]
+            for i in range(k if n else 0):
+                g += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29))) * mult[i]
+                g ^= g >> np.uint64(32)
+                g *= mult[0]
+            out.append(g)
+        return [p[1] for p in pairs], out
+
+    return grams
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """item, n (its words), place, gram, of all items."""
+
+    def make():
+        grams = grammer([1, 2, SEED])
+
+        def one(item, text):
+            words, (g1, g2, g3) = grams(text)
+            use = g3 if len(words) >= SEED else g2 if len(words) == 2 else g1
+            for p, g in enumerate(use.view("int64").tolist()):
+                yield item, len(words), p, g
+
+        return one
+
+    return map_rows(items.select("item", "text"), make, "item bigint, n bigint, place bigint, gram bigint")
+
+
+def bitmap(grams: DataFrame):
+    """A broadcast bitmap of the hashes in ``grams``, of 2^24 to 2^27 bits; Spark makes its 64-bit words."""
+    import numpy as np
+
+    n = grams.count()
+    bits = min(max(BITS[0], (2048 * n).bit_length()), BITS[1])
+    at = F.col("gram").bitwiseAND((1 << bits) - 1)
+    words = grams.select(F.shiftright(at, 6).cast("int").alias("i"), F.expr(f"shiftleft(1L, CAST((gram & {(1 << bits) - 1}) & 63 AS INT))").alias("w")).groupBy("i").agg(F.bit_or("w").alias("w"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.toLocalIterator():  # at most 2^21 words, whatever the benchmark
+        table[r.i] = r.w
+    return grams.sparkSession.sparkContext.broadcast((bits, table.view(np.uint64)))
+
+
+def may_hold(shared):
+    """Hashes -> which of them the bitmap holds."""
+    import numpy as np
+
+    bits, table = shared.value
+    mask, low = np.uint64((1 << bits) - 1), np.uint64(63)
+
+    def check(g):
+        at = g & mask
+        return (table[at >> np.uint64(6)] >> (at & low)) & np.uint64(1) != 0
+
+    return check
+
+
+def count_grams(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
+    """gram, count: how often the grams that the bitmap holds occur in all documents."""
 
     def count(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        found, total = Counter(), 0
+        grams, check, seen = grammer(lengths), may_hold(shared), Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"gram": list(seen), "n": list(seen.values())}, schema=pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                all_words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-                total += len(all_words)
-                for w, n in Counter(all_words).items():
-                    if w not in vocabulary:
-                        w = w.strip(_EDGE)
-                    if w in vocabulary:
-                        found[w] += n
-        yield pa.RecordBatch.from_pylist([{"w": w, "n": n} for w, n in found.items()] + [{"w": None, "n": total}], schema=pa.schema([("w", pa.binary()), ("n", pa.int64())]))
-
-    rows = docs.select("text").mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()  # as many rows as the block has words
-    counts = {None if r.w is None else bytes(r.w): r.n for r in rows}
-    total = counts.pop(None, 0)
-    return counts, total
-
-
-def seeds_of(items: list[list[bytes]], counts: dict[bytes, int], total: int) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
-    """seed -> (item, place) pairs."""
-    seeds: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-    cut = math.log(RARE)
-    log = lambda w: math.log((counts.get(w, 0) + 1) / (total + 1 + len(counts)))
-    for i, words in enumerate(items):
-        runs = [tuple(words[p : p + SEED]) for p in range(len(words) - SEED + 1)]
-        odds = [sum(map(log, r)) for r in runs]
-        rarest = sorted(odds)[max(0, math.ceil(len(odds) / 4) - 1)] if odds else 0
-        for p, (r, o) in enumerate(zip(runs, odds)):
-            if o <= cut or o <= rarest:
-                seeds.setdefault(r, []).append((i, p))
-    return seeds
-
-
-def passages(words: list[bytes], first: set[bytes], seeds: dict, sizes: list[int]):
-    """(item, start, end, number of seeds) of the passages of a document around seeds, overlapping ones of an item joined."""
-    hits: dict[int, list[int]] = {}
-    for p, w in enumerate(words):
-        if w in first:
-            for i, q in seeds.get(tuple(words[p : p + SEED]), ()):
-                hits.setdefault(i, []).append(p - q)
-    for i, shifts in hits.items():
-        n = sizes[i]
-        slack = n // 4 + 2
-        shifts.sort()
-        a = b = shifts[0]
-        k = 0
-        for s in [*shifts, None]:
-            if s is None or s - b > slack:
-                yield i, max(0, a - slack), min(len(words), b + n + slack), k
-                a, k = s, 0
-            b, k = s, k + 1
+                for g in grams(text)[1]:
+                    seen.update(g[check(g)].view("int64").tolist())
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("count"))
+
+
+def seeds_of(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """item, n, place, gram of the grams that are rare, or among the rarer half of their item's."""
+    c = counts.select(F.col("gram").alias("_g"), "count")
+    x = grams.join(c, grams.gram == c._g, "left").withColumn("count", F.coalesce("count", F.lit(0))).drop("_g")
+    half = F.percentile_approx("count", 0.5, 10_000).over(Window.partitionBy("item"))
+    return x.withColumn("half", half).filter((F.col("count") <= RARE) | (F.col("count") <= F.col("half"))).select("item", "n", "place", "gram")
+
+
+def documents_with_seeds(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
+    """doc_id, h, words (joined by spaces), hits (gram and place) of the documents in which the bitmap finds any."""
+
+    def make():
+        grams, check = grammer(lengths), may_hold(shared)
+
+        def one(doc_id, h, text):
+            words, found = grams(text)
+            hits = [{"gram": x, "at": p} for g in found for ok in [check(g)] if ok.any() for p, x in zip(ok.nonzero()[0].tolist(), g[ok].view("int64").tolist())]
+            if hits:
+                yield doc_id, h, b" ".join(words).decode("utf-8", "surrogatepass"), hits
+
+        return one
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(docs.select("doc_id", doc_hash().alias("h"), "text"), make, f"doc_id {kind}, h bigint, words string, hits array<struct<gram:bigint,at:bigint>>")
+
+
+def passages(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """doc_id, h, item, start, end, n_seeds: per document and item the stretches of words around seeds that lie as in the item."""
+    at = found.select("doc_id", "h", F.explode("hits").alias("x")).select("doc_id", "h", "x.gram", "x.at")
+    x = at.join(small(seeds), "gram").select("doc_id", "h", "item", "n", (F.col("at") - F.col("place")).alias("shift"))
+    x = x.groupBy("doc_id", "h", "item", "n", "shift").agg(F.count("*").alias("k")).withColumn("slack", F.expr("n div 4 + 2"))
+    # the shifts of one stretch make up a passage; as each passage reaches the slack beyond its shifts, it holds all of a leak whose other shifts fell into the next stretch
+    x = x.withColumn("cell", F.expr("floor(shift / (n + slack))"))
+    part = x.groupBy("doc_id", "h", "item", "n", "slack", "cell").agg(F.min("shift").alias("a"), F.max("shift").alias("b"), F.sum("k").alias("n_seeds"))
+    start, end = F.greatest(F.lit(0), F.col("a") - F.col("slack")), F.col("b") + F.col("n") + F.col("slack")
+    return part.select("doc_id", "h", "item", start.alias("start"), end.alias("end"), "n_seeds")
 
 
 def align(pairs: list[tuple[list[bytes], list[bytes]]]) -> list[float]:
@@ -130,48 +210,24 @@ def align(pairs: list[tuple[list[bytes], list[bytes]]]) -> list[float]:
     return best.tolist()
 
 
-def _blocks(benchmark: DataFrame):
-    """The items in blocks of about ITEMS."""
-    n = max(1, math.ceil(benchmark.count() / ITEMS))
-    for k in range(n):
-        yield benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text")
-
-
-def _passages_of_block(docs: DataFrame, block: DataFrame) -> DataFrame:
-    """doc_id, h, item_id, item (its text), start, end, n_seeds, passage."""
-    spark = docs.sparkSession
-    block = keep(block.distinct())
-    counts, total = frequencies(docs, block)
-    items = block.withColumn("item", F.monotonically_increasing_id()).orderBy("item").collect()
-    words = [words_of(r.text) for r in items]
-    shared = spark.sparkContext.broadcast((seeds_of(words, counts, total), [len(w) for w in words], [r.item for r in items]))
-
-    def make():
-        seeds, sizes, names = shared.value
-        first = {r[0] for r in seeds}
-
-        def one(doc_id, h, text):
-            w = words_of(text)
-            for i, a, b, k in passages(w, first, seeds, sizes):
-                yield doc_id, h, names[i], a, b, k, b" ".join(w[a:b]).decode("utf-8", "surrogatepass")
-
-        return one
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_rows(docs.select("doc_id", doc_hash().alias("h"), "text"), make, f"doc_id {kind}, h bigint, item bigint, start bigint, end bigint, n_seeds bigint, passage string")
-    texts = block.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", F.col("text").alias("item_text"))
-    return found.join(small(texts, ITEMS), "item")
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, h, item_id, score, n_seeds, start, end: the best passage of every contaminated (document, item)."""
     prepare(docs.sparkSession)
-    rows = None
-    for block in _blocks(benchmark):
-        x = _passages_of_block(docs, block)
-        rows = x if rows is None else rows.unionByName(x)
+    items = keep(benchmark.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id()))
+    grams = keep(item_grams(items))
+    lengths = sorted(r.k for r in grams.select(F.least("n", F.lit(SEED)).cast("int").alias("k")).distinct().collect())  # 1, 2 or SEED
+    seeds = keep(seeds_of(grams, count_grams(docs, bitmap(grams.select("gram").distinct()), lengths)))
+    found = keep(documents_with_seeds(docs, bitmap(seeds.select("gram").distinct()), lengths))
+    near = passages(found, seeds)
 
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    mine = found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "words").dropDuplicates(["_d", "_h"])
+    # the words of a passage are cut out once per document; the passages of a hot item or document then spread evenly
+    rows = near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item", "start", "end", "n_seeds")).alias("p"))
+    rows = rows.join(mine, rows.doc_id.eqNullSafe(mine._d) & (rows.h == mine._h)).withColumn("w", F.split("words", " "))
+    cut = F.transform("p", lambda p: F.struct(p.item.alias("item"), p.start.alias("start"), F.least(p.end, F.size("w").cast("long")).alias("end"), p.n_seeds.alias("n_seeds"), F.array_join(F.slice("w", (p.start + 1).cast("int"), F.greatest((p.end - p.start).cast("int"), F.lit(0))), " ").alias("passage")))
+    rows = rows.select("doc_id", "h", F.explode(cut).alias("p")).select("doc_id", "h", "p.*").repartition(F.xxhash64("doc_id", "h", "item", "start"))
+    rows = rows.join(small(items.select("item", "item_id", F.col("text").alias("item_text"))), "item").select("doc_id", "h", "item_id", "start", "end", "n_seeds", "passage", "item_text")
 
     def scored(batches):
         import pyarrow as pa
@@ -180,17 +236,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> D
             rows = batch.to_pylist()
             pairs = [(words_of(r["item_text"]), r["passage"].encode("utf-8", "surrogatepass").split()) for r in rows]
             order = sorted(range(len(rows)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
-            got, raw = [0.0] * len(rows), [0.0] * len(rows)
-            for at in range(0, len(order), 128):
-                part = order[at : at + 128]
-                for k, s in zip(part, align([pairs[k] for k in part])):
-                    got[k], raw[k] = s / max(1, len(pairs[k][0])), s
+            got, raw, part = [0.0] * len(rows), [0.0] * len(rows), []
+            for k in [*order, None]:
+                if part and (k is None or (len(part) + 1) * (len(pairs[k][1]) + 1) > CELLS or len(part) == 128):
+                    for j, s in zip(part, align([pairs[j] for j in part])):
+                        got[j], raw[j] = s / max(1, len(pairs[j][0])), s
+                    part = []
+                part.append(k)
             out = batch.select(["doc_id", "h", "item_id", "start", "end", "n_seeds"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(got, pa.float64()), pa.array(raw, pa.float64())], names=[*out.schema.names, "score", "raw"])
 
-    # the passages of a hot item or document spread evenly before they are aligned
-    spread = rows.select("doc_id", "h", "item_id", "start", "end", "n_seeds", "passage", "item_text").repartition(F.xxhash64("doc_id", "h", "item_id", "start"))
-    done = spread.mapInArrow(scored, f"doc_id {kind}, h bigint, item_id {item_kind}, start bigint, end bigint, n_seeds bigint, score double, raw double").filter((F.col("score") >= score) | (F.col("raw") >= LONG))
+    done = rows.mapInArrow(scored, f"doc_id {kind}, h bigint, item_id {item_kind}, start bigint, end bigint, n_seeds bigint, score double, raw double").filter((F.col("score") >= score) | (F.col("raw") >= LONG))
     best = F.max_by(F.struct("start", "end", "n_seeds"), F.struct("score", -F.col("start"))).alias("b")
     return done.groupBy("doc_id", "h", "item_id").agg(F.max("score").alias("score"), best).select("doc_id", "h", "item_id", "score", "b.*")
 
