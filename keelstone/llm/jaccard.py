@@ -23,7 +23,8 @@ the largest class key), ``group_id`` (smallest doc_id reachable by links, own cl
 
 Defined results: null or empty text is a class like any other, without links; a
 null doc_id is the class_id only where a class has no other; repeated rows each get a
-row; extra columns pass through ``drop_near_copies``; an empty table gives no rows.
+row; texts are read whole, whatever
+their length; extra columns of any name pass through ``drop_near_copies``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -241,12 +242,13 @@ def _per_class(docs: DataFrame, similarity: tuple[int, int], recall: float, side
     x = links.join(ids.withColumnRenamed("_id", "best_id"), links.best_key == F.col("_k"), "left").drop("_k")
     x = x.join(ids.withColumnRenamed("_id", "_own"), x.key == F.col("_k"), "left").drop("_k")
     first = x.groupBy("group").agg(F.min("_own").alias("group_id"))
-    x = x.join(first, "group").select(F.col("key").alias("_k"), "n_links", "n_linked_docs", "best_id", F.col("best").alias("best_similarity"), "group_id")
-    return classes.select("key", "class_id", "n_docs", "h").join(x, F.col("key") == F.col("_k"), "left").drop("_k")
+    x = x.join(first, "group").select(F.col("key").alias("_k"), "n_links", "n_linked_docs", "best_id", F.col("best").alias("best_similarity"), "group_id", "group")
+    out = classes.select("key", "class_id", "n_docs", "h").join(x, F.col("key") == F.col("_k"), "left").drop("_k")
+    return out.withColumn("group", F.coalesce("group", "key"))
 
 
 def join_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL, side: int = SIDE) -> DataFrame:
-    per = keep(_per_class(docs, similarity, recall, side)).withColumnRenamed("key", "_key").drop("h")
+    per = keep(_per_class(docs, similarity, recall, side)).withColumnRenamed("key", "_key").drop("h", "group")
     x = docs.select("doc_id", class_key(F.col("text")).alias("key"))
     x = x.join(per, x.key == per._key)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -260,8 +262,9 @@ def drop_near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     ids, texts = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     two = wide.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text"))
     per = _per_class(two, similarity, recall, side)
-    # the representative rows of the classes that stay; the others, and all further copies, go
-    stays = per.filter("group_id IS NULL OR group_id <=> class_id").groupBy(F.coalesce("group_id", "class_id").alias("_g"), F.when(F.coalesce("group_id", "class_id").isNull(), F.col("key")).alias("_n")).agg(F.min(F.struct("class_id", "h")).alias("s"))
+    # one class of each group stays, by its representative row; groups are named by class keys, as doc_ids may repeat or be null
+    first = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "h")
+    stays = per.groupBy("group").agg(F.min(first).alias("s"))
     stays = small(keep(stays.select(F.col("s.class_id").alias("_d"), F.col("s.h").alias("_k"))))
     x = wide.withColumn("_h", F.xxhash64(F.col(ids), F.col(texts)))
     x = x.join(stays, x[ids].eqNullSafe(stays._d) & (x._h == stays._k), "left_semi")

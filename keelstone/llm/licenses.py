@@ -6,7 +6,8 @@ a token automaton (states are positions between tokens, optional regions are
 skip edges, replaceable regions are bounded wildcard loops), which a document's
 words drive from every place where its first mandatory word stands.  A template
 is accepted if some run reads all of its mandatory wording exactly, in order; what
-follows the wording in a document is not read.  Typographic quotes, dashes and bullets
+follows the wording in a document is not read.  A notice or header behind one of ``DENIALS``
+("is not licensed under ...") is not accepted.  Typographic quotes, dashes and bullets
 are no part of the templates' words.
 
 The base rule looks for a few phrases whose words stand consecutively.  Words are
@@ -45,6 +46,9 @@ _ISC_AS_IS = "the software is provided as is and <the author:12> disclaims all w
 _GPL_OPENING = "<program:4> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
 _GPL_REST = "<program:4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with <program:4> if not"
 
+_CC = "licensed under {a} {the} {terms of the} creative commons"
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {including the next paragraph} shall be included in all copies or substantial portions of the software "
+
 #: label: template.  Words are compared after the same normalisation as the texts.
 #: A *-text or *-header holds the whole mandatory wording, a *-notice one sentence that refers to a licence or opens it.
 TEMPLATES = {
@@ -55,6 +59,10 @@ TEMPLATES = {
     "cc-by-4.0-notice": "licensed under {a} {creative commons} cc by 4 0",
     "cc-by-nc-4.0-notice": "licensed under {a} cc by nc 4 0",
     "cc-by-sa-4.0-notice": "licensed under {a} cc by sa 4 0",
+    "cc-by-4.0-name-notice": _CC + " attribution 4 0 {international} {public} license",
+    "cc-by-sa-4.0-name-notice": _CC + " attribution sharealike 4 0 {international} {public} license",
+    "cc-by-nc-4.0-name-notice": _CC + " attribution noncommercial 4 0 {international} {public} license",
+    "cc-by-nd-4.0-name-notice": _CC + " attribution noderivatives 4 0 {international} {public} license",
     "mit-opening-notice": "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction",
     "bsd-opening-notice": _BSD_OPENING,
     "isc-opening-notice": _ISC_OPENING,
@@ -62,8 +70,8 @@ TEMPLATES = {
     "apache-2.0-opening-notice": "licensed under the apache license version 2 0 the license you may not use <this file:4> except in compliance with the license",
     "mpl-2.0-opening-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense-opening-notice": "this is free and unencumbered software released into the public domain",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <software:8> the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {including the next paragraph} shall be included in all copies or substantial portions of the software "
-    + _AS_IS,
+    "mit-text": _MIT_GRANT + _AS_IS,
+    "json-text": _MIT_GRANT + "the software shall be used for good not evil " + _AS_IS,
     "bsd-2-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_AS_IS}",
     "bsd-3-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {{3}} {{c}} {{iii}} {_BSD_NAMES} {_BSD_AS_IS}",
     "bsd-4-clause-text": f"{_BSD_OPENING} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_ADVERTISING} {{4}} {{d}} {{iv}} {_BSD_NAMES} {_BSD_AS_IS}",
@@ -80,6 +88,8 @@ TEMPLATES = {
     "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <scheme:1> {www} mozilla org mpl 2 0",
 }
 FAINT = 0.5
+#: Words that, among the three before a notice or header, deny it.
+DENIALS = {b"not", b"never", b"cannot", b"no", b"longer", b"t"}
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -93,6 +103,7 @@ class Automaton:
 
     def __init__(self, label: str, template: str):
         self.label, self.steps = label, []
+        self.denies = label.endswith(("-notice", "-header"))
         opened: list[int] = []
         for part in re.findall(r"\{|\}|<[^:>]*:\d+>|[^\s{}<>]+", template):
             if part == "{":
@@ -182,8 +193,9 @@ def scanner(templates: dict[str, str] | None = None):
             if todo:
                 for i, w in enumerate(read):
                     if w == key:
+                        denied = not DENIALS.isdisjoint(read[max(0, i - 3) : i])
                         for a in todo:
-                            if (s := a.run(read, i)) >= FAINT:
+                            if not (denied and a.denies) and (s := a.run(read, i)) >= FAINT:
                                 score = max(score, s)
                                 labels |= {a.label} if s == 1.0 else set()
         return n_words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score

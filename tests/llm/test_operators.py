@@ -822,6 +822,14 @@ def test_only_whole_licenses_are_texts():
     for old, new in [("without restriction, including", "for non-commercial use, including"), ("subject to the following conditions:", "subject to the following conditions: No commercial use."), ("sublicense, and/or sell", "and/or sublicense"), ("SHALL THE AUTHORS", "MAY THE AUTHORS"), (MIT[-40:], "")]:
         assert old in MIT and texts(MIT.replace(old, new)) == set()
     assert texts(b3.replace("without specific", "with specific")) == texts(b2.replace("must retain", "may retain")) == texts(BSD[0]) == set()
+    json_license = MIT.replace("portions of the Software.", "portions of the Software.\n\nThe Software shall be used for Good, not Evil.")
+    assert texts(json_license) == {"json-text"} and texts(MIT) == {"mit-text"}
+    labels = lambda t: set(filter(None, scan(t)[5].split(",")))
+    assert labels("This work is licensed under a Creative Commons Attribution 4.0 International License.") == {"cc-by-4.0-name-notice"}
+    assert labels("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.") == {"cc-by-sa-4.0-name-notice"}
+    assert labels("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License") == {"cc-by-nc-4.0-name-notice"}
+    assert labels("This file is not licensed under the Apache License, Version 2.0") == {"apache"} == labels("It isn't licensed under the Apache License, Version 2.0")
+    assert labels("This file is licensed under the Apache License, Version 2.0") == {"apache", "apache-2.0-notice"}
     for label, t in licenses.TEMPLATES.items():  # each template reads its own mandatory wording, and not with one word less
         a = licenses.Automaton(label, t)
         w = [x for (kind, x), n in zip(a.steps, a.weight) if n]
@@ -856,7 +864,7 @@ def test_ngram_join(spark, docs, empty):
     x = spark.createDataFrame(table, "doc_id bigint, text string").withColumn("key", F.lit("clash"))
     classes, link = brute_join(table)
     least = lambda ids: min((i for i in ids if i is not None), default=None)
-    group, seen = {}, set()
+    group, seen, n_groups = {}, set(), 0
     for t in classes:
         if t not in seen:
             todo, comp = [t], set()
@@ -866,6 +874,7 @@ def test_ngram_join(spark, docs, empty):
                     comp.add(u)
                     todo += link[u]
             seen |= comp
+            n_groups += 1
             g = least(i for u in comp for i in classes[u])
             group |= dict.fromkeys(comp, g)
     want = Counter((d, least(classes[t or ""]), len(link[t or ""]), sum(len(classes[u]) for u in link[t or ""]), group[t or ""]) for d, t in table)
@@ -873,11 +882,21 @@ def test_ngram_join(spark, docs, empty):
         got = jaccard.join_documents(x, side=side).collect()
         assert Counter((y.doc_id, y.class_id, y.n_links, y.n_linked_docs, y.group_id) for y in got) == want
     kept = jaccard.drop_near_copies(x.drop("key"))
-    assert kept.count() == len({group[t] for t in classes} | set()) and kept.columns == ["doc_id", "text"]
+    assert kept.count() == n_groups and kept.columns == ["doc_id", "text"]
     assert jaccard.drop_near_copies(docs).columns == docs.columns
     assert jaccard.join_documents(empty).count() == 0 and jaccard.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """A doc_id does not name a document: different texts of one id stay, near copies go whatever their ids."""
+    a, b, c = prose(400, 60), prose(401, 60), prose(402, 60)
+    near = c.replace(c.split()[58], "other", 1)
+    x = spark.createDataFrame([(1, a), (1, b), (1, a), (None, c), (None, near), (2, b), (None, prose(403, 60)), (None, None), (3, "")], "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.drop_near_copies(x).collect()]
+    assert len(kept) == 5 and {(1, a), (1, b), (None, prose(403, 60)), (3, "")} < set(kept)
+    assert len({c, near} & {t for _, t in kept}) == 1
+
+
 def test_bands_reach_the_recall():
     n, k = jaccard.bands()
     assert 1 - (1 - 0.8**k) ** n >= jaccard.RECALL and n * k <= 128
