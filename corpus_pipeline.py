@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``docs``.  ``run`` writes every stage as Parquet to the shared
-folder and reads it again, so a lost executor never costs more than one stage.
+folder and reads it again, so a lost executor never costs more than one stage; a stage's
+input goes when its result is written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.llm import decontaminate, jaccard, lines, mixing, quality
-from keelstone.llm.common import prepare, table
+from keelstone.llm.common import forget, prepare, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            forget(f"{folder}/{k - 1}")
     return docs
