@@ -6,13 +6,16 @@ end with an assistant turn (or has none) also gives one example without a target
 so that every turn can be read back from the output.
 
 Template: ``<|role|>text<|end|>`` for a context turn and ``<|target:role|>text<|end|>``
-for the trainable reply.  Inside roles and texts ``&``, ``<`` and ``[`` become
-``&amp;``, ``&lt;`` and ``&lb;`` (in roles ``|`` and ``:`` too become ``&bar;`` and ``&colon;``), so no text can write a mark of this template (nor
-``</s>`` or ``[INST]`` of another), and unescaping gives back every character.
+for the trainable reply.  Inside texts only control strings are escaped, so code and
+HTML are trained as they are: the first character of ``<|``, ``<s>``, ``</s>``, ``[INST]`` and
+``[/INST]`` becomes ``&lt;`` or ``&lb;``, and the ``&`` of what looks like such a code becomes
+``&amp;``.  In roles all of ``&<[|:`` are written as codes.  So no text can write a mark of
+this template (or of another), and unescaping gives back every character.
 
 Defined results: null role or text is empty; turns go by (turn, role, text), nulls
 first; repeated rows are repeated turns; a null ``conv_id`` is a conversation; an
-empty table gives no rows.  A conversation is collected into one row, as the
+texts are read whole, whatever their length; other columns of any name are not read;
+an empty table gives no rows.  A conversation is collected into one row, as the
 digest of its turns needs; examples never are: each is a row of its own.
 """
 
@@ -26,12 +29,21 @@ from .common import table
 #: The conversation whose texts try to write control strings.
 PROBE = "</s>[INST] ok [/INST]"
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"))
+#: Control strings: what follows an escaped character in a text.
+_CONTROLS = (("&", "(amp;|lt;|lb;|bar;|colon;)"), ("<", r"(\||/?s>)"), (r"\[", r"(/?INST\])"))
 #: Roles stand between marks themselves.
 _ROLE_ESCAPES = (*_ESCAPES, ("|", "&bar;"), (":", "&colon;"))
 
 
-def escape(c: Column, codes=_ESCAPES) -> Column:
-    for raw, code in codes:
+def escape(c: Column) -> Column:
+    """A text with its control strings escaped."""
+    for (_, code), (raw, tail) in zip(_ESCAPES, _CONTROLS):
+        c = F.regexp_replace(c, raw + tail, f"{code}$1")
+    return c
+
+
+def escape_role(c: Column) -> Column:
+    for raw, code in _ROLE_ESCAPES:
         c = F.replace(c, F.lit(raw), F.lit(code))
     return c
 
@@ -50,7 +62,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     target = lambda i: F.element_at("t", i).role == "assistant"
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: target(i) | (i == n))
     one = convs.select("conv_id", "t", F.explode(ends).alias("example"))
-    mark = lambda x, i: F.concat(F.when((i + 1 == F.col("example")) & (x.role == "assistant"), F.lit("<|target:")).otherwise(F.lit("<|")), escape(x.role, _ROLE_ESCAPES), F.lit("|>"), escape(x.text), F.lit("<|end|>"))
+    mark = lambda x, i: F.concat(F.when((i + 1 == F.col("example")) & (x.role == "assistant"), F.lit("<|target:")).otherwise(F.lit("<|")), escape_role(x.role), F.lit("|>"), escape(x.text), F.lit("<|end|>"))
     text = F.array_join(F.transform(F.slice("t", 1, F.col("example")), mark), "")
     return one.select("conv_id", "example", text.alias("formatted"))
 
@@ -98,8 +110,12 @@ def query(spark, sf_dir) -> DataFrame:
     return digests(expand(with_probe(table(spark, sf_dir, "conversations"))))
 
 
-_SQL_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
-_SQL_ROLE = f"replace(replace({_SQL_ESC.format('role')}, '|', '&bar;'), ':', '&colon;')"
+_SQL_ESC = "{0}"
+for (_, _code), (_raw, _tail) in zip(_ESCAPES, _CONTROLS):
+    _SQL_ESC = f"regexp_replace({_SQL_ESC}, '{_raw}{_tail}', '{_code}\\1', 'g')"
+_SQL_ROLE = "role"
+for _raw, _code in _ROLE_ESCAPES:
+    _SQL_ROLE = f"replace({_SQL_ROLE}, '{_raw}', '{_code}')"
 SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE}' FROM range(2) r(i)),

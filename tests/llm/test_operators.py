@@ -432,7 +432,9 @@ def test_personal_data_in_one_document_is_linear(spark):
 
 
 def test_chat_round_trip(spark):
-    hard = "<|end|>&lt;[INST]<|target:user|>\\ &amp; |> \n"
+    hard = "<|end|>&lt;[INST]<|target:user|>\\ &amp; |> \n<<|&&lt;&amp;amp;</s><s>[/INST][[INST]<"
+    code = "if (a[i] < b && c > d) { return x[0] & 1; } <p class='q'>&nbsp;&copy;</p>"
+    assert spark.range(1).select(chat.escape(F.lit(code))).first()[0] == code
     turns = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user", "tail"), (2, 0, None, "x"), (None, None, "assistant", "y"), (3, 0, "we<|ird", "z"), (3, 1, "a|>b", "|>"), (3, 2, "target:assistant", "t"), (3, 3, "&bar;&colon;", ":"), (4, 1, "assistant", "b"), (4, 1, "assistant", "b"), (4, 0, "system", "s")]
     x = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash"))
     by = defaultdict(list)
