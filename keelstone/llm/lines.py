@@ -160,7 +160,7 @@ def _whole_parts(x: DataFrame, rounds: int, min_words: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, _h, lines (numbers of the lines to delete), n_runs and longest_run (the maximal repeated runs of ``min_words`` words that start in it), for every document that has any."""
+    """doc_id, _h, lines (numbers of the lines to delete), mask (the same as bytes), n_runs and longest_run (the maximal repeated runs of ``min_words`` words that start in it), for every document that has any."""
     prepare(docs.sparkSession)
     x, rounds = sort_suffixes(_lines_of(docs, min_words))
     reach = longest_repeats(x, rounds).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("pos").alias("_at"), "reach")
@@ -184,20 +184,22 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.filter(F.col("to") - F.col("upto") + F.col("nw") >= min_words).groupBy(*_DOC).agg(F.count("*").alias("n_runs"), F.max("reach").alias("longest_run"))
     runs = runs.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "n_runs", "longest_run")
     out = cut.join(runs, cut.doc_id.eqNullSafe(runs._d) & (cut._h == runs._k), "full")
-    return keep(out.select(F.coalesce("doc_id", "_d").alias("doc_id"), F.coalesce("_h", "_k").alias("_h"), "lines", "n_runs", "longest_run"))
+    # one byte per line up to the last deleted one, 1 where deleted: looked up in one step, so long documents cost linear work
+    byte = F.transform("lines", lambda n, i: F.concat(F.repeat(F.lit("00"), n - F.coalesce(F.when(i > 0, F.get("lines", i - 1)), F.lit(-1)) - 1), F.lit("01")))
+    return keep(out.select(F.coalesce("doc_id", "_d").alias("doc_id"), F.coalesce("_h", "_k").alias("_h"), "lines", F.unhex(F.array_join(byte, "")).alias("mask"), "n_runs", "longest_run"))
 
 
 def _with_cuts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
-    """``docs`` under names c0, c1 ... with the text that is left, ``_cut`` (the numbers of the deleted lines), ``_runs`` and ``_longest``; the text's name."""
+    """``docs`` under names c0, c1 ... with the text that is left, ``_cut`` (how many lines are deleted), ``_runs`` and ``_longest``; the text's name."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
     ids, texts = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     cut = find_repeats(wide.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text")), min_words)
-    cut = cut.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("lines").alias("_cut"), F.col("n_runs").alias("_runs"), F.col("longest_run").alias("_longest"))
+    cut = cut.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.size("lines").alias("_cut"), F.col("mask").alias("_mask"), F.col("n_runs").alias("_runs"), F.col("longest_run").alias("_longest"))
     x = wide.withColumn("_h", F.xxhash64(F.col(ids), F.col(texts)))
     x = x.join(cut, x[ids].eqNullSafe(cut._d) & (x._h == cut._k), "left").drop("_d", "_h", "_k")
-    left = F.array_join(F.filter(_lines(F.col(texts)), lambda l, i: ~F.array_contains("_cut", i)), "\n")
-    x = x.withColumn(texts, F.when(F.col("_cut").isNull(), F.col(texts)).otherwise(left))
+    left = F.array_join(F.filter(_lines(F.col(texts)), lambda l, i: F.substring("_mask", i + 1, F.lit(1)) != F.unhex(F.lit("01"))), "\n")
+    x = x.withColumn(texts, F.when(F.col("_mask").isNull(), F.col(texts)).otherwise(left)).drop("_mask")
     return x, texts
 
 
@@ -206,7 +208,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     x, texts = _with_cuts(docs, min_words)
     if "n_chars" in docs.columns:
         n = f"c{docs.columns.index('n_chars')}"
-        x = x.withColumn(n, F.when(F.col("_cut").isNull(), F.col(n)).otherwise(F.length(texts)).cast(docs.schema["n_chars"].dataType))
+        x = x.withColumn(n, F.when(F.coalesce("_cut", F.lit(0)) <= 0, F.col(n)).otherwise(F.length(texts)).cast(docs.schema["n_chars"].dataType))
     return x.drop("_cut", "_runs", "_longest").toDF(*docs.columns)
 
 
@@ -214,10 +216,9 @@ def query(spark, sf_dir) -> DataFrame:
     """doc_id, lines, deleted lines, maximal repeated runs and the lines of the longest, and the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).alias("n_lines"))
     x, _ = _with_cuts(docs, MIN_WORDS)
-    cut = F.coalesce("_cut", F.array().cast("array<int>"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    zero = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long")
     return x.select(
-        F.col("c0").alias("doc_id"), F.greatest("c2", F.lit(0)).cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_deleted"),
+        F.col("c0").alias("doc_id"), F.greatest("c2", F.lit(0)).cast("long").alias("n_lines"), zero("_cut").alias("n_deleted"),
         zero("_runs").alias("n_runs"), zero("_longest").alias("longest_run"), F.col("c1").alias("text"),
     )
 
