@@ -9,7 +9,7 @@ from keelstone.registry import ENTITIES, entity
 from keelstone.tables import VersionedTable, shared_folder
 
 
-def test_registry_is_declared():
+def test_registry_is_declared(spark):
     assert len(ENTITIES) == 11
     for e in ENTITIES.values():
         assert set(e.key) <= set(e.columns) and {c for c, _ in e.total_order} >= set(e.key)
