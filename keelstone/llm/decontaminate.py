@@ -53,33 +53,39 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def grammer(lengths: list[int]):
-    """text -> (words, [(gram hashes, length)]): a hash for every run of each of the ``lengths`` words."""
+    """text -> (number of words, a gram hash for every run of k words, for each k of ``lengths``)."""
     import numpy as np
     import xxhash
 
-    ids: dict[bytes, tuple[int, bytes]] = {}
+    ids: dict[bytes, int] = {}  # of words as they stand in texts; 0: nothing but punctuation
     mult = [np.uint64(pow(_ODD, i + 1, 1 << 64)) for i in range(SEED + 1)]
 
+    def hashes(raw):
+        try:
+            return np.fromiter(map(ids.__getitem__, raw), np.uint64, len(raw))
+        except KeyError:
+            if len(ids) > 500_000:
+                ids.clear()
+            for x in set(raw):
+                if x not in ids:
+                    w = x.strip(_EDGE)
+                    ids[x] = (xxhash.xxh3_64_intdigest(w) or 1) if w else 0
+            return np.fromiter(map(ids.__getitem__, raw), np.uint64, len(raw))
+
     def grams(text):
-        raw = (text or "").lower().encode("utf-8", "surrogatepass").split()
-        if len(ids) > 500_000:
-            ids.clear()
-        for x in set(raw):
-            if x not in ids:
-                w = x.strip(_EDGE)
-                ids[x] = (xxhash.xxh3_64_intdigest(w), w)
-        pairs = [p for p in map(ids.__getitem__, raw) if p[1]]
-        h = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
+        h = hashes((text or "").lower().encode("utf-8", "surrogatepass").split())
+        h = h[h != 0]
+        h = h ^ (h >> np.uint64(29))
         out = []
         for k in lengths:
             n = max(0, len(h) - k + 1)
             g = np.full(n, k, np.uint64) * mult[SEED]
             for i in range(k if n else 0):
-                g += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29))) * mult[i]
+                g += h[i : i + n] * mult[i]
                 g ^= g >> np.uint64(32)
                 g *= mult[0]
             out.append(g)
-        return [p[1] for p in pairs], out
+        return len(h), out
 
     return grams
 
@@ -88,13 +94,12 @@ def item_grams(items: DataFrame) -> DataFrame:
     """item, n (its words), place, gram, of all items."""
 
     def make():
-        grams = grammer([1, 2, SEED])
+        grams = grammer(list(range(1, SEED + 1)))
 
         def one(item, text):
-            words, (g1, g2, g3) = grams(text)
-            use = g3 if len(words) >= SEED else g2 if len(words) == 2 else g1
-            for p, g in enumerate(use.view("int64").tolist()):
-                yield item, len(words), p, g
+            n, found = grams(text)
+            for p, g in enumerate(found[min(n, SEED) - 1].view("int64").tolist() if n else ()):
+                yield item, n, p, g
 
         return one
 
@@ -166,10 +171,10 @@ def documents_with_seeds(docs: DataFrame, shared, lengths: list[int]) -> DataFra
         grams, check = grammer(lengths), may_hold(shared)
 
         def one(doc_id, h, text):
-            words, found = grams(text)
+            _, found = grams(text)
             hits = [{"gram": x, "at": p} for g in found for ok in [check(g)] if ok.any() for p, x in zip(ok.nonzero()[0].tolist(), g[ok].view("int64").tolist())]
             if hits:
-                yield doc_id, h, b" ".join(words).decode("utf-8", "surrogatepass"), hits
+                yield doc_id, h, b" ".join(words_of(text)).decode("utf-8", "surrogatepass"), hits
 
         return one
 
