@@ -44,6 +44,10 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
+#: The folders that ``keep`` has written, in order.
+KEPT: list[str] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder, as Parquet, and read it again.
 
@@ -55,6 +59,7 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_path = path
+    KEPT.append(path)
     return kept
 
 
