@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.llm import decontaminate, jaccard, lines, mixing, quality
-from keelstone.llm.common import forget, prepare, table
+from keelstone.llm.common import KEPT, forget, prepare, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,28 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).filter("taken > 0")
 
 
+def _tidy(stage):
+    """``stage``, deleting first what the stage before it kept: its result has been written by then."""
+
+    def run_stage(spark, docs, sf_dir):
+        forget(*_left)
+        _left.clear()
+        start = len(KEPT)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(KEPT[start:])
+        return out
+
+    return run_stage
+
+
+_left: list[str] = []
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("n-gram jaccard join", near_copies),
-    ("benchmark decontamination", benchmark_leaks),
-    ("source mixing", source_mix),
+    ("quality rules", _tidy(quality_rules)),
+    ("line dedup", _tidy(line_dedup)),
+    ("n-gram jaccard join", _tidy(near_copies)),
+    ("benchmark decontamination", _tidy(benchmark_leaks)),
+    ("source mixing", _tidy(source_mix)),
 ]
 
 #: Alignment scores and MinHash groups are not expressible in SQL; tests/llm holds run() against a brute-force version.
