@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, licenses, lines, mixing, pii, quality, secrets, tokens
+from . import bpe, chat, decontaminate, divergence, jaccard, licenses, lines, mixing, negatives, pii, quality, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_license_scan": licenses.query,
     "op10_ngram_join": jaccard.query,
+    "op11_bpe_round_trip": bpe.query,
+    "op12_source_divergence": divergence.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 #: Operators without an entry are held against brute force in tests/llm.
@@ -24,4 +27,6 @@ SQL = {
     "op5_chat_formatting": chat.SQL,
     "op7_source_mixing": mixing.SQL,
     "op10_ngram_join": jaccard.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
