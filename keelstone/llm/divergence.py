@@ -13,8 +13,8 @@ where a term occurs; the others of a group share one value.  Distances between s
 are summed over buckets of ``TERMS`` terms, each a small matrix of terms by sources, so
 neither a language nor a source is ever one task's work.
 
-Arithmetic is exact 64-bit division in two steps (``share``), good to 2.8e14 occurrences of
-a term in a language; beyond that it raises an overflow.
+Arithmetic is exact 64-bit division in two steps (``share``), good to 2.8e14
+occurrences in a language; beyond that it raises an overflow.
 
 Defined results: null text, lang and source count as ''; repeated rows are documents of
 their own; a group without terms has distances like any other, 0 where nothing is kept;
@@ -117,7 +117,7 @@ def _distances(terms, sources):
     a, b = np.triu_indices(n, 1)
     lang = sources["lang"].iloc[0] if n else ""
     s = names["source"].to_numpy(dtype=object)
-    return pd.DataFrame({"lang": [lang] * len(a), "a": s[a], "b": s[b], "value": total[a, b]})
+    return pd.DataFrame({"lang": [lang] * len(a), "a": s[a], "b": s[b], "value": total[a, b]}).astype({c: object for c in ("lang", "a", "b")})
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

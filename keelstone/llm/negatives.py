@@ -1,16 +1,17 @@
 """Operator 13: hard negatives by rotated one-bit codes and exact integer scores.
 
 Vectors become integers (``floor(256 x)``).  A random sign flip and a Hadamard transform
-rotate them without leaving the integers; padded to d components, ``<u, w>`` is then d
-times the score of the unrotated vectors.  A row keeps its sign bits as a code b (components
-+1 and -1), their alignment ``<b, u>`` (the sum of absolute values) and its squared length.
-
-An anchor estimates its score with a row from the code alone: its rotated vector w is cut
-into ``PLANES`` bit planes, and popcounts of planes against codes give ``<b, w>`` up to the
-cut-off remainder.  Splitting u into its part along b and the rest, the rest's product with
-w is at most ``|rest| * |part of w across b|`` by Cauchy-Schwarz, so each score lies in an
-interval for certain.  Only rows whose interval can reach the wanted places are scored, in
-exact integers; nothing depends on chance but how many those are.
+rotate them; the signs are a row's code b (components +1 and -1), and the alignment
+``a = <b, u> / d`` is stored with it.  What ``a b`` leaves of the rotated vector u is rotated
+and coded again, ``LEVELS`` times, and the length of the last residual is stored too.
+
+An anchor estimates its score with a row from the codes alone: on each level its rotated
+vector w is cut into ``PLANES`` bit planes, and popcounts of planes against codes give
+``<b, w>`` up to the cut-off remainder.  The product of w with the last residual, which is
+orthogonal to the last code, is at most ``|residual| * |part of w across b|`` by
+Cauchy-Schwarz, so each score lies in an interval for certain.  Only rows whose interval
+can reach the wanted places are scored, in exact integers; nothing depends on chance but
+how many those are.
 
 Work is dealt as blocks of anchors against blocks of rows, both of bounded size, and each
 cell hands on its own best rows; every anchor meets every row.  Positives come first, then
@@ -35,12 +36,12 @@ POSITIVES = 5
 NEGATIVES = 10
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 30, 90
-PLANES = 8
+LEVELS, PLANES = 6, 8
 SEED = 13
 #: Rows and anchors of a block.
 ROWS = 16_384
 ANCHORS = 512
-_CODES = "uid bigint, vec_id bigint, none boolean, label bigint, vector binary, code binary, aligned double, length2 double"
+_CODES = "uid bigint, vec_id bigint, none boolean, label bigint, vector binary, code binary, aligned binary, rest double"
 
 
 def numbered(embeddings: DataFrame) -> DataFrame:
@@ -51,22 +52,17 @@ def numbered(embeddings: DataFrame) -> DataFrame:
     return x.filter(F.col("label").isNotNull() & F.col("x").isNotNull() & ~bad).withColumn("label", moved)
 
 
-def rotate(v, signs):
-    """Rows of ``v`` with flipped signs, through a Hadamard transform; integers (or exact Python ones) stay so."""
+def rotate(v, level: int):
+    """Rows of ``v`` with flipped signs, through a Hadamard transform; lengths stay."""
     import numpy as np
 
-    u, half = v * signs, 1
-    while half < u.shape[1]:
+    d = v.shape[1]
+    u, half = v * (np.random.default_rng([SEED, level]).integers(0, 2, d) * 2 - 1), 1
+    while half < d:
         pair = u.reshape(len(u), -1, 2, half)
         u = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(len(u), -1)
         half *= 2
-    return u
-
-
-def _signs(d: int):
-    import numpy as np
-
-    return np.random.default_rng(SEED).integers(0, 2, d) * 2 - 1
+    return u / np.sqrt(d)
 
 
 def _pack(bits):
@@ -78,7 +74,7 @@ def _pack(bits):
 
 
 def encoder(dim: int):
-    """Maps rows of ``numbered`` to integer vectors, codes, alignments and squared lengths."""
+    """Maps rows of ``numbered`` to integer vectors, the codes and alignments of all levels, and the length of what they leave."""
     d = 1 << max(0, dim - 1).bit_length()
 
     def run(batches):
@@ -90,10 +86,15 @@ def encoder(dim: int):
             for k, row in enumerate(x["x"]):
                 v[k, : len(row)] = row
             v = np.floor(256 * v)
-            u = rotate(v, _signs(d))
+            left, codes, aligned = v, [], []
+            for level in range(LEVELS):
+                left = rotate(left, level)
+                codes.append(_pack(left >= 0))
+                aligned.append(np.abs(left).mean(axis=1))
+                left = left - aligned[-1][:, None] * np.where(left >= 0, 1, -1)
             yield pd.DataFrame({
-                "uid": x["uid"], "vec_id": x["vec_id"], "none": x["none"], "label": x["label"], "vector": [r.tobytes() for r in v], "code": [r.tobytes() for r in _pack(u >= 0)],
-                "aligned": np.abs(u).sum(axis=1), "length2": (u * u).sum(axis=1),
+                "uid": x["uid"], "vec_id": x["vec_id"], "none": x["none"], "label": x["label"], "vector": [r.tobytes() for r in v],
+                "code": [r.tobytes() for r in np.stack(codes, axis=1)], "aligned": [r.tobytes() for r in np.stack(aligned, axis=1)], "rest": np.sqrt((left * left).sum(axis=1)),
             })
 
     return run
@@ -109,30 +110,41 @@ class Block:
         self.vec_id, self.none = x["vec_id"].to_numpy(np.int64), x["none"].to_numpy(bool)
         self.v = np.stack([np.frombuffer(b) for b in x["vector"]])
         self.d = self.v.shape[1]
-        self.codes = np.stack([np.frombuffer(b, np.uint64) for b in x["code"]])
-        self.aligned, self.length2 = x["aligned"].to_numpy(float), x["length2"].to_numpy(float)
-        self.most = float(np.abs(self.v).max(initial=0))
+        codes = np.stack([np.frombuffer(b, np.uint64).reshape(LEVELS, -1) for b in x["code"]])
+        self.codes = np.ascontiguousarray(codes.transpose(1, 2, 0))  # level, word, row
+        self.ones = np.bitwise_count(self.codes).sum(axis=1, dtype=np.int64)
+        self.aligned, self.rest = np.stack([np.frombuffer(b) for b in x["aligned"]]), x["rest"].to_numpy(float)
+        self.most, self.long = float(np.abs(self.v).max(initial=0)), np.sqrt((self.v * self.v).sum(axis=1))
+
+    def _met(self, level: int, w):
+        """Products of the codes of a level with ``w``, by bit planes, and how far off they can be."""
+        import numpy as np
+
+        least = w.min()
+        step = (w.max() - least) / ((1 << PLANES) - 0.5) or 1.0
+        cut = np.floor((w - least) / step)
+        on = np.zeros(len(self.v), np.int64)  # sum of the cut components where the code is 1
+        for k in range(PLANES):
+            (plane,) = _pack((cut.astype(np.int64)[None, :] >> k) & 1)
+            for code, word in zip(self.codes[level], plane):
+                on += np.left_shift(np.bitwise_count(code & word), k, dtype=np.int64)
+        # w = least + cut * step + remainder
+        return least * (2.0 * self.ones[level] - self.d) + step * (2.0 * on - cut.sum()), np.abs(w - least - cut * step).sum()
 
     def intervals(self, q):
         """Lowest and highest possible score of every row with the integer vector ``q``."""
         import numpy as np
 
-        d, w = self.d, rotate(q[None, :], _signs(self.d))[0]
-        least, step = w.min(), max(1.0, np.ceil((w.max() - w.min() + 1) / (1 << PLANES)))
-        cut = np.floor((w - least) / step)
-        left = np.abs(w - least - cut * step).sum()  # what the planes leave out
-        ones = np.bitwise_count(self.codes).sum(axis=1, dtype=np.int64)
-        on = np.zeros(len(ones))  # sum of the cut components where the code is 1
-        for k in range(PLANES):
-            plane = _pack((cut.astype(np.int64)[None, :] >> k) & 1)
-            on += np.bitwise_count(self.codes & plane).sum(axis=1, dtype=np.int64) * float(1 << k)
-        # <b, w> with w = least + cut * step + remainder
-        met = least * (2.0 * ones - d) + step * (2.0 * on - cut.sum())
-        across = np.sqrt(np.maximum(0, (w * w).sum() - np.maximum(0, np.abs(met) - left) ** 2 / d))
-        rest = np.sqrt(np.maximum(0, self.length2 - self.aligned**2 / d))
-        middle, wide = self.aligned / d * met, self.aligned / d * left + rest * across
-        slack = 1 + 1e-9 * (np.abs(middle) + wide)  # rounding of doubles
-        return (middle - wide - slack) / d, (middle + wide + slack) / d
+        middle, wide, w = np.zeros(len(self.v)), np.zeros(len(self.v)), q[None, :]
+        for level in range(LEVELS):
+            w = rotate(w, level)
+            met, left = self._met(level, w[0])
+            middle += self.aligned[:, level] * met
+            wide += self.aligned[:, level] * left
+        length = np.sqrt((q * q).sum())
+        across = np.sqrt(np.maximum(0, length**2 - np.maximum(0, np.abs(met) - left) ** 2 / self.d))
+        wide += self.rest * across + 1 + 1e-9 * self.long * length  # the last two for the rounding of doubles
+        return middle - wide, middle + wide
 
     def scores(self, at, q):
         """Exact scores of the rows ``at``, as 64-bit integers or, where these might not do, Python's."""
@@ -178,12 +190,14 @@ def _positives(anchors, rows):
     import pandas as pd
 
     out = []
-    if len(anchors) and len(rows):
-        b, a = Block(rows), Block(anchors)
+    for label, those in anchors.groupby("label"):
+        same = rows[rows["label"] == label]
+        if not len(same):
+            continue
+        b, a = Block(same), Block(those)
         for i in range(len(a.uid)):
             low, high = b.intervals(a.v[i])
-            allowed = (b.label == a.label[i]) & (b.uid != a.uid[i])
-            (best,) = _best(b, allowed, low, high, a.v[i], [(float("-inf"), float("inf"))], POSITIVES)
+            (best,) = _best(b, b.uid != a.uid[i], low, high, a.v[i], [(float("-inf"), float("inf"))], POSITIVES)
             out += [(int(a.uid[i]), int(a.vec_id[i]), None, None, None, int(b.uid[j]), None if b.none[j] else int(b.vec_id[j]), s) for j, s in best]
     return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")], dtype=object)
 
