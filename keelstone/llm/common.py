@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,28 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-#: The folders that ``keep`` has written, in order.
-KEPT: list[str] = []
+#: The folders that ``keep`` has written in the innermost ``scratch`` of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """Tables that ``keep`` writes inside are deleted at the end, but for those handed to ``stay``: they pass to the scope around this one, or stay where there is none."""
+    mine: list[str] = []
+    staying: set[str] = set()
+
+    def stay(df: DataFrame) -> DataFrame:
+        staying.add(df.kept_path)
+        return df
+
+    token = _SCOPE.set(mine)
+    try:
+        yield stay
+    finally:
+        _SCOPE.reset(token)
+        if (outer := _SCOPE.get()) is not None:
+            outer.extend(staying)
+        forget(*[p for p in mine if p not in staying])
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -59,7 +81,8 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_path = path
-    KEPT.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return kept
 
 

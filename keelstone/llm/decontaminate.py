@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_hash, keep, map_rows, prepare, small, table
+from .common import doc_hash, keep, map_rows, prepare, scratch, small, table
 
 SEED = 3
 RARE = 16
@@ -261,8 +261,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCOR
     names = [f"c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
     ids, texts = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    leaks = find_leaks(wide.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text")), benchmark, score)
-    gone = small(keep(leaks.select(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).distinct()))
+    with scratch() as stay:
+        leaks = find_leaks(wide.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text")), benchmark, score)
+        gone = stay(keep(leaks.select(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).distinct()))
+    gone = small(gone)
     x = wide.withColumn("_h", F.xxhash64(F.col(ids), F.col(texts)))
     return x.join(gone, x[ids].eqNullSafe(gone._d) & (x._h == gone._k), "left_anti").drop("_h").toDF(*docs.columns)
 

@@ -34,13 +34,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_hash, keep, map_rows, prepare, small, table
+from .common import doc_hash, keep, map_rows, prepare, scratch, small, table
 from .graph import components
 
 WORDS = 5
 SIMILARITY = (4, 5)
 RECALL = 0.9995
-SIDE = 256
+#: Classes of a block: a group of n classes ships each text n / SIDE times.
+SIDE = 1024
+#: Distinct texts that a task remembers as signed, and shingles that a unit's matrices hold at a time.
+SIGNED = 500_000
+WIDE = 4096
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -115,13 +119,23 @@ def _classes(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     """key, class_id, h (which row stands for the class), n_docs, sig: one row per distinct text."""
 
     def make():
-        shingles, sign = shingler(), signer(n_bands, rows)
-        return lambda doc_id, h, key, text: [(doc_id, h, key, sign(shingles(text)))]
+        shingles, sign, signed = shingler(), signer(n_bands, rows), set()
+
+        def one(doc_id, h, key, text):
+            """A text is signed where a task first meets it."""
+            if key in signed:
+                return [(doc_id, h, key, None)]
+            if len(signed) >= SIGNED:
+                signed.clear()
+            signed.add(key)
+            return [(doc_id, h, key, sign(shingles(text)))]
+
+        return one
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     x = map_rows(docs.select("doc_id", doc_hash().alias("h"), class_key(F.col("text")).alias("key"), "text"), make, f"doc_id {kind}, h bigint, key binary, sig array<bigint>")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")  # a null id only where there is no other
-    x = x.groupBy("key").agg(F.min(first).alias("f"), F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
+    x = x.groupBy("key").agg(F.min(first).alias("f"), F.count("*").alias("n_docs"), F.first("sig", ignorenulls=True).alias("sig"))
     return keep(x.select("key", F.col("f.doc_id").alias("class_id"), F.col("f.h").alias("h"), "n_docs", "sig"))
 
 
@@ -152,12 +166,12 @@ def _verify(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             shared = seen[counts > 1]
             inter = np.zeros((len(left), len(right)), np.float32)
             places = [[np.searchsorted(shared, np.intersect1d(sets[r["key"]], shared, assume_unique=True)) for r in x] for x in (left, right)]
-            for at in range(0, len(shared), 8192):
+            for at in range(0, len(shared), WIDE):
                 m = []
                 for x in places:
-                    z = np.zeros((len(x), min(8192, len(shared) - at)), np.float32)
+                    z = np.zeros((len(x), min(WIDE, len(shared) - at)), np.float32)
                     for i, p in enumerate(x):
-                        z[i, p[(p >= at) & (p < at + 8192)] - at] = 1
+                        z[i, p[(p >= at) & (p < at + WIDE)] - at] = 1
                     m.append(z)
                 inter += m[0] @ m[1].T
             inter = inter.astype(np.int64)
@@ -248,7 +262,9 @@ def _per_class(docs: DataFrame, similarity: tuple[int, int], recall: float, side
 
 
 def join_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL, side: int = SIDE) -> DataFrame:
-    per = keep(_per_class(docs, similarity, recall, side)).withColumnRenamed("key", "_key").drop("h", "group")
+    with scratch() as stay:
+        per = stay(keep(_per_class(docs, similarity, recall, side)))
+    per = per.withColumnRenamed("key", "_key").drop("h", "group")
     x = docs.select("doc_id", class_key(F.col("text")).alias("key"))
     x = x.join(per, x.key == per._key)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -261,11 +277,12 @@ def drop_near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     wide = docs.toDF(*names)
     ids, texts = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     two = wide.select(F.col(ids).alias("doc_id"), F.col(texts).alias("text"))
-    per = _per_class(two, similarity, recall, side)
     # one class of each group stays, by its representative row; groups are named by class keys, as doc_ids may repeat or be null
     first = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "h")
-    stays = per.groupBy("group").agg(F.min(first).alias("s"))
-    stays = small(keep(stays.select(F.col("s.class_id").alias("_d"), F.col("s.h").alias("_k"))))
+    with scratch() as stay:
+        stays = _per_class(two, similarity, recall, side).groupBy("group").agg(F.min(first).alias("s"))
+        stays = stay(keep(stays.select(F.col("s.class_id").alias("_d"), F.col("s.h").alias("_k"))))
+    stays = small(stays)
     x = wide.withColumn("_h", F.xxhash64(F.col(ids), F.col(texts)))
     x = x.join(stays, x[ids].eqNullSafe(stays._d) & (x._h == stays._k), "left_semi")
     return x.dropDuplicates([ids, "_h"]).drop("_h").toDF(*docs.columns)

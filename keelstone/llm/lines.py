@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_hash, forget, keep, prepare, small, table
+from .common import WORD, doc_hash, forget, keep, prepare, scratch, small, table
 
 MIN_WORDS = 8
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -162,6 +162,11 @@ def _whole_parts(x: DataFrame, rounds: int, min_words: int) -> DataFrame:
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, _h, lines (numbers of the lines to delete), mask (the same as bytes), n_runs and longest_run (the maximal repeated runs of ``min_words`` words that start in it), for every document that has any."""
     prepare(docs.sparkSession)
+    with scratch() as stay:
+        return stay(_find_repeats(docs, min_words))
+
+
+def _find_repeats(docs: DataFrame, min_words: int) -> DataFrame:
     x, rounds = sort_suffixes(_lines_of(docs, min_words))
     reach = longest_repeats(x, rounds).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("pos").alias("_at"), "reach")
     x = keep(x.join(reach, _on_place(x, reach), "left").select(*_DOC, "pos", "ln", "nw", "key", F.coalesce("reach", F.lit(0)).alias("reach")))

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_hash, keep, prepare, small, table
+from .common import doc_hash, keep, prepare, scratch, small, table
 
 #: Kind, what the text must contain for the pattern to be tried, the pattern.
 KINDS = (
@@ -163,7 +163,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     kinds = [k for k, *_ in KINDS]
     spanned = keep(base_spans(x).select("doc_id", "h", *[f"_{k}" for k in kinds], "_t"))
     found = keep(candidates(spanned))
-    pats = small(trusted(found, rounds))
+    with scratch() as stay:
+        pats = stay(trusted(found, rounds))
+    pats = small(pats)
     more = found.filter("NOT seed").select("doc_id", "h", "s", "e", F.explode("pats").alias("pat")).join(pats, "pat", "left_semi")
     more = more.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("context")).withColumnsRenamed({"doc_id": "_d", "h": "_k"})
     base = spanned.select("doc_id", "h", *[F.transform(f"_{k}", lambda m: F.struct(m.s.alias("s"), m.e.alias("e"))).alias(k) for k in kinds])

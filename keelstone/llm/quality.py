@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, prepare, small, table
+from .common import keep, prepare, scratch, small, table
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -161,7 +161,9 @@ def assess(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, ``base_failed`` and ``kept`` for every row of ``docs``."""
     prepare(docs.sparkSession)
     rated = keep(_rates(with_measures(docs.select("doc_id", "lang", "source", "text")).drop("text")))
-    judged = _judged(rated, keep(thresholds(keep(sketches(rated)), prior)))
+    with scratch() as stay:
+        limits = stay(keep(thresholds(keep(sketches(rated)), prior)))
+    judged = _judged(rated, limits)
     return judged.select("doc_id", "_m.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
@@ -176,7 +178,8 @@ def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     wide = docs.toDF(*names)
     at = {c: names[docs.columns.index(c)] for c in ("lang", "source", "text")}
     rated = _rates(with_measures(wide.select(*[F.col(at[c]).alias(c) for c in at])).drop("text"))
-    limits = keep(thresholds(keep(sketches(rated)), prior))
+    with scratch() as stay:
+        limits = stay(keep(thresholds(keep(sketches(rated)), prior)))
     row = wide.select(F.struct(*names).alias("_row"), *[F.col(at[c]).alias(c) for c in at])
     out = _judged(_rates(with_measures(row)).drop("text"), limits).filter("_kept")
     return out.select("_row.*").toDF(*docs.columns)

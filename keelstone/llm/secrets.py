@@ -12,7 +12,9 @@ hold already, add little.  Base spans stay whatever their novelty.
 
 The dictionary is made of the identifiers that stand in most documents.  Spark counts
 them over all texts, candidates and base spans blanked there too, so that copies of a
-secret never vouch for it; it is cut to ``DICT_BYTES``, its size bound.
+secret never vouch for it; it is cut to ``DICT_BYTES``, its size bound.  Rarer words vouch
+for themselves: a token that also stands in ``VOUCH`` different surroundings without a
+sensitive word is ordinary (copies of a document count once).  Numbers alone are left to the detection of personal data.
 
 Defined results: null text is empty; spans are code points, end exclusive;
 repeated rows each get a row; ties between identifiers go to the smaller word; texts
@@ -22,15 +24,17 @@ not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from statistics import median_low
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import map_rows, prepare, table
+from .common import keep, map_rows, prepare, scratch, table
 
 #: The base kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,7 +43,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-SENSITIVE = re.compile(r"password|passwd|secret|token|api_?key|credential|bearer|private|auth|key", re.I | re.A)
+#: Words of a sensitive context, alone, as parts of snake_case or as the end of camelCase.
+_WORDS = ("password", "passwd", "secret", "token", "api_?key", "credential", "bearer", "private", "auth", "authorization", "key")
+SENSITIVE = re.compile(rf"(?:(?<![A-Za-z])(?i:{'|'.join(_WORDS)})|(?<=[a-z0-9])(?:{'|'.join(w.capitalize() for w in _WORDS)}))(?i:s?)(?![a-z])")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}(?![A-Za-z0-9_])")
 AROUND = 200
 NEAR = 40
@@ -47,7 +53,9 @@ NOVEL = 0.8
 DICT_BYTES = 16 << 10
 LEVEL = 9
 STRETCH, STRETCHES = 1500, 5
-#: Different identifiers that a task counts before it passes them on.
+#: Different surroundings without a sensitive word (``BESIDE`` characters to either side) from which on a token is ordinary.
+VOUCH, BESIDE = 3, 24
+#: Different identifiers and tokens that a task counts before it passes them on.
 COUNTED = 200_000
 
 
@@ -81,13 +89,13 @@ def in_context(text: str):
         at += len(line) + 1
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, int, str]], str]:
-    """(start, kind, end, string) of the base spans and of the long tokens in a sensitive context beside them, and the text with all of these (and every copy of such a token) blanked."""
+def candidates(text: str) -> tuple[list[tuple[int, int, int, str]], str, list[tuple[int, int, str]]]:
+    """(start, kind, end, string) of the base spans and of the long tokens in a sensitive context beside them, the text with all of these (and every copy of such a token) blanked, and the long tokens in no such context."""
     found = base_spans(text)
     long = [(*m.span(), m[0]) for m in TOKEN.finditer(text)]
     if not long:
-        return found, text
-    lines, base, more, k, n, reach = list(in_context(text)), found, [], 0, 0, 0
+        return found, text, []
+    lines, base, more, free, k, n, reach = list(in_context(text)), found, [], [], 0, 0, 0
     for a, b, token in long:
         while n < len(base) and base[n][0] < b:
             reach = max(reach, base[n][2])
@@ -98,52 +106,77 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int, str]], str]:
             k += 1
         if (k < len(lines) and lines[k][0] < b) or SENSITIVE.search(text, max(0, a - NEAR), min(len(text), b + NEAR)):
             more.append((a, 3, b, token))
+        else:
+            free.append((a, b, token))
     tokens = {token for *_, token in more}
     blank, at = [], 0
     for a, b in sorted([(a, b) for a, b, token in long if token in tokens] + [(a, b) for a, _, b, _ in base]):
         blank += [text[at:a], " " * (b - max(a, at))]
         at = max(at, b)
-    return sorted(base + more), "".join([*blank, text[at:]])
+    return sorted(base + more), "".join([*blank, text[at:]]), free
 
 
-def _said(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id and ``found``: each document's candidates with what surrounds them."""
-
-    def make():
-        def one(doc_id, text):
-            found, blank = candidates(text or "")
-            yield doc_id, [{"a": a, "k": k, "b": b, "value": v, "around": blank[max(0, a - AROUND) : a] + " " + blank[b : b + AROUND]} for a, k, b, v in found]
-
-        return one
+def scanned(docs: DataFrame) -> DataFrame:
+    """The one scan of the texts, as rows of three sorts.
 
+    ``doc``: doc_id and ``found``, its candidates with what surrounds them.  ``word``: an
+    identifier outside of candidates (``w``) and in how many documents it stands (``n``).
+    ``token``: a long token and the smallest hashes of its surroundings where these are not
+    sensitive.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, found array<struct<a:bigint,k:bigint,b:bigint,value:string,around:string>>")
+    schema = f"sort string, doc_id {kind}, found array<struct<a:bigint,k:bigint,b:bigint,value:string,around:string>>, w string, n bigint, hashes array<bigint>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def scan(batches):
+        import pyarrow as pa
 
-def identifiers(docs: DataFrame, most: int = DICT_BYTES) -> list[str]:
-    """The identifiers that stand in most documents outside of candidates, most frequent first; together at most ``most`` bytes."""
+        words, tokens = Counter(), {}
+        rows = lambda sort, columns: pa.RecordBatch.from_pydict({f.name: [sort] * len(columns[0][1]) if f.name == "sort" else dict(columns).get(f.name, [None] * len(columns[0][1])) for f in arrow}, schema=arrow)
 
-    def count(batches):
-        import pyarrow as pa
+        def counted():
+            yield rows("word", [("w", list(words)), ("n", list(words.values()))])
+            yield rows("token", [("w", list(tokens)), ("hashes", [sorted(h) for h in tokens.values()])])
+            words.clear()
+            tokens.clear()
 
-        table = lambda n: pa.RecordBatch.from_pydict({"w": list(n), "n": list(n.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
-        seen = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(set(IDENTIFIER.findall(candidates(text or "")[1])))
-                if len(seen) > COUNTED:
-                    yield table(seen)
-                    seen.clear()
-        yield table(seen)
-
-    words = docs.select("text").mapInArrow(count, "w string, n bigint")
-    top = words.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most // 4)
+            ids, found = batch.column(0).to_pylist(), []
+            for text in batch.column(1).to_pylist():
+                spans, blank, free = candidates(text or "")
+                found.append([{"a": a, "k": k, "b": b, "value": v, "around": blank[max(0, a - AROUND) : a] + " " + blank[b : b + AROUND]} for a, k, b, v in spans])
+                words.update(set(IDENTIFIER.findall(blank)))
+                for a, b, token in free:
+                    h = tokens.setdefault(token, set())
+                    h.add(xxhash.xxh3_64_intdigest(f"{text[max(0, a - BESIDE) : a]} {text[b : b + BESIDE]}".encode("utf-8", "surrogatepass")) >> 1)
+                    if len(h) > VOUCH:
+                        h.remove(max(h))
+                if len(words) + len(tokens) > COUNTED:
+                    yield from counted()
+            for at in range(0, len(ids), 64):
+                yield rows("doc", [("doc_id", ids[at : at + 64]), ("found", found[at : at + 64])])
+        yield from counted()
+
+    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+
+def identifiers(scan: DataFrame, most: int = DICT_BYTES) -> list[str]:
+    """The identifiers that stand in most documents outside of candidates, most frequent first; together at most ``most`` bytes.
+
+    A histogram of the counts (in steps of a sixteenth at most) gives the count that
+    enough words reach; only words from there on are sorted, so what the driver gets does not
+    grow with the number of partitions.
+    """
+    words = keep(scan.filter("sort = 'word'").groupBy("w").agg(F.sum("n").alias("n")))
+    step = F.expr("n - n % shiftleft(1L, greatest(0, length(bin(n)) - 5))")
+    enough, least = most // 4, 0
+    for r in words.groupBy(step.alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        least = r.n
+        enough -= r.words
+        if enough <= 0:
+            break
     out, size = [], 0
-    for r in top.collect():
+    for r in words.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most // 4).collect():
         size += len(r.w) + 1
         if size > most:
             break
@@ -151,6 +184,12 @@ def identifiers(docs: DataFrame, most: int = DICT_BYTES) -> list[str]:
     return out
 
 
+def ordinary(scan: DataFrame) -> DataFrame:
+    """The long tokens that stand in at least ``VOUCH`` different surroundings without a sensitive word: words and names, not secrets."""
+    seen = scan.filter("sort = 'token'").select("w", F.explode("hashes").alias("h")).groupBy("w", "h").agg(F.lit(1).alias("one"))
+    return seen.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= VOUCH).select("w")
+
+
 def novelty(words: list[str]):
     """(surroundings, string) -> the bytes that the string adds to the compressed surroundings.
 
@@ -173,22 +212,30 @@ def novelty(words: list[str]):
 def scan_documents(docs: DataFrame) -> DataFrame:
     """A row per document: the base kinds' counts and digest, all spans, and how many tokens and how many base spans are novel."""
     prepare(docs.sparkSession)
-    words = identifiers(docs)
+    scan = keep(scanned(docs))
+    with scratch():
+        words = identifiers(scan)
+    found = scan.filter("sort = 'doc'").select(F.monotonically_increasing_id().alias("row"), "doc_id", "found")
+    said = found.select("row", "doc_id", F.explode("found").alias("x")).select("row", "x.*").withColumn("digits", ~F.rlike("value", F.lit("[^0-9]")))
+    known = ordinary(scan)
+    said = said.join(known, said.value == known.w, "left").select("row", "a", "k", "b", "value", "around", (F.col("digits") | F.col("w").isNotNull()).alias("plain"))
 
     def make():
         marginal = novelty(words)
-
-        def one(doc_id, found):
-            is_novel = [marginal(x["around"], x["value"]) >= NOVEL * len(x["value"]) for x in found]
-            base = [(x["a"], x["k"], x["b"]) for x in found if x["k"] < 3]
-            novel = [(x["a"], x["k"], x["b"]) for x, y in zip(found, is_novel) if y and x["k"] == 3]
-            n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            yield doc_id, *n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(base + novel), len(novel), sum(y for x, y in zip(found, is_novel) if x["k"] < 3)
-
-        return one
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(find(docs), make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint, n_base_novel bigint")
+        return lambda row, a, k, b, value, around, plain: [(row, a, k, b, (k < 3 or not plain) and marginal(around, value) >= NOVEL * len(value))]
+
+    said = map_rows(said, make, "row bigint, a bigint, k bigint, b bigint, novel boolean")
+    spans = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "k", "b", "novel"))).alias("spans"))
+    x = keep(found.select("row", "doc_id")).join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:bigint,k:bigint,b:bigint,novel:boolean>>")))
+    name = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), (s.k + 1).cast("int")), s.a, s.b)
+    is_kind = lambda i: lambda s: s.k == i
+    of = lambda cond: F.filter("spans", cond)
+    n = lambda cond, c: F.size(of(cond)).cast("bigint").alias(c)
+    text = lambda cond: F.array_join(F.transform(of(cond), name), ",")
+    return x.select(
+        "doc_id", *[n(is_kind(i), f"n_{KINDS[i]}") for i in range(3)], F.sha2(text(lambda s: s.k < 3), 256).alias("base_sha256"),
+        text(lambda s: (s.k < 3) | s.novel).alias("spans"), n(lambda s: (s.k == 3) & s.novel, "n_novel"), n(lambda s: (s.k < 3) & s.novel, "n_base_novel"),
+    )
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -687,10 +687,15 @@ def brute_novel(table):
         chars = list(t)
         for a, e in [x[:2] for x in base] + [x[:2] for x in long if x[2] in {y[2] for y in more}]:
             chars[a:e] = " " * (e - a)
-        return base, more, "".join(chars)
+        return base, more, "".join(chars), [x for x in free if x not in more]
 
     found = {d: candidates(t or "") for d, t in table}
     n = Counter(w for d, t in table for w in set(re.findall(r"(?<![A-Za-z0-9_])(?:[0-9]*)([A-Za-z_][A-Za-z0-9_]{2,39})(?![A-Za-z0-9_])", found[d][2])))
+    beside = defaultdict(set)
+    for d, t in table:
+        for a, e, w in found[d][3]:
+            beside[w].add((t[max(0, a - 24) : a], t[e : e + 24]))
+    plain = {w for w, s in beside.items() if len(s) >= 3}
     words, size = [], 0
     for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0])):
         size += len(w) + 1
@@ -706,7 +711,7 @@ def brute_novel(table):
         adds = sorted(size(f"{b} {around} {v}") - size(f"{b} {around} ") for b in (" ".join(words[k::5])[:1500] for k in range(5)))
         return adds[2] >= secrets.NOVEL * len(v)
 
-    return words, {d: ([x[:2] for x in more if novel(x, blank)], sum(novel(x, blank) for x in base)) for d, (base, more, blank) in found.items()}
+    return words, {d: ([x[:2] for x in more if x[2] not in plain and not x[2].isdigit() and novel(x, blank)], sum(novel(x, blank) for x in base)) for d, (base, more, blank, _) in found.items()}
 
 
 def secret_value(kind, span):
@@ -733,7 +738,7 @@ def test_novel_spans_equal_brute_force(spark):
     table = [(d, t) for d, t, *_ in planted] + list(enumerate(SECRETS, 1000)) + [(2000 + i, t) for i, t in enumerate(texts[:80])] + [(3000, "secret = " + random_token(5, 30)), (3001, "password: passwordpassword")]
     x = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
     words, want = brute_novel(table)
-    assert secrets.identifiers(x) == words and len(words) > 1000
+    assert secrets.identifiers(secrets.scanned(x)) == words and len(words) > 1000
     got = {r.doc_id: ([tuple(map(int, y.split(":")[1:])) for y in r.spans.split(",") if y.startswith("novel")], r.n_base_novel) for r in secrets.scan_documents(x).collect()}
     assert got == want and want[3000][1] == 1 and want[3001][1] == 0
 
@@ -746,6 +751,11 @@ def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
     hit = lambda d, t, w: any(t[int(a) : int(b)] == w for a, b in got[d])
     share = lambda kind: sum(hit(d, t, w) for d, t, w, k in planted if k == kind) / sum(k == kind for *_, k in planted)
     assert share(1) >= 0.9 and share(0) <= 0.08
+    words = sorted({w for t in texts for w in secrets.TOKEN.findall(t) if w.isalpha()})
+    r = random.Random(5)
+    rows = [(i, f"{prose(i, 5)} the {r.choice(['keyboard', 'author', 'secretary', 'key', 'token'])} {r.choice(words)} of {r.choice(words)} and {r.choice(words)}, order {r.randrange(10**15, 10**16)}") for i in range(200)]
+    more = [(1000 + i, f"{prose(i, 3)} {r.choice(words)} {w} {prose(i + 1, 3)}") for i, w in enumerate(words * 4)]
+    assert sum(len(x) for d, x in novel_of(spark, rows + more).items() if d < 1000) <= 0.02 * 4 * len(rows)
     assert sum(bool(got[10_000 + i]) for i in range(len(texts))) <= 0.01 * len(texts)
 
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import corpus_pipeline as P
 from keelstone.llm import lines, mixing, quality
 
-from .test_operators import brute_dedup, brute_join, brute_measure, brute_targets, plain_alignment
+from .test_operators import TEXTS, brute_dedup, brute_join, brute_measure, brute_targets, plain_alignment
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,61 @@ def test_stages(spark, tmp_path):
 
     whole = sorted(map(tuple, P.run(spark, SF).collect()))
     assert whole == sorted(map(tuple, docs.collect()))
+
+
+CASES = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, _h string, c0 string, taken string, grp string"
+
+
+def cases(spark):
+    table = [(d, t, lang, s, len(t or ""), "k", "h", "c", "t", "g") for d, t, lang, s in TEXTS]
+    return spark.createDataFrame(table, CASES)
+
+
+def test_stages_chained_without_a_write_give_the_rows_of_run(spark):
+    def chain():
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in P.STAGES:
+            docs = stage(spark, docs, SF)
+        return docs
+
+    want = sorted(map(tuple, P.run(spark, SF).collect()))
+    a = chain()
+    b = chain()  # a second chain before the first is read
+    assert sorted(map(tuple, a.collect())) == want
+    again = P.run(spark, SF)
+    assert sorted(map(tuple, b.collect())) == want and sorted(map(tuple, again.collect())) == want and sorted(map(tuple, a.collect())) == want
+
+
+def test_a_stage_called_twice(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = P.quality_rules(spark, docs, SF)
+    second = P.quality_rules(spark, first, SF)
+    assert second.count() <= first.count() > 0
+
+
+def test_run_leaves_only_its_result(spark):
+    import os
+
+    from keelstone.llm.common import prepare
+
+    prepare(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = P.run(spark, SF)
+    (new,) = set(os.listdir(folder)) - before
+    assert new.startswith("pipeline-") and os.listdir(f"{folder}/{new}") == [str(len(P.STAGES) - 1)]
+    assert out.count() > 0
+
+
+def test_nulls_repeats_clashing_columns_and_empty_tables_through_all_stages(spark):
+    docs = cases(spark)
+    for df in (docs, docs.union(docs), docs.filter("false"), docs.filter("text IS NULL OR text = ''")):
+        x, before = df, None
+        for name, stage in P.STAGES:
+            x, before = stage(spark, x, SF), x
+            if name != "source mixing":
+                assert x.columns == docs.columns and x.count() <= before.count()
+        got = x.collect()
+        assert all(0 < r.taken <= 3 * r.size for r in got)
+        if df is not docs and df.isEmpty():
+            assert got == []
