@@ -3,7 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``docs``.  ``run`` writes every stage as Parquet to the shared
 folder and reads it again, so a lost executor never costs more than one stage; a stage's
-input goes when its result is written.
+input, and what the stage kept, goes when its result is written.
+
+A stage returns a lazy DataFrame.  It deletes its own intermediate tables and keeps small
+ones (limits, deleted lines, ids) that its result reads; no stage touches another's, so
+stages can be chained without writing, and runs can be interleaved.
+
+Defined results: null, empty and very long texts, ties, repeated rows and empty tables are
+treated as each operator's docstring says; columns besides doc_id, text, lang and source, of
+any name, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.llm import decontaminate, jaccard, lines, mixing, quality
-from keelstone.llm.common import KEPT, forget, prepare, table
+from keelstone.llm.common import forget, prepare, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,28 +51,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).filter("taken > 0")
 
 
-def _tidy(stage):
-    """``stage``, deleting first what the stage before it kept: its result has been written by then."""
-
-    def run_stage(spark, docs, sf_dir):
-        forget(*_left)
-        _left.clear()
-        start = len(KEPT)
-        out = stage(spark, docs, sf_dir)
-        _left.extend(KEPT[start:])
-        return out
-
-    return run_stage
-
-
-_left: list[str] = []
-
 STAGES = [
-    ("quality rules", _tidy(quality_rules)),
-    ("line dedup", _tidy(line_dedup)),
-    ("n-gram jaccard join", _tidy(near_copies)),
-    ("benchmark decontamination", _tidy(benchmark_leaks)),
-    ("source mixing", _tidy(source_mix)),
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("source mixing", source_mix),
 ]
 
 #: Alignment scores and MinHash groups are not expressible in SQL; tests/llm holds run() against a brute-force version.
@@ -76,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             forget(f"{folder}/{k - 1}")
