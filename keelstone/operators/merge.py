@@ -23,6 +23,30 @@ def lsn_order(lsn: str = "LSN", event: str = "EVENT_ID") -> Column:
     return F.struct(F.when(F.startswith(F.col(lsn), F.lit("snapshot-")), 0).otherwise(1), F.coalesce(F.col(lsn).try_cast("bigint"), F.lit(-1)), F.col(event))
 
 
+def newest_rank(ordering: str | None, arrival: str = "_arrival") -> list[Column]:
+    """What ranks the rows of a key, whatever the order in which they come: with ``ordering`` stamped before unstamped, the newest stamp, the first arrival; else the last arrival."""
+    at = [F.col(f"{arrival}.offset"), F.col(f"{arrival}.partition")]
+    if ordering is None:
+        return at
+    return [F.col(ordering).isNotNull().alias("stamped"), F.coalesce(F.col(ordering).cast("string"), F.lit("")).alias("stamp"), *[(-c).alias(f"at{i}") for i, c in enumerate(at)]]
+
+
+def newest(rows: DataFrame, key: list[str], ordering: str | None = None, arrival: str = "_arrival") -> DataFrame:
+    """The row of each key that ranks highest, with its ``arrival``: one aggregate.
+
+    Applied to a table and a batch together it upserts; as the rank lies in the rows,
+    batches may be repeated and come in any order.  ``createdAt`` is kept from the row
+    already in the table (``_src`` 0) or else from the first arrival.
+    """
+    values = [c for c in rows.columns if c not in key]
+    agg = [F.max_by(F.struct(*values), F.struct(*newest_rank(ordering, arrival))).alias("_v")]
+    if "createdAt" in values:
+        first = [c for c in ("_src", arrival) if c in values]
+        agg.append(F.min_by("createdAt", F.struct(*first)).alias("_created"))
+    x = rows.groupBy(*key).agg(*agg)
+    return x.select(*[F.col("_created").alias(c) if c == "createdAt" else F.col(c) if c in key else F.col(f"_v.{c}").alias(c) for c in rows.columns])
+
+
 def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str | None = None, arrival: str = "_arrival") -> DataFrame:
     """Current rows and an incoming batch as the new current rows.
 

@@ -116,7 +116,12 @@ def page_frame(df: DataFrame, order: list[tuple[str, bool]], limit: int, after:
 
 def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn") -> DataFrame:
     """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows."""
-    x = fixed(ordered(df, order)).withColumn("_id", F.monotonically_increasing_id())
+    return places(ordered(df, order), name)
+
+
+def places(df: DataFrame, name: str = "rn") -> DataFrame:
+    """``name``: 1-based place in the order that ``df`` has."""
+    x = fixed(df).withColumn("_id", F.monotonically_increasing_id())
     x = x.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     counts = sorted((r._part, r["count"]) for r in x.groupBy("_part").count().collect())  # a row per partition
     upto, start = 0, []

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import delta
 from ..plans import vendor
 from ..sources import feeds, fixed_width as fw
-from ..tables import load
+from ..operators.select import places
+from ..tables import fixed, load
 from . import standins as S
 from .standins import sql
 
@@ -34,9 +35,9 @@ def s3(spark, d):
 
 
 def s4(spark, d):
-    lines = _lines(spark, d)
-    x = fw.manifests(fw.controls(lines), fw.batch_ids(lines), F.lit(AT))
-    return x.select(F.substring_index("batchId", ":", 1).alias("batchName"), F.length("batchId").cast("bigint").alias("id_length"), "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
+    raw = fw.raw_lines(spark, S.wire_files(spark, d))
+    x = fw.manifests(fw.controls(fw.classify(fw.lines_of(raw))), fw.batch_ids(raw), F.lit(AT))
+    return x.select("batchId", "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
 
 
 def s5(spark, d):
@@ -48,13 +49,10 @@ def s5(spark, d):
 
 
 def s6(spark, d):
-    """Of four batches, two are in the ledger under their own ids and one under another content."""
-    ids = fw.batch_ids(_lines(spark, d))
-    from ..tables import fixed
-
-    ids = fixed(ids)
+    """Of four batches, two are in the ledger under their own ids and one under another content; the ids follow the bytes."""
+    ids = fixed(fw.batch_ids(fw.raw_lines(spark, S.wire_files(spark, d))))
     old = ids.filter(F.col("file").isin("CUSTPOS_20240110", "CUSTPOS_20240111")).select("batchId").unionByName(ids.filter("file = 'CUSTPOS_20240112'").select(F.concat("file", F.lit(":000000000000")).alias("batchId")))
-    return fw.unseen(ids, old).select("file")
+    return fw.unseen(ids, old).select("file", "batchId")
 
 
 def s7(spark, d):
@@ -74,8 +72,9 @@ def s8(spark, d):
 
 
 def s9(spark, d):
-    x = feeds.discover(spark, S.wire_files(spark, d), "*.txt").select(F.regexp_extract("path", r"(CUSTPOS_[0-9]{8})", 1).alias("file"))
-    return x.distinct()
+    """The files in the order in which they are found: oldest name first."""
+    x = places(feeds.discover(spark, S.wire_files(spark, d), "*.txt"), "place")
+    return x.select("place", F.regexp_extract("path", r"(CUSTPOS_[0-9]{8})", 1).alias("file"), F.col("length").alias("bytes"))
 
 
 def s10(spark, d):
@@ -153,17 +152,28 @@ _DELTA = """SELECT coalesce(a.p_partkey, b.p_partkey) AS key, CASE WHEN a.p_part
   FROM (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0) a FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey % 37 <> 0) b ON a.p_partkey = b.p_partkey"""
 _CTL = f"""SELECT f, {_F} AS file, count(*) FILTER (WHERE ok) AS recordCount, count(*) FILTER (WHERE NOT ok) AS rejectedCount, count(*) AS trailerRecordCount, CAST(coalesce(sum(qty) FILTER (WHERE ok), 0) AS DECIMAL(28,4)) AS totalQty, CAST(coalesce(sum(val) FILTER (WHERE ok), 0) AS DECIMAL(28,2)) AS totalValue,
   CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 OR f = 3 THEN 'FAILED' ELSE 'COMPLETE' END AS status, CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'REJECTED_LINES' WHEN f = 3 THEN 'VALUE_MISMATCH' END AS failReason FROM wire GROUP BY f"""
+_Z = lambda c, n, scale: f"lpad(CAST(CAST({c} * {10**scale} AS BIGINT) AS VARCHAR), {n}, '0')"
+_LINE = f"""CASE WHEN NOT ok THEN '03 short line' ELSE '03' || day || '0010001' || lpad(CAST(acct AS VARCHAR), 12, '0') || 'CU' || rpad(CASE WHEN blank OR k % 4 = 0 THEN '' ELSE lpad(CAST(k AS VARCHAR), 9, '0') END, 9, ' ')
+  || rpad(CASE WHEN blank THEN '' ELSE 'US' || lpad(CAST(k AS VARCHAR), 9, '0') || k % 10 END, 12, ' ') || rpad('SECURITY', 40, ' ') || 'EQURDTC ' || {_Z('qty', 16, 4)} || repeat('0', 16)
+  || lpad(CAST(CAST(CAST(val AS DECIMAL(18,2)) % 1000 * 100 AS BIGINT) AS VARCHAR) || repeat('0', 10), 15, '0') || {_Z('val', 15, 2)} || '0000012345}}202401020240109NUSD' || rpad('MF01', 8, ' ') END"""
+#: The wire files line by line, and their content hash: three polynomials modulo 2^31 - 1 by Horner's rule.
+_HORNER = ", ".join(f"list_reduce(list(CAST('0x' || substr(h, {1 + 7 * k}, 7) AS BIGINT) + 1 ORDER BY pos DESC), lambda a, x: (a * {base} + x) % {fw.PRIME}) AS d{k}" for k, base in enumerate(fw.BASES))
+_BYTES = f"""SELECT f, bytes, {_F} || ':' || substr(sha256(concat_ws(':', bytes, n, d0, d1, d2)), 1, 12) AS batchId FROM (
+  SELECT f, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, count(*) AS n, {_HORNER} FROM (SELECT *, md5(line) AS h FROM (
+    SELECT f, seq AS pos, {_LINE} AS line FROM (SELECT *, '2024011' || f AS day FROM wire)
+    UNION ALL SELECT f, 0, rpad('012024011' || f || 'MF01    20240110000000', 200, ' ') FROM (SELECT DISTINCT f FROM wire)
+    UNION ALL SELECT f, 1152921504606846976, rpad('992024011' || f || lpad(CAST(count(*) AS VARCHAR), 9, '0') || {_Z('sum(qty) FILTER (WHERE ok)', 18, 4)} || {_Z('(sum(val) FILTER (WHERE ok) + CASE WHEN f = 3 THEN 1 ELSE 0 END)', 18, 2)}, 200, ' ') FROM wire GROUP BY f)) GROUP BY f)"""
 SQL = {
     "s1_fixed_width_scan": sql(f"SELECT {_F} || '.dat' AS file, CASE WHEN ok THEN 'detail' ELSE 'reject' END AS kind, count(*) AS n FROM wire GROUP BY ALL UNION ALL SELECT {_F} || '.dat', unnest(['header', 'trailer']), 1 FROM (SELECT DISTINCT f FROM wire)", "wire"),
     "s2_sequence": sql("SELECT '2024011' || f || '-' || lpad(CAST(row_number() OVER (PARTITION BY f ORDER BY rn) AS VARCHAR), 6, '0') AS REC_ID, acct, CASE WHEN blank THEN '' ELSE 'US' || lpad(CAST(k AS VARCHAR), 9, '0') || k % 10 END AS POS_ISIN_NBR, lpad(CAST(CAST(qty * 10000 AS BIGINT) AS VARCHAR), 16, '0') AS POS_SHR_QTY, lpad(CAST(CAST(val * 100 AS BIGINT) AS VARCHAR), 15, '0') AS POS_MKT_VALUE FROM wire WHERE ok", "wire"),
     "s3_control_totals": sql(f"SELECT * EXCLUDE (f) FROM ({_CTL})", "wire"),
-    "s4_manifests": sql(f"SELECT file AS batchName, 29 AS id_length, substr(file, 9) AS cycleDate, file AS fileName, recordCount, totalQty AS controlTotalQty, status, failReason, rejectedCount FROM ({_CTL})", "wire"),
+    "s4_manifests": sql(f"SELECT batchId, substr(file, 9) AS cycleDate, file AS fileName, recordCount, totalQty AS controlTotalQty, status, failReason, rejectedCount FROM ({_CTL}) JOIN ({_BYTES}) USING (f)", "wire"),
     "s5_quarantine": sql(f"SELECT file, recordCount AS n, 'landed' AS what FROM ({_CTL}) WHERE status = 'COMPLETE' UNION ALL SELECT file, least(rejectedCount, 100), 'quarantined' FROM ({_CTL}) WHERE status = 'FAILED' AND rejectedCount > 0", "wire"),
-    "s6_unseen_batches": sql(f"SELECT DISTINCT {_F} AS file FROM wire WHERE f IN (2, 3)", "wire"),
+    "s6_unseen_batches": sql(f"SELECT {_F} AS file, batchId FROM ({_BYTES}) WHERE f IN (2, 3)", "wire"),
     "s7_delimited_drops": sql("""SELECT strftime(day, '%Y%m%d') AS MOV_FILE_DATE, '1030' AS MOV_FILE_TIME, 'CASHMOV_' || strftime(day, '%Y%m%d') || '_1030-' || lpad(CAST(row_number() OVER (PARTITION BY day ORDER BY event_id) AS VARCHAR), 5, '0') AS MOVEMENT_ID,
       coalesce(CAST(acct AS VARCHAR), 'X1') AS MOV_ACCT_NBR, ccy AS MOV_CCY_CD, CASE event_id % 50 WHEN 7 THEN '' WHEN 8 THEN 'abc' ELSE CAST(amount AS VARCHAR) END AS MOV_AMT, event_type AS MOV_TYPE_CD FROM mov""", "mov"),
     "s8_snapshot_gate": sql("SELECT Vendor_Ref, coalesce(isin, CASE WHEN k % 5 = 2 THEN '#N/A' ELSE '-' END) AS isin, p_name AS SecurityDesc, TRUE AS bad_copy_refused FROM vend WHERE channel = 0", "vend"),
-    "s9_discovery": sql(f"SELECT DISTINCT {_F} AS file FROM wire", "wire"),
+    "s9_discovery": sql(f"SELECT CAST(f + 1 AS BIGINT) AS place, {_F} AS file, bytes FROM ({_BYTES})", "wire"),
     "s10_incremental": "SELECT count(*) AS n, min(event_id) AS first, max(ts) AS watermark FROM events WHERE ts >= TIMESTAMP '2024-01-19 23:59:00'",
     "s10_poll_cycle": "SELECT event_id, ts FROM events",
     "s11_change_events": sql("SELECT lsn || '-accounts-' || pk AS EVENT_ID, op AS OP, pk AS PK, CAST(lsn AS VARCHAR) AS LSN, CAST(ms AS VARCHAR) AS TS_MS, CASE WHEN op <> 'd' THEN account_name END AS after_name, CASE WHEN op = 'd' THEN account_name END AS before_name, NULL AS reject FROM ace", "ace"),

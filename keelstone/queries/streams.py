@@ -58,6 +58,37 @@ def l4(spark, d):
     return x.select("topic", "stage", "error", "offset")
 
 
+def t1_poison(spark, d):
+    """A handler that turns amounts into numbers meets records whose amount is none: each of them becomes a dead letter, all others of its batch land, and the stream goes on."""
+    root = shared_folder(spark)
+    target = landing.Landing(spark, f"{root}/tables", ROUTES)
+    spoiled = F.when(F.col("offset") % 10_000 == 1, F.regexp_replace("value", '"AMOUNT":"[^"]*"', '"AMOUNT":"n/a"')).otherwise(F.col("value"))
+
+    def book(rows, n):
+        ok, _ = landing.split(landing.validated(rows.filter(F.col("topic") == EVENT.topic), EVENT), EVENT)
+        target.put("booked", ok.select("_arrival.offset", F.col("AMOUNT").cast("decimal(18,2)").alias("amount")), n)
+
+    isolated = landing.Isolated(book, lambda letters, n: target.put("dead_letters/stage=handler", letters, n))
+    landing.drain(landing.records(spark, record_files(spark, d), 2).withColumn("value", spoiled), isolated, f"{root}/checkpoint")
+    booked = target.appended("booked", "offset bigint, amount decimal(18,2)").select("offset", "amount", F.lit(None).cast("string").alias("error"))
+    letters = target.appended("dead_letters", landing.LETTERS).select("offset", F.lit(None).cast("decimal(18,2)").alias("amount"), F.substring("error", 1, 36).alias("error"))
+    return booked.unionByName(letters)
+
+
+def t6_state(spark, d):
+    """The guard in the state store: each batch hands on only the keys that it changed; half-way the query is stopped and goes on from its checkpoint."""
+    root, path = shared_folder(spark), record_files(spark, d)
+    target = landing.Landing(spark, f"{root}/tables", ROUTES)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path")).orderBy("path")
+    first = [r.path for r in files.limit(FILES // 2).collect()]  # FILES names at most
+    spark.read.text(first).write.text(f"{root}/records")
+    landing.run_guarded(landing.records(spark, f"{root}/records", 1), target, STATE, f"{root}/checkpoint")
+    rest = [r.path for r in files.collect() if r.path not in first]
+    spark.read.text(rest).write.mode("append").text(f"{root}/records")
+    landing.run_guarded(landing.records(spark, f"{root}/records", 1), target, STATE, f"{root}/checkpoint")
+    return target.current("raw_users").select("USER", "UPDATED", "KIND")
+
+
 def l7(spark, d):
     t = landed(spark, d)
     count = lambda n: t.current(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows")
@@ -72,9 +103,11 @@ def t4(spark, d):
 
 QUERIES = {
     "t1_batch_loop": t1,
+    "t1_poison_record": t1_poison,
     "t2_drain_backlog": lambda s, d: t1(s, d).groupBy("KIND").agg(F.count("*").alias("n")),
     "t3_continuous_run": t3,
     "t4_replay": t4,
+    "t6_stateful_guard": t6_state,
     "t6_late_data": lambda s, d: landed(s, d).current("raw_users").select("USER", "UPDATED"),
     "t7_tombstones": lambda s, d: landing.split(landing.validated(s.read.schema(landing.RECORD).json(record_files(s, d)), STATE), STATE)[0].agg(F.count("*").alias("n")),
     "l1_contract": lambda s, d: landing.validated(s.read.schema(landing.RECORD).json(record_files(s, d)).filter(F.col("topic") == EVENT.topic), EVENT).select("offset", "EVENT_KEY", "USER", F.array_join("errors", ",").alias("errors")),
@@ -88,9 +121,11 @@ _US = "SELECT event_id, CAST(user_id AS VARCHAR) AS \"USER\", strftime(ts - to_d
 _T4 = f"SELECT \"USER\", max(UPDATED) AS UPDATED, arg_max(KIND, (UPDATED, -event_id)) AS KIND FROM ({_US}) GROUP BY \"USER\""
 SQL = {
     "t1_batch_loop": _T1,
+    "t1_poison_record": f"SELECT event_id AS \"offset\", CASE WHEN event_id % 10000 <> 1 THEN CAST(AMOUNT AS DECIMAL(18,2)) END AS amount, CASE WHEN event_id % 10000 = 1 THEN 'handler failed: [CAST_INVALID_INPUT]' END AS error FROM ({_EV})",
     "t2_drain_backlog": f"SELECT KIND, count(*) AS n FROM ({_T1}) GROUP BY KIND",
     "t3_continuous_run": _T4,
     "t4_replay": _T4,
+    "t6_stateful_guard": _T4,
     "t6_late_data": f"SELECT \"USER\", UPDATED FROM ({_T4})",
     "t7_tombstones": "SELECT count(*) AS n FROM events WHERE event_id % 103 <> 0 AND (event_id % 2 = 1 OR event_id % 101 <> 0)",
     "l1_contract": "SELECT event_id AS \"offset\", CASE WHEN event_id % 101 <> 0 THEN 'E' || event_id % 4000 END AS EVENT_KEY, CAST(user_id AS VARCHAR) AS \"USER\", CASE WHEN event_id % 101 = 0 THEN 'EVENT_KEY' ELSE '' END AS errors FROM events WHERE event_id % 2 = 1 AND event_id % 103 <> 0",

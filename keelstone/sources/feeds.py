@@ -28,7 +28,7 @@ def read_drops(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     The header must hold the required columns and the name must have a date and time; anything else is an error.
     """
     lines = read_lines(spark, path, pattern)
-    first = F.first("line").over(Window.partitionBy("file", "block").orderBy("at"))
+    first = F.first("line").over(Window.partitionBy("path", "block").orderBy("at"))
     schema = ", ".join(f"{c} string" for c in CASH_FIELDS)
     head = ",".join(CASH_FIELDS)
     x = lines.withColumn("_head", F.when(F.col("block") == 0, first)).withColumn("_is", F.col("line") == head)
@@ -36,7 +36,7 @@ def read_drops(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     rows = x.filter("_ok AND NOT _is").withColumn("kind", F.lit("detail"))
     from .fixed_width import with_sequence
 
-    rows = with_sequence(rows.select("file", "block", "at", "line", "kind")).withColumn("r", F.from_csv("line", F.lit(schema)))
+    rows = with_sequence(rows.select("path", "file", "block", "at", "line", "kind")).withColumn("r", F.from_csv("line", F.lit(schema)))
     rows = rows.withColumns({"MOV_FILE_DATE": F.split("file", "_")[1], "MOV_FILE_TIME": F.split("file", "_")[2]})
     out = rows.select("file", "seq", "MOV_FILE_DATE", "MOV_FILE_TIME", *[F.coalesce(F.trim(f"r.{c}"), F.lit("")).alias(c) for c in CASH_FIELDS])
     return out.withColumn("MOVEMENT_ID", F.concat_ws("-", "file", F.lpad(F.col("seq").cast("string"), 5, "0")))

@@ -25,15 +25,27 @@ def fields(line: Column, layout: tuple[tuple[str, int], ...]) -> list[Column]:
     return out
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """file, block, at, line: ``(block, at)`` orders the lines of a file, however many splits it has.
+def raw_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, file, size, block, at, raw: every line as it was delivered, blank ones and carriage returns included.
 
-    ``file`` is the batch name in the path; a name that is no batch name is an error, not a batch of its own.
+    ``path`` names a delivery, ``file`` is the batch name in it; a name that is no batch name
+    is an error, not a batch of its own.  ``(block, at)`` orders the lines of a file, however
+    many splits it has, and ``at`` counts on within a split.
     """
-    x = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    x = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([A-Z]+_[0-9]{8}(?:_[0-9]{4})?)\.(?:dat|csv)", 1)
     known = F.when(name != "", name).otherwise(F.raise_error(F.concat(F.lit("BAD_FILE_NAME: "), F.col("_metadata.file_path"))))
-    return x.select(known.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    return x.select(F.col("_metadata.file_path").alias("path"), known.alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+
+
+def lines_of(raw: DataFrame) -> DataFrame:
+    """path, file, block, at, line: the lines that are not blank, without carriage returns."""
+    x = raw.withColumn("line", F.when(F.endswith("raw", F.lit("\r")), F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw")))
+    return x.select("path", "file", "block", "at", "line").filter(F.trim("line") != "")
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return lines_of(raw_lines(spark, path, pattern))
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -48,16 +60,16 @@ def with_sequence(lines: DataFrame, name: str = "seq") -> DataFrame:
     from pyspark.sql import Window
 
     d = lines.filter("kind = 'detail'")
-    counts = d.groupBy("file", "block").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy("path", "block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")  # a row per split
-    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))  # a split is one task's share
-    return d.withColumn("_within", within).join(before, ["file", "block"]).withColumn(name, F.col("before") + F.col("_within")).drop("_within", "before")
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))  # a split is one task's share
+    return d.withColumn("_within", within).join(before, ["path", "block"]).withColumn(name, F.col("before") + F.col("_within")).drop("_within", "before")
 
 
 def details(lines: DataFrame) -> DataFrame:
-    """file, REC_ID and the declared fields of every detail."""
-    x = with_sequence(lines).select("file", "seq", *fields(F.col("line"), DETAIL))
+    """path, file, REC_ID and the declared fields of every detail."""
+    x = with_sequence(lines).select("path", "file", "seq", *fields(F.col("line"), DETAIL))
     return x.withColumn("REC_ID", F.concat_ws("-", "POS_BUS_DATE", F.lpad(F.col("seq").cast("string"), 6, "0")))
 
 
@@ -69,7 +81,7 @@ def controls(lines: DataFrame) -> DataFrame:
     first = lambda kind, layout, name: F.min(F.when(is_(kind), at(layout, name)))
     qty, value = zoned(at(DETAIL, "POS_SHR_QTY"), 4), zoned(at(DETAIL, "POS_MKT_VALUE"), 2)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    x = lines.groupBy("file").agg(
+    x = lines.groupBy("path", "file").agg(
         n(is_("header")).alias("headers"), n(is_("trailer")).alias("trailers"), n(is_("detail")).alias("recordCount"), n(is_("reject")).alias("rejectedCount"),
         n(is_("detail") & (qty.isNull() | value.isNull())).alias("undecodable"),
         first("header", HEADER, "BUS_DATE").alias("cycleDate"), first("trailer", TRAILER, "BUS_DATE").alias("trailerCycle"), first("trailer", TRAILER, "REC_COUNT").alias("declared"),
@@ -88,39 +100,69 @@ def controls(lines: DataFrame) -> DataFrame:
 
 def manifests(verdicts: DataFrame, ids: DataFrame, extracted_at: Column) -> DataFrame:
     """One row per batch, complete or failed."""
-    return verdicts.join(ids, "file").select("batchId", "cycleDate", F.col("file").alias("fileName"), "recordCount", "trailerRecordCount", F.col("totalQty").alias("controlTotalQty"), F.col("totalValue").alias("controlTotalValue"), "status", "failReason", "rejectedCount", extracted_at.alias("extractedAt"))
+    return verdicts.join(ids.drop("file"), "path").select("batchId", "cycleDate", F.col("file").alias("fileName"), "recordCount", "trailerRecordCount", F.col("totalQty").alias("controlTotalQty"), F.col("totalValue").alias("controlTotalValue"), "status", "failReason", "rejectedCount", extracted_at.alias("extractedAt"))
 
 
 def accepted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of complete batches: a failed one emits none.  A verdict is a row per file."""
-    return rows.join(small(verdicts.filter("status = 'COMPLETE'").select("file")), "file", "left_semi")
+    return rows.join(small(verdicts.filter("status = 'COMPLETE'").select("path")), "path", "left_semi")
 
 
 def quarantined(lines: DataFrame, verdicts: DataFrame, limit: int = QUARANTINE) -> DataFrame:
     """The first reject lines of every failed batch."""
     from pyspark.sql import Window
 
-    failed = small(verdicts.filter("status = 'FAILED'").select("file"))
-    w = Window.partitionBy("file").orderBy("block", "at")
-    return lines.filter("kind = 'reject'").join(failed, "file", "left_semi").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit)
+    failed = small(verdicts.filter("status = 'FAILED'").select("path"))
+    w = Window.partitionBy("path").orderBy("block", "at")
+    return lines.filter("kind = 'reject'").join(failed, "path", "left_semi").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit)
 
 
-#: Lines that are hashed together; a file's id is the hash of its chunks' hashes.
-CHUNK = 10_000
+#: Fixed values of the content hash: the modulus 2^31 - 1, its bases, and the bits of a place that one table of powers covers.
+PRIME = (1 << 31) - 1
+BASES = (1_000_003, 16_777_619, 611_953)
+_DIGIT, _DIGITS = 6, 6
+#: ``at`` without the number of its task.
+_WITHIN = (1 << 33) - 1
 
 
-def batch_ids(lines: DataFrame) -> DataFrame:
-    """file, batchId = <name>:<first 12 hex digits of a content hash>.
+def _power(base: int, n: Column) -> Column:
+    """base^n mod PRIME for n below 2^36, from tables of powers."""
+    out = None
+    for k in range(_DIGITS):
+        table = F.array(*[F.lit(pow(base, d << (_DIGIT * k), PRIME)).cast("bigint") for d in range(1 << _DIGIT)])
+        x = F.get(table, F.shiftright(n, _DIGIT * k).bitwiseAND((1 << _DIGIT) - 1).cast("int"))
+        out = x if out is None else out * x % PRIME
+    return out
 
-    The hash depends on the file's lines and their places alone: SHA-256 over the chunks'
-    SHA-256, a chunk being ``CHUNK`` lines joined by line feeds.  How the file is split
-    among tasks, and what else is in the folder, does not matter; files of any size do.
+
+def split_digests(raw: DataFrame) -> DataFrame:
+    """path, file, size, block, lines, d0, d1 ...: a digest of every split's lines, as if the split began the file."""
+    at, hashed = F.col("at").bitwiseAND(_WITHIN), F.md5("raw")
+    part = lambda k: F.conv(F.substring(hashed, 1 + 7 * k, 7), 16, 10).cast("bigint") + 1
+    sums = [(F.sum(part(k) * _power(base, at) % PRIME) % PRIME).alias(f"d{k}") for k, base in enumerate(BASES)]
+    x = raw.groupBy("path", "file", "size", "block").agg(F.count("*").alias("lines"), F.min(at).alias("_from"), *sums)
+    for k, base in enumerate(BASES):  # back by the places before the split in its task
+        x = x.withColumn(f"d{k}", F.col(f"d{k}") * _power(pow(base, PRIME - 2, PRIME), F.col("_from")) % PRIME)
+    return x.drop("_from")
+
+
+def batch_ids(raw: DataFrame) -> DataFrame:
+    """path, file, batchId = <name>:<first 12 hex digits of a hash of the file's bytes>.
+
+    A line stands for three numbers of its MD5, and the hash is that of three polynomials
+    in them, with the line's place as exponent, and of the file's size.  Polynomials of
+    splits add up once each is moved to its place, so a file is hashed where it is read and
+    only a row per split is shuffled; how it is split, and what else is in the folder,
+    does not matter.  Carriage returns, blank lines and a missing end of line count.
     """
-    x = with_sequence(lines.withColumn("kind", F.lit("detail"))).withColumn("chunk", F.expr(f"(seq - 1) div {CHUNK}"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r.line), "\n")
-    chunks = x.groupBy("file", "chunk").agg(F.sha2(text, 256).alias("h"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "h"))), lambda r: r.h), "")
-    return chunks.groupBy("file").agg(F.concat(F.col("file"), F.lit(":"), F.substring(F.sha2(whole, 256), 1, 12)).alias("batchId"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    x = split_digests(raw).withColumn("_before", F.coalesce(F.sum("lines").over(w), F.lit(0)))  # a row per split
+    whole = [(F.sum(F.col(f"d{k}") * _power(base, F.col("_before")) % PRIME) % PRIME).alias(f"d{k}") for k, base in enumerate(BASES)]
+    x = x.groupBy("path", "file", "size").agg(F.sum("lines").alias("lines"), *whole)
+    digest = F.sha2(F.concat_ws(":", "size", "lines", *[f"d{k}" for k in range(len(BASES))]), 256)
+    return x.select("path", "file", F.concat(F.col("file"), F.lit(":"), F.substring(digest, 1, 12)).alias("batchId"))
 
 
 def unseen(ids: DataFrame, ledger: DataFrame) -> DataFrame:

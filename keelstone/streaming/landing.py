@@ -7,16 +7,21 @@ package swaps the format there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PythonException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.merge import merge
+from ..operators.merge import newest, newest_rank
+from ..operators.select import number_rows
 from ..registry import EntitySpec
 
 RECORD = "topic string, partition int, offset bigint, key string, value string, ts timestamp"
 BATCH_FILES = 8
 ERROR_CHARS = 1000
+#: Buckets of a raw table, and the records of a batch that may fail before the handler itself is at fault.
+BUCKETS = 64
+MOST_FAILING = 100
 LETTERS = "topic string, stage string, error string, partition int, offset bigint, at timestamp, payload string"
 BEATS = "topic string, collection string, n bigint, at timestamp"
 
@@ -43,57 +48,176 @@ def split(judged: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:
 class Landing:
     """``foreachBatch`` target: routes a batch by topic into raw tables, rejects to dead letters, heartbeats beside them.
 
-    A batch appends its rows to each table's log as one partition ``batch=<id>``, which a
-    retried batch overwrites, so its work depends on the batch alone, not on the table.
-    ``current`` merges a log by key; ``compact`` does so for the batches so far and
-    keeps the result as the log's first partition.
+    A raw table is Parquet partitioned by ``bucket``, a hash of the key.  A batch reads and
+    rewrites the buckets that its keys fall into, by dynamic partition overwrite, and no
+    others; readers take the table as it is, and nothing has to be compacted.  A row keeps
+    its ``_arrival`` (offset and partition), and which of two rows of a key stays follows from
+    the rows alone (``merge.newest``), so a retried, replayed or late batch ends in the same table.
+
+    The number of buckets is fixed for a table's life.  A bucket is replaced when the
+    write commits; a driver that is lost just then leaves it to a replay of the source.
     """
 
-    def __init__(self, spark: SparkSession, root: str, routes: dict[str, EntitySpec]):
-        self.spark, self.root, self.routes = spark, root, routes
+    def __init__(self, spark: SparkSession, root: str, routes: dict[str, EntitySpec], buckets: int = BUCKETS):
+        self.spark, self.root, self.routes, self.buckets = spark, root, routes, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            letters = beats = None
+            parts, judged, letters = [], {}, None
             for topic, spec in self.routes.items():
-                judged = validated(batch.filter(F.col("topic") == topic), spec)
-                ok, bad = split(judged, spec)
-                self._put(spec.name, ok, batch_id)
-                beat = judged.filter(F.size("errors") == 0).agg(F.count("*").alias("n"), F.max("ts").alias("at")).select(F.lit(topic).alias("topic"), F.lit(spec.name).alias("collection"), "n", "at")
+                x = validated(batch.filter(F.col("topic") == topic), spec)
+                ok, bad = split(x, spec)
+                judged[spec.name] = (spec, ok)
                 letters = bad if letters is None else letters.unionByName(bad)
-                beats = beat if beats is None else beats.unionByName(beat)
-            for name, rows in (("dead_letters", letters), ("sink_progress", beats.filter("n > 0"))):
-                self._put(name, rows, batch_id)
+                good = F.size("errors") == 0
+                parts.append(x.select("topic", good.alias("good"), F.when(good, F.col("ts")).alias("ts"), F.when(good, self._bucket(spec)).alias("bucket")))
+            every = parts[0]
+            for part in parts[1:]:
+                every = every.unionByName(part)
+            # one job for all topics; a row per topic, with at most ``buckets`` numbers
+            found = every.groupBy("topic").agg(F.sum(F.col("good").cast("bigint")).alias("n"), F.count("*").alias("seen"), F.max("ts").alias("at"), F.collect_set("bucket").alias("buckets")).collect()
+            for r in found:
+                if r.n:
+                    spec, ok = judged[self.routes[r.topic].name]
+                    self.upsert(spec, ok, r.buckets)
+            if any(r.seen > r.n for r in found):
+                self.put("dead_letters/stage=landing", letters.drop("stage"), batch_id)
+            if beats := [(r.topic, self.routes[r.topic].name, r.n, r.at) for r in found if r.n]:
+                self.put("sink_progress", self.spark.createDataFrame(beats, BEATS).coalesce(1), batch_id)
         finally:
             batch.unpersist()
 
-    def _put(self, name: str, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
-
-    def log(self, spec: EntitySpec) -> DataFrame:
-        """Every landed row with ``_arrival`` and its batch."""
-        more = T.StructType.fromDDL("_arrival struct<offset: bigint, partition: int>, batch bigint")
-        schema = T.StructType([*spec.schema.fields, *more.fields])
+    def _bucket(self, spec: EntitySpec) -> Column:
+        return F.pmod(F.xxhash64(*spec.key), F.lit(self.buckets)).cast("int")
+
+    def upsert(self, spec: EntitySpec, rows: DataFrame, touched: list[int] | None = None) -> None:
+        """Merge rows with ``_arrival`` into a table; only the buckets of their keys are read and written."""
+        rows = rows.withColumn("bucket", self._bucket(spec))
+        if touched is None:
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        rows = newest(rows, [*spec.key, "bucket"], spec.ordering)  # combined before the buckets are dealt out
+        held = self._table(spec).filter(F.col("bucket").isin(touched))
+        both = held.withColumn("_src", F.lit(0)).unionByName(rows.withColumn("_src", F.lit(1))).repartition("bucket")
+        done = newest(both, [*spec.key, "bucket"], spec.ordering).drop("_src")
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{spec.name}")
+
+    def _table(self, spec: EntitySpec) -> DataFrame:
+        schema = T.StructType([*spec.schema.fields, *T.StructType.fromDDL("_arrival struct<offset: bigint, partition: int>, bucket int").fields])
         return self.appended(spec.name, schema)
 
     def current(self, name: str) -> DataFrame:
-        """The table as it stands: one aggregate over its log."""
+        """The table as it stands."""
         spec = next(s for s in self.routes.values() if s.name == name)
-        none = self.spark.createDataFrame([], spec.schema)
-        return merge(none, self.log(spec).drop("batch"), list(spec.key), spec.ordering)
+        return self._table(spec).select(*spec.columns)
 
-    def compact(self, name: str, target: str) -> None:
-        """The rows that decide the current ones, as a log of one batch at ``target``; a reader moves there when it is written."""
-        spec = next(s for s in self.routes.values() if s.name == name)
-        x = self.log(spec)
-        at = [F.col("_arrival.offset"), F.col("_arrival.partition")]
-        rank = F.struct(*at) if spec.ordering is None else F.struct(F.col(spec.ordering).isNotNull(), F.coalesce(F.col(spec.ordering).cast("string"), F.lit("")), *[-c for c in at])
-        rows = x.groupBy(*spec.key).agg(F.max_by(F.struct(*x.drop("batch").columns), rank).alias("r")).select("r.*")
-        rows.write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
+    def put(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        """Append rows as one partition ``batch=<id>``, which a retried batch overwrites."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
     def appended(self, name: str, schema: str | T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        """What has been written under ``name``; nothing before the first write."""
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+
+def reason(e: Exception) -> str:
+    """What a failed job says, without stack traces: the first line, of an error in Python code the last."""
+    lines = [x for x in str(e).strip().splitlines() if x.strip() and not x.lstrip().startswith(("at ", "File "))]
+    return (lines or [type(e).__name__])[-1 if isinstance(e, PythonException) else 0].strip()[:ERROR_CHARS]
+
+
+class Isolated:
+    """``foreachBatch`` target that lets a record that makes ``target`` fail cost that record, not the batch.
+
+    A failed batch is fixed, numbered by topic, partition and offset, and halved: a half
+    that fails is halved again, so one bad record among n takes about log2(n) further
+    attempts.  ``target(rows, batch_id)`` must overwrite what it wrote for the same batch
+    (as ``Landing`` does); at the end it gets all the rows that it can handle in one call,
+    and the others go to ``letters(rows, batch_id)`` with their place, payload and error.
+    More than ``most`` bad records in a batch are taken for a fault of the target itself:
+    its error is raised, and the stream stops before its checkpoint moves.
+    """
+
+    def __init__(self, target, letters, most: int = MOST_FAILING):
+        self.target, self.letters, self.most, self.attempts = target, letters, most, 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        try:
+            return self.target(batch, batch_id)
+        except Exception as e:
+            first = e
+        rows = number_rows(batch, [("topic", True), ("partition", True), ("offset", True)])
+        bad = self._failing(rows, rows.count(), batch_id, first)
+        names = batch.columns
+        self.target(rows.filter(~F.col("rn").isin([n for n, _ in bad])).select(*names), batch_id)
+        if bad:
+            said = batch.sparkSession.createDataFrame(bad, "rn bigint, error string")
+            letters = rows.join(F.broadcast(said), "rn").select(  # at most ``most`` rows
+                "topic", F.concat(F.lit("handler failed: "), "error").alias("error"), "partition", "offset", F.coalesce("ts", F.current_timestamp()).alias("at"), F.substring("value", 1, ERROR_CHARS).alias("payload")
+            )
+            self.letters(letters, batch_id)
+
+    def _failing(self, rows: DataFrame, n: int, batch_id: int, first: Exception) -> list[tuple[int, str]]:
+        """(place, error) of the records that fail on their own."""
+        bad: list[tuple[int, str]] = []
+        todo = [(1, n, True)]  # (from, to, known to fail)
+        while todo:
+            a, b, fails = todo.pop()
+            error = None
+            if not fails or a == b:
+                try:
+                    self.attempts += 1
+                    self.target(rows.filter(F.col("rn").between(a, b)).drop("rn"), batch_id)
+                    continue
+                except Exception as e:
+                    error = e
+            if a == b:
+                bad.append((a, reason(error)))
+                if len(bad) > self.most:
+                    raise first
+                continue
+            middle = (a + b) // 2
+            todo += [(middle + 1, b, False), (a, middle, False)]
+        return bad
+
+
+def changes(rows: DataFrame, spec: EntitySpec) -> DataFrame:
+    """A stream's rows (the entity's columns, offset and partition) -> each key's newest row, emitted by the batch in which it changes (update mode).
+
+    The state store holds a row and its rank per key, so a late or repeated row is
+    dropped there and never reaches the table.  The winning row carries the time of the
+    batch that brought it, which the checkpoint fixes for retries; a key whose winner is
+    older did not change.  With stamped entities the newest stamp wins and then the first
+    arrival, otherwise the last arrival.
+    """
+    x = rows.select(*spec.columns, F.struct("offset", "partition").alias("_arrival"), F.current_timestamp().alias("_seen"))
+    values = [c for c in x.columns if c not in spec.key]
+    rank = F.struct(*newest_rank(spec.ordering), (-F.unix_micros("_seen")).alias("first"))
+    out = x.groupBy(*spec.key).agg(F.max_by(F.struct(*values), rank).alias("_v"))
+    return out.filter(F.col("_v._seen") == F.current_timestamp()).select(*[F.col(c) if c in spec.key else F.col(f"_v.{c}").alias(c) for c in spec.columns], F.col("_v._arrival").alias("_arrival"))
+
+
+def run_guarded(stream: DataFrame, target: Landing, spec: EntitySpec, checkpoint: str, topic: str | None = None):
+    """Drain a topic through the state store into its table; returns the finished query."""
+    topic = topic or spec.topic
+    ok = validated(stream.filter(F.col("topic") == topic), spec).filter(F.size("errors") == 0)
+
+    def land(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        try:
+            target.upsert(spec, rows)
+        finally:
+            rows.unpersist()
+
+    q = changes(ok, spec).writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
 def drain(stream: DataFrame, target, checkpoint: str) -> None:

@@ -1,5 +1,7 @@
 """Source and curation cases: truncated input is refused, replays and arrival orders do not matter."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,34 +68,64 @@ def test_control_reasons(spark, tmp_path, body, reason):
     assert fw.accepted(lines.filter("kind = 'detail'"), fw.controls(lines)).count() == (0 if reason else 1)
 
 
-def test_batch_id_follows_the_bytes(spark, tmp_path):
-    """The id is the hash of the file's lines, whatever else is in the folder and however the file is split."""
+def plain_id(name, body):
+    """The content hash by plain loops over the bytes."""
     import hashlib
 
-    body = [detail(str(i)) for i in range(400)]
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    want = "CUSTPOS_20240110:" + sha(sha("\n".join(body)))[:12]
-    ids = lambda p: {r.file: r.batchId for r in fw.batch_ids(fw.read_lines(spark, p)).collect()}
-    path = write(spark, tmp_path, "CUSTPOS_20240110.dat", body)
-    assert ids(path) == {"CUSTPOS_20240110": want}
-    for day in range(11, 18):
-        write(spark, tmp_path, f"CUSTPOS_202401{day}.dat", body[: day * 3])
-    assert ids(path)["CUSTPOS_20240110"] == want
+    lines = body.split(b"\n")
+    if lines[-1] == b"":
+        lines.pop()
+    h = [hashlib.md5(x).hexdigest() for x in lines]
+    d = [sum((int(x[7 * k : 7 * k + 7], 16) + 1) * pow(base, i, fw.PRIME) for i, x in enumerate(h)) % fw.PRIME for k, base in enumerate(fw.BASES)]
+    return f"{name}:{hashlib.sha256(':'.join(map(str, [len(body), len(lines), *d])).encode()).hexdigest()[:12]}"
+
+
+def test_batch_id_follows_the_bytes(spark, tmp_path):
+    """The id is the hash of the file's bytes, whatever else is in the folder and however the file is split."""
+    name = "CUSTPOS_20240110"
+    body = ("\n".join(detail(str(i)) for i in range(400)) + "\n").encode()
+
+    def put(folder, content, file=name):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{file}.dat").write_bytes(content)
+
+    def ids():
+        return {r.path.split("/")[-2] + "/" + r.file: r.batchId for r in fw.batch_ids(fw.raw_lines(spark, str(tmp_path))).collect()}
+
+    put("a", body)
+    assert ids() == {f"a/{name}": plain_id(name, body)}
+    variants = {"crlf": body.replace(b"\n", b"\r\n"), "blank": body + b"\n", "blanks": b"\n" + body, "open": body[:-1], "moved": body[201:] + body[:201], "bytes": body.replace(b"EQU", b"E\xff\xfe", 1), "same": body}
+    for folder, content in variants.items():
+        put(folder, content)
+    for day in range(11, 16):
+        put("a", body[: day * 400], f"CUSTPOS_202401{day}")
+    want = {f"{k}/{name}": plain_id(name, v) for k, v in {"a": body, **variants}.items()} | {f"a/CUSTPOS_202401{d}": plain_id(f"CUSTPOS_202401{d}", body[: d * 400]) for d in range(11, 16)}
+    assert ids() == want and want[f"a/{name}"] == want[f"same/{name}"]
+    assert len({v for k, v in want.items() if k.endswith(name)}) == len(variants)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
-        assert ids(path)["CUSTPOS_20240110"] == want
+        for size in ("9000", "777", "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert ids() == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    chunk, fw.CHUNK = fw.CHUNK, 150
-    try:
-        assert ids(path)["CUSTPOS_20240110"] == "CUSTPOS_20240110:" + sha("".join(sha("\n".join(body[i : i + 150])) for i in (0, 150, 300)))[:12]
-    finally:
-        fw.CHUNK = chunk
-    write(spark, tmp_path, "CUSTPOS_20240110.dat", [*body[:-1], detail("7")])
-    assert ids(path)["CUSTPOS_20240110"] != want
     with pytest.raises(Exception, match="BAD_FILE_NAME"):
-        ids(write(spark, tmp_path, "other.txt", body))
+        ids_of_other = write(spark, tmp_path, "other.txt", ["x"])
+        fw.batch_ids(fw.raw_lines(spark, ids_of_other)).collect()
+
+
+def test_equal_names_in_two_folders_are_two_batches(spark, tmp_path):
+    head, foot = line("01" + "20240110"), lambda n, q: line("99" + "20240110" + f"{n:09}" + str(q).zfill(18) + str(q // 100).zfill(18))
+    for folder, n in (("x", 1), ("y", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "CUSTPOS_20240110.dat").write_text("\r\n".join([head, *[detail(str(k)) for k in range(n)], foot(n, 10000 * n), ""]))
+    raw = fw.raw_lines(spark, str(tmp_path))
+    lines = fw.classify(fw.lines_of(raw))
+    v = fw.controls(lines)
+    assert sorted((r.recordCount, r.status) for r in v.collect()) == [(1, "COMPLETE"), (3, "COMPLETE")]
+    assert sorted(r.REC_ID[-1] for r in fw.accepted(fw.details(lines), v).collect()) == ["1", "1", "2", "3"]
+    m = fw.manifests(v, fw.batch_ids(raw), F.lit("now")).collect()
+    assert len(m) == 2 and len({r.batchId for r in m}) == 2
 
 
 def test_true_up_twice_emits_nothing(spark):
@@ -113,20 +145,111 @@ def test_true_up_twice_emits_nothing(spark):
     assert sent[2] == [(keys[0], "REMOVED")]
 
 
-def test_landing_by_partition_and_compaction(spark, tmp_path):
+def record(key, user, partition, offset, **more):
+    from keelstone.queries.streams import EVENT
+
+    return (EVENT.topic, partition, offset, None, json.dumps({"EVENT_KEY": key, "USER": user, **more}), None)
+
+
+def test_landing_keeps_the_last_arrival(spark, tmp_path):
+    from keelstone.queries.streams import ROUTES
+    from keelstone.streaming import landing
+
+    parts = [[record("k", "a", 1, 5), record("k", "b", 0, 5), record("m", "x", 0, 1)], [record("k", "c", 0, 4)], [record("m", "y", 1, 2)]]
+    for order in ([0, 1, 2], [2, 0, 1], [1, 2, 0, 0, 2]):
+        t = landing.Landing(spark, str(tmp_path / "".join(map(str, order))), ROUTES, 4)
+        for n in order:
+            for _ in range(2):  # a retried batch changes nothing
+                t(spark.createDataFrame(parts[n], landing.RECORD), n)
+        assert sorted((r.EVENT_KEY, r.USER) for r in t.current("raw_events").collect()) == [("k", "a"), ("m", "y")]
+        assert t.current("raw_users").count() == 0 and t.appended("dead_letters", landing.LETTERS).count() == 0
+        assert t.appended("sink_progress", landing.BEATS).agg(F.sum("n")).first()[0] == 5
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
     from keelstone.queries.streams import EVENT, ROUTES
     from keelstone.streaming import landing
 
-    rec = lambda key, user, partition, offset: (EVENT.topic, partition, offset, None, f'{{"EVENT_KEY": "{key}", "USER": "{user}"}}', None)
-    t = landing.Landing(spark, str(tmp_path / "a"), ROUTES)
-    for n, part in enumerate([[rec("k", "a", 1, 5), rec("k", "b", 0, 5), rec("m", "x", 0, 1)], [rec("k", "c", 0, 4)], [rec("m", "y", 1, 2)]]):
-        for _ in range(2):  # a retried batch changes nothing
-            t(spark.createDataFrame(part, landing.RECORD), n)
-    got = sorted((r.EVENT_KEY, r.USER) for r in t.current("raw_events").collect())
-    assert got == [("k", "a"), ("m", "y")]
-    t.compact("raw_events", str(tmp_path / "b"))
-    u = landing.Landing(spark, str(tmp_path / "b"), ROUTES)
-    assert u.log(EVENT).count() == 2 and sorted((r.EVENT_KEY, r.USER) for r in u.current("raw_events").collect()) == got
+    t = landing.Landing(spark, str(tmp_path), ROUTES, 16)
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / EVENT.name).glob("bucket=*/*.parquet")}
+    t(spark.createDataFrame([record(f"k{i}", "u", 0, i) for i in range(300)], landing.RECORD), 0)
+    before = files()
+    assert len(before) == 16  # one file a bucket
+    keys = ["k7", "k150", "new"]
+    touched = {r.b for r in spark.createDataFrame([(k,) for k in keys], "EVENT_KEY string").select(t._bucket(EVENT).alias("b")).collect()}
+    t(spark.createDataFrame([record(k, "v", 0, 1000 + i) for i, k in enumerate(keys)], landing.RECORD), 1)
+    after = files()
+    assert {p.split("/")[1] for p in set(before) ^ set(after)} == {f"bucket={b}" for b in touched}
+    assert len(after) == 16 and all(before[p] == after[p] for p in set(before) & set(after))
+    got = {r.EVENT_KEY: r.USER for r in t.current("raw_events").collect()}
+    assert got == {**{f"k{i}": "u" for i in range(300)}, **dict.fromkeys(keys, "v")}
+    plan = t._table(EVENT).filter("bucket IN (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
+def test_a_poisonous_record_costs_one_record(spark, tmp_path):
+    from keelstone.queries.streams import EVENT, ROUTES
+    from keelstone.streaming import landing
+
+    t = landing.Landing(spark, str(tmp_path), ROUTES)
+
+    def handler(rows, n):
+        ok, _ = landing.split(landing.validated(rows, EVENT), EVENT)
+        t.put("typed", ok.select("EVENT_KEY", F.col("AMOUNT").cast("decimal(18,2)").alias("amount")), n)
+
+    target = landing.Isolated(handler, lambda x, n: t.put("dead_letters/stage=handler", x, n))
+    rows = lambda bad: spark.createDataFrame([record(f"k{i}", "u", i % 3, i, AMOUNT="x" if i in bad else "1.50") for i in range(500)], landing.RECORD).repartition(7)
+    landed = lambda n: {r.EVENT_KEY for r in t.appended("typed", "EVENT_KEY string, amount decimal(18,2), batch int").filter(F.col("batch") == n).collect()}
+    letters = lambda n: sorted((r.partition, r.offset) for r in t.appended("dead_letters", landing.LETTERS + ", batch int").filter(F.col("batch") == n).collect())
+    for n, bad in enumerate([{77}, set(), {0, 250, 499}]):
+        target.attempts = 0
+        for _ in range(2):
+            target(rows(bad), n)
+        assert landed(n) == {f"k{i}" for i in range(500) if i not in bad} and letters(n) == sorted((i % 3, i) for i in bad)
+        assert target.attempts <= 2 * 20 * len(bad)
+    said = t.appended("dead_letters", landing.LETTERS).first()
+    assert said.stage == "handler" and said.topic == EVENT.topic and "CAST_INVALID_INPUT" in said.error and '"AMOUNT": "x"' in said.payload
+
+
+def test_a_broken_target_stops_the_stream(spark):
+    from keelstone.streaming import landing
+
+    def down(rows, n):
+        raise OSError("no such host")
+
+    sent = []
+    with pytest.raises(OSError, match="no such host"):
+        landing.Isolated(down, lambda x, n: sent.append(n), most=3)(spark.createDataFrame([record(f"k{i}", "u", 0, i) for i in range(40)], landing.RECORD), 0)
+    assert not sent
+
+
+def test_stateful_guard_emits_changes_only(spark, tmp_path):
+    """A late or repeated row changes nothing, also after a restart from the checkpoint."""
+    from keelstone.queries.streams import ROUTES, STATE
+    from keelstone.streaming import landing
+
+    put, offset, emitted = (tmp_path / "in"), [0], []
+    put.mkdir()
+    t = landing.Landing(spark, str(tmp_path / "tables"), ROUTES, 4)
+    merged, upsert = landing.Landing(spark, str(tmp_path / "merged"), ROUTES, 4), t.upsert
+    t.upsert = lambda spec, rows: (emitted.append(sorted((r.USER, r.KIND) for r in rows.collect())), upsert(spec, rows))
+    steps = [
+        ([("a", "2024-01-02", "x"), ("b", "2024-01-01", "y"), ("c", None, "z")], [("a", "x"), ("b", "y"), ("c", "z")]),
+        ([("a", "2024-01-01", "late"), ("b", "2024-01-03", "new"), ("b", "2024-01-02", "between")], [("b", "new")]),
+        ([("a", "2024-01-02", "same stamp"), ("c", None, "again unstamped")], []),
+        ([("c", "2020-01-01", "stamped"), ("d", None, "d")], [("c", "stamped"), ("d", "d")]),
+    ]
+    for n, (rows, want) in enumerate(steps):
+        lines = []
+        for user, at, kind in rows:
+            lines.append(json.dumps({"topic": STATE.topic, "partition": 0, "offset": offset[0], "value": json.dumps({"USER": user, "UPDATED": at, "KIND": kind})}))
+            offset[0] += 1
+        (put / f"{n}.json").write_text("\n".join(lines))
+        landing.run_guarded(landing.records(spark, str(put)), t, STATE, str(tmp_path / "checkpoint"))
+        merged(spark.read.schema(landing.RECORD).json(str(put / f"{n}.json")), n)
+        assert (emitted.pop() if emitted else []) == want
+    key = lambda x: sorted((r.USER, r.UPDATED or "", r.KIND) for r in x.current("raw_users").collect())
+    assert key(t) == key(merged) == [("a", "2024-01-02", "x"), ("b", "2024-01-03", "new"), ("c", "2020-01-01", "stamped"), ("d", "", "d")]
 
 
 def test_crm_is_order_free(spark):
