@@ -271,6 +271,11 @@ def join_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, re
     return x.select("doc_id", "class_id", zero("n_links"), zero("n_linked_docs"), "best_id", "best_similarity", F.coalesce("group_id", "class_id").alias("group_id"))
 
 
+def _row_key(doc_id: Column, h: Column) -> Column:
+    """A doc_id, null included, and a hash as one key."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull().cast("string"), h)
+
+
 def drop_near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL, side: int = SIDE) -> DataFrame:
     """One row of ``docs`` for each group of linked or equal texts: the one of smallest doc_id (then text hash)."""
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -281,11 +286,11 @@ def drop_near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     first = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "h")
     with scratch() as stay:
         stays = _per_class(two, similarity, recall, side).groupBy("group").agg(F.min(first).alias("s"))
-        stays = stay(keep(stays.select(F.col("s.class_id").alias("_d"), F.col("s.h").alias("_k"))))
+        stays = stay(keep(stays.select(_row_key(F.col("s.class_id"), F.col("s.h")).alias("_key"))))
     stays = small(stays)
-    x = wide.withColumn("_h", F.xxhash64(F.col(ids), F.col(texts)))
-    x = x.join(stays, x[ids].eqNullSafe(stays._d) & (x._h == stays._k), "left_semi")
-    return x.dropDuplicates([ids, "_h"]).drop("_h").toDF(*docs.columns)
+    x = wide.withColumn("_key", _row_key(F.col(ids), F.xxhash64(F.col(ids), F.col(texts))))
+    # one key, so that the join and the dropping of repeated rows share one shuffle of the texts
+    return x.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").toDF(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:

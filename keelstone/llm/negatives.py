@@ -36,7 +36,7 @@ POSITIVES = 5
 NEGATIVES = 10
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 30, 90
-LEVELS, PLANES = 6, 8
+LEVELS, PLANES = 5, 8
 SEED = 13
 #: Rows and anchors of a block.
 ROWS = 16_384
@@ -70,7 +70,9 @@ def _pack(bits):
     import numpy as np
 
     b = np.packbits(bits, axis=1)
-    return np.pad(b, ((0, 0), (0, -b.shape[1] % 8))).view(np.uint64)
+    if b.shape[1] % 8:
+        b = np.concatenate([b, np.zeros((len(b), -b.shape[1] % 8), np.uint8)], axis=1)
+    return b.view(np.uint64)
 
 
 def encoder(dim: int):
@@ -113,7 +115,7 @@ class Block:
         codes = np.stack([np.frombuffer(b, np.uint64).reshape(LEVELS, -1) for b in x["code"]])
         self.codes = np.ascontiguousarray(codes.transpose(1, 2, 0))  # level, word, row
         self.ones = np.bitwise_count(self.codes).sum(axis=1, dtype=np.int64)
-        self.aligned, self.rest = np.stack([np.frombuffer(b) for b in x["aligned"]]), x["rest"].to_numpy(float)
+        self.aligned, self.rest = np.ascontiguousarray(np.stack([np.frombuffer(b) for b in x["aligned"]]).T), x["rest"].to_numpy(float)
         self.most, self.long = float(np.abs(self.v).max(initial=0)), np.sqrt((self.v * self.v).sum(axis=1))
 
     def _met(self, level: int, w):
@@ -123,11 +125,12 @@ class Block:
         least = w.min()
         step = (w.max() - least) / ((1 << PLANES) - 0.5) or 1.0
         cut = np.floor((w - least) / step)
-        on = np.zeros(len(self.v), np.int64)  # sum of the cut components where the code is 1
-        for k in range(PLANES):
+        on = np.zeros(len(self.v), np.uint16 if self.d << PLANES < 1 << 16 else np.uint64)  # sum of the cut components where the code is 1
+        for k in reversed(range(PLANES)):
             (plane,) = _pack((cut.astype(np.int64)[None, :] >> k) & 1)
+            np.left_shift(on, 1, out=on)
             for code, word in zip(self.codes[level], plane):
-                on += np.left_shift(np.bitwise_count(code & word), k, dtype=np.int64)
+                np.add(on, np.bitwise_count(code & word), out=on)
         # w = least + cut * step + remainder
         return least * (2.0 * self.ones[level] - self.d) + step * (2.0 * on - cut.sum()), np.abs(w - least - cut * step).sum()
 
@@ -139,8 +142,8 @@ class Block:
         for level in range(LEVELS):
             w = rotate(w, level)
             met, left = self._met(level, w[0])
-            middle += self.aligned[:, level] * met
-            wide += self.aligned[:, level] * left
+            middle += self.aligned[level] * met
+            wide += self.aligned[level] * left
         length = np.sqrt((q * q).sum())
         across = np.sqrt(np.maximum(0, length**2 - np.maximum(0, np.abs(met) - left) ** 2 / self.d))
         wide += self.rest * across + 1 + 1e-9 * self.long * length  # the last two for the rounding of doubles
@@ -172,14 +175,26 @@ def _best(block: Block, allowed, low, high, q, ranges: list[tuple[object, object
     """For each (a, b) of ``ranges``: the first ``k`` allowed rows with a <= 100 score <= b, as (row, score).  Intervals discard, integers decide."""
     import numpy as np
 
+    low, high = 100 * low, 100 * high
+    some = np.flatnonzero(allowed & (high >= float(min(a for a, _ in ranges)) - 1) & (low <= float(max(b for _, b in ranges)) + 1)) if ranges else []
+    low, high = low[some], high[some]
+    picked = []
     for a, b in ranges:
-        can = allowed & (100 * high >= float(a) - 1) & (100 * low <= float(b) + 1)
-        sure = can & (100 * low >= float(a) + 1) & (100 * high <= float(b) - 1)
-        at = np.flatnonzero(can & (high >= _top(low[sure], k)))
-        score = block.scores(at, q)
-        inside = [i for i in range(len(at)) if a <= 100 * int(score[i]) <= b]
-        at, score = at[inside], [int(score[i]) for i in inside]
-        yield [(int(at[i]), score[i]) for i in block.first(at, score, k)]
+        can = (high >= float(a) - 1) & (low <= float(b) + 1)
+        sure = low[(low >= float(a) + 1) & (high <= float(b) - 1)]
+        picked.append(some[can & (high >= _top(sure, k))])
+    at = np.unique(np.concatenate(picked)) if picked else np.empty(0, int)
+    score = block.scores(at, q)  # each surviving row once
+    wide = score.dtype == object or len(score) and int(np.abs(score).max()) > 1 << 56  # 100 times a score may leave 64 bits
+    for (a, b), mine in zip(ranges, picked):
+        s = score[np.searchsorted(at, mine)]
+        inside = [i for i in range(len(s)) if a <= 100 * int(s[i]) <= b] if wide else np.flatnonzero((100 * s >= a) & (100 * s <= b))
+        mine, s = mine[inside], s[inside]
+        if not wide and len(s) > k:
+            reach = s >= _top(s, k)
+            mine, s = mine[reach], s[reach]
+        s = [int(x) for x in s]
+        yield [(int(mine[i]), s[i]) for i in block.first(mine, s, k)]
 
 
 _FOUND = "anchor bigint, anchor_id bigint, positive bigint, positive_id bigint, positive_score bigint, uid bigint, vec_id bigint, score bigint"
