@@ -7,7 +7,7 @@ pushed filters and prune date partitions.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +109,20 @@ def page(df: DataFrame, order: list[tuple[str, bool]], limit: int = LIST_LIMIT,
     return rows[:n], len(rows) > n
 
 
+def walk(df: DataFrame, order: list[tuple[str, bool]], limit: int = LIST_LIMIT) -> Iterator[tuple[DataFrame, bool]]:
+    """(page, whether more follow), page by page as a client asks for them: each starts after the last row of the one before, of which alone the driver learns."""
+    after = None
+    while True:
+        rows = df if after is None else df.filter(seek(order, after))
+        n = clamp_limit(limit)
+        # the last row of the page, and whether one stands beyond it
+        ends = ordered(rows, order).limit(n + 1).select([c for c, _ in order]).collect()
+        yield page_frame(df, order, limit, after), len(ends) > n
+        if len(ends) <= n:
+            return
+        after = list(ends[n - 1])
+
+
 def page_frame(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: list | None = None) -> DataFrame:
     """The same page as a DataFrame (a top-k in the plan)."""
     return ordered(df if after is None else df.filter(seek(order, after)), order).limit(clamp_limit(limit))

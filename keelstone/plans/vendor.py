@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean
-from ..operators.delta import delta, index_of
+from ..operators.delta import Retained, delta, index_of, retained_index
 from ..operators.merge import merge
 from ..operators.resolve import identifier_map, resolve_small, with_vendor_candidates
 from ..registry import VENDOR_FIELDS
-from ..tables import VersionedTable, fixed
+from ..tables import fixed
 
 #: Three generations of the vendor's status words.
 STATUS = {"ACTIVE": ("A", "ACT", "ACTIVE"), "MATURED": ("M", "MAT", "MATURED", "MAT'D"), "DELISTED": ("D", "DEL", "DELISTED", "INACTIVE", "I")}
@@ -49,10 +49,11 @@ def enrich(raw: DataFrame, securities: DataFrame) -> DataFrame:
 def true_up(previous: DataFrame, incoming: DataFrame, now_iso: Column) -> DataFrame:
     """The records that a snapshot delta emits: added and changed ones as delivered, removed ones as DELISTED, stamped now.
 
-    ``previous`` keeps the last records, so a removed one still carries its identifiers.
+    ``previous`` keeps the last records, so a removed one still carries its identifiers; where
+    it has stored hashes (``Retained``), those are compared.
     """
     key = "Vendor_Ref"
-    changes = delta(index_of(previous, key, "SRC_UPDATED_AT"), index_of(incoming, key, "SRC_UPDATED_AT")).filter("change <> 'UNCHANGED'")
+    changes = delta(retained_index(previous, key, "SRC_UPDATED_AT"), index_of(incoming, key, "SRC_UPDATED_AT"), retained="content_hash" in previous.columns).filter("change <> 'UNCHANGED'")
     up = incoming.join(changes.filter("change <> 'REMOVED'").select(F.col("key").alias(key), "change"), key)
     down = previous.join(changes.filter("change = 'REMOVED'").select(F.col("key").alias(key), "change"), key)
     down = down.withColumn("ISSUE_STATUS", F.lit("DELISTED")).withColumn("SRC_UPDATED_AT", now_iso)
@@ -60,7 +61,7 @@ def true_up(previous: DataFrame, incoming: DataFrame, now_iso: Column) -> DataFr
     return up.select(*cols).unionByName(down.select(*cols))
 
 
-def apply_true_up(index: VersionedTable, incoming: DataFrame, now_iso: Column, write, dry_run: bool = False) -> DataFrame:
+def apply_true_up(index: Retained, incoming: DataFrame, now_iso: Column, write, dry_run: bool = False) -> DataFrame:
     """One snapshot cycle: the emitted records, written by ``write``; only then is the retained snapshot replaced.
 
     A dry run writes nothing and keeps the retained snapshot.  A cycle that fails after
@@ -69,7 +70,7 @@ def apply_true_up(index: VersionedTable, incoming: DataFrame, now_iso: Column, w
     emitted = fixed(true_up(index.read(incoming.schema), incoming, now_iso))
     if not dry_run:
         write(emitted)
-        index.write(incoming)
+        index.replace(incoming)
     return emitted
 
 

@@ -10,7 +10,7 @@ from ..operators import delta
 from ..plans import vendor
 from ..sources import feeds, fixed_width as fw
 from ..operators.select import places
-from ..tables import fixed, load
+from ..tables import fixed, load, shared_folder
 from . import standins as S
 from .standins import sql
 
@@ -116,22 +116,42 @@ def s12(spark, d):
     return feeds.stamp(S.vendor_rows(spark, d, 0)).select("Vendor_Ref", "SRC_UPDATED_AT")
 
 
-def j8(spark, d):
+def _retained(spark, d) -> tuple[delta.Retained, object, object]:
+    """The previous population of parts as retained by an earlier cycle, and the incoming one."""
     a, b = S.snapshots(spark, d)
-    x = delta.delta(delta.index_of(a, "p_partkey"), delta.index_of(b, "p_partkey"))
-    return x.select("key", "change")
+    index = delta.Retained(spark, shared_folder(spark), "p_partkey")
+    index.replace(a)
+    return index, a, b
+
+
+def j8(spark, d):
+    """The retained side is bucketed by key: it is joined without an exchange, by its stored hashes."""
+    index, a, b = _retained(spark, d)
+    return delta.delta(delta.retained_index(index.read(a.schema), "p_partkey"), delta.index_of(b, "p_partkey"), retained=True).select("key", "change")
 
 
 def a7(spark, d):
-    a, b = S.snapshots(spark, d)
-    return delta.statistics(delta.delta(delta.index_of(a, "p_partkey"), delta.index_of(b, "p_partkey")))
+    index, a, b = _retained(spark, d)
+    return delta.statistics(delta.delta(delta.retained_index(index.read(a.schema), "p_partkey"), delta.index_of(b, "p_partkey"), retained=True))
 
 
 def c6(spark, d):
+    """Three cycles of the true-up against the retained snapshot: the first fills it, a dry run writes nothing, the second emits what changed; a fourth finds nothing more."""
     prev = feeds.stamp(S.vendor_rows(spark, d, 0)).filter("CAST(substr(Vendor_Ref, 2) AS INT) % 50 <> 0")
     cur = feeds.stamp(S.vendor_rows(spark, d, 0)).filter("CAST(substr(Vendor_Ref, 2) AS INT) % 37 <> 0").withColumn("Issuer_Name", F.when(F.expr("CAST(substr(Vendor_Ref, 2) AS INT) % 11 = 0"), "New issuer").otherwise(F.col("Issuer_Name")))
-    x = vendor.true_up(prev, cur, F.lit("2026-02-01T00:00:00+00:00"))
-    return x.select("Vendor_Ref", "change", "SRC_UPDATED_AT", "ISSUE_STATUS", "Cusip")
+    root, at = shared_folder(spark), F.lit("2026-02-01T00:00:00+00:00")
+    index, sent = delta.Retained(spark, f"{root}/index", "Vendor_Ref", "SRC_UPDATED_AT"), []
+
+    def write(rows):
+        sent.append(f"{root}/sent/{len(sent)}")
+        rows.write.parquet(sent[-1])
+
+    vendor.apply_true_up(index, prev, at, write)
+    vendor.apply_true_up(index, cur, at, write, dry_run=True)
+    vendor.apply_true_up(index, cur, at, write)
+    vendor.apply_true_up(index, cur, at, write)
+    second, third = spark.read.parquet(sent[1]), spark.read.parquet(sent[2])
+    return second.unionByName(third).select("Vendor_Ref", "change", "SRC_UPDATED_AT", "ISSUE_STATUS", "Cusip")
 
 
 def c7(spark, d):

@@ -47,6 +47,15 @@ def j5(spark, d):
     return x.select("accountId", "currency", F.col("asOfDate").cast("date").alias("asOfDate"), "openingBalance")
 
 
+def j5_hot(spark, d):
+    """Every movement's latest earlier balance in its currency, whosever it is: two keys hold all rows, which are cut into time ranges."""
+    e = S.movements(spark, d)
+    m = cash.outcomes(e).filter("outcome = 'CURATED'").select("MOVEMENT_ID", "currency", "asOfDate")
+    top = S.openings(spark, d).groupBy("currency", "asOfDate").agg(F.max("closingBalance").alias("best"))
+    x = asof.last_before(m, top, ["currency"], "asOfDate", "best", "best", hot_rows=100)
+    return x.select("currency", F.col("asOfDate").cast("date").alias("asOfDate"), "best").groupBy("currency", "asOfDate", "best").agg(F.count("*").alias("n"))
+
+
 def j6(spark, d):
     x = crm.accounts(account_events(spark, d), client_events(spark, d), now())
     return x.select("accountId", "client.clientId", "client.clientName", F.col("client.countryOfDomicile").alias("domicile"), F.array_join("client.taxResidencies", ",").alias("homes"))
@@ -88,6 +97,7 @@ QUERIES = {
     "j3_custody_resolution": j3,
     "j4_vendor_resolution": j4,
     "j5_as_of": j5,
+    "j5_hot_key": j5_hot,
     "j6_client_embed": j6,
     "j7_client_fan_out": lambda s, d: j6(s, d).groupBy("clientId", "clientName").agg(F.count("*").alias("accounts")),
     "j9_anti": j9,
@@ -112,6 +122,8 @@ SQL = {
     "j2_identifier_map": sql("SELECT * FROM ids", "ids"),
     "j3_custody_resolution": sql("SELECT rn, coalesce(c.securityId, i.securityId) AS securityId FROM lines LEFT JOIN ids c ON c.id_type = 'cusip' AND rn % 40 <> 1 AND l_partkey % 4 <> 0 AND c.id_value = lpad(CAST(l_partkey AS VARCHAR), 9, '0') LEFT JOIN ids i ON i.id_type = 'isin' AND rn % 40 <> 1 AND i.id_value = 'US' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || l_partkey % 10", "lines", "ids"),
     "j4_vendor_resolution": sql("SELECT Vendor_Ref, securityId FROM vres WHERE channel = 0", "vres"),
+    "j5_hot_key": sql("""SELECT currency, asOfDate, best, count(*) AS n FROM (SELECT m.currency, m.asOfDate, (SELECT arg_max(o.best, o.asOfDate) FROM (SELECT currency, asOfDate, max(closingBalance) AS best FROM opn GROUP BY ALL) o WHERE o.currency = m.currency AND o.asOfDate < m.asOfDate) AS best
+      FROM (SELECT ccy AS currency, day AS asOfDate FROM mov WHERE acct IS NOT NULL AND ccy <> '') m) GROUP BY ALL""", "mov", "opn"),
     "j5_as_of": sql("SELECT accountId, currency, asOfDate, CAST(openingBalance AS DECIMAL(18,2)) AS openingBalance FROM bal", "bal"),
     "j6_client_embed": sql(_EMBED, "ace", "cli"),
     "j7_client_fan_out": sql(f"SELECT clientId, clientName, count(*) AS accounts FROM ({_EMBED}) GROUP BY ALL", "ace", "cli"),

@@ -82,6 +82,7 @@ def r7(spark, d):
 QUERIES = {
     "r1_custody_reconciliation": r1,
     "r1_custody_summary": lambda s, d: reconcile.summary(r1(s, d)),
+    "r1_first_issues": lambda s, d: reconcile.issues(r1(s, d), "REC_ID"),
     "r2_crm_reconciliation": lambda s, d: _crm(s, d).select("accountNbr", "lastOp", "curated", "expected", "reason"),
     "r3_vendor_reconciliation": r3,
     "r4_freshness": lambda s, d: _feeds(s, d).select("topic", "recordsLanded", "ageHours", "maxAgeHours", "status"),
@@ -108,6 +109,7 @@ _CUR = f"""SELECT a.pk, a.client_id, CASE WHEN coalesce(d.lsn > a.lsn, FALSE) OR
   LEFT JOIN (SELECT pk, max(lsn) AS lsn FROM {_EARLY_C} WHERE op = 'd' GROUP BY pk) g ON a.client_id = g.pk LEFT JOIN (SELECT pk, arg_max(client_name, lsn) AS client_name FROM {_EARLY_C} WHERE op <> 'd' GROUP BY pk) c ON a.client_id = c.pk WHERE CAST(a.pk AS INT) % 9 <> 4"""
 SQL = {
     "r1_custody_reconciliation": sql(_R1, "wres"),
+    "r1_first_issues": sql(f"SELECT * FROM ({_R1}) WHERE reason <> 'MATCHED' ORDER BY REC_ID LIMIT 20", "wres"),
     "r1_custody_summary": sql(f"SELECT count(*) AS records, count(*) FILTER (WHERE reason = 'MATCHED') AS matched, count(*) FILTER (WHERE reason <> 'MATCHED') AS unmatched FROM ({_R1})", "wres"),
     "r2_crm_reconciliation": sql(f"""SELECT e.pk AS accountNbr, e.op AS lastOp, c.status AS curated, e.expected, CASE WHEN c.pk IS NULL THEN 'MISSING' WHEN c.status <> e.expected THEN 'STATUS_MISMATCH' WHEN n.client_name IS NOT NULL AND c.client_name <> n.client_name THEN 'STALE_CLIENT_EMBED' ELSE 'MATCHED' END AS reason
       FROM (SELECT pk, arg_max(op, lsn) AS op, CASE WHEN arg_max(op, lsn) = 'd' THEN 'CLOSED' ELSE arg_max(status, lsn) END AS expected FROM ace GROUP BY pk) e LEFT JOIN ({_CUR}) c ON e.pk = c.pk

@@ -38,6 +38,15 @@ def k1(spark, d):
     return select.page_frame(x, order, 200, [dt.datetime(1998, 6, 1), Decimal("200000.00"), 100]).select("transactionId", "tradeDate", "netAmount")
 
 
+def k2_walk(spark, d):
+    """All accounts as a client walks them, page by page from cursor to cursor, with has_more."""
+    x, out = S.accounts(spark, d).select("accountId", "status"), None
+    for n, (rows, more) in enumerate(select.walk(x, [("status", False), ("accountId", True)])):
+        rows = rows.select("accountId", "status", F.lit(n + 1).cast("bigint").alias("page"), F.lit(more).alias("has_more"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def k2(spark, d):
     x = select.pages(S.transactions(spark, d), [("tradeDate", False), ("transactionId", True)], 200)
     return x.select("transactionId", "rn", "page")
@@ -117,6 +126,7 @@ QUERIES = {
     "f11_day_and_window": lambda s, d: S.transactions(s, d).agg(F.sum(F.when(select.day_range("tradeDate", "1997-02-28"), 1).otherwise(0)).cast("bigint").alias("on_day"), F.sum(F.when(select.date_window("tradeDate", "1997-02-01", "1997-02-28"), 1).otherwise(0)).cast("bigint").alias("in_window")),
     "k1_keyset_page": k1,
     "k2_page_walk": k2,
+    "k2_cursor_walk": k2_walk,
     "k3_clamped_list": lambda s, d: select.ordered(S.transactions(s, d), [("tradeDate", False), ("transactionId", True)]).limit(select.clamp_limit(100000)).select("transactionId", "tradeDate"),
     "k4_most_recent": k4,
     "w4_last_samples": w4,
@@ -149,6 +159,7 @@ SQL = {
     "f10_raw_field_search": sql("SELECT 'M-' || event_id AS MOVEMENT_ID, strftime(day, '%Y%m%d') AS MOV_FILE_DATE, ccy AS MOV_CCY_CD FROM mov WHERE acct = 17 ORDER BY 2 DESC, 1 LIMIT 50", "mov"),
     "f11_day_and_window": sql("SELECT count(*) FILTER (WHERE tradeDate >= '1997-02-28' AND tradeDate < '1997-03-01') AS on_day, count(*) FILTER (WHERE tradeDate >= '1997-02-01' AND tradeDate < '1997-03-01') AS in_window FROM tx", "tx"),
     "k1_keyset_page": sql("SELECT transactionId, tradeDate, netAmount FROM tx WHERE tradeDate < '1998-06-01' OR (tradeDate = '1998-06-01' AND (netAmount > 200000 OR (netAmount = 200000 AND transactionId > 100))) ORDER BY tradeDate DESC, netAmount, transactionId LIMIT 200", "tx"),
+    "k2_cursor_walk": sql("SELECT accountId, status, page, page < max(page) OVER () AS has_more FROM (SELECT accountId, status, CAST(ceil(row_number() OVER (ORDER BY status DESC, accountId) / 200) AS BIGINT) AS page FROM acct)", "acct"),
     "k2_page_walk": sql("SELECT transactionId, row_number() OVER (ORDER BY tradeDate DESC, transactionId) AS rn, CAST(ceil(row_number() OVER (ORDER BY tradeDate DESC, transactionId) / 200) AS BIGINT) AS page FROM tx", "tx"),
     "k3_clamped_list": sql("SELECT transactionId, tradeDate FROM tx ORDER BY tradeDate DESC, transactionId LIMIT 200", "tx"),
     "k4_most_recent": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50",

@@ -40,6 +40,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: fixed like a checkpoint, and read by column."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class VersionedTable:
     """A table as numbered version folders and a pointer file that is replaced in one step.
 

@@ -130,19 +130,24 @@ def test_equal_names_in_two_folders_are_two_batches(spark, tmp_path):
 
 def test_true_up_twice_emits_nothing(spark):
     from keelstone.plans import vendor
-    from keelstone.tables import VersionedTable, shared_folder
+    from keelstone.operators.delta import Retained
+    from keelstone.tables import shared_folder
 
-    index, sent = VersionedTable(spark, shared_folder(spark)), []
+    index, sent = Retained(spark, shared_folder(spark), "Vendor_Ref", "SRC_UPDATED_AT", 4), []
     put = lambda x: sent.append(sorted((r.Vendor_Ref, r.change) for r in x.collect()))
     rows = feeds.stamp(S.vendor_rows(spark, SF, 0))
     keys = sorted(r.Vendor_Ref for r in rows.select("Vendor_Ref").collect())
     at = F.lit("2026-02-01T00:00:00+00:00")
-    assert vendor.apply_true_up(index, rows, at, put, dry_run=True).count() == len(keys) and not sent and index.version()[0] == 0
+    assert vendor.apply_true_up(index, rows, at, put, dry_run=True).count() == len(keys) and not sent and index.cycle() == 0
     vendor.apply_true_up(index, rows, at, put)
     vendor.apply_true_up(index, rows, at, put)
     assert sent == [[(k, "ADDED") for k in keys], []]
     vendor.apply_true_up(index, rows.filter(F.col("Vendor_Ref") != keys[0]), at, put)
     assert sent[2] == [(keys[0], "REMOVED")]
+    spark.sql(f"DROP TABLE {index._name(index.cycle())}")  # as in a new session
+    assert Retained(spark, index.path, "Vendor_Ref", "SRC_UPDATED_AT", 4).read(rows.schema).count() == len(keys) - 1
+    with pytest.raises(ValueError, match="incoming snapshot has duplicate keys"):
+        vendor.apply_true_up(index, rows.union(rows), at, put)
 
 
 def record(key, user, partition, offset, **more):

@@ -1,6 +1,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,66 @@ def test_pages_keep_rows_with_null_keys(spark):
             seen += [r.id for r in got]
             after = [got[-1][n] for n in names]
         assert seen == [r.id for r in select.ordered(x, order).collect()]
+
+
+def test_retained_side_of_a_delta_is_not_exchanged(spark):
+    from keelstone.operators import delta
+    from keelstone.tables import shared_folder
+
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("wide"), (F.col("id") % 7).alias("v"))
+    index = delta.Retained(spark, shared_folder(spark), "k", buckets=8)
+    assert index.read(rows.schema).count() == 0
+    index.replace(rows)
+    new = rows.filter("k % 10 <> 3").withColumn("v", F.when(F.col("k") % 10 == 4, 100).otherwise(F.col("v")))
+    x = delta.delta(delta.retained_index(index.read(rows.schema), "k"), delta.index_of(new, "k"), retained=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.change: r.n for r in x.groupBy("change").agg(F.count("*").alias("n")).collect()} == {"REMOVED": 100, "CHANGED": 100, "UNCHANGED": 800}
+        plan = x._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Bucketed: true" in plan
+    scan = next(line for line in plan.splitlines() if "Bucketed: true" in line)
+    assert "wide" not in scan and "content_hash" in scan
+
+
+@pytest.mark.parametrize("hot", [10_000, 0])
+def test_as_of_of_one_hot_key(spark, hot):
+    """Time ranges or one window: the same result, also with ties, nulls and null keys."""
+    from keelstone.operators import asof
+
+    r = random.Random(2)
+    keys = ["hot"] * 20 + ["a", "b", None]
+    probe = [(i, r.choice(keys), r.randrange(200)) for i in range(1500)]
+    snaps = [(r.choice(keys), t, None if t % 11 == 0 else t * 10) for t in r.sample(range(200), 120)] + [("only", 5, 1)]
+    p, s = spark.createDataFrame(probe, "i int, k string, t int"), spark.createDataFrame(snaps, "k string, t int, v int")
+    got = {x.i: x.out for x in asof.last_before(p, s, ["k"], "t", "v", "out", F.lit(-1), hot_rows=hot).collect()}
+    assert got == {i: max(((t2, v) for k2, t2, v in snaps if k2 == k and t2 < t and v is not None), default=(0, -1))[1] for i, k, t in probe}
+
+
+def test_a_hot_key_is_shared_by_many_tasks(spark):
+    from keelstone.operators import asof
+
+    both = spark.range(0, 20_000, 1, 8).select(F.lit("hot").alias("k"), F.col("id").alias("_at"), F.struct("id").alias("_row"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("_value"), (F.col("id") % 3 == 0).cast("int").alias("_side"))
+    x = asof._by_ranges(both, ["k"])
+    assert x.filter("_last <> _row.id - _row.id % 3").count() == 0 and x.count() == 13_333
+    from keelstone.tables import stored
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with rows beyond the advisory size
+    try:
+        parts = stored(both.repartitionByRange("k", "_at", "_side").withColumn("_part", F.spark_partition_id())).groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 7_000
+
+
+def test_walk_meets_every_row_once(spark):
+    from keelstone.operators import select
+
+    rows = [(None if i % 5 == 0 else i % 4, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, i int")
+    for limit in (1, 7, 8, 40, 200):
+        pages = [([r.i for r in x.collect()], more) for x, more in select.walk(df, [("a", False), ("i", True)], limit)]
+        assert [i for p, _ in pages for i in p] == [i for _, i in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+        assert [more for _, more in pages] == [True] * (len(pages) - 1) + [False] and len(pages) == -(-40 // limit)
+    assert [(x.collect(), more) for x, more in select.walk(df.filter("false"), [("a", False), ("i", True)], 3)] == [([], False)]
