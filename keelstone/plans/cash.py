@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import account_id, balance_id, ccyymmdd, plain_decimal
 from ..operators.asof import last_before
 from ..operators.merge import merge
+from ..tables import small
 
 MONEY = "decimal(18,2)"
 KEY = ["accountId", "currency", "asOfDate"]
@@ -20,10 +21,25 @@ def outcomes(raw: DataFrame) -> DataFrame:
     return x.withColumn("outcome", F.when(F.col("accountId").isNull(), "UNKNOWN_ACCOUNT").when(bad, "MALFORMED_VALUE").otherwise("CURATED"))
 
 
+def land(movements: DataFrame, path: str) -> None:
+    """Append raw movements to their table, which is partitioned by file date."""
+    movements.write.mode("append").partitionBy("MOV_FILE_DATE").parquet(path)
+
+
+def landed(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The landed movements, with the columns of ``like``; file dates stay text."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
 def touched(raw: DataFrame, batch: DataFrame) -> DataFrame:
-    """All landed movements of the (account, currency, date) keys that occur in ``batch``."""
-    keys = outcomes(batch).filter("outcome = 'CURATED'").select(*KEY).distinct()
-    return outcomes(raw).filter("outcome = 'CURATED'").join(keys, KEY, "left_semi")
+    """All landed movements of the (account, currency, date) keys that occur in ``batch``.
+
+    The batch's file dates are joined first: where ``raw`` is partitioned by file date,
+    only the partitions of those dates are read (dynamic partition pruning).
+    """
+    curated = outcomes(batch).filter("outcome = 'CURATED'")
+    days = small(curated.select("MOV_FILE_DATE").distinct())  # a row per day
+    return outcomes(raw.join(days, "MOV_FILE_DATE", "left_semi")).filter("outcome = 'CURATED'").join(curated.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def totals(movements: DataFrame) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..plans import cash, crm, custody, vendor
 from ..sources import feeds, fixed_width as fw
+from ..tables import shared_folder, stored
 from . import standins as S
 from .joins import account_events, client_events, now
 from .standins import sql
 
 
 def _judged(spark, d):
-    lines = fw.classify(fw.read_lines(spark, S.wire_files(spark, d)))
-    raw = fw.accepted(fw.details(lines), fw.controls(lines))
+    lines = fw.scanned_lines(fw.scan(spark, S.wire_files(spark, d)))
+    raw = fw.accepted(fw.details(lines), stored(fw.controls(lines)))
     return custody.outcomes(raw, S.accounts(spark, d), S.securities(spark, d))
 
 
@@ -30,8 +31,16 @@ def a2(spark, d):
     return x.select("balanceId", "accountId", "currency", F.col("asOfDate").cast("date").alias("asOfDate"), "openingBalance", "credits", "debits", "closingBalance")
 
 
+def _landed(spark, d):
+    """All movements, landed by file date."""
+    m, path = S.movements(spark, d), f"{shared_folder(spark)}/movements"
+    cash.land(m, path)
+    return cash.landed(spark, path, m)
+
+
 def a3(spark, d):
-    raw = S.movements(spark, d)
+    """The landed movements of a batch's keys; only the days of the batch are read."""
+    raw = _landed(spark, d)
     batch = raw.filter(F.substring("MOVEMENT_ID", 3, 20).cast("bigint") % 97 == 0)
     x = cash.totals(cash.touched(raw, batch))
     return x.select("accountId", "currency", F.col("asOfDate").cast("date").alias("asOfDate"), "credits", "debits")
@@ -39,7 +48,7 @@ def a3(spark, d):
 
 def c2(spark, d):
     """A batch of movements lands, and the balances table takes the rebuilt days."""
-    raw = S.movements(spark, d)
+    raw = _landed(spark, d)
     x = cash.curate(raw, raw.filter("MOV_FILE_DATE >= '20240114' AND MOV_FILE_DATE <= '20240116'"), S.openings(spark, d), now())
     return x.select("accountId", "currency", F.col("asOfDate").cast("date").alias("asOfDate"), "openingBalance", "closingBalance", "snapshotType")
 

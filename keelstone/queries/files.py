@@ -35,8 +35,9 @@ def s3(spark, d):
 
 
 def s4(spark, d):
-    raw = fw.raw_lines(spark, S.wire_files(spark, d))
-    x = fw.manifests(fw.controls(fw.classify(fw.lines_of(raw))), fw.batch_ids(raw), F.lit(AT))
+    """Totals and ids of one scan of the files."""
+    scanned = fw.scan(spark, S.wire_files(spark, d))
+    x = fw.manifests(fw.controls(fw.scanned_lines(scanned)), fw.batch_ids(scanned), F.lit(AT))
     return x.select("batchId", "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
 
 

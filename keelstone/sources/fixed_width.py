@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zoned
 from ..registry import CUSTODY_FIELDS
-from ..tables import small
+from ..tables import small, stored
 
 WIDTH = 200
 #: The record layouts (field, width).
@@ -38,9 +38,13 @@ def raw_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return x.select(F.col("_metadata.file_path").alias("path"), known.alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
 
 
+def _without_return() -> Column:
+    return F.when(F.endswith("raw", F.lit("\r")), F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
+
+
 def lines_of(raw: DataFrame) -> DataFrame:
     """path, file, block, at, line: the lines that are not blank, without carriage returns."""
-    x = raw.withColumn("line", F.when(F.endswith("raw", F.lit("\r")), F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw")))
+    x = raw.withColumn("line", _without_return())
     return x.select("path", "file", "block", "at", "line").filter(F.trim("line") != "")
 
 
@@ -48,6 +52,25 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return lines_of(raw_lines(spark, path, pattern))
 
 
+def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One pass over a landing folder: its lines with ``kind``, stored by column in the shared folder.
+
+    Control totals then read kinds, decoded amounts and the few header and trailer lines,
+    content hashes the raw lines, details the lines (``scanned_lines``); the wire files are not
+    read again.
+    """
+    raw = raw_lines(spark, path, pattern).withColumn("line", _without_return())
+    x = classify(raw).withColumn("kind", F.when(F.trim("line") == "", "blank").otherwise(F.col("kind")))
+    line = F.col("line")
+    amount = lambda name, scale: F.when(F.col("kind") == "detail", zoned(next(f for f, (n, _) in zip(fields(line, DETAIL), DETAIL) if n == name), scale))
+    return stored(x.select("path", "file", "size", "block", "at", "raw", "kind", F.when(F.col("kind").isin("header", "trailer"), line).alias("mark"), amount("POS_SHR_QTY", 4).alias("qty"), amount("POS_MKT_VALUE", 2).alias("value")))
+
+
+def scanned_lines(scanned: DataFrame) -> DataFrame:
+    """What ``classify(read_lines(...))`` gives, from a stored scan, with its decoded amounts."""
+    return scanned.filter("kind <> 'blank'").withColumn("line", _without_return()).drop("raw", "size")
+
+
 def classify(lines: DataFrame) -> DataFrame:
     """``kind``: header, detail, trailer or reject."""
     t = F.substring("line", 1, 2)
@@ -74,12 +97,13 @@ def details(lines: DataFrame) -> DataFrame:
 
 
 def controls(lines: DataFrame) -> DataFrame:
-    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  One aggregate."""
-    line = F.col("line")
+    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  One aggregate; amounts that a scan has decoded are not decoded again."""
+    known = {"mark", "qty", "value"} <= set(lines.columns)
+    line = F.col("mark" if known else "line")
     at = lambda layout, name: next(f for f, (n, _) in zip(fields(line, layout), layout) if n == name)
     is_ = lambda k: F.col("kind") == k
     first = lambda kind, layout, name: F.min(F.when(is_(kind), at(layout, name)))
-    qty, value = zoned(at(DETAIL, "POS_SHR_QTY"), 4), zoned(at(DETAIL, "POS_MKT_VALUE"), 2)
+    qty, value = (F.col("qty"), F.col("value")) if known else (zoned(at(DETAIL, "POS_SHR_QTY"), 4), zoned(at(DETAIL, "POS_MKT_VALUE"), 2))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     x = lines.groupBy("path", "file").agg(
         n(is_("header")).alias("headers"), n(is_("trailer")).alias("trailers"), n(is_("detail")).alias("recordCount"), n(is_("reject")).alias("rejectedCount"),

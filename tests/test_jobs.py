@@ -274,3 +274,42 @@ def test_account_without_client_gets_a_placeholder(spark):
 def test_wire_files_hold_what_they_declare(spark):
     v = {r.file: r.failReason for r in fw.controls(fw.classify(fw.read_lines(spark, S.wire_files(spark, SF)))).collect()}
     assert v == {"CUSTPOS_20240110": None, "CUSTPOS_20240111": None, "CUSTPOS_20240112": "REJECTED_LINES", "CUSTPOS_20240113": "VALUE_MISMATCH"}
+
+
+def test_wire_files_are_read_once(spark):
+    """Details, totals and ids come from the stored scan; they equal what reading the text each time gives."""
+    path = S.wire_files(spark, SF)
+    scanned = fw.scan(spark, path)
+    lines, plain = fw.scanned_lines(scanned), fw.classify(fw.read_lines(spark, path))
+    for a, b in ((fw.controls(lines), fw.controls(plain)), (fw.details(lines), fw.details(plain)), (fw.batch_ids(scanned), fw.batch_ids(fw.raw_lines(spark, path)))):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+        assert "FileScan text" not in a._jdf.queryExecution().executedPlan().toString()
+    totals = fw.controls(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "raw" not in totals.split("ReadSchema")[1].split("\n")[0]  # amounts and marks alone
+
+
+def test_only_touched_days_are_read(spark, tmp_path):
+    from keelstone.plans import cash
+
+    m = S.movements(spark, SF)
+    cash.land(m, str(tmp_path))
+    raw = cash.landed(spark, str(tmp_path), m)
+    days = sorted(r[0] for r in m.select("MOV_FILE_DATE").distinct().collect())
+    batch = m.filter(F.col("MOV_FILE_DATE").isin(days[3], days[7]))
+    x = cash.touched(raw, batch)
+    assert x.count() == cash.outcomes(batch).filter("outcome = 'CURATED'").count() > 0
+    rows = x.collect()
+    plan = x._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString() and {r.MOV_FILE_DATE for r in rows} == {days[3], days[7]}
+    scans, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            if node.nodeName().startswith("Scan parquet") and "MOV_FILE_DATE" in node.toString() and node.metrics().contains("numPartitions"):
+                scans.append(node.metrics().apply("numPartitions").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 2 in scans and len(days) > 2
