@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast; beyond it the join shuffles.
+#: Rows and bytes up to which a side is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,9 +32,19 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, otherwise as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``size`` bytes together, otherwise as it is.
+
+    Both are measured, by one job over at most ``rows`` + 1 rows.
+    """
+    width = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        bytes_of = F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(8)
+        width = width + F.coalesce(bytes_of, F.lit(0))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if got.n <= rows and (got.size or 0) <= size else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

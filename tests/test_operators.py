@@ -192,3 +192,13 @@ def test_walk_meets_every_row_once(spark):
         assert [i for p, _ in pages for i in p] == [i for _, i in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
         assert [more for _, more in pages] == [True] * (len(pages) - 1) + [False] and len(pages) == -(-40 // limit)
     assert [(x.collect(), more) for x, more in select.walk(df.filter("false"), [("a", False), ("i", True)], 3)] == [([], False)]
+
+
+def test_a_side_is_broadcast_by_rows_and_bytes(spark):
+    from keelstone.tables import small
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    x = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("a.b"), F.array("id").alias("c"), F.lit(None).alias("d"), F.encode(F.lit("y"), "utf-8").alias("e"))
+    assert hinted(small(x)) and hinted(small(x, 100)) and not hinted(small(x, 99))
+    assert not hinted(small(x, size=100_000)) and hinted(small(x, size=110_000))
+    assert hinted(small(x.filter("false"))) and hinted(small(spark.range(3).select()))
