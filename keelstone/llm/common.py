@@ -18,6 +18,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch: a task holds one batch of texts, whatever the table's size.
@@ -105,8 +107,8 @@ def doc_hash() -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and 64 MB; otherwise as it is."""
+    return tables.small(df, rows)
 
 
 def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
