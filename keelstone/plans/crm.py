@@ -73,14 +73,16 @@ def accounts(account_events: DataFrame, client_events: DataFrame, now: Column) -
     """The accounts table as of both logs.
 
     An account's fields come from its newest upsert, its status from the newest of its
-    own upsert, its delete and its client's delete.  Deletes never create an account.
+    own upsert, its delete and its client's delete.  Deletes never create an account.  Each
+    log is read by one aggregate.
     """
     ok = event_outcomes(account_events, "accounts").filter("outcome = 'CURATED'").withColumn("_o", lsn_order())
-    ups = latest(ok.filter("OP <> 'd'"), ["PK"], F.col("_o"), ["AFTER", "_o"])
-    dels = ok.filter("OP = 'd'").groupBy("PK").agg(F.max("_o").alias("_d"), F.max_by("TS_MS", "_o").alias("_d_ts"))
-    clients = latest_clients(client_events).select(F.col("PK").alias("_c"), F.col("AFTER").alias("_image"))
-    gone = client_events.filter("OP = 'd' AND PK <> ''").withColumn("_o2", lsn_order()).groupBy(F.col("PK").alias("_g")).agg(F.max("_o2").alias("_cd"), F.max_by("TS_MS", "_o2").alias("_cd_ts"))
-    x = ups.join(dels, "PK", "left").join(clients, F.col("AFTER.client_id") == F.col("_c"), "left").join(gone, F.col("AFTER.client_id") == F.col("_g"), "left")
+    up, gone = F.when(F.col("OP") != "d", F.col("_o")), F.when(F.col("OP") == "d", F.col("_o"))  # rows without an order do not compete
+    own = ok.groupBy("PK").agg(F.max_by(F.struct("AFTER", "_o"), up).alias("_u"), F.max(gone).alias("_d"), F.max_by("TS_MS", gone).alias("_d_ts"))
+    own = own.filter("_u IS NOT NULL").select("PK", "_u.*", "_d", "_d_ts")
+    c = client_events.withColumn("_o", lsn_order())
+    clients = c.groupBy(F.col("PK").alias("_c")).agg(F.max_by("AFTER", F.when(F.col("AFTER").isNotNull(), F.col("_o"))).alias("_image"), F.max(gone).alias("_cd"), F.max_by("TS_MS", gone).alias("_cd_ts"))
+    x = own.join(clients.filter("_c <> ''"), F.col("AFTER.client_id") == F.col("_c"), "left")
     place = lambda c: F.struct(c["col1"], c["col2"])
     own = F.col("_d").isNotNull() & (place(F.col("_d")) > place(F.col("_o")))
     by_client = F.col("_cd").isNotNull() & (place(F.col("_cd")) > place(F.col("_o")))
