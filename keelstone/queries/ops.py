@@ -15,6 +15,9 @@ from .standins import sql
 FEEDS = {"click": 30, "view": 1, "error": 8, "purchase": 26, "signup": 26, "never": 26}
 
 
+BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
 def _raw(spark, d):
     return fw.details(fw.classify(fw.read_lines(spark, S.wire_files(spark, d))))
 
@@ -92,6 +95,7 @@ QUERIES = {
     "l5_dead_letter_counters": l5,
     "l6_heartbeats": lambda s, d: ops.progress(_beats(s, d)),
     "a5_table_counts": _counts,
+    "a5_footer_counts": lambda s, d: ops.footer_counts(s, {t: f"{d}/{t}.parquet" for t in BASE_TABLES}),
 }
 
 _R1 = """SELECT REC_ID, w.accountId, w.securityId, CASE WHEN w.accountId IS NULL THEN 'UNKNOWN_ACCOUNT' WHEN w.securityId IS NULL THEN 'UNKNOWN_SECURITY' WHEN p.accountId IS NULL THEN 'NO_CURATED_POSITION' ELSE 'MATCHED' END AS reason
@@ -126,5 +130,6 @@ SQL = {
       UNION ALL SELECT 'dead_letters_empty', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END FROM ({_LET}))""", "wres"),
     "l5_dead_letter_counters": _SAMPLES.format(10, _LET),
     "l6_heartbeats": _BEATS,
+    "a5_footer_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in BASE_TABLES),
     "a5_table_counts": "SELECT 'transactions' AS \"table\", count(*) AS rows, max(o_orderdate) AS lastInsert FROM orders UNION ALL SELECT 'events', count(*), max(ts) FROM events UNION ALL SELECT 'errors', count(*), max(ts) FROM events WHERE event_type = 'error'",
 }

@@ -202,3 +202,15 @@ def test_a_side_is_broadcast_by_rows_and_bytes(spark):
     assert hinted(small(x)) and hinted(small(x, 100)) and not hinted(small(x, 99))
     assert not hinted(small(x, size=100_000)) and hinted(small(x, size=110_000))
     assert hinted(small(x.filter("false"))) and hinted(small(spark.range(3).select()))
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    from keelstone.plans import ops
+
+    for name, n in (("a", 1000), ("b", 0)):
+        spark.range(n).select("id", F.col("id").cast("string").alias("s")).write.parquet(str(tmp_path / name))
+    x = ops.footer_counts(spark, {n: str(tmp_path / n) for n in "ab"})
+    assert {r.table: r.rows for r in x.collect()} == {"a": 1000, "b": 0}
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") >= 2
+    assert "FileScan" in spark.read.parquet(str(tmp_path / "a"))._jdf.queryExecution().executedPlan().toString()
