@@ -87,6 +87,24 @@ TEMPLATES = {
     "gpl-3.0-only-header": f"{_GPL_OPENING} version 3 {{of the license}} {_GPL_REST}",
     "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <scheme:1> {www} mozilla org mpl 2 0",
 }
+#: How licences are named in a sentence, beside the notices above, and SPDX identifiers.
+_NAMED = {
+    "mit": ["mit license"], "apache-2.0": ["apache license {version} 2 0", "apache 2 0 license"], "gpl-2.0": ["gnu general public license {version} 2", "{gnu} gpl v2", "{gnu} gplv2"], "gpl-3.0": ["gnu general public license {version} 3", "{gnu} gpl v3", "{gnu} gplv3"],
+    "lgpl-2.1": ["gnu lesser general public license {version} 2 1", "{gnu} lgpl v2 1"], "lgpl-3.0": ["gnu lesser general public license {version} 3", "{gnu} lgpl v3", "{gnu} lgplv3"], "agpl-3.0": ["gnu affero general public license {version} 3", "{gnu} agpl v3", "{gnu} agplv3"],
+    "mpl-2.0": ["mozilla public license {version} 2 0", "mozilla public license v 2 0"], "epl-2.0": ["eclipse public license {version} 2 0"], "bsl-1.0": ["boost software license {version} 1 0"], "zlib": ["zlib license"], "unlicense": ["unlicense"],
+    "isc": ["isc license"], "bsd-2-clause": ["bsd 2 clause license", "2 clause bsd license"], "bsd-3-clause": ["bsd 3 clause license", "3 clause bsd license"], "cc0-1.0": ["{creative commons} cc0 1 0"],
+    "cc-by-4.0": ["{creative commons} cc by 4 0"], "cc-by-sa-4.0": ["{creative commons} cc by sa 4 0"], "cc-by-nc-4.0": ["{creative commons} cc by nc 4 0"], "cc-by-nd-4.0": ["{creative commons} cc by nd 4 0"], "cc-by-nc-sa-4.0": ["{creative commons} cc by nc sa 4 0"], "cc-by-nc-nd-4.0": ["{creative commons} cc by nc nd 4 0"],
+}
+_SPDX = """MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0
+  BSL-1.0 Zlib Unlicense ISC BSD-2-Clause BSD-3-Clause CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0""".split()
+#: What the notices above already cover.
+_COVERED = {("released", "mit"), ("licensed", "apache-2.0"), *(("licensed", f"cc-by{x}-4.0") for x in ("", "-nc", "-sa"))}
+for _verb in ("licensed", "released", "distributed", "available"):
+    for _id, _forms in _NAMED.items():
+        for _k, _form in enumerate(_forms):
+            if _k or (_verb, _id) not in _COVERED:
+                TEMPLATES[f"{_id}-{_verb}{_k or ''}-notice"] = f"{_verb} under {{a}} {{the}} {{terms of}} {{the}} {_form}"
+TEMPLATES |= {f"{x.lower()}-spdx": "spdx license identifier " + re.sub("[.-]", " ", x.lower()) for x in _SPDX}
 FAINT = 0.5
 #: Words that, among the three before a notice or header, deny it.
 DENIALS = {b"not", b"never", b"cannot", b"no", b"longer", b"t"}

@@ -842,6 +842,14 @@ def test_only_whole_licenses_are_texts():
     assert labels("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License") == {"cc-by-nc-4.0-name-notice"}
     assert labels("This file is not licensed under the Apache License, Version 2.0") == {"apache"} == labels("It isn't licensed under the Apache License, Version 2.0")
     assert labels("This file is licensed under the Apache License, Version 2.0") == {"apache", "apache-2.0-notice"}
+    near = lambda text: {x.removesuffix("-notice").removesuffix("-spdx") for x in labels(text) if x.endswith(("-notice", "-spdx"))}
+    for text, want in (
+        ("licensed under the MIT License", "mit-licensed"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("Distributed under the terms of the GNU GPL v3.", "gpl-3.0-distributed1"), ("available under the GNU Lesser General Public License version 2.1", "lgpl-2.1-available"),
+        ("Released under the GNU Affero General Public License, version 3", "agpl-3.0-released"), ("licensed under CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0-licensed"), ("released under CC0 1.0", "cc0-1.0-released"), ("licensed under the BSD 3-Clause License", "bsd-3-clause-licensed"),
+        ("licensed under the Mozilla Public License v. 2.0", "mpl-2.0-licensed1"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1-only"), ("// SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"),
+    ):
+        assert near(text) == {want}, text
+    assert near("this is not licensed under the MIT License") == set() == near("licensed under the Imaginary License")
     for label, t in licenses.TEMPLATES.items():  # each template reads its own mandatory wording, and not with one word less
         a = licenses.Automaton(label, t)
         w = [x for (kind, x), n in zip(a.steps, a.weight) if n]
