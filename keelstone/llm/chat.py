@@ -13,8 +13,8 @@ HTML are trained as they are: the first character of ``<|``, ``<s>``, ``</s>``,
 this template (or of another), and unescaping gives back every character.
 
 Defined results: null role or text is empty; turns go by (turn, role, text), nulls
-first; repeated rows are repeated turns; a null ``conv_id`` is a conversation; an
-texts are read whole, whatever their length; other columns of any name are not read;
+first; repeated rows are repeated turns; a null ``conv_id`` is a conversation; empty
+texts are turns like any other; texts are read whole, whatever their length; other columns of any name are not read;
 an empty table gives no rows.  A conversation is collected into one row, as the
 digest of its turns needs; examples never are: each is a row of its own.
 """

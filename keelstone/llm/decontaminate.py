@@ -15,6 +15,8 @@ Words are lower-cased and stripped of leading and trailing ASCII punctuation.
 The documents are read twice, however large the benchmark is: once to count grams,
 once to find seeds.  Either time a bitmap of the grams' hashes, of at most ``BITS`` bits,
 keeps most other grams from leaving a task; the join on the hash is exact.
+With more than about 10^8 grams over half of the largest bitmap is set, and more of the
+documents' other grams reach the join, which then drops them.
 A passage spans at most about four times its item's words, and pairs are aligned in
 batches of at most ``CELLS`` cells a row, so a worker's memory depends on the longest
 item only.

@@ -18,8 +18,10 @@ letters and digits and all other characters.
 template's mandatory words that a run has read; below ``FAINT`` it counts as 0.
 
 Defined results: null text is empty (no words, null first and last word, empty
-labels, score 0); repeated rows each get a row; texts are read whole; an empty table
-gives no rows.
+labels, score 0); repeated rows each get a row; a text may have any number of labels, and of
+several runs that read part of a template the longest counts (ties do not matter); texts are
+read whole; columns besides doc_id and text are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

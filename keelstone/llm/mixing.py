@@ -18,7 +18,9 @@ shard may be short, so a source's words differ from its target by less than
 
 Defined results: null text has size 0 and takes 0; a null source is a source;
 repeated rows are separate rows with interchangeable shares; null ``doc_id`` counts
-as an empty id in the seeded order; an empty table gives no rows.
+as an empty id in the seeded order; ties in that order go by doc_id and size; texts of any
+length count whole, and one longer than a shard makes its shard longer; columns besides
+doc_id, source and size are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ the driver and shipped to the tasks; its size is that of the file (at most
 ``MAX_PIECES`` pieces).
 
 Defined results: null or empty text has no words and no tokens; repeated rows each get
-a row; texts are read whole; an empty table gives no rows.
+a row; at each place the longest piece wins, and two pieces of one length cannot tie;
+texts are read whole; columns besides doc_id and text are not read, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
