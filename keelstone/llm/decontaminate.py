@@ -12,10 +12,10 @@ whatever the item's length, is contamination.
 
 Words are lower-cased and stripped of leading and trailing ASCII punctuation.
 
-The documents are read twice, however large the benchmark is: once to count grams,
-once to find seeds.  Either time a bitmap of the grams' hashes, of at most ``BITS`` bits,
-keeps most other grams from leaving a task; the join on the hash is exact.
-With more than about 10^8 grams over half of the largest bitmap is set, and more of the
+The documents are hashed once, however large the benchmark is: a bitmap of the items'
+grams, of at most ``BITS`` bits, keeps most other grams from leaving a task, and what it
+lets through is stored as (gram, place), counted and joined exactly on the hash.  The words of
+documents with passages, and no others, are then read once more.  With more than about 10^8 grams over half of the largest bitmap is set, and more of the
 documents' other grams reach the join, which then drops them.
 A passage spans at most about four times its item's words, and pairs are aligned in
 batches of at most ``CELLS`` cells a row, so a worker's memory depends on the longest
@@ -43,8 +43,6 @@ LONG = 13
 EDIT = 0.5
 BITS = (24, 27)
 CELLS = 1 << 19
-#: Different grams that a task counts before it passes them on.
-COUNTED = 200_000
 _ODD = 0x9E3779B97F4A7C15
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -136,28 +134,6 @@ def may_hold(shared):
     return check
 
 
-def count_grams(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
-    """gram, count: how often the grams that the bitmap holds occur in all documents."""
-
-    def count(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        grams, check, seen = grammer(lengths), may_hold(shared), Counter()
-        out = lambda: pa.RecordBatch.from_pydict({"gram": list(seen), "n": list(seen.values())}, schema=pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for g in grams(text)[1]:
-                    seen.update(g[check(g)].view("int64").tolist())
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
-        yield out()
-
-    return docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("count"))
-
-
 def seeds_of(grams: DataFrame, counts: DataFrame) -> DataFrame:
     """item, n, place, gram of the grams that are rare, or among the rarer half of their item's."""
     c = counts.select(F.col("gram").alias("_g"), "count")
@@ -166,8 +142,8 @@ def seeds_of(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return x.withColumn("half", half).filter((F.col("count") <= RARE) | (F.col("count") <= F.col("half"))).select("item", "n", "place", "gram")
 
 
-def documents_with_seeds(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
-    """doc_id, h, words (joined by spaces), hits (gram and place) of the documents in which the bitmap finds any."""
+def documents_with_grams(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
+    """doc_id, h, hits (gram and place) of the documents in which the bitmap finds any gram of an item."""
 
     def make():
         grams, check = grammer(lengths), may_hold(shared)
@@ -176,12 +152,21 @@ def documents_with_seeds(docs: DataFrame, shared, lengths: list[int]) -> DataFra
             _, found = grams(text)
             hits = [{"gram": x, "at": p} for g in found for ok in [check(g)] if ok.any() for p, x in zip(ok.nonzero()[0].tolist(), g[ok].view("int64").tolist())]
             if hits:
-                yield doc_id, h, b" ".join(words_of(text)).decode("utf-8", "surrogatepass"), hits
+                yield doc_id, h, hits
 
         return one
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", doc_hash().alias("h"), "text"), make, f"doc_id {kind}, h bigint, words string, hits array<struct<gram:bigint,at:bigint>>")
+    return map_rows(docs.select("doc_id", doc_hash().alias("h"), "text"), make, f"doc_id {kind}, h bigint, hits array<struct<gram:bigint,at:bigint>>")
+
+
+def words_in(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """_d, _h, words (joined by spaces) of the documents that ``near`` names, each once."""
+    need = small(near.select(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).distinct())
+    x = docs.select("doc_id", doc_hash().alias("h"), "text")
+    x = x.join(need, x.doc_id.eqNullSafe(need._d) & (x.h == need._k), "left_semi").dropDuplicates(["doc_id", "h"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(x, lambda: lambda doc_id, h, text: [(doc_id, h, b" ".join(words_of(text)).decode("utf-8", "surrogatepass"))], f"_d {kind}, _h bigint, words string")
 
 
 def passages(found: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -223,12 +208,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> D
     items = keep(benchmark.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id()))
     grams = keep(item_grams(items))
     lengths = sorted(r.k for r in grams.select(F.least("n", F.lit(SEED)).cast("int").alias("k")).distinct().collect())  # 1, 2 or SEED
-    seeds = keep(seeds_of(grams, count_grams(docs, bitmap(grams.select("gram").distinct()), lengths)))
-    found = keep(documents_with_seeds(docs, bitmap(seeds.select("gram").distinct()), lengths))
-    near = passages(found, seeds)
+    found = keep(documents_with_grams(docs, bitmap(grams.select("gram").distinct()), lengths))
+    counts = found.select(F.explode("hits.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("count"))
+    seeds = keep(seeds_of(grams, counts))
+    near = keep(passages(found, seeds))
 
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    mine = found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "words").dropDuplicates(["_d", "_h"])
+    mine = words_in(docs, near)
     # the words of a passage are cut out once per document; the passages of a hot item or document then spread evenly
     rows = near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item", "start", "end", "n_seeds")).alias("p"))
     rows = rows.join(mine, rows.doc_id.eqNullSafe(mine._d) & (rows.h == mine._h)).withColumn("w", F.split("words", " "))
