@@ -928,7 +928,7 @@ def test_bands_reach_the_recall():
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for n in ("documents", "conversations"):
+    for n in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {n} AS SELECT * FROM '{SF}/{n}.parquet'")
     cur = c.execute(Q.SQL[name])
     names = [x[0] for x in cur.description]
