@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+#: Fixed values, here and in all schemas, field lists and images below: the names, types, keys and orders of the entities.
 CLIENT = "clientId string, clientName string, lei string, countryOfDomicile string, countryOfIncorporation string, taxResidencies array<string>, classification string, kycStatus string, riskRating string, legalEntityType string, parentClientId string"
 LISTING = "sedol string, micCode string, operatingMic string, exchangeName string, tradedCurrency string, countryOfListing string, settlementLocation string, localCode string, primaryListing boolean, status string"
 _STAMPS = "createdAt timestamp, updatedAt timestamp"
@@ -40,10 +41,21 @@ def _strings(*names: str) -> str:
     return ", ".join(f"{n} string" for n in names)
 
 
-CUSTODY_FIELDS = ("POS_REC_TYPE", "POS_BUS_DATE", "POS_BANK_NBR", "POS_BRANCH_CD", "POS_ACCT_NBR", "POS_ACCT_TYPE_CD", "POS_CUSIP_NBR", "POS_ISIN_NBR", "POS_SEC_DESC", "POS_ASSET_CLS_CD", "POS_REG_TYPE_CD", "POS_LOC_CD", "POS_SHR_QTY", "POS_SHR_QTY_PEND", "POS_MKT_PRICE", "POS_MKT_VALUE", "POS_ACCR_INT", "POS_PRICE_DT", "POS_LAST_ACTVY_DT", "POS_PLEDGE_IND", "POS_CCY_CD", "POS_SRC_SYS_ID")
-VENDOR_FIELDS = ("Vendor_Ref", "Cusip", "ISIN_CODE", "sedol", "TICKER", "SecurityDesc", "Issuer_Name", "ASSET_CLS", "CPN_RATE", "MATURITY_DT", "CCY", "CNTRY_DOM", "CALLABLE_FLG", "ISSUE_STATUS", "EXCH_CD", "LAST_UPD_TS")
+#: The fields of the feeds and of the change images.
+CUSTODY_FIELDS = (
+    "POS_REC_TYPE", "POS_BUS_DATE", "POS_BANK_NBR", "POS_BRANCH_CD", "POS_ACCT_NBR", "POS_ACCT_TYPE_CD", "POS_CUSIP_NBR", "POS_ISIN_NBR",
+    "POS_SEC_DESC", "POS_ASSET_CLS_CD", "POS_REG_TYPE_CD", "POS_LOC_CD", "POS_SHR_QTY", "POS_SHR_QTY_PEND", "POS_MKT_PRICE", "POS_MKT_VALUE",
+    "POS_ACCR_INT", "POS_PRICE_DT", "POS_LAST_ACTVY_DT", "POS_PLEDGE_IND", "POS_CCY_CD", "POS_SRC_SYS_ID",
+)
+VENDOR_FIELDS = (
+    "Vendor_Ref", "Cusip", "ISIN_CODE", "sedol", "TICKER", "SecurityDesc", "Issuer_Name", "ASSET_CLS", "CPN_RATE", "MATURITY_DT", "CCY", "CNTRY_DOM",
+    "CALLABLE_FLG", "ISSUE_STATUS", "EXCH_CD", "LAST_UPD_TS",
+)
 CASH_FIELDS = ("MOV_ACCT_NBR", "MOV_CCY_CD", "MOV_AMT", "MOV_TYPE_CD", "MOV_VALUE_TS", "MOV_NARRATIVE", "MOV_SRC_SYS_ID")
-CLIENT_IMAGE = ("client_id", "client_name", "lei", "country_domicile", "country_incorp", "tax_residencies", "classification", "kyc_status", "risk_rating", "legal_entity_type", "parent_client_id", "updated_at")
+CLIENT_IMAGE = (
+    "client_id", "client_name", "lei", "country_domicile", "country_incorp", "tax_residencies", "classification", "kyc_status", "risk_rating",
+    "legal_entity_type", "parent_client_id", "updated_at",
+)
 ACCOUNT_IMAGE = ("account_nbr", "client_id", "account_name", "account_type", "base_ccy", "status", "open_date", "close_date", "branch", "updated_at")
 _EVENT = "EVENT_ID string, OP string, PK string, LSN string, TS_MS string, SOURCE_TABLE string, BEFORE struct<{0}>, AFTER struct<{0}>"
 
@@ -52,6 +64,7 @@ def _image(names: tuple[str, ...]) -> str:
     return ", ".join(f"{n}: string" for n in names)
 
 
+#: Schema, natural key and default order of every entity.
 ENTITIES = {
     e.name: e
     for e in (
