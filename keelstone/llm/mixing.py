@@ -10,7 +10,7 @@ go to the sources by highest quotients target / (2k - 1), so the quotas are
 integers.  Each source is cut
 into shards of about ``SHARD`` words by a seeded hash (a hot source has many
 shards, so no window holds a source), and the source's quota goes to its shards by
-the same rule.  Within a shard documents lie in seeded order and the quota picks
+the same rule, with the quotients ranked by range partitions.  Within a shard documents lie in seeded order and the quota picks
 whole rounds plus one seeded arc of blocks; a document's ``taken`` words are what
 of it lies in the picked blocks.  No block is picked more than ``EPOCHS`` times.  The last block of a
 shard may be short, so a source's words differ from its target by less than
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, prepare, small, table
+from .common import WORD, keep, prepare, scratch, small, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -68,7 +68,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     w = w.withColumn("left_weight", F.coalesce(F.sum(F.when(free, F.col("weight"))).over(every), F.lit(1)))
     w = w.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("left_words")).cast("double") / F.col("left_weight")))
     w = w.withColumn("n_all", F.round(F.col("total") / BLOCK).cast("long"))
-    return apportion(w, "target", "n_all", [], "source").select("source", "source_size", "target", F.col("quota").alias("blocks"))
+    return apportion(w, "target", "n_all", "source").select("source", "source_size", "target", F.col("quota").alias("blocks"))
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -76,8 +76,22 @@ def _over(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def apportion(df: DataFrame, share: str, seats: str, keys: list[str], name: str) -> DataFrame:
-    """``quota``: integer seats for each row by Sainte-Laguë within ``keys``.
+def _rounded(x: DataFrame, share: str, seats: str) -> DataFrame:
+    """``_q0``: the share at the divisor ``_total`` / seats, rounded."""
+    return x.withColumn("_q0", F.coalesce(F.round(_over(F.col(share), _over(F.col("_total"), F.col(seats)))).cast("long"), F.lit(0)))
+
+
+def _steps(x: DataFrame, share: str) -> DataFrame:
+    """The seats that a row may win or lose (``_j``), the first to move with the smallest ``_first``; null where there is no such seat."""
+    reach = F.coalesce(F.ceil(_over(1.5 * F.col("_rows") * F.col(share), F.col("_total"))), F.lit(0)).cast("int") + 2
+    x = x.withColumn("_j", F.explode(F.sequence(F.lit(1), F.when(F.col("_gap") == 0, 1).otherwise(reach))))
+    seat = F.when(F.col("_gap") > 0, F.col("_q0") + F.col("_j")).otherwise(F.col("_q0") - F.col("_j") + 1)
+    quotient = F.when(seat > 0, F.col(share) / (2 * seat - 1))
+    return x.withColumn("_first", F.when(F.col("_gap") > 0, -quotient).otherwise(quotient))
+
+
+def apportion(df: DataFrame, share: str, seats: str, name: str) -> DataFrame:
+    """``quota``: integer seats for each row by Sainte-Laguë; for a row per source, as one window holds the rows.
 
     Rounding share / divisor is the Sainte-Laguë allocation for that divisor.  With
     the divisor sum(share) / seats the rounded seats miss ``seats`` by at most half a
@@ -85,35 +99,53 @@ def apportion(df: DataFrame, share: str, seats: str, keys: list[str], name: str)
     lowest last ones).  A row can move at most 1.5 x rows x its share + 2 seats, so
     the quotients to compare are only a few per row.
     """
-    every = Window.partitionBy(*keys)
-    total, rows = F.sum(share).over(every), F.count("*").over(every)
-    x = df.withColumn("_q0", F.coalesce(F.round(_over(F.col(share), _over(total, F.col(seats)))).cast("long"), F.lit(0)))
+    every = Window.partitionBy()
+    x = _rounded(df.withColumn("_total", F.sum(share).over(every)).withColumn("_rows", F.count("*").over(every)), share, seats)
     x = x.withColumn("_gap", F.col(seats) - F.sum("_q0").over(every))
-    reach = F.coalesce(F.ceil(_over(1.5 * rows * F.col(share), total)), F.lit(0)).cast("int") + 2
-    back = [c for c in x.columns if c != "_gap"]
-    x = x.withColumn("_reach", reach).withColumn("_j", F.explode(F.sequence(F.lit(1), F.when(F.col("_gap") == 0, 1).otherwise(F.col("_reach")))))
-    seat = F.when(F.col("_gap") > 0, F.col("_q0") + F.col("_j")).otherwise(F.col("_q0") - F.col("_j") + 1)
-    quotient = F.when(seat > 0, F.col(share) / (2 * seat - 1))
-    first = F.when(F.col("_gap") > 0, -quotient).otherwise(quotient)
-    x = x.withColumn("_has", seat > 0).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(first.asc_nulls_last(), F.col(name).asc_nulls_last(), "_j")))
-    moved = F.sum(F.when(F.col("_has") & (F.col("_rank") <= F.abs("_gap")), F.sign("_gap")).otherwise(0).cast("long"))
-    return x.groupBy(*back).agg(moved.alias("_moved")).withColumn("quota", F.col("_q0") + F.col("_moved")).drop("_q0", "_moved")
+    rank = F.row_number().over(Window.orderBy(F.col("_first").asc_nulls_last(), F.col(name).asc_nulls_last(), "_j"))
+    x = _steps(x, share).withColumn("_rank", rank)
+    moved = F.sum(F.when(F.col("_first").isNotNull() & (F.col("_rank") <= F.abs("_gap")), F.sign("_gap")).otherwise(0).cast("long"))
+    return x.groupBy(*df.columns, "_q0").agg(moved.alias("_moved")).withColumn("quota", F.col("_q0") + F.col("_moved")).drop("_q0", "_moved")
+
+
+def apportion_within(df: DataFrame, share: str, seats: str, key: str, name: str) -> DataFrame:
+    """As ``apportion``, within each value of ``key``; (key, name) is unique, and a key may have any number of rows.
+
+    Sums are combined before their shuffle.  The seats to move are ranked by range partitions
+    of (key, quotient), the counts before a partition and the places in it, so no task
+    sees a key; only a row per partition and key is added up in one.
+    """
+    of_key = F.col(key).eqNullSafe(F.col("_key"))
+    per = df.groupBy(F.col(key).alias("_key")).agg(F.sum(share).alias("_total"), F.count("*").alias("_rows"))
+    x = keep(_rounded(df.join(small(keep(per)), of_key).drop("_key"), share, seats))
+    gaps = x.groupBy(F.col(key).alias("_key")).agg((F.max(seats) - F.sum("_q0")).alias("_gap")).filter("_gap <> 0")
+    steps = _steps(x.join(small(keep(gaps)), of_key), share).filter("_first IS NOT NULL").select("_key", F.col(name).alias("_name"), "_gap", "_first", "_j")
+    order = ["_first", "_name", "_j"]
+    steps = keep(steps.repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = steps.groupBy("_key", "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = small(keep(starts.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), "_start")))
+    ranked = steps.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_part").orderBy(*order)))
+    ranked = ranked.join(starts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))).filter("_start + _rank <= abs(_gap)")
+    moved = ranked.groupBy("_key", "_name").agg(F.sum(F.sign("_gap").cast("long")).alias("_moved"))
+    x = x.join(moved, of_key & F.col(name).eqNullSafe(F.col("_name")), "left")
+    return x.withColumn("quota", F.col("_q0") + F.coalesce("_moved", F.lit(0))).select(*df.columns, "quota")
 
 
 def mix(sizes: DataFrame) -> DataFrame:
     """doc_id, source, size of ``sizes`` with source_size, target, taken."""
     spark = sizes.sparkSession
     prepare(spark)
-    sizes = keep(sizes.select("doc_id", "source", "size"))
-    goal = small(keep(targets(sizes)).withColumnRenamed("source", "_source"))
-    x = sizes.join(goal, sizes.source.eqNullSafe(F.col("_source")), "left").drop("_source")
-    x = x.withColumn("_draw", _draw("", F.col("doc_id"))).withColumn("_shard", _number(F.col("_draw")) % F.expr(f"source_size div {SHARD} + 1"))
-    quotas = x.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.max("source_size").alias("_all"), F.max("blocks").alias("_blocks"))
-    quotas = quotas.withColumn("_n", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}")).withColumn("_share", _over(F.col("_words"), F.col("_all")) * F.col("_blocks"))
-    quotas = apportion(quotas, "_share", "_blocks", ["source"], "_shard")
-    quotas = quotas.withColumn("quota", F.least("quota", EPOCHS * F.col("_n")))
-    quotas = quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_k"), "_words", "_n", "quota")
-    quotas = small(keep(quotas))
+    with scratch() as stay:
+        sizes = stay(keep(sizes.select("doc_id", "source", "size")))
+        goal = small(stay(keep(targets(sizes).withColumnRenamed("source", "_source"))))
+        x = sizes.join(goal, sizes.source.eqNullSafe(F.col("_source")), "left").drop("_source")
+        x = x.withColumn("_draw", _draw("", F.col("doc_id"))).withColumn("_shard", _number(F.col("_draw")) % F.expr(f"source_size div {SHARD} + 1"))
+        quotas = x.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.max("source_size").alias("_all"), F.max("blocks").alias("_blocks"))
+        quotas = quotas.withColumn("_n", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}")).withColumn("_share", _over(F.col("_words"), F.col("_all")) * F.col("_blocks"))
+        quotas = apportion_within(keep(quotas), "_share", "_blocks", "source", "_shard")
+        quotas = quotas.withColumn("quota", F.least("quota", EPOCHS * F.col("_n")))
+        quotas = small(stay(keep(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_k"), "_words", "_n", "quota"))))
     x = x.join(quotas, x.source.eqNullSafe(F.col("_s")) & (x._shard == F.col("_k")), "left").drop("_s", "_k")
     # a shard holds about SHARD words, whatever the source's size
     order = Window.partitionBy("source", "_shard").orderBy("_draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -593,7 +593,42 @@ def test_apportionment(spark):
         shares = {f"n{i}": float(r.choice([1, 2, 5, 40, 333])) + r.random() for i in range(r.randint(1, 12))}
         seats = r.randint(0, 60)
         x = spark.createDataFrame([(n, v, seats) for n, v in shares.items()], "name string, share double, seats bigint")
-        assert {y.name: y.quota for y in mixing.apportion(x, "share", "seats", [], "name").collect()} == sainte_lague(shares, seats)
+        assert {y.name: y.quota for y in mixing.apportion(x, "share", "seats", "name").collect()} == sainte_lague(shares, seats)
+
+
+def test_apportionment_within_keys(spark):
+    """Many range partitions, equal quotients, a null key, keys without a share: as one key after another."""
+    r, rows, want = random.Random(9), [], {}
+    for key, n in (("hot", 90), (None, 7), ("one", 1), ("none", 3)):
+        shares = {i: 0.0 if key == "none" else r.choice([1.0, 1.0, 2.5, 40.0]) for i in range(n)}
+        seats = 0 if key == "none" else r.randint(n, 5 * n)
+        rows += [(key, i, v, seats) for i, v in shares.items()]
+        want |= {(key, i): q for i, q in sainte_lague(shares, seats).items()}
+    mixing.prepare(spark)
+    x = spark.createDataFrame(rows, "key string, name bigint, share double, seats bigint").repartition(5)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for on in ("false", "true"):
+            spark.conf.set("spark.sql.adaptive.enabled", on)
+            got = mixing.apportion_within(x, "share", "seats", "key", "name")
+            assert {(y.key, y.name): y.quota for y in got.collect()} == want and got.columns == [*x.columns, "quota"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert mixing.apportion_within(x.filter("false"), "share", "seats", "key", "name").count() == 0
+
+
+def test_a_source_of_many_shards(spark, monkeypatch):
+    """Shards of 100 words: a source's taken words still come within EPOCHS + 1 blocks a shard of its target."""
+    monkeypatch.setattr(mixing, "SHARD", 100)
+    table = [(i, "hot" if i % 3 else f"s{i % 5}", 1 + i % 37) for i in range(1200)]
+    sizes, taken, goal = defaultdict(int), defaultdict(int), {}
+    for y in mixing.mix(spark.createDataFrame(table, "doc_id bigint, source string, size bigint")).collect():
+        assert 0 <= y.taken <= mixing.EPOCHS * y.size
+        sizes[y.source] += y.size
+        taken[y.source] += y.taken
+        goal[y.source] = y.target
+    for s, n in sizes.items():
+        assert abs(taken[s] - goal[s]) <= (mixing.EPOCHS + 1) * mixing.BLOCK * (n // 100 + 1)
 
 
 # 8 ------------------------------------------------------------------------------------------------
