@@ -12,6 +12,7 @@ from ..tables import small
 
 MONEY = "decimal(18,2)"
 KEY = ["accountId", "currency", "asOfDate"]
+OUTCOMES = ("UNKNOWN_ACCOUNT", "MALFORMED_VALUE", "CURATED")
 
 
 def outcomes(raw: DataFrame) -> DataFrame:

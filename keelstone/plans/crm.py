@@ -17,6 +17,9 @@ LEGAL_ENTITY_TYPE = {"corporation": "CORPORATION", "partnership": "PARTNERSHIP",
 ACCOUNT_TYPE = {"custody": "CUSTODY", "proprietary": "PROPRIETARY", "omnibus": "OMNIBUS"}
 ACCOUNT_STATUS = {"active": "ACTIVE", "suspended": "SUSPENDED", "closed": "CLOSED"}
 
+#: Outcomes of ``event_outcomes``.
+OUTCOMES = ("MISSING_PK", "NO_AFTER_IMAGE", "MISSING_CLIENT", "CURATED")
+
 CLIENT_TYPE = f"struct<{CLIENT.replace(' ', ': ').replace(',:', ',')}>"
 
 

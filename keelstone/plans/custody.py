@@ -9,6 +9,8 @@ from ..functions.columns import ccyymmdd, julian, optional_date, position_id, zo
 from ..operators.merge import merge
 from ..operators.resolve import custody_candidates, identifier_map, resolve_accounts, resolve_small
 
+OUTCOMES = ("UNKNOWN_ACCOUNT", "UNKNOWN_SECURITY", "MALFORMED_VALUE", "CURATED")
+
 
 def decode(raw: DataFrame) -> DataFrame:
     """Typed columns; what cannot be decoded is null."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import last_k
@@ -73,6 +73,24 @@ def footer_counts(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     return out
 
 
+def write_outcomes(judged: DataFrame, path: str, known: tuple[str, ...]) -> DataFrame:
+    """Write judged rows as Parquet partitioned by ``outcome`` and return outcome, n, counted by that write.
+
+    The counts are observed directly below the write, by the tasks of its last stage, of
+    which Spark counts each once even where it is tried again; rows are neither read nor
+    judged a second time.  ``known`` are the outcomes of the curator; a row with another
+    one (or none) is an error, as curated and skipped must add up to seen.
+    """
+    seen = Observation()
+    counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(f"n_{i}") for i, o in enumerate(known)]
+    judged.observe(seen, F.count(F.lit(1)).alias("seen"), *counts).write.mode("overwrite").partitionBy("outcome").parquet(path)
+    got = seen.get
+    found = [(o, got[f"n_{i}"]) for i, o in enumerate(known)]
+    if got["seen"] != sum(n for _, n in found):
+        raise ValueError(f"{got['seen']} rows seen, {found} judged")
+    return judged.sparkSession.createDataFrame([x for x in found if x[1]], "outcome string, n bigint")
+
+
 def batch_history(ledger: DataFrame, limit: int = 10) -> DataFrame:
     return ledger.orderBy(F.desc("extractedAt"), F.desc("batchId")).limit(clamp_limit(limit, OPS_LIMIT))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import cash, crm, custody, vendor
+from ..plans import cash, crm, custody, ops, vendor
 from ..sources import feeds, fixed_width as fw
 from ..tables import shared_folder, stored
 from . import standins as S
@@ -94,8 +94,18 @@ def a6(spark, d):
     return x.unionByName(y).unionByName(z)
 
 
+def a6_write(spark, d):
+    """The same figures from the writes of the three curators' judged rows."""
+    feeds_ = (("custody", _judged(spark, d), custody.OUTCOMES), ("cash", cash.outcomes(S.movements(spark, d)), cash.OUTCOMES), ("crm", crm.event_outcomes(account_events(spark, d), "accounts"), crm.OUTCOMES))
+    root, out = shared_folder(spark), None
+    for feed, judged, known in feeds_:
+        x = ops.write_outcomes(judged, f"{root}/{feed}", known).withColumn("feed", F.lit(feed))
+        out = x if out is None else out.unionByName(x)
+    return out
 
-QUERIES = {"c1_custody_positions": c1, "a2_cash_balances": a2, "a3_touched_keys": a3, "c2_cash_curation": c2, "c3_crm_accounts": c3, "c4_client_master": c4, "c5_vendor_enrichment": c5, "c8_sentinels": c8, "t5_two_channels": t5, "a6_curation_statistics": a6}
+
+
+QUERIES = {"c1_custody_positions": c1, "a2_cash_balances": a2, "a3_touched_keys": a3, "c2_cash_curation": c2, "c3_crm_accounts": c3, "c4_client_master": c4, "c5_vendor_enrichment": c5, "c8_sentinels": c8, "t5_two_channels": t5, "a6_curation_statistics": a6, "a6_written_outcomes": a6_write}
 
 _C1 = "SELECT *, '2024011' || f AS cycle, row_number() OVER (PARTITION BY accountId, securityId, f ORDER BY seq DESC) AS newest FROM wres WHERE f IN (0, 1) AND accountId IS NOT NULL AND securityId IS NOT NULL"
 _BAL = "SELECT accountId, currency, asOfDate, CAST(openingBalance AS DECIMAL(18,2)) AS openingBalance, credits, debits, CAST(openingBalance + credits - debits AS DECIMAL(18,2)) AS closingBalance FROM bal"
@@ -121,3 +131,4 @@ SQL = {
       UNION ALL SELECT 'cash', CASE WHEN acct IS NULL THEN 'UNKNOWN_ACCOUNT' WHEN ccy = '' THEN 'MALFORMED_VALUE' ELSE 'CURATED' END, count(*) FROM mov GROUP BY ALL
       UNION ALL SELECT 'crm', CASE WHEN op <> 'd' AND client_id IS NULL THEN 'MISSING_CLIENT' ELSE 'CURATED' END, count(*) FROM ace GROUP BY ALL""", "wres", "mov", "ace"),
 }
+SQL["a6_written_outcomes"] = SQL["a6_curation_statistics"]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans import ops
 from ..registry import EntitySpec
-from ..streaming import landing
+from ..streaming import heartbeats, landing
 from ..tables import load, shared_folder
 
 #: Two raw tables of the stand-in: one keeps the latest arrival, the other the newest source timestamp.
@@ -89,6 +90,17 @@ def t6_state(spark, d):
     return target.current("raw_users").select("USER", "UPDATED", "KIND")
 
 
+def l6_observed(spark, d):
+    """Heartbeats of three micro-batches, each of them one write that observes its records."""
+    root, beats = shared_folder(spark), heartbeats.Heartbeats(ROUTES)
+    spark.streams.addListener(beats)
+    try:
+        beats.wait(heartbeats.archive(landing.records(spark, record_files(spark, d), 2), ROUTES, f"{root}/archive", f"{root}/checkpoint"))
+    finally:
+        spark.streams.removeListener(beats)
+    return ops.progress(beats.take(spark)).withColumn("lastLandedAt", F.date_trunc("second", "lastLandedAt").cast("timestamp_ntz"))
+
+
 def l7(spark, d):
     t = landed(spark, d)
     count = lambda n: t.current(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows")
@@ -112,6 +124,7 @@ QUERIES = {
     "t7_tombstones": lambda s, d: landing.split(landing.validated(s.read.schema(landing.RECORD).json(record_files(s, d)), STATE), STATE)[0].agg(F.count("*").alias("n")),
     "l1_contract": lambda s, d: landing.validated(s.read.schema(landing.RECORD).json(record_files(s, d)).filter(F.col("topic") == EVENT.topic), EVENT).select("offset", "EVENT_KEY", "USER", F.array_join("errors", ",").alias("errors")),
     "l4_dead_letters": l4,
+    "l6_observed_heartbeats": l6_observed,
     "l7_routing": l7,
 }
 
@@ -130,5 +143,6 @@ SQL = {
     "t7_tombstones": "SELECT count(*) AS n FROM events WHERE event_id % 103 <> 0 AND (event_id % 2 = 1 OR event_id % 101 <> 0)",
     "l1_contract": "SELECT event_id AS \"offset\", CASE WHEN event_id % 101 <> 0 THEN 'E' || event_id % 4000 END AS EVENT_KEY, CAST(user_id AS VARCHAR) AS \"USER\", CASE WHEN event_id % 101 = 0 THEN 'EVENT_KEY' ELSE '' END AS errors FROM events WHERE event_id % 2 = 1 AND event_id % 103 <> 0",
     "l4_dead_letters": "SELECT CASE WHEN event_id % 2 = 0 THEN 'raw.users' ELSE 'raw.events' END AS topic, 'landing' AS stage, CASE WHEN event_id % 2 = 0 THEN 'missing: USER' ELSE 'missing: EVENT_KEY' END AS error, event_id AS \"offset\" FROM events WHERE event_id % 101 = 0 AND event_id % 103 <> 0",
+    "l6_observed_heartbeats": f"SELECT topic, collection, count(*) AS recordsLanded, date_trunc('second', max(ts)) AS lastLandedAt FROM (SELECT 'raw.events' AS topic, 'raw_events' AS collection, event_id FROM ({_EV}) UNION ALL SELECT 'raw.users', 'raw_users', event_id FROM ({_US})) x JOIN events USING (event_id) GROUP BY topic, collection",
     "l7_routing": f"SELECT 'raw_events' AS \"table\", (SELECT count(*) FROM ({_T1})) AS rows, (SELECT count(*) FROM ({_EV})) AS landed UNION ALL SELECT 'raw_users', (SELECT count(*) FROM ({_T4})), (SELECT count(*) FROM ({_US}))",
 }

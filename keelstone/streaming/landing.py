@@ -30,12 +30,18 @@ def records(spark: SparkSession, path: str, files_per_batch: int = BATCH_FILES,
     return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
+def broken(spec: EntitySpec, r: Column | None = None) -> Column:
+    """The fields of a record that break the contract: required ones without a value, or the payload itself.  ``r``: the parsed payload."""
+    r = F.from_json("value", spec.schema) if r is None else r
+    need = [c for c in spec.columns if c in (*spec.required, *spec.key)]
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(r[c].cast("string"), F.lit("")) == "", F.lit(c)) for c in need]))
+    return F.when(r.isNull(), F.array(F.lit("payload"))).otherwise(missing)
+
+
 def validated(batch: DataFrame, spec: EntitySpec) -> DataFrame:
     """The declared columns of JSON payloads (others are dropped) and ``errors``: the fields that break the contract."""
     x = batch.filter("value IS NOT NULL").withColumn("r", F.from_json("value", spec.schema))
-    need = [c for c in spec.columns if c in (*spec.required, *spec.key)]
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("")) == "", F.lit(c)) for c in need]))
-    return x.withColumn("errors", F.when(F.col("r").isNull(), F.array(F.lit("payload"))).otherwise(missing)).select("topic", "partition", "offset", "value", "ts", *[F.col(f"r.{c}").alias(c) for c in spec.columns], "errors")
+    return x.withColumn("errors", broken(spec, F.col("r"))).select("topic", "partition", "offset", "value", "ts", *[F.col(f"r.{c}").alias(c) for c in spec.columns], "errors")
 
 
 def split(judged: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:

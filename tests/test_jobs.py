@@ -257,6 +257,55 @@ def test_stateful_guard_emits_changes_only(spark, tmp_path):
     assert key(t) == key(merged) == [("a", "2024-01-02", "x"), ("b", "2024-01-03", "new"), ("c", "2020-01-01", "stamped"), ("d", "", "d")]
 
 
+def test_heartbeats_come_from_the_write(spark, tmp_path):
+    """One job a batch; bad records do not count; a restart goes on, and old progress told again changes nothing."""
+    from keelstone.queries.streams import EVENT, ROUTES, STATE
+    from keelstone.streaming import heartbeats, landing
+
+    put = tmp_path / "in"
+    put.mkdir()
+    beats = heartbeats.Heartbeats(ROUTES)
+    spark.streams.addListener(beats)
+    jobs = []
+
+    def cycle(n, lines):
+        (put / f"{n}.json").write_text("\n".join(json.dumps(x) for x in lines))
+        q = heartbeats.archive(landing.records(spark, str(put)), ROUTES, str(tmp_path / "archive"), str(tmp_path / "checkpoint"))
+        beats.wait(q)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId))))
+        return {r.topic: (r.collection, r.n, r.at and r.at.day) for r in beats.take(spark).collect()}
+
+    line = lambda topic, day, value: {"topic": topic, "partition": 0, "offset": 1, "value": value, "ts": f"2024-01-0{day}T00:00:00Z"}
+    user = json.dumps({"USER": "u", "EVENT_KEY": "k"})
+    try:
+        first = [line(STATE.topic, 2, user), line(STATE.topic, 1, user), line(STATE.topic, 9, "{}"), line(STATE.topic, 9, None), line(EVENT.topic, 9, "no json"), line("other", 9, user)]
+        assert cycle(0, first) == {STATE.topic: (STATE.name, 2, 2)}
+        assert cycle(1, [line(EVENT.topic, 3, user)]) == {EVENT.topic: (EVENT.name, 1, 3)}
+        query = next(iter(beats._last))
+        beats.count(query, 0, {"n_0": 5, "at_0": None, "n_1": 5, "at_1": None})
+        assert cycle(2, [line("other", 1, user)]) == {}
+    finally:
+        spark.streams.removeListener(beats)
+    assert jobs == [1, 1, 1]
+    kept = spark.read.parquet(str(tmp_path / "archive"))
+    assert kept.count() == 8 and kept.filter("value IS NULL").count() == 1
+
+
+def test_outcomes_are_counted_by_their_write(spark, tmp_path):
+    from keelstone.plans import ops
+
+    rows = [(i, "CURATED" if i % 3 else "BAD") for i in range(100)]
+    judged = spark.createDataFrame(rows, "id bigint, outcome string")
+    known = ("BAD", "NEVER", "CURATED")
+    for x in (judged, judged.repartition(7, "id")):
+        assert sorted(map(tuple, ops.write_outcomes(x, str(tmp_path / "o"), known).collect())) == [("BAD", 34), ("CURATED", 66)]
+    assert spark.read.parquet(str(tmp_path / "o")).filter("outcome = 'BAD'").count() == 34
+    assert ops.write_outcomes(judged.filter("id < 0"), str(tmp_path / "none"), known).count() == 0
+    for bad in ("other", None):
+        with pytest.raises(ValueError, match="101 rows seen"):
+            ops.write_outcomes(judged.unionByName(spark.createDataFrame([(1, bad)], judged.schema)), str(tmp_path / "bad"), known)
+
+
 def test_crm_is_order_free(spark):
     a, c = account_events(spark, SF), client_events(spark, SF)
     key = lambda x: sorted((r.accountId, r.status, r.client.clientName) for r in x.collect())
