@@ -82,6 +82,8 @@ TEMPLATES = {
     "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
     + _AS_IS
     + " {for more information please refer to <address:6>}",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will <the authors:12> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {1} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {2} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {3} this notice may not be removed or altered from any source distribution",
+    "bsl-1.0-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use <this file:4> except in compliance with the license you may obtain a copy of the license at <scheme:1> {www} apache org licenses license 2 0 {txt} {html} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "gpl-2.0-header": f"{_GPL_OPENING} either version 2 of the license or at your option any later version {_GPL_REST}",
     "gpl-3.0-header": f"{_GPL_OPENING} either version 3 of the license or at your option any later version {_GPL_REST}",
@@ -89,6 +91,12 @@ TEMPLATES = {
     "gpl-3.0-only-header": f"{_GPL_OPENING} version 3 {{of the license}} {_GPL_REST}",
     "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <scheme:1> {www} mozilla org mpl 2 0",
 }
+#: The same headers for the other GNU licences.
+for _id, _name, _version in (("lgpl-2.1", "gnu lesser general", "2 1"), ("lgpl-3.0", "gnu lesser general", "3"), ("agpl-3.0", "gnu affero general", "3")):
+    _opening, _rest = _GPL_OPENING.replace("gnu general", _name), _GPL_REST.replace("gnu general", _name)
+    TEMPLATES[f"{_id}-header"] = f"{_opening} either version {_version} of the license or at your option any later version {_rest}"
+    TEMPLATES[f"{_id}-only-header"] = f"{_opening} version {_version} {{of the license}} {_rest}"
+    TEMPLATES[f"{_id[:4]}-opening-notice"] = _opening
 #: How licences are named in a sentence, beside the notices above, and SPDX identifiers.
 _NAMED = {
     "mit": ["mit license"], "apache-2.0": ["apache license {version} 2 0", "apache 2 0 license"], "gpl-2.0": ["gnu general public license {version} 2", "{gnu} gpl v2", "{gnu} gplv2"], "gpl-3.0": ["gnu general public license {version} 3", "{gnu} gpl v3", "{gnu} gplv3"],

@@ -859,6 +859,34 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""]
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+LGPL = """ * This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+ *
+ * You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the"""
+
+
+def test_zlib_boost_and_gnu_headers():
+    scan = licenses.scanner()
+    found = lambda t: {x for x in scan(t)[5].split(",") if x.endswith(("-text", "-header", "opening-notice"))}
+    assert found(ZLIB) == {"zlib-text"} and found(ZLIB.replace("1. ", "").replace("2. ", "").replace("3. ", "")) == {"zlib-text"}
+    assert found(ZLIB.replace("commercial", "private")) == set() == found(ZLIB[:-20])
+    boost = licenses.TEMPLATES["bsl-1.0-text"]
+    assert found(boost) == {"bsl-1.0-text"} and found(boost.replace("title and ", "")) == set()
+    assert found(LGPL) == {"lgpl-2.1-header", "lgpl-opening-notice"} and found(LGPL.replace("either version 2.1 of the License, or (at your option) any later version", "version 2.1 of the License")) == {"lgpl-2.1-only-header", "lgpl-opening-notice"}
+    affero = LGPL.replace("Lesser", "Affero").replace("2.1", "3").replace("library", "program")
+    assert found(affero) == {"agpl-3.0-header", "agpl-opening-notice"} and found(affero.replace("version 3", "version 4")) == {"agpl-opening-notice"}
+
+
 def test_only_whole_licenses_are_texts():
     scan = licenses.scanner()
     texts = lambda t: {x for x in scan(t)[5].split(",") if x.endswith(("-text", "-header"))}
