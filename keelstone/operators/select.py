@@ -151,5 +151,16 @@ def pages(df: DataFrame, order: list[tuple[str, bool]], limit: int) -> DataFrame
     return number_rows(df, order).withColumn("page", F.ceil(F.col("rn") / clamp_limit(limit)).cast("bigint"))
 
 
+def walked(df: DataFrame, order: list[tuple[str, bool]], limit: int = LIST_LIMIT) -> DataFrame:
+    """What ``walk`` meets from cursor to cursor, as one DataFrame: every row with ``page`` and ``has_more``.
+
+    One numbering of the rows instead of a query a page, so the work grows with the rows and
+    the plan does not grow at all.
+    """
+    x = pages(df, order, limit)
+    last = x.agg(F.max("page").alias("_last"))  # one row
+    return x.crossJoin(F.broadcast(last)).withColumn("has_more", F.col("page") < F.col("_last")).drop("rn", "_last")
+
+
 def list_entity(df: DataFrame, spec: EntitySpec, limit: int = LIST_LIMIT) -> DataFrame:
     return ordered(df, spec.total_order).limit(clamp_limit(limit))

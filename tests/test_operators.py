@@ -216,6 +216,25 @@ def test_counts_come_from_footers(spark, tmp_path):
     assert "FileScan" in spark.read.parquet(str(tmp_path / "a"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_walked_is_the_walk(spark):
+    from keelstone.operators import select
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(40)], "i int, a int")
+    order = [("a", False), ("i", True)]
+    for limit in (1, 7, 40):
+        want = sorted((r.i, n + 1, more) for n, (x, more) in enumerate(select.walk(df, order, limit)) for r in x.collect())
+        assert sorted((r.i, r.page, r.has_more) for r in select.walked(df, order, limit).collect()) == want
+    assert select.walked(df.filter("false"), order, 3).collect() == []
+
+
+def test_the_walk_of_all_accounts_is_one_plan(spark):
+    """Its jobs do not grow with the pages: 1,500 accounts in 8 pages took 8 further jobs and a union of 8 plans."""
+    from keelstone.queries import reads
+
+    df = reads.k2_walk(spark, "/root/testdata/sf0.01")
+    assert df.count() == 1500 and "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_listings_are_counted_per_identifier(spark):
     from keelstone.plans import quality
 
