@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
+
 from pyspark.sql import functions as F
 
 from ..plans import ops
@@ -59,18 +62,33 @@ def l4(spark, d):
     return x.select("topic", "stage", "error", "offset")
 
 
+def booked_amount(record: dict) -> tuple:
+    """The amount as a number of two places, halves going up; an error where it is none."""
+    text = record["AMOUNT"]
+    if text is None:
+        return (None,)
+    if not re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?", text.strip()):
+        raise ValueError(f"[CAST_INVALID_INPUT] The value '{text}' is no amount.")
+    try:
+        amount = Decimal(text.strip()).quantize(Decimal("0.01"), ROUND_HALF_UP)
+    except InvalidOperation:
+        amount = None
+    if amount is None or abs(amount) >= 10**16:
+        raise ValueError(f"[NUMERIC_VALUE_OUT_OF_RANGE] The amount '{text}' has more than 18 digits.")
+    return (amount,)
+
+
 def t1_poison(spark, d):
     """A handler that turns amounts into numbers meets records whose amount is none: each of them becomes a dead letter, all others of its batch land, and the stream goes on."""
     root = shared_folder(spark)
     target = landing.Landing(spark, f"{root}/tables", ROUTES)
     spoiled = F.when(F.col("offset") % 10_000 == 1, F.regexp_replace("value", '"AMOUNT":"[^"]*"', '"AMOUNT":"n/a"')).otherwise(F.col("value"))
 
-    def book(rows, n):
-        ok, _ = landing.split(landing.validated(rows.filter(F.col("topic") == EVENT.topic), EVENT), EVENT)
-        target.put("booked", ok.select("_arrival.offset", F.col("AMOUNT").cast("decimal(18,2)").alias("amount")), n)
+    def valid(rows):
+        return landing.validated(rows.filter(F.col("topic") == EVENT.topic), EVENT).filter(F.size("errors") == 0).select("topic", "partition", "offset", "value", "ts", "AMOUNT")
 
-    isolated = landing.Isolated(book, lambda letters, n: target.put("dead_letters/stage=handler", letters, n))
-    landing.drain(landing.records(spark, record_files(spark, d), 2).withColumn("value", spoiled), isolated, f"{root}/checkpoint")
+    guarded = landing.Guarded(valid, booked_amount, "amount decimal(18,2)", lambda rows, n: target.put("booked", rows.select("offset", "amount"), n), lambda rows, n: target.put("dead_letters/stage=handler", rows, n))
+    landing.drain(landing.records(spark, record_files(spark, d), 2).withColumn("value", spoiled), guarded, f"{root}/checkpoint")
     booked = target.appended("booked", "offset bigint, amount decimal(18,2)").select("offset", "amount", F.lit(None).cast("string").alias("error"))
     letters = target.appended("dead_letters", landing.LETTERS).select("offset", F.lit(None).cast("decimal(18,2)").alias("amount"), F.substring("error", 1, 36).alias("error"))
     return booked.unionByName(letters)

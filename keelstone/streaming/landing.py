@@ -193,6 +193,64 @@ class Isolated:
         return bad
 
 
+HANDLED_ERROR = "_failure"
+#: The share of a batch's records that may fail before the handler of records itself is at fault.
+MOST_SHARE = 0.5
+
+
+def handled(rows: DataFrame, handler, schema: str) -> DataFrame:
+    """``rows`` with the columns of ``schema`` that ``handler(row)`` returns as a tuple, and ``_failure``: what it raised, else null.
+
+    The handler runs record by record inside the tasks, so a record that fails costs itself
+    alone, however many do, and no attempt is repeated.
+    """
+    import pandas as pd
+
+    made = T.StructType.fromDDL(schema)
+    result = T.StructType([*made.fields, T.StructField(HANDLED_ERROR, T.StringType())])
+    none = (None,) * len(made)
+
+    def run(*columns):
+        out = []
+        for row in zip(*columns):
+            try:
+                out.append((*handler(dict(zip(names, row))), None))
+            except Exception as e:
+                out.append((*none, (str(e).strip() or type(e).__name__)[:ERROR_CHARS]))
+        return pd.DataFrame(out, columns=result.names, dtype=object)
+
+    names, taken = list(rows.columns), {n.lower() for n in result.names}  # a result takes the place of a column of its name
+    each = F.pandas_udf(run, result)
+    return rows.withColumn("_h", each(*[F.col(n) for n in names])).select(*[n for n in names if n.lower() not in taken], "_h.*")
+
+
+class Guarded:
+    """``foreachBatch`` target for a handler of single records: those on which it fails become dead letters, the others land, by one pass over the batch.
+
+    ``prepare(batch)`` gives the handler's rows, which keep topic, partition, offset, ts and
+    payload (``value``); ``put(rows, batch_id)`` and ``letters(rows, batch_id)`` overwrite what
+    they wrote for the same batch.  Where more than ``most`` of the records fail, the handler is
+    at fault: the error of one is raised, and the stream stops before its checkpoint moves.
+    ``Isolated`` is for targets that only take whole batches.
+    """
+
+    def __init__(self, prepare, handler, schema: str, put, letters, most: float = MOST_SHARE):
+        self.prepare, self.handler, self.schema, self.put, self.letters, self.most = prepare, handler, schema, put, letters, most
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = handled(self.prepare(batch), self.handler, self.schema).persist()
+        try:
+            failure = F.col(HANDLED_ERROR)
+            got = rows.agg(F.count("*").alias("n"), F.count(failure).alias("bad"), F.min(failure).alias("said")).first()
+            if got.bad > self.most * got.n:
+                raise RuntimeError(f"{got.bad} of {got.n} records failed: {got.said}")
+            self.put(rows.filter(failure.isNull()).drop(HANDLED_ERROR), batch_id)
+            if got.bad:
+                self.letters(rows.filter(failure.isNotNull()).select("topic", F.substring(F.concat(F.lit("handler failed: "), failure), 1, ERROR_CHARS).alias("error"), "partition", "offset", F.coalesce("ts", F.current_timestamp()).alias("at"), F.substring("value", 1, ERROR_CHARS).alias("payload")), batch_id)
+        finally:
+            rows.unpersist()
+
+
 def changes(rows: DataFrame, spec: EntitySpec) -> DataFrame:
     """A stream's rows (the entity's columns, offset and partition) -> each key's newest row, emitted by the batch in which it changes (update mode).
 

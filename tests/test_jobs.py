@@ -362,3 +362,38 @@ def test_only_touched_days_are_read(spark, tmp_path):
                 scans.append(node.metrics().apply("numPartitions").value())
             todo += [node.children().apply(i) for i in range(node.children().size())]
     assert 2 in scans and len(days) > 2
+
+
+def test_many_poisonous_records_cost_one_pass(spark, tmp_path):
+    """A third of the records fails: halving gave the batch up beyond 100 of them and took some 20 attempts for each."""
+    from keelstone.queries.streams import EVENT, booked_amount
+    from keelstone.streaming import landing
+
+    t = landing.Landing(spark, str(tmp_path), {EVENT.topic: EVENT})
+    valid = lambda rows: landing.validated(rows, EVENT).filter(F.size("errors") == 0)
+    guard = lambda most: landing.Guarded(valid, booked_amount, "amount decimal(18,2)", lambda x, n: t.put("booked", x.select("offset", "amount"), n), lambda x, n: t.put("dead_letters/stage=handler", x, n), most)
+    amounts = {0: "n/a", 1: "1.505", 2: "-2"}
+    batch = spark.createDataFrame([record(f"k{i}", "u", 0, i, AMOUNT=amounts[i % 3]) for i in range(600)], landing.RECORD).repartition(5)
+    for _ in range(2):  # a retried batch changes nothing
+        guard(0.5)(batch, 0)
+    got = {r.offset: str(r.amount) for r in t.appended("booked", "offset bigint, amount decimal(18,2)").collect()}
+    assert got == {i: "1.51" if i % 3 == 1 else "-2.00" for i in range(600) if i % 3}
+    said = t.appended("dead_letters", landing.LETTERS).collect()
+    assert sorted(r.offset for r in said) == list(range(0, 600, 3)) and all(r.stage == "handler" and r.error.startswith("handler failed: [CAST_INVALID_INPUT]") and '"AMOUNT": "n/a"' in r.payload for r in said)
+    with pytest.raises(RuntimeError, match="200 of 600 records failed"):
+        guard(0.3)(batch, 1)
+
+
+def test_amounts_are_booked_as_spark_casts_them(spark):
+    from keelstone.queries.streams import booked_amount
+
+    texts = ["1", " 2.5 ", "-.5", "7.", "1e3", "0.005", "-0.005", "2.675", "9999999999999999.99", "99999999999999999", "NaN", "Infinity", "1_0", "x", "", ".", "1,0", None]
+    want = [r.a for r in spark.createDataFrame([(x,) for x in texts], "t string").select(F.col("t").try_cast("decimal(18,2)").alias("a")).collect()]
+
+    def got(x):
+        try:
+            return booked_amount({"AMOUNT": x})[0]
+        except ValueError:
+            return None
+
+    assert [got(x) for x in texts] == want
