@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ DATE_SENTINELS = ("00000000", "99999999")
 
 
 def zoned(c: Column, scale: int, precision: int = 18, signed: bool = False) -> Column:
-    """Zoned decimal with an implied point, exactly; null where it is not one.  The point is inserted as text."""
+    """Zoned decimal with an implied point, exactly; null where it is not one."""
     if not signed:
         return F.when(F.rlike(c, F.lit("^[0-9]+$")), _pointed(c, scale, precision))
     last, head = F.right(c, F.lit(1)), F.substr(c, F.lit(1), F.length(c) - 1)
@@ -26,9 +28,9 @@ def zoned(c: Column, scale: int, precision: int = 18, signed: bool = False) -> C
 
 
 def _pointed(c: Column, scale: int, precision: int) -> Column:
-    full = F.when(F.length(c) <= scale, F.lpad(c, scale + 1, "0")).otherwise(c)
-    text = F.concat(F.substr(full, F.lit(1), F.length(full) - scale), F.lit("."), F.right(full, F.lit(scale))) if scale else full
-    return text.try_cast(f"decimal({precision},{scale})")
+    """Digits as a decimal of ``scale`` places: a number of at most ``precision`` digits, and exactly a power of ten of it."""
+    whole = c.try_cast(f"decimal({precision},0)")
+    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({precision},{scale})") if scale else whole
 
 
 def to_zoned(c: Column, width: int, scale: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import account_id, clean, cusip_in_isin, zfill9
-from ..tables import fixed, small
+from ..tables import shares, small, stored
 
 
 def identifier_map(securities: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def with_vendor_candidates(df: DataFrame) -> tuple[DataFrame, list[tuple[str, st
 
 def resolve_small(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], out: str = "securityId") -> DataFrame:
     """The same by one broadcast join per candidate, for identifier maps whose size allows it; no shuffle of ``df``."""
-    found, ids = [], fixed(ids)  # built once, read once or twice per candidate
+    found, ids = [], stored(ids)  # built once, read once or twice per candidate
     for i, (kind, column) in enumerate(candidates):
         side = ids.filter(F.col("id_type") == kind).select(F.col("id_value").alias(f"_v{i}"), F.col("securityId").alias(f"_s{i}"))
         df = df.join(small(side), F.col(column) == F.col(f"_v{i}"), "left").drop(f"_v{i}")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import EntitySpec, entity
-from ..tables import fixed
+from ..tables import shares, stored
 
 LIST_LIMIT, OPS_LIMIT = 200, 50
 
@@ -129,13 +129,19 @@ def page_frame(df: DataFrame, order: list[tuple[str, bool]], limit: int, after:
 
 
 def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn") -> DataFrame:
-    """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows."""
+    """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows.
+
+    A table of more than ``TASK_ROWS`` rows a partition is cut into more of them, so what a task sorts does not grow with it.
+    """
+    n, keys = shares(df), [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return places(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), name)
     return places(ordered(df, order), name)
 
 
 def places(df: DataFrame, name: str = "rn") -> DataFrame:
     """``name``: 1-based place in the order that ``df`` has."""
-    x = fixed(df).withColumn("_id", F.monotonically_increasing_id())
+    x = stored(df.withColumn("_id", F.monotonically_increasing_id()))  # the order lies in the numbers from here on
     x = x.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     counts = sorted((r._part, r["count"]) for r in x.groupBy("_part").count().collect())  # a row per partition
     upto, start = 0, []

@@ -10,7 +10,7 @@ from ..operators import delta
 from ..plans import vendor
 from ..sources import feeds, fixed_width as fw
 from ..operators.select import places
-from ..tables import fixed, load, shared_folder
+from ..tables import fixed, load, shared_folder, stored
 from . import standins as S
 from .standins import sql
 
@@ -43,7 +43,7 @@ def s4(spark, d):
 
 def s5(spark, d):
     lines = _lines(spark, d)
-    verdicts = fw.controls(lines)
+    verdicts = stored(fw.controls(lines))  # a row per file, read by both
     good = fw.accepted(lines.filter("kind = 'detail'"), verdicts).groupBy("file").agg(F.count("*").alias("n")).withColumn("what", F.lit("landed"))
     bad = fw.quarantined(lines, verdicts).groupBy("file").agg(F.count("*").alias("n")).withColumn("what", F.lit("quarantined"))
     return good.unionByName(bad)

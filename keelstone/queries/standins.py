@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.select import number_rows
-from ..tables import load, shared_folder
+from ..tables import TASK_ROWS, load, shared_folder, shares, stored
 
 MONEY = "decimal(18,2)"
 
@@ -164,10 +164,15 @@ def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def wire_files(spark, d) -> str:
-    """A landing folder of four custody files made from lineitem, written by Spark: two good, one with a short line, one with a wrong total; and a file still being written."""
+    """A landing folder of four custody files made from lineitem, written by Spark: two good, one with a short line, one with a wrong total; and a file still being written.
+
+    Each is a folder of part files of some ``TASK_ROWS`` lines in order; what is shuffled are the numbers that a line is made of.
+    """
     from ..functions.columns import to_zoned
 
-    x = numbered_lines(spark, d).withColumn("f", F.col("rn") % 4).join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = numbered_lines(spark, d).select("rn", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    x = x.repartition(shares(load(spark, d, "lineitem")), "l_orderkey").join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = stored(x.select("rn", (F.col("rn") % 4).alias("f"), "l_partkey", "l_quantity", "l_extendedprice", "o_custkey"))  # read for the totals and for the lines
     day = F.concat(F.lit("2024011"), F.col("f"))
     qty, value, price = F.col("l_quantity").cast("decimal(18,4)"), F.col("l_extendedprice").cast(MONEY), (F.col("l_extendedprice").cast("decimal(18,2)") % 1000)
     put = lambda c, n: F.rpad(c, n, " ")
@@ -180,15 +185,17 @@ def wire_files(spark, d) -> str:
         F.lit("03"), day, F.lit("001"), F.lit("0001"), F.lpad(acct, 12, "0"), F.lit("CU"), put(cusip, 9), put(isin, 12), put(F.lit("SECURITY"), 40), F.lit("EQU"), F.lit("R"), F.lit("DTC "),
         to_zoned(qty, 16, 4), to_zoned(F.lit(0), 16, 4), to_zoned(price, 15, 12), to_zoned(value, 15, 2), interest, F.lit("2024010"), F.lit("20240109"), F.lit("N"), F.lit("USD"), put(F.lit("MF01"), 8),
     )
-    line = F.when((F.col("f") == 2) & (F.col("rn") % 1000 == 2), F.lit("03 short line")).otherwise(line)
-    body = x.select("f", day.alias("day"), F.col("rn").alias("o"), line.alias("line"))
-    ok = F.length("line") == 200
-    sums = x.withColumn("line", line).groupBy("f", day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(ok, qty)).alias("q"), F.sum(F.when(ok, value)).alias("v"))
-    head = sums.select("f", "day", F.lit(0).cast("bigint").alias("o"), F.rpad(F.concat(F.lit("01"), "day", F.lit("MF01    20240110000000")), 200, " ").alias("line"))
-    tail = sums.select("f", "day", F.lit(1 << 60).alias("o"), F.rpad(F.concat(F.lit("99"), "day", _pad(F.col("n"), 9), to_zoned(F.col("q"), 18, 4), to_zoned(F.col("v") + F.when(F.col("f") == 3, 1).otherwise(0), 18, 2)), 200, " ").alias("line"))
-    every = head.unionByName(body).unionByName(tail).withColumn("file", F.concat(F.lit("CUSTPOS_"), "day", F.lit(".dat")))
+    short = (F.col("f") == 2) & (F.col("rn") % 1000 == 2)
+    line = F.coalesce("mark", F.when(short, F.lit("03 short line")).otherwise(line))
+    ok = ~short
+    sums = x.groupBy("f", day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(ok, qty)).alias("q"), F.sum(F.when(ok, value)).alias("v"))
+    sums = stored(sums)  # a row per file
+    head = sums.select("f", "day", F.lit(0).cast("bigint").alias("rn"), F.rpad(F.concat(F.lit("01"), "day", F.lit("MF01    20240110000000")), 200, " ").alias("mark"))
+    tail = sums.select("f", "day", F.lit(1 << 60).alias("rn"), F.rpad(F.concat(F.lit("99"), "day", _pad(F.col("n"), 9), to_zoned(F.col("q"), 18, 4), to_zoned(F.col("v") + F.when(F.col("f") == 3, 1).otherwise(0), 18, 2)), 200, " ").alias("mark"))
+    every = x.unionByName(head.unionByName(tail).drop("day"), allowMissingColumns=True).withColumn("file", F.concat(F.lit("CUSTPOS_"), day, F.lit(".dat")))
+    parts = max(4, -(-sums.agg(F.sum("n")).first()[0] // TASK_ROWS)) if not sums.isEmpty() else 1
     out = f"{shared_folder(spark)}/custody"
-    every.repartition("file").sortWithinPartitions("file", "o").select("file", "line").write.partitionBy("file").text(out)
+    every.repartitionByRange(parts, "file", "rn").sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.partitionBy("file").text(out)
     return out
 
 

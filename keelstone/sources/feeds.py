@@ -17,9 +17,10 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 
 def discover(spark: SparkSession, landing: str, pattern: str) -> DataFrame:
-    """Completed files of a feed, oldest name first; names being written (``.tmp``) do not match a feed's pattern."""
+    """Completed files of a feed, oldest name first, a delivery in ``part-`` files as its folder; names being written (``.tmp``) do not match a feed's pattern."""
     x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(landing).select("path", "length")
-    return x.filter(~F.endswith("path", F.lit(".tmp"))).orderBy("path")
+    folder = F.when(F.rlike("path", F.lit(r"\.(dat|csv)/part-[^/]*$")), F.regexp_replace("path", "/part-[^/]*$", "")).otherwise(F.col("path"))
+    return x.filter(~F.endswith("path", F.lit(".tmp"))).groupBy(folder.alias("path")).agg(F.sum("length").alias("length")).orderBy("path")
 
 
 def read_drops(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -31,7 +32,7 @@ def read_drops(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     first = F.first("line").over(Window.partitionBy("path", "block").orderBy("at"))
     schema = ", ".join(f"{c} string" for c in CASH_FIELDS)
     head = ",".join(CASH_FIELDS)
-    x = lines.withColumn("_head", F.when(F.col("block") == 0, first)).withColumn("_is", F.col("line") == head)
+    x = lines.withColumn("_head", F.when(F.col("block.start") == 0, first)).withColumn("_is", F.col("line") == head)
     x = x.withColumn("_ok", F.assert_true(F.rlike("file", F.lit("^[A-Z]+_[0-9]{8}_[0-9]{4}$")), F.lit("BAD_FILE_NAME")).isNull() & F.assert_true(F.col("_head").isNull() | (F.col("_head") == head), F.lit("MISSING_COLUMN")).isNull())
     rows = x.filter("_ok AND NOT _is").withColumn("kind", F.lit("detail"))
     from .fixed_width import with_sequence

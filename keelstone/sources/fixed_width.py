@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zoned
 from ..registry import CUSTODY_FIELDS
-from ..tables import small, stored
+from ..tables import shares, small, stored
 
 WIDTH = 200
 #: The record layouts (field, width).
@@ -29,13 +29,20 @@ def raw_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, file, size, block, at, raw: every line as it was delivered, blank ones and carriage returns included.
 
     ``path`` names a delivery, ``file`` is the batch name in it; a name that is no batch name
-    is an error, not a batch of its own.  ``(block, at)`` orders the lines of a file, however
-    many splits it has, and ``at`` counts on within a split.
+    is an error, not a batch of its own.  A delivery is a file, or a folder of that name with
+    ``part-`` files in order, as Spark writes one; ``size`` is that of the part.  ``block`` (part and
+    start in it) and ``at`` order the lines of a delivery, however many splits it has, and ``at``
+    counts on within a split.
     """
     x = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([A-Z]+_[0-9]{8}(?:_[0-9]{4})?)\.(?:dat|csv)", 1)
     known = F.when(name != "", name).otherwise(F.raise_error(F.concat(F.lit("BAD_FILE_NAME: "), F.col("_metadata.file_path"))))
-    return x.select(F.col("_metadata.file_path").alias("path"), known.alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    at = F.col("_metadata.file_path")
+    last, folder = F.substring_index(at, "/", -1), F.substring_index(F.substring_index(at, "/", -2), "/", 1)
+    part = F.when(F.startswith(last, F.lit("part-")) & (F.endswith(folder, F.lit(".dat")) | F.endswith(folder, F.lit(".csv"))), last).otherwise("")
+    whole = F.when(part == "", at).otherwise(F.substr(at, F.lit(1), F.length(at) - F.length(part) - 1))
+    block = F.struct(part.alias("part"), F.col("_metadata.file_block_start").alias("start"))
+    return x.select(whole.alias("path"), known.alias("file"), F.col("_metadata.file_size").alias("size"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
 
 
 def _without_return() -> Column:
@@ -83,11 +90,13 @@ def with_sequence(lines: DataFrame, name: str = "seq") -> DataFrame:
     from pyspark.sql import Window
 
     d = lines.filter("kind = 'detail'")
-    counts = d.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = stored(d.groupBy("path", "block").agg(F.count("*").alias("n")))  # a row per split
     w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")  # a row per split
+    total = before.agg(F.sum("n")).first()[0] or 0
+    before = small(before.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"))
     within = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))  # a split is one task's share
-    return d.withColumn("_within", within).join(before, ["path", "block"]).withColumn(name, F.col("before") + F.col("_within")).drop("_within", "before")
+    x = d.repartition(shares(d, total), "path", "block").withColumn("_within", within)
+    return x.join(before, ["path", "block"]).withColumn(name, F.col("before") + F.col("_within")).drop("_within", "before")
 
 
 def details(lines: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def details(lines: DataFrame) -> DataFrame:
 
 
 def controls(lines: DataFrame) -> DataFrame:
-    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  One aggregate; amounts that a scan has decoded are not decoded again."""
+    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  Numbers are summed by one hash aggregate; texts, which Spark aggregates only by sorting, come from the header and trailer lines alone.  Amounts that a scan has decoded are not decoded again."""
     known = {"mark", "qty", "value"} <= set(lines.columns)
     line = F.col("mark" if known else "line")
     at = lambda layout, name: next(f for f, (n, _) in zip(fields(line, layout), layout) if n == name)
@@ -105,13 +114,18 @@ def controls(lines: DataFrame) -> DataFrame:
     first = lambda kind, layout, name: F.min(F.when(is_(kind), at(layout, name)))
     qty, value = (F.col("qty"), F.col("value")) if known else (zoned(at(DETAIL, "POS_SHR_QTY"), 4), zoned(at(DETAIL, "POS_MKT_VALUE"), 2))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    lines = lines.withColumns({"_q": qty, "_v": value})  # decoded once a line
+    qty, value = F.col("_q"), F.col("_v")
     x = lines.groupBy("path", "file").agg(
         n(is_("header")).alias("headers"), n(is_("trailer")).alias("trailers"), n(is_("detail")).alias("recordCount"), n(is_("reject")).alias("rejectedCount"),
         n(is_("detail") & (qty.isNull() | value.isNull())).alias("undecodable"),
+        F.coalesce(F.sum(F.when(is_("detail"), qty)), F.lit(0)).cast("decimal(28,4)").alias("totalQty"), F.coalesce(F.sum(F.when(is_("detail"), value)), F.lit(0)).cast("decimal(28,2)").alias("totalValue"),
+    )
+    marks = lines.filter(F.col("kind").isin("header", "trailer")).groupBy("path").agg(
         first("header", HEADER, "BUS_DATE").alias("cycleDate"), first("trailer", TRAILER, "BUS_DATE").alias("trailerCycle"), first("trailer", TRAILER, "REC_COUNT").alias("declared"),
         first("trailer", TRAILER, "TOT_SHR_QTY").alias("declaredQty"), first("trailer", TRAILER, "TOT_MKT_VALUE").alias("declaredValue"),
-        F.coalesce(F.sum(F.when(is_("detail"), qty)), F.lit(0)).cast("decimal(28,4)").alias("totalQty"), F.coalesce(F.sum(F.when(is_("detail"), value)), F.lit(0)).cast("decimal(28,2)").alias("totalValue"),
     )
+    x = x.join(marks, "path", "left")
     count = F.when(F.rlike("declared", F.lit("^[0-9]+$")), F.col("declared").try_cast("bigint"))
     reason = (
         F.when(F.col("headers") == 0, "NO_HEADER").when(F.col("trailers") == 0, "NO_TRAILER").when(F.col("trailerCycle") != F.col("cycleDate"), "CYCLE_MISMATCH")
@@ -164,7 +178,7 @@ def split_digests(raw: DataFrame) -> DataFrame:
     at, hashed = F.col("at").bitwiseAND(_WITHIN), F.md5("raw")
     part = lambda k: F.conv(F.substring(hashed, 1 + 7 * k, 7), 16, 10).cast("bigint") + 1
     sums = [(F.sum(part(k) * _power(base, at) % PRIME) % PRIME).alias(f"d{k}") for k, base in enumerate(BASES)]
-    x = raw.groupBy("path", "file", "size", "block").agg(F.count("*").alias("lines"), F.min(at).alias("_from"), *sums)
+    x = raw.groupBy("path", "file", "size", "block").agg(F.count("*").alias("lines"), F.min(at).alias("_from"), *sums)  # the size is one of the part
     for k, base in enumerate(BASES):  # back by the places before the split in its task
         x = x.withColumn(f"d{k}", F.col(f"d{k}") * _power(pow(base, PRIME - 2, PRIME), F.col("_from")) % PRIME)
     return x.drop("_from")
@@ -184,7 +198,8 @@ def batch_ids(raw: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     x = split_digests(raw).withColumn("_before", F.coalesce(F.sum("lines").over(w), F.lit(0)))  # a row per split
     whole = [(F.sum(F.col(f"d{k}") * _power(base, F.col("_before")) % PRIME) % PRIME).alias(f"d{k}") for k, base in enumerate(BASES)]
-    x = x.groupBy("path", "file", "size").agg(F.sum("lines").alias("lines"), *whole)
+    parts = x.groupBy("path", "file", "block.part").agg(F.max("size").alias("size")).groupBy("path").agg(F.sum("size").alias("size"))
+    x = x.groupBy("path", "file").agg(F.sum("lines").alias("lines"), *whole).join(parts, "path")
     digest = F.sha2(F.concat_ws(":", "size", "lines", *[f"d{k}" for k in range(len(BASES))]), 256)
     return x.select("path", "file", F.concat(F.col("file"), F.lit(":"), F.substring(digest, 1, 12)).alias("batchId"))
 

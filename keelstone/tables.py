@@ -58,6 +58,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task sorts or writes where the number of tasks follows the table.
+TASK_ROWS = 500_000
+
+
+def shares(df: DataFrame, rows: int | None = None) -> int:
+    """The number of partitions in which no task has much more than ``TASK_ROWS`` rows of ``df``; the session's own number at least.  ``rows``: how many there are, else they are counted."""
+    n = df.count() if rows is None else rows
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+
+
 class VersionedTable:
     """A table as numbered version folders and a pointer file that is replaced in one step.
 

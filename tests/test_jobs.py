@@ -397,3 +397,35 @@ def test_amounts_are_booked_as_spark_casts_them(spark):
             return None
 
     assert [got(x) for x in texts] == want
+
+
+def test_a_delivery_in_parts_is_one_batch(spark, tmp_path):
+    """A folder of part files has the id, totals and sequence of the one file with the same bytes, and no task writes a file whole."""
+    body = [line("01" + "20240110"), *[detail(str(k)) for k in range(30)], line("99" + "20240110" + f"{30:09}" + "300000".zfill(18) + "3000".zfill(18))]
+    one = write(spark, tmp_path, "CUSTPOS_20240110.dat", body)
+    folder = tmp_path / "parts" / "CUSTPOS_20240110.dat"
+    folder.mkdir(parents=True)
+    for k, (a, b) in enumerate(((0, 9), (9, 10), (10, 32))):
+        (folder / f"part-0000{k}-x.txt").write_text("\n".join(body[a:b]) + "\n")
+    got = []
+    for path in (one, str(tmp_path / "parts")):
+        raw = fw.raw_lines(spark, path)
+        lines = fw.classify(fw.lines_of(raw))
+        got.append((fw.batch_ids(raw).select("file", "batchId").collect(), fw.controls(lines).drop("path").collect(), sorted((r.REC_ID, r.POS_ACCT_NBR) for r in fw.details(lines).collect()), [r.length for r in feeds.discover(spark, path, "*.*").collect()]))
+    assert got[0] == got[1] and got[0][1][0].status == "COMPLETE" and len(got[0][2]) == 30
+
+
+def test_wire_totals_are_summed_without_a_sort(spark):
+    plan = fw.controls(fw.classify(fw.read_lines(spark, S.wire_files(spark, SF))))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[path" in plan.replace("key=", "keys=") and plan.count("SortAggregate") <= 2  # of header and trailer lines
+
+
+def test_wire_files_are_written_by_many_tasks(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(S, "TASK_ROWS", 500)
+    path = S.wire_files(spark, SF).removeprefix("file:")
+    sizes = [os.path.getsize(os.path.join(a, f)) for a, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+    assert len(sizes) >= 12 and max(sizes) < 201 * 1500
+    v = {r.file: (r.failReason, r.recordCount + r.rejectedCount) for r in fw.controls(fw.classify(fw.read_lines(spark, path))).collect()}
+    assert sum(n for _, n in v.values()) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and [v[k][0] for k in sorted(v)] == [None, None, "REJECTED_LINES", "VALUE_MISMATCH"]
