@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import shares
+
 
 def latest(df: DataFrame, key: list[str], order: Column, keep: list[str] | None = None) -> DataFrame:
     """The row of each key with the largest ``order`` (never null)."""
@@ -47,7 +49,7 @@ def newest(rows: DataFrame, key: list[str], ordering: str | None = None, arrival
     return x.select(*[F.col("_created").alias(c) if c == "createdAt" else F.col(c) if c in key else F.col(f"_v.{c}").alias(c) for c in rows.columns])
 
 
-def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str | None = None, arrival: str = "_arrival") -> DataFrame:
+def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str | None = None, arrival: str = "_arrival", rows: int | None = None) -> DataFrame:
     """Current rows and an incoming batch as the new current rows.
 
     Without ``ordering`` the last arrival replaces the row.  With it a row is replaced only
@@ -55,6 +57,9 @@ def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str
     incoming rows the first arrival wins.  ``arrival`` is unique within the batch, a number
     or a struct of numbers (offset and partition of a stream); it and ``createdAt`` (kept
     from the current row where there is one) never leave the merge.
+
+    ``rows``: how many there are at most, where keys rarely repeat: they are then dealt to as
+    many tasks as they need and sorted there, not also where they were read.
     """
     cols = current.columns
     parts = incoming.select(f"{arrival}.*").columns if incoming.schema[arrival].dataType.typeName() == "struct" else []
@@ -70,6 +75,8 @@ def merge(current: DataFrame, incoming: DataFrame, key: list[str], ordering: str
     agg = [F.max_by(F.struct(*values), rank).alias("_v")]
     if "createdAt" in values:
         agg.append(F.min_by("createdAt", F.struct("_src", *names)).alias("_created"))
+    if rows is not None:
+        both = both.repartition(shares(both, rows), *key)
     x = both.groupBy(*key).agg(*agg)
     out = [F.col("_created").alias(c) if c == "createdAt" else F.col(c) if c in key else F.col(f"_v.{c}") for c in cols]
     return x.select(*out)

@@ -1,16 +1,16 @@
 """Identifier maps and prioritised resolution.
 
 The map is in long form (id_type, id_value, securityId), one row per identifier, so
-resolution of any number of candidate identifiers is one equi join and one aggregate.
+each candidate identifier is one equi join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import account_id, clean, cusip_in_isin, zfill9
-from ..tables import shares, small, stored
+from ..tables import lookup, shares, stored
 
 
 def identifier_map(securities: DataFrame) -> DataFrame:
@@ -23,22 +23,35 @@ def identifier_map(securities: DataFrame) -> DataFrame:
     for p in parts[1:]:
         x = x.unionByName(p)
     x = x.filter("id_value IS NOT NULL AND id_value <> ''")
+    x = x.repartition(shares(x), "id_type", "id_value")  # each value's rows are sorted where it ends, not where its security was read
     return x.groupBy("id_type", "id_value").agg(F.min_by("securityId", F.struct("prio", "securityId")).alias("securityId"))
 
 
-def resolve_accounts(df: DataFrame, accounts: DataFrame, number: str, out: str = "accountId") -> DataFrame:
-    """``out``: the account that a custody number names, null unless it is numeric and exists."""
-    known = small(accounts.select(F.col("accountId").alias("_known")).distinct())
-    x = df.withColumn("_cand", account_id(F.col(number)))
-    return x.join(known, F.col("_cand") == F.col("_known"), "left").withColumn(out, F.col("_known")).drop("_cand", "_known")
+#: Places over which rows without a value are spread in a lookup.
+_SPREAD = 1024
+
+
+def _found(df: DataFrame, column: Column, side: DataFrame, value: str, result: str, key: list[str]) -> DataFrame:
+    """``df`` with ``result`` of the row of ``side`` that has ``column`` as its ``value``; null where there is none.
+
+    Rows without a value (blank or null) match nothing.  They are looked up under made-up
+    values, each with a NUL, by a hash of their ``key``, so that they do not meet in one task.
+    """
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*key), F.lit(_SPREAD)).cast("string"))
+    x = df.withColumn("_key", F.when(F.coalesce(column, F.lit("")) == "", spread).otherwise(column))
+    x = x.join(lookup(side.select(F.col(value).alias("_value"), F.col(result))), F.col("_key") == F.col("_value"), "left")
+    return x.drop("_key", "_value")
+
+
+def resolve_accounts(df: DataFrame, accounts: DataFrame, number: str, key: list[str], out: str = "accountId") -> DataFrame:
+    """``out``: the account that a custody number names, null unless it is numeric and exists; ``key`` tells rows of ``df`` apart."""
+    known = accounts.select(F.col("accountId").alias("_id"), F.col("accountId").alias(out)).distinct()
+    return _found(df, account_id(F.col(number)), known, "_id", out, key)
 
 
 def resolve_securities(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], key: list[str], out: str = "securityId") -> DataFrame:
-    """``out`` by the first of ``candidates`` (id_type, column) that the map holds; ``key`` identifies a row of ``df``."""
-    array = F.array(*[F.struct(F.lit(i).alias("_prio"), F.lit(t).alias("id_type"), F.col(c).alias("id_value")) for i, (t, c) in enumerate(candidates)])
-    cand = df.select(*key, F.explode(array).alias("c")).select(*key, "c.*").filter("id_value IS NOT NULL AND id_value <> ''")
-    hit = cand.join(small(ids), ["id_type", "id_value"]).groupBy(*key).agg(F.min_by("securityId", "_prio").alias(out))
-    return df.join(hit, key, "left")
+    """``out`` by the first of ``candidates`` (id_type, column) that the map holds; ``key`` tells rows of ``df`` apart."""
+    return resolve_small(df, ids, candidates, key, out)
 
 
 def custody_candidates() -> list[tuple[str, str]]:
@@ -51,11 +64,11 @@ def with_vendor_candidates(df: DataFrame) -> tuple[DataFrame, list[tuple[str, st
     return x, [("isin", "_isin"), ("cusip", "_cusip"), ("cusip", "_cusip9"), ("sedol", "_sedol")]
 
 
-def resolve_small(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], out: str = "securityId") -> DataFrame:
-    """The same by one broadcast join per candidate, for identifier maps whose size allows it; no shuffle of ``df``."""
+def resolve_small(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], key: list[str], out: str = "securityId") -> DataFrame:
+    """``out`` by the first of ``candidates`` that the map holds: one lookup per candidate, without a shuffle of ``df`` where the map is small and without a sort of it in any case."""
     found, ids = [], stored(ids)  # built once, read once or twice per candidate
     for i, (kind, column) in enumerate(candidates):
-        side = ids.filter(F.col("id_type") == kind).select(F.col("id_value").alias(f"_v{i}"), F.col("securityId").alias(f"_s{i}"))
-        df = df.join(small(side), F.col(column) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+        side = ids.filter(F.col("id_type") == kind).select("id_value", F.col("securityId").alias(f"_s{i}"))
+        df = _found(df, F.col(column), side, "id_value", f"_s{i}", key)
         found.append(f"_s{i}")
     return df.withColumn(out, F.coalesce(*found)).drop(*found)

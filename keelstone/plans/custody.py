@@ -25,8 +25,8 @@ def decode(raw: DataFrame) -> DataFrame:
 
 def outcomes(raw: DataFrame, accounts: DataFrame, securities: DataFrame) -> DataFrame:
     """Every raw row with its identifiers, decoded values and ``outcome``, in the fixed order of reasons."""
-    x = resolve_accounts(decode(raw), accounts, "POS_ACCT_NBR")
-    x = resolve_small(x, identifier_map(securities), custody_candidates())
+    x = resolve_accounts(decode(raw), accounts, "POS_ACCT_NBR", ["REC_ID"])
+    x = resolve_small(x, identifier_map(securities), custody_candidates(), ["REC_ID"])
     bad = F.col("asOfDate").isNull() | F.col("quantity").isNull() | F.col("marketPrice").isNull() | F.col("marketValue").isNull()
     return x.withColumn("outcome", F.when(F.col("accountId").isNull(), "UNKNOWN_ACCOUNT").when(F.col("securityId").isNull(), "UNKNOWN_SECURITY").when(bad, "MALFORMED_VALUE").otherwise("CURATED"))
 
@@ -47,5 +47,5 @@ def statistics(judged: DataFrame) -> DataFrame:
     return judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    return merge(current, incoming, ["accountId", "securityId", "asOfDate"])
+def upsert(current: DataFrame, incoming: DataFrame, rows: int | None = None) -> DataFrame:
+    return merge(current, incoming, ["accountId", "securityId", "asOfDate"], rows=rows)

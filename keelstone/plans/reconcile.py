@@ -18,8 +18,8 @@ def custody(raw: DataFrame, accounts: DataFrame, securities: DataFrame, position
         raw = raw.join(F.broadcast(newest), "POS_BUS_DATE", "left_semi")  # one row
     else:
         raw = raw.filter(F.col("POS_BUS_DATE") == cycle)
-    x = resolve_accounts(raw, accounts, "POS_ACCT_NBR")
-    x = resolve_small(x, identifier_map(securities), custody_candidates())
+    x = resolve_accounts(raw, accounts, "POS_ACCT_NBR", ["REC_ID"])
+    x = resolve_small(x, identifier_map(securities), custody_candidates(), ["REC_ID"])
     pairs = positions.select(F.col("accountId").alias("_a"), F.col("securityId").alias("_s")).distinct().withColumn("_has", F.lit(True))
     x = x.join(pairs, (F.col("accountId") == F.col("_a")) & (F.col("securityId") == F.col("_s")), "left")
     reason = F.when(F.col("accountId").isNull(), "UNKNOWN_ACCOUNT").when(F.col("securityId").isNull(), "UNKNOWN_SECURITY").when(F.col("_has").isNull(), "NO_CURATED_POSITION").otherwise("MATCHED")

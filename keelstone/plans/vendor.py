@@ -28,7 +28,7 @@ def map_status(c: Column) -> Column:
 def resolved(raw: DataFrame, securities: DataFrame) -> DataFrame:
     """Raw vendor rows with ``securityId`` (null where nothing matches)."""
     x, candidates = with_vendor_candidates(raw)
-    return resolve_small(x, identifier_map(securities), candidates)
+    return resolve_small(x, identifier_map(securities), candidates, ["Vendor_Ref"])
 
 
 def enrich(raw: DataFrame, securities: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def account_events(spark, d):
 
 def j1(spark, d):
     x = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("A"), "user_id")).when(F.col("event_id") % 9 == 1, F.lpad(F.col("user_id").cast("string"), 12, "0")).when(F.col("event_id") % 9 == 2, "900001").otherwise(F.col("user_id").cast("string")).alias("nbr"))
-    return resolve.resolve_accounts(x, S.accounts(spark, d), "nbr").select("event_id", "accountId")
+    return resolve.resolve_accounts(x, S.accounts(spark, d), "nbr", ["event_id"]).select("event_id", "accountId")
 
 
 def j3(spark, d):
