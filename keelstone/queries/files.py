@@ -26,7 +26,7 @@ def s1(spark, d):
 
 
 def s2(spark, d):
-    x = fw.details(_lines(spark, d))
+    x = fw.details(fw.scanned_lines(fw.scan(spark, S.wire_files(spark, d))))
     return x.select("REC_ID", F.col("POS_ACCT_NBR").cast("bigint").alias("acct"), "POS_ISIN_NBR", "POS_SHR_QTY", "POS_MKT_VALUE")
 
 

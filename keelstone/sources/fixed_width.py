@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zoned
 from ..registry import CUSTODY_FIELDS
-from ..tables import shares, small, stored
+from ..tables import lookup, small, stored
 
 WIDTH = 200
 #: The record layouts (field, width).
@@ -85,18 +85,43 @@ def classify(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind)
 
 
-def with_sequence(lines: DataFrame, name: str = "seq") -> DataFrame:
-    """1-based place of each detail in its file: per-split counts and prefix sums, and the place within the split."""
+#: Bits of ``at`` within a run of lines, and within a word of its bitmap.
+_RUN, _WORD = 12, 6
+
+
+def _runs(details: DataFrame) -> DataFrame:
+    """path, block, run, before, lo, words, bits, upto: a row per 4,096 lines of a split.
+
+    ``before`` counts the details of the file ahead of the run and ``lo`` is its first one.  Where the
+    run's details do not follow each other, ``words`` names the stretches of 64 lines that hold any,
+    ``bits`` the lines of a stretch that are details, and ``upto`` the run's details ahead of it.
+    """
     from pyspark.sql import Window
 
+    run, word, split = F.shiftright("at", _RUN).alias("run"), F.shiftright("at", _WORD).alias("word"), ("path", "block")
+    bit = F.expr(f"shiftleft(1L, int(at & {(1 << _WORD) - 1}))")
+    x = details.groupBy(*split, run, word).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    upto = F.sum("n").over(Window.partitionBy(*split, "run").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("upto", F.coalesce(upto, F.lit(0)))  # at most 64 rows a run
+    x = x.groupBy(*split, "run").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("word", "bits", "upto"))).alias("s"))
+    gaps = F.when(F.col("n") < F.col("hi") - F.col("lo") + 1, F.col("s"))
+    ahead = F.sum("n").over(Window.partitionBy("path").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1))
+    return x.select(*split, "run", F.coalesce(ahead, F.lit(0)).alias("before"), "lo", gaps.word.alias("words"), gaps.bits.alias("bits"), gaps.upto.alias("upto"))
+
+
+def with_sequence(lines: DataFrame, name: str = "seq") -> DataFrame:
+    """1-based place of each detail in its file.  No line is sorted or shuffled for it: ``at`` counts on within a split, so a place follows from the counts of 4,096 lines each and the gaps in them (``_runs``).
+
+    Lines that no scan has stored are stored first, as ``at`` must not change between the counts and the lines.
+    """
     d = lines.filter("kind = 'detail'")
-    before = stored(d.groupBy("path", "block").agg(F.count("*").alias("n")))  # a row per split
-    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    total = before.agg(F.sum("n")).first()[0] or 0
-    before = small(before.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"))
-    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))  # a split is one task's share
-    x = d.repartition(shares(d, total), "path", "block").withColumn("_within", within)
-    return x.join(before, ["path", "block"]).withColumn(name, F.col("before") + F.col("_within")).drop("_within", "before")
+    d = d if "mark" in lines.columns else stored(d)
+    runs = lookup(stored(_runs(d)))
+    word = F.array_position("words", F.shiftright("at", _WORD)).cast("int") - 1
+    here = F.expr(f"shiftrightunsigned(-1L, {(1 << _WORD) - 1} - int(at & {(1 << _WORD) - 1}))")  # this line of its stretch and those ahead
+    within = F.when(F.col("words").isNull(), F.col("at") - F.col("lo") + 1).otherwise(F.get("upto", word) + F.bit_count(F.get("bits", word).bitwiseAND(here)))
+    x = d.withColumn("run", F.shiftright("at", _RUN)).join(runs, ["path", "block", "run"])
+    return x.withColumn(name, F.col("before") + within).drop("run", "before", "lo", "words", "bits", "upto")
 
 
 def details(lines: DataFrame) -> DataFrame:

@@ -429,3 +429,24 @@ def test_wire_files_are_written_by_many_tasks(spark, monkeypatch):
     assert len(sizes) >= 12 and max(sizes) < 201 * 1500
     v = {r.file: (r.failReason, r.recordCount + r.rejectedCount) for r in fw.controls(fw.classify(fw.read_lines(spark, path))).collect()}
     assert sum(n for _, n in v.values()) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and [v[k][0] for k in sorted(v)] == [None, None, "REJECTED_LINES", "VALUE_MISMATCH"]
+
+
+def test_places_of_details_need_no_sort(spark, tmp_path, monkeypatch):
+    """Splits, rejected and blank lines, long stretches without details: places follow the lines, and no line is sorted or shuffled."""
+    import random
+
+    r = random.Random(5)
+    good = lambda i: ("03" + f"{i:08d}").ljust(fw.WIDTH)
+    lines = [good(i) if (i // 150) % 3 and r.random() < 0.9 or i > 9000 else r.choice(["", "03 short", "xx".ljust(fw.WIDTH)]) for i in range(14000)]
+    d = write(spark, tmp_path, "CUSTPOS_20260101.dat", lines)
+    write(spark, tmp_path, "CUSTPOS_20260102.dat", [good(7), *["bad"] * 9000, good(8)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        x = fw.with_sequence(fw.classify(fw.read_lines(spark, d)))
+        got = sorted((row.file, row.seq, row.line) for row in x.select("file", "seq", "line").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [("CUSTPOS_20260101", n, l) for n, l in enumerate([l for l in lines if l.startswith("03") and len(l) == fw.WIDTH], 1)] + [("CUSTPOS_20260102", 1, good(7)), ("CUSTPOS_20260102", 2, good(8))]
+    assert got == want
+    plan = x._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Window" not in plan and "Sort" not in plan
