@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import account_id, balance_id, ccyymmdd, plain_decimal
 from ..operators.asof import last_before
 from ..operators.merge import merge
-from ..tables import small
+from ..tables import shares, small
 
 MONEY = "decimal(18,2)"
 KEY = ["accountId", "currency", "asOfDate"]
@@ -24,7 +24,8 @@ def outcomes(raw: DataFrame) -> DataFrame:
 
 def land(movements: DataFrame, path: str) -> None:
     """Append raw movements to their table, which is partitioned by file date."""
-    movements.write.mode("append").partitionBy("MOV_FILE_DATE").parquet(path)
+    x = movements.repartitionByRange(shares(movements), "MOV_FILE_DATE", "MOVEMENT_ID")  # a day may take several tasks, and few tasks write a day
+    x.write.mode("append").partitionBy("MOV_FILE_DATE").parquet(path)
 
 
 def landed(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def totals(movements: DataFrame) -> DataFrame:
     amount = plain_decimal(F.col("MOV_AMT"))
     x = movements.withColumn("_a", amount)
     add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(MONEY)
-    return x.groupBy(*KEY).agg(add(F.when(F.col("_a") >= 0, F.col("_a"))).alias("credits"), add(F.when(F.col("_a") < 0, -F.col("_a"))).alias("debits"), F.min("MOV_FILE_DATE").alias("fileDate"))
+    return x.groupBy(*KEY).agg(add(F.when(F.col("_a") >= 0, F.col("_a"))).alias("credits"), add(F.when(F.col("_a") < 0, -F.col("_a"))).alias("debits"))
 
 
 def balances(movements: DataFrame, current: DataFrame, now: Column) -> DataFrame:
@@ -58,11 +59,12 @@ def balances(movements: DataFrame, current: DataFrame, now: Column) -> DataFrame
     closing = (F.col("openingBalance") + F.col("credits") - F.col("debits")).cast(MONEY)
     zero = F.lit(0).cast(MONEY)
     return x.select(
-        balance_id(F.col("accountId"), F.col("currency"), F.col("fileDate")).alias("balanceId"), *KEY, "openingBalance", "credits", "debits", closing.alias("closingBalance"),
+        balance_id(F.col("accountId"), F.col("currency"), F.date_format("asOfDate", "yyyyMMdd")).alias("balanceId"), *KEY, "openingBalance", "credits", "debits", closing.alias("closingBalance"),
         zero.alias("pendingCredits"), zero.alias("pendingDebits"), closing.alias("projectedBalance"), F.lit("INTRADAY").alias("snapshotType"), now.alias("createdAt"), now.alias("updatedAt"), F.lit(1).cast("bigint").alias("_arrival"),
     )
 
 
 def curate(raw: DataFrame, batch: DataFrame, current: DataFrame, now: Column) -> DataFrame:
     """The new balances table after a batch has landed in ``raw``."""
-    return merge(current, balances(touched(raw, batch), current, now), KEY)
+    rebuilt = balances(touched(raw, batch), current, now)
+    return merge(current, rebuilt, KEY, rows=current.count() + batch.count())

@@ -242,3 +242,27 @@ def test_listings_are_counted_per_identifier(spark):
     rows = [("a", "EQUITY", one([True])), ("a", "EQUITY", one([True, False])), ("b", "EQUITY", one([True])), ("b", "EQUITY", one([False])), ("c", "CORP_BOND", one([True])), ("d", "EQUITY", []), ("e", None, one([False])), ("f", None, one([True]))]
     x = quality.primary_listings(spark.createDataFrame(rows, "securityId string, assetClass string, listings array<struct<primaryListing: boolean>>"))
     assert sorted(map(tuple, x.collect())) == [("a", 3, 2), ("c", 1, 1), ("e", 1, 0)]
+
+
+def test_identifiers_are_looked_up_without_sorting_rows(spark, monkeypatch):
+    """Blank, null, unknown and repeated values against a map too large to broadcast; the rows are neither sorted nor aggregated."""
+    from keelstone.operators import resolve
+
+    monkeypatch.setattr("keelstone.tables.small", lambda df: df)
+    ids = spark.createDataFrame([("cusip", "c1", "S1"), ("isin", "i1", "S2"), ("isin", "i2", "S3")], "id_type string, id_value string, securityId string")
+    rows = [(0, "c1", "i2"), (1, "", "i2"), (2, None, "i1"), (3, "", ""), (4, "zz", "i1"), (5, "zz", None)] + [(i, "", "") for i in range(6, 400)]
+    x = spark.createDataFrame(rows, "rn int, POS_CUSIP_NBR string, POS_ISIN_NBR string")
+    y = resolve.resolve_securities(x, ids, resolve.custody_candidates(), ["rn"])
+    assert dict(y.select("rn", "securityId").collect()) == {0: "S1", 1: "S3", 2: "S2", 4: "S2"} | {i: None for i in (3, 5, *range(6, 400))}
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_daily_totals_and_vendor_rows_are_spread(spark):
+    """Totals are summed by hash, and a table of one split is parsed by more than one task."""
+    from keelstone.plans import cash
+    from keelstone.queries import standins as S
+
+    x = cash.totals(cash.outcomes(S.movements(spark, "/root/testdata/sf0.001")).filter("outcome = 'CURATED'"))
+    assert "SortAggregate" not in x._jdf.queryExecution().executedPlan().toString()
+    assert S.vendor_rows(spark, "/root/testdata/sf0.001", 0).rdd.getNumPartitions() > 1
