@@ -149,7 +149,8 @@ def vendor_rows(spark, d, channel: int) -> DataFrame:
     day = F.date_add(F.lit("2026-01-01").cast("date"), ((k * 7 + channel * 13) % 28).cast("int"))
     ts = F.when((k % 8 == 7) & F.lit(channel == 0), "N/A").when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(k % 4 == 1, F.date_format(day, "yyyyMMdd")).when(k % 4 == 2, F.date_format(day, "MM/dd/yyyy")).otherwise(F.upper(F.date_format(day, "dd-MMM-yy")))
     words = F.array(*map(F.lit, ("A", "ACT", "mat'd", "Delisted", "???")))
-    return load(spark, d, "part").filter(k % 20 != 19).select(
+    part = load(spark, d, "part").select("p_partkey", "p_name")
+    return part.repartition(shares(part), "p_partkey").filter(k % 20 != 19).select(  # a table of one split is parsed by many tasks
         F.concat(F.lit("V"), _pad(k, 7)).alias("Vendor_Ref"), cusip.alias("Cusip"), isin.alias("ISIN_CODE"), none.alias("sedol"), none.alias("TICKER"), F.col("p_name").alias("SecurityDesc"),
         F.when(k % 6 == channel, "").otherwise(F.concat(F.lit(f"Issuer{channel} "), k)).alias("Issuer_Name"), none.alias("ASSET_CLS"), none.alias("CPN_RATE"), none.alias("MATURITY_DT"), F.lit("USD").alias("CCY"), none.alias("CNTRY_DOM"), none.alias("CALLABLE_FLG"),
         F.element_at(words, ((k + channel) % 5 + 1).cast("int")).alias("ISSUE_STATUS"), none.alias("EXCH_CD"), ts.alias("LAST_UPD_TS"),
