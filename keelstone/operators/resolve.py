@@ -43,10 +43,10 @@ def _found(df: DataFrame, column: Column, side: DataFrame, value: str, result: s
     return x.drop("_key", "_value")
 
 
-def resolve_accounts(df: DataFrame, accounts: DataFrame, number: str, key: list[str], out: str = "accountId") -> DataFrame:
+def resolve_accounts(df: DataFrame, accounts: DataFrame, number: str | Column, key: list[str], out: str = "accountId") -> DataFrame:
     """``out``: the account that a custody number names, null unless it is numeric and exists; ``key`` tells rows of ``df`` apart."""
     known = accounts.select(F.col("accountId").alias("_id"), F.col("accountId").alias(out)).distinct()
-    return _found(df, account_id(F.col(number)), known, "_id", out, key)
+    return _found(df, account_id(F.col(number) if isinstance(number, str) else number), known, "_id", out, key)
 
 
 def resolve_securities(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], key: list[str], out: str = "securityId") -> DataFrame:
@@ -64,11 +64,11 @@ def with_vendor_candidates(df: DataFrame) -> tuple[DataFrame, list[tuple[str, st
     return x, [("isin", "_isin"), ("cusip", "_cusip"), ("cusip", "_cusip9"), ("sedol", "_sedol")]
 
 
-def resolve_small(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str]], key: list[str], out: str = "securityId") -> DataFrame:
+def resolve_small(df: DataFrame, ids: DataFrame, candidates: list[tuple[str, str | Column]], key: list[str], out: str = "securityId") -> DataFrame:
     """``out`` by the first of ``candidates`` that the map holds: one lookup per candidate, without a shuffle of ``df`` where the map is small and without a sort of it in any case."""
     found, ids = [], stored(ids)  # built once, read once or twice per candidate
     for i, (kind, column) in enumerate(candidates):
         side = ids.filter(F.col("id_type") == kind).select("id_value", F.col("securityId").alias(f"_s{i}"))
-        df = _found(df, F.col(column), side, "id_value", f"_s{i}", key)
+        df = _found(df, F.col(column) if isinstance(column, str) else column, side, "id_value", f"_s{i}", key)
         found.append(f"_s{i}")
     return df.withColumn(out, F.coalesce(*found)).drop(*found)

@@ -128,15 +128,15 @@ def page_frame(df: DataFrame, order: list[tuple[str, bool]], limit: int, after:
     return ordered(df if after is None else df.filter(seek(order, after)), order).limit(clamp_limit(limit))
 
 
-def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn") -> DataFrame:
-    """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows.
+def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn", keep: list[str] | None = None) -> DataFrame:
+    """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows.  ``keep``: the columns that are stored beside it, all by default.
 
     A table of more than ``TASK_ROWS`` rows a partition is cut into more of them, so what a task sorts does not grow with it.
     """
     n, keys = shares(df), [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return places(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), name)
-    return places(ordered(df, order), name)
+        return places(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*(keep or df.columns)), name)
+    return places(ordered(df, order).select(*(keep or df.columns)), name)
 
 
 def places(df: DataFrame, name: str = "rn") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ccyymmdd, julian, optional_date, position_id, zoned
 from ..operators.merge import merge
 from ..operators.resolve import custody_candidates, identifier_map, resolve_accounts, resolve_small
+from ..sources import fixed_width
 
 OUTCOMES = ("UNKNOWN_ACCOUNT", "UNKNOWN_SECURITY", "MALFORMED_VALUE", "CURATED")
 
@@ -25,8 +26,20 @@ def decode(raw: DataFrame) -> DataFrame:
 
 def outcomes(raw: DataFrame, accounts: DataFrame, securities: DataFrame) -> DataFrame:
     """Every raw row with its identifiers, decoded values and ``outcome``, in the fixed order of reasons."""
-    x = resolve_accounts(decode(raw), accounts, "POS_ACCT_NBR", ["REC_ID"])
-    x = resolve_small(x, identifier_map(securities), custody_candidates(), ["REC_ID"])
+    x = resolve_accounts(raw, accounts, "POS_ACCT_NBR", ["REC_ID"])
+    return _judged(resolve_small(x, identifier_map(securities), custody_candidates(), ["REC_ID"]))
+
+
+def outcomes_of_lines(lines: DataFrame, accounts: DataFrame, securities: DataFrame) -> DataFrame:
+    """The same from classified detail lines (``fixed_width.with_sequence``): where lookups shuffle, they shuffle the lines as they came, which are a fraction of their fields and decoded values."""
+    key, x = ["path", "seq"], lines.select("path", "file", "seq", "line")
+    x = resolve_accounts(x, accounts, fixed_width.detail("POS_ACCT_NBR"), key)
+    x = resolve_small(x, identifier_map(securities), [(kind, fixed_width.detail(c)) for kind, c in custody_candidates()], key)
+    return _judged(fixed_width.detail_fields(x, "accountId", "securityId"))
+
+
+def _judged(resolved: DataFrame) -> DataFrame:
+    x = decode(resolved)
     bad = F.col("asOfDate").isNull() | F.col("quantity").isNull() | F.col("marketPrice").isNull() | F.col("marketValue").isNull()
     return x.withColumn("outcome", F.when(F.col("accountId").isNull(), "UNKNOWN_ACCOUNT").when(F.col("securityId").isNull(), "UNKNOWN_SECURITY").when(bad, "MALFORMED_VALUE").otherwise("CURATED"))
 

@@ -78,12 +78,18 @@ def write_outcomes(judged: DataFrame, path: str, known: tuple[str, ...]) -> Data
 
     The counts are observed directly below the write, by the tasks of its last stage, of
     which Spark counts each once even where it is tried again; rows are neither read nor
-    judged a second time.  ``known`` are the outcomes of the curator; a row with another
+    judged a second time, nor sorted by outcome: a task keeps a file of each open.  ``known`` are the outcomes of the curator; a row with another
     one (or none) is an error, as curated and skipped must add up to seen.
     """
     seen = Observation()
     counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(f"n_{i}") for i, o in enumerate(known)]
-    judged.observe(seen, F.count(F.lit(1)).alias("seen"), *counts).write.mode("overwrite").partitionBy("outcome").parquet(path)
+    spark = judged.sparkSession
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", len(known) + 1)
+    try:
+        judged.observe(seen, F.count(F.lit(1)).alias("seen"), *counts).write.mode("overwrite").option("compression", "zstd").partitionBy("outcome").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
     got = seen.get
     found = [(o, got[f"n_{i}"]) for i, o in enumerate(known)]
     if got["seen"] != sum(n for _, n in found):

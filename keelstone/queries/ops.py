@@ -20,7 +20,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 def _raw(spark, d):
     """The numbered details, stored by column: the reconciliation reads few of them, and twice."""
-    return stored(fw.details(fw.scanned_lines(fw.scan(spark, S.wire_files(spark, d)))))
+    return stored(fw.details(fw.scanned_lines(fw.scan(spark, S.wire_files(spark, d, packed=True)))))
 
 
 def r1(spark, d):

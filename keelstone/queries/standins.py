@@ -164,14 +164,14 @@ def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
     return x.filter(k % 50 != 0), x.filter(k % 37 != 0).withColumn("price", F.when(k % 11 == 0, F.col("price") + 1).otherwise(F.col("price")).cast(MONEY))
 
 
-def wire_files(spark, d) -> str:
+def wire_files(spark, d, packed: bool = False) -> str:
     """A landing folder of four custody files made from lineitem, written by Spark: two good, one with a short line, one with a wrong total; and a file still being written.
 
-    Each is a folder of part files of some ``TASK_ROWS`` lines in order; what is shuffled are the numbers that a line is made of.
+    Each is a folder of part files of some ``TASK_ROWS`` lines in order; what is shuffled are the numbers that a line is made of.  ``packed``: the part files are compressed, each read by one task.
     """
     from ..functions.columns import to_zoned
 
-    x = numbered_lines(spark, d).select("rn", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    x = number_rows(load(spark, d, "lineitem"), [(c, True) for c in LINE], keep=["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"])
     x = x.repartition(shares(load(spark, d, "lineitem")), "l_orderkey").join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     x = stored(x.select("rn", (F.col("rn") % 4).alias("f"), "l_partkey", "l_quantity", "l_extendedprice", "o_custkey"))  # read for the totals and for the lines
     day = F.concat(F.lit("2024011"), F.col("f"))
@@ -196,7 +196,7 @@ def wire_files(spark, d) -> str:
     every = x.unionByName(head.unionByName(tail).drop("day"), allowMissingColumns=True).withColumn("file", F.concat(F.lit("CUSTPOS_"), day, F.lit(".dat")))
     parts = max(4, -(-sums.agg(F.sum("n")).first()[0] // TASK_ROWS)) if not sums.isEmpty() else 1
     out = f"{shared_folder(spark)}/custody"
-    every.repartitionByRange(parts, "file", "rn").sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.partitionBy("file").text(out)
+    every.repartitionByRange(parts, "file", "rn").sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.option("compression", "gzip" if packed else "none").partitionBy("file").text(out)
     return out
 
 

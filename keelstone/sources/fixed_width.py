@@ -124,9 +124,19 @@ def with_sequence(lines: DataFrame, name: str = "seq") -> DataFrame:
     return x.withColumn(name, F.col("before") + within).drop("run", "before", "lo", "words", "bits", "upto")
 
 
+def detail(name: str) -> Column:
+    """A declared field of a detail line."""
+    return next(f for f, (n, _) in zip(fields(F.col("line"), DETAIL), DETAIL) if n == name)
+
+
 def details(lines: DataFrame) -> DataFrame:
     """path, file, REC_ID and the declared fields of every detail."""
-    x = with_sequence(lines).select("path", "file", "seq", *fields(F.col("line"), DETAIL))
+    return detail_fields(with_sequence(lines))
+
+
+def detail_fields(numbered: DataFrame, *more: str) -> DataFrame:
+    """The same of numbered lines, with the columns ``more`` that they have beside."""
+    x = numbered.select("path", "file", "seq", *fields(F.col("line"), DETAIL), *more)
     return x.withColumn("REC_ID", F.concat_ws("-", "POS_BUS_DATE", F.lpad(F.col("seq").cast("string"), 6, "0")))
 
 

@@ -450,3 +450,42 @@ def test_places_of_details_need_no_sort(spark, tmp_path, monkeypatch):
     assert got == want
     plan = x._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "Window" not in plan and "Sort" not in plan
+
+
+def test_packed_wire_files_hold_the_same_lines(spark):
+    """Compressed parts take less than a third of the bytes; numbers, totals and fields are the same."""
+    import os
+
+    got, sizes = [], []
+    for packed in (False, True):
+        path = S.wire_files(spark, SF, packed=packed)
+        sizes.append(sum(os.path.getsize(os.path.join(a, f)) for a, _, fs in os.walk(path.removeprefix("file:")) for f in fs if f.startswith("part-")))
+        lines = fw.scanned_lines(fw.scan(spark, path))
+        got.append([sorted(map(str, x.drop("path").collect())) for x in (fw.controls(lines), fw.details(lines))])
+    assert got[0] == got[1] and 0 < 3 * sizes[1] < sizes[0]
+
+
+def test_lookups_shuffle_lines_not_their_fields(spark, monkeypatch):
+    from keelstone.operators import resolve
+    from keelstone.plans import custody
+
+    lines = fw.with_sequence(fw.scanned_lines(fw.scan(spark, S.wire_files(spark, SF, packed=True))))
+    monkeypatch.setattr(resolve, "lookup", lambda df: df.hint("shuffle_hash"))
+    x, y = custody.outcomes_of_lines(lines, S.accounts(spark, SF), S.securities(spark, SF)), custody.outcomes(fw.detail_fields(lines), S.accounts(spark, SF), S.securities(spark, SF))
+    assert set(x.columns) == set(y.columns) and x.count() > 0
+    assert sorted(map(str, x.collect())) == sorted(map(str, y.select(x.columns).collect()))
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") >= 3 and "POS_SHR_QTY" not in plan.split("Join", 1)[1]
+
+
+def test_judged_rows_are_written_without_a_sort(spark, tmp_path):
+    """A task keeps a file of each outcome open: it writes its rows in the order they came, whatever their outcome."""
+    from keelstone.plans import ops
+
+    judged = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 3 == 0, "BAD").otherwise("CURATED").alias("outcome"))
+    ops.write_outcomes(judged, str(tmp_path / "o"), ("BAD", "CURATED"))
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).physicalPlanDescription().find("InsertIntoHadoopFs") >= 0]
+    assert plans and "Sort" not in plans[-1]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
