@@ -38,10 +38,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_hash, forget, keep, prepare, scratch, small, table
+from .common import doc_hash, forget, keep, prepare, scratch, small, table
 
 MIN_WORDS = 8
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d"
+_SPACE = r"[\x20\x09-\x0D]+"
 _DOC = ("doc_id", "_h")
 
 
@@ -49,6 +50,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _trimmed(line: Column) -> Column:
+    """``line`` without white space at its ends; most lines have none, and trimming a set of characters allocates twice a line's size."""
+    return F.when((F.ascii(line) > 32) & (F.ascii(F.right(line, F.lit(1))) > 32), line).otherwise(F.trim(line, F.lit(_TRIM)))
+
+
 def _place(at: str = "pos") -> Column:
     return F.struct(*_DOC, F.col(at).alias("pos"))
 
@@ -64,12 +70,17 @@ def _prefix(key: Column, level: Column | int) -> Column:
 
 def _lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """_DOC, pos, ln, nw, key, full (rounds in which both halves were whole), open: the lines that occur more than once, each once per document."""
-    seq = F.filter(F.transform(_lines(F.col("text")), lambda l, i: F.struct(i.alias("ln"), F.trim(l, F.lit(_TRIM)).alias("line"))), lambda s: s.line != "")
+    seq = F.filter(F.transform(_lines(F.col("text")), lambda l, i: F.struct(i.alias("ln"), _trimmed(l).alias("line"))), lambda s: s.line != "")
     base = docs.select("doc_id", doc_hash().alias("_h"), F.posexplode(seq).alias("pos", "s"))
-    base = base.select(*_DOC, "pos", F.col("s.ln").alias("ln"), F.unhex(F.md5("s.line")).alias("key"), F.least(F.regexp_count("s.line", F.lit(WORD)), F.lit(min_words)).alias("nw"))
-    place = _place()
-    again = base.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("key")
-    return keep(base.join(small(keep(again)), "key").select(*_DOC, "pos", "ln", "nw", "key").dropDuplicates([*_DOC, "pos"]).withColumns({"full": F.lit(0), "open": F.lit(True)}))
+    base = base.select(*_DOC, "pos", F.col("s.ln").alias("ln"), F.unhex(F.md5("s.line")).alias("key"), F.size(F.split("s.line", _SPACE, min_words)).alias("nw"))
+    base = keep(base)  # texts are read and hashed once
+    # at more than one place: not all parts of the place are constant.  Numbers are compared by hash, structs only by sorting
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in (*_DOC, "pos") for f in (F.min, F.max)]
+    same = F.col("known").isin(0, F.col("n")) & F.col("doc_id_min").eqNullSafe(F.col("doc_id_max")) & (F.col("_h_min") == F.col("_h_max")) & (F.col("pos_min") == F.col("pos_max"))
+    again = keep(base.groupBy("key").agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), *ends).filter(~same).select("key"))
+    x = keep(base.join(small(again), "key").select(*_DOC, "pos", "ln", "nw", "key").dropDuplicates([*_DOC, "pos"]).withColumns({"full": F.lit(0), "open": F.lit(True)}))
+    forget(base, again)
+    return x
 
 
 def _on_place(a: DataFrame, b: DataFrame, pos: str = "pos") -> Column:
@@ -80,18 +91,22 @@ def sort_suffixes(x: DataFrame) -> tuple[DataFrame, int]:
     """``x`` with the final keys, and the number of rounds: prefix doubling until no suffix is repeated."""
     k = 0
     while True:
-        ahead = x.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), (F.col("pos") - 2**k).alias("_at"), F.col("key").alias("next"), F.col("full").alias("next_full"))
-        todo = x.filter("open").select(*_DOC, "pos", "key")
-        pairs = keep(todo.join(ahead, _on_place(todo, ahead)).select(*_DOC, "pos", "key", "next", (F.col("next_full") == k).alias("whole")))
+        ahead = F.last(F.struct("key", "full")).over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(2**k, 2**k))
+        old = x
+        x = keep(old.withColumn("ahead", ahead).select(*old.columns, F.col("ahead.key").alias("next"), (F.col("ahead.full") == k).alias("whole")))
+        forget(old)
+        going = F.col("open") & F.col("next").isNotNull()
+        pairs = x.filter(going)
         # a second half that ends or becomes unique sooner still counts for the order
         ranks = pairs.groupBy("key", "next").agg(F.max("whole").alias("whole"), (F.max("whole") & (F.count("*") > 1)).alias("again"))
         ranks = keep(ranks.orderBy("key", "next").select("key", "next", "whole", "again", F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 2 * _RANK, "0")).alias("rank")))
+        rest = x.filter(~going).select(*_DOC, "pos", "ln", "nw", "key", "full", F.lit(False).alias("open"))
         if ranks.isEmpty():
-            return x, k
+            return rest, k
+        longer = pairs.drop("whole").join(ranks, ["key", "next"]).select(*_DOC, "pos", "ln", "nw", F.concat("key", "rank").alias("key"), (F.col("full") + F.col("whole").cast("int")).alias("full"), F.col("again").alias("open"))
         old = x
-        longer = pairs.drop("whole").join(ranks, ["key", "next"]).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("pos").alias("_at"), "rank", "whole", "again")
-        x = keep(x.join(longer, _on_place(x, longer), "left").select(*_DOC, "pos", "ln", "nw", F.concat("key", F.coalesce("rank", F.unhex(F.lit("")))).alias("key"), (F.col("full") + F.coalesce(F.col("whole").cast("int"), F.lit(0))).alias("full"), F.coalesce("again", F.lit(False)).alias("open")))
-        forget(old, pairs, ranks)
+        x = keep(longer.unionByName(rest))
+        forget(old, ranks)
         k += 1
         if x.filter("open").isEmpty():
             return x, k

@@ -999,3 +999,17 @@ def test_against_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     at = sorted(names)
     assert sorted(repr(tuple(r[n] for n in at)) for r in df.collect()) == sorted(repr(tuple(r[names.index(n)] for n in at)) for r in cur.fetchall())
+
+
+def test_lines_are_hashed_once_and_doubled_by_one_join(spark, monkeypatch):
+    """Op3: texts are split and hashed once, words counted to the limit alone, and a round looks ahead by a window and joins its ranks once."""
+    from keelstone.llm import lines
+
+    plans, keep = [], lines.keep
+    monkeypatch.setattr(lines, "keep", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    text = "\n".join(f" line {i} of a text that is said again\t" for i in range(9))
+    docs = spark.createDataFrame([(None, text), (1, text), (2, "\v \n\n" + text.replace("line 4", "row 4")), (3, None), (3, "one\x0btwo \f three\r")], "doc_id long, text string")
+    got = {r.doc_id: (r.lines, r.n_runs, r.longest_run) for r in lines.find_repeats(docs).collect()}
+    assert got[1][0] == list(range(9)) and got[2][0] == [2, 3, 4, 5, 7, 8, 9, 10] and got[1][2] == got[None][2] == 9 and 3 not in got
+    assert sum("md5(" in p for p in plans) == 1 and not any("regexp_extract_all" in p or "regexp_count" in p for p in plans)
+    assert max(p.count("Join ") for p in plans if "concat(key" in p) == 1
