@@ -38,11 +38,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_hash, forget, keep, prepare, scratch, small, table
+from ..tables import lookup
+from .common import BROADCAST_ROWS, doc_hash, forget, keep, prepare, scratch, table
 
 MIN_WORDS = 8
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d"
 _SPACE = r"[\x20\x09-\x0D]+"
+_CHAR = r"[^\x20\x09-\x0D]"
 _DOC = ("doc_id", "_h")
 
 
@@ -55,6 +57,12 @@ def _trimmed(line: Column) -> Column:
     return F.when((F.ascii(line) > 32) & (F.ascii(F.right(line, F.lit(1))) > 32), line).otherwise(F.trim(line, F.lit(_TRIM)))
 
 
+def _words(line: Column, limit: int) -> Column:
+    """Words of a trimmed ``line``, counted to ``limit``: most lines have as many, which a match says without parting the line."""
+    enough = F.rlike(line, F.lit(f"^(?:{_CHAR}++{_SPACE}+){{{limit - 1}}}{_CHAR}"))
+    return F.when(enough, limit).otherwise(F.size(F.split(line, _SPACE, limit)))
+
+
 def _place(at: str = "pos") -> Column:
     return F.struct(*_DOC, F.col(at).alias("pos"))
 
@@ -68,48 +76,60 @@ def _prefix(key: Column, level: Column | int) -> Column:
     return F.substring(key, F.lit(1), F.lit(_ID) + F.lit(_RANK) * level)
 
 
-def _lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """_DOC, pos, ln, nw, key, full (rounds in which both halves were whole), open: the lines that occur more than once, each once per document."""
+def _lines_of(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """_DOC, pos, ln, nw, key, full (rounds in which both halves were whole), open: the lines that occur more than once, each once per document; and the tables that they are read from."""
     seq = F.filter(F.transform(_lines(F.col("text")), lambda l, i: F.struct(i.alias("ln"), _trimmed(l).alias("line"))), lambda s: s.line != "")
     base = docs.select("doc_id", doc_hash().alias("_h"), F.posexplode(seq).alias("pos", "s"))
-    base = base.select(*_DOC, "pos", F.col("s.ln").alias("ln"), F.unhex(F.md5("s.line")).alias("key"), F.size(F.split("s.line", _SPACE, min_words)).alias("nw"))
+    base = base.select(*_DOC, "pos", F.col("s.ln").alias("ln"), F.unhex(F.md5("s.line")).alias("key"), _words(F.col("s.line"), min_words).alias("nw"))
     base = keep(base)  # texts are read and hashed once
     # at more than one place: not all parts of the place are constant.  Numbers are compared by hash, structs only by sorting
     ends = [f(c).alias(f"{c}_{f.__name__}") for c in (*_DOC, "pos") for f in (F.min, F.max)]
     same = F.col("known").isin(0, F.col("n")) & F.col("doc_id_min").eqNullSafe(F.col("doc_id_max")) & (F.col("_h_min") == F.col("_h_max")) & (F.col("pos_min") == F.col("pos_max"))
     again = keep(base.groupBy("key").agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), *ends).filter(~same).select("key"))
-    x = keep(base.join(small(again), "key").select(*_DOC, "pos", "ln", "nw", "key").dropDuplicates([*_DOC, "pos"]).withColumns({"full": F.lit(0), "open": F.lit(True)}))
-    forget(base, again)
-    return x
+    # rows of one document that agree in pos are the same: they meet where the first round looks ahead, so no exchange or sort is spent on them
+    x = base.join(lookup(again, BROADCAST_ROWS), "key").withColumn("_same", F.lag("pos").over(Window.partitionBy(*_DOC).orderBy("pos")).eqNullSafe(F.col("pos"))).filter("NOT _same")
+    return x.select(*_DOC, "pos", "ln", "nw", "key", F.lit(0).alias("full"), F.lit(True).alias("open")), [base, again]
 
 
 def _on_place(a: DataFrame, b: DataFrame, pos: str = "pos") -> Column:
     return a.doc_id.eqNullSafe(b._d) & (a._h == b._k) & (a[pos] == b._at)
 
 
-def sort_suffixes(x: DataFrame) -> tuple[DataFrame, int]:
-    """``x`` with the final keys, and the number of rounds: prefix doubling until no suffix is repeated."""
-    k = 0
+def sort_suffixes(x: DataFrame, read: list[DataFrame]) -> tuple[DataFrame, int]:
+    """``x`` (read from the kept tables ``read``) with the final keys, and the number of rounds: prefix doubling until no suffix is repeated.
+
+    A suffix looks ahead within its document, so documents without a repeated suffix are set
+    aside: a round's work follows the documents that it still concerns.
+    """
+    by_doc = Window.partitionBy(*_DOC).orderBy("pos")
+    k, aside = 0, []
     while True:
-        ahead = F.last(F.struct("key", "full")).over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(2**k, 2**k))
-        old = x
-        x = keep(old.withColumn("ahead", ahead).select(*old.columns, F.col("ahead.key").alias("next"), (F.col("ahead.full") == k).alias("whole")))
-        forget(old)
+        ahead = F.last(F.struct("key", "full")).over(by_doc.rangeBetween(2**k, 2**k))
+        live = F.max("open").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        names = x.columns
+        x = keep(x.withColumns({"ahead": ahead, "live": live}).select(*names, F.col("ahead.key").alias("next"), (F.col("ahead.full") == k).alias("whole"), "live"))
+        forget(*read)
+        read = [x]
+        if k:
+            aside.append(x.filter("NOT live").select(*names))
         going = F.col("open") & F.col("next").isNotNull()
         pairs = x.filter(going)
         # a second half that ends or becomes unique sooner still counts for the order
         ranks = pairs.groupBy("key", "next").agg(F.max("whole").alias("whole"), (F.max("whole") & (F.count("*") > 1)).alias("again"))
         ranks = keep(ranks.orderBy("key", "next").select("key", "next", "whole", "again", F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 2 * _RANK, "0")).alias("rank")))
-        rest = x.filter(~going).select(*_DOC, "pos", "ln", "nw", "key", "full", F.lit(False).alias("open"))
+        rest = x.filter(F.col("live") & ~going).select(*_DOC, "pos", "ln", "nw", "key", "full", F.lit(False).alias("open"))
         if ranks.isEmpty():
-            return rest, k
-        longer = pairs.drop("whole").join(ranks, ["key", "next"]).select(*_DOC, "pos", "ln", "nw", F.concat("key", "rank").alias("key"), (F.col("full") + F.col("whole").cast("int")).alias("full"), F.col("again").alias("open"))
-        old = x
-        x = keep(longer.unionByName(rest))
-        forget(old, ranks)
-        k += 1
+            break
+        longer = pairs.drop("whole", "live").join(ranks, ["key", "next"]).select(*_DOC, "pos", "ln", "nw", F.concat("key", "rank").alias("key"), (F.col("full") + F.col("whole").cast("int")).alias("full"), F.col("again").alias("open"))
+        old, rest = x, keep(longer.unionByName(rest))
+        x = rest
+        forget(ranks, *([] if k else [old]))  # a round's table is kept for the documents set aside in it
+        k, read = k + 1, [x]
         if x.filter("open").isEmpty():
-            return x, k
+            break
+    for part in aside:
+        rest = rest.unionByName(part)
+    return keep(rest), k
 
 
 def _agree(a: str, b: str, rounds: int) -> Column:
@@ -182,7 +202,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _find_repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    x, rounds = sort_suffixes(_lines_of(docs, min_words))
+    x, rounds = sort_suffixes(*_lines_of(docs, min_words))
     reach = longest_repeats(x, rounds).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("pos").alias("_at"), "reach")
     x = keep(x.join(reach, _on_place(x, reach), "left").select(*_DOC, "pos", "ln", "nw", "key", F.coalesce("reach", F.lit(0)).alias("reach")))
 

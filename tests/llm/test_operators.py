@@ -1013,3 +1013,21 @@ def test_lines_are_hashed_once_and_doubled_by_one_join(spark, monkeypatch):
     assert got[1][0] == list(range(9)) and got[2][0] == [2, 3, 4, 5, 7, 8, 9, 10] and got[1][2] == got[None][2] == 9 and 3 not in got
     assert sum("md5(" in p for p in plans) == 1 and not any("regexp_extract_all" in p or "regexp_count" in p for p in plans)
     assert max(p.count("Join ") for p in plans if "concat(key" in p) == 1
+
+
+def test_rounds_follow_the_documents_that_they_concern(spark, monkeypatch):
+    """Op3: a document without a repeated suffix left is set aside, so a later round holds the long copies alone; words are counted to the limit by a match; rows of one document stay one."""
+    from keelstone.llm import lines
+
+    rounds, keep = [], lines.keep
+    monkeypatch.setattr(lines, "keep", lambda df: (kept := keep(df), rounds.append(kept.count()) if "next" in df.columns and "rank" not in df.columns else None)[0])
+    long = "\n".join(f"line {i} of a text" for i in range(16))
+    table = [(d, long, "x") for d in (1, 2, 2)] + [(d, f"only here {d}\nsaid by all of these documents at least once", "x") for d in range(10, 60)] + [(3, "line 3 of a text\nline 4 of a text", "x")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, more string")
+    got = {r.doc_id: (r.lines, r.n_runs, r.longest_run) for r in lines.find_repeats(docs).collect()}
+    assert got[1] == (None, 1, 16) and got[2] == (list(range(16)), 1, 16) and got[3] == ([0, 1], 1, 2)
+    assert got[10] == (None, 1, 1) and all(got[d] == ([1], 1, 1) for d in range(11, 60))
+    assert rounds == [84, 84, 34, 32, 32]
+    words = [("a", 1), ("a b\u00a0c", 2), ("a  b\t\x0bc d", 4), ("a b c d e", 5), ("a b c d e\u00e9 f", 5), ("\u00e9 " * 40 + "x", 5)]
+    df = spark.createDataFrame(words, "line string, n int")
+    assert df.filter(lines._words(df.line, 5) != df.n).count() == 0
