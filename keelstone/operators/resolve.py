@@ -31,21 +31,25 @@ def identifier_map(securities: DataFrame) -> DataFrame:
 _SPREAD = 1024
 
 
+def spread(key: list[str]) -> Column:
+    """One of ``_SPREAD`` made-up values, each with a NUL, by a hash of ``key``: for rows that have no value and match nothing, so that they do not meet in one task."""
+    return F.concat(F.lit("\0"), F.pmod(F.xxhash64(*key), F.lit(_SPREAD)).cast("string"))
+
+
 def _found(df: DataFrame, column: Column, side: DataFrame, value: str, result: str, key: list[str]) -> DataFrame:
     """``df`` with ``result`` of the row of ``side`` that has ``column`` as its ``value``; null where there is none.
 
-    Rows without a value (blank or null) match nothing.  They are looked up under made-up
-    values, each with a NUL, by a hash of their ``key``, so that they do not meet in one task.
+    Rows without a value (blank or null) match nothing and are looked up under made-up values (``spread``).
     """
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*key), F.lit(_SPREAD)).cast("string"))
-    x = df.withColumn("_key", F.when(F.coalesce(column, F.lit("")) == "", spread).otherwise(column))
+    x = df.withColumn("_key", F.when(F.coalesce(column, F.lit("")) == "", spread(key)).otherwise(column))
     x = x.join(lookup(side.select(F.col(value).alias("_value"), F.col(result))), F.col("_key") == F.col("_value"), "left")
     return x.drop("_key", "_value")
 
 
 def resolve_accounts(df: DataFrame, accounts: DataFrame, number: str | Column, key: list[str], out: str = "accountId") -> DataFrame:
     """``out``: the account that a custody number names, null unless it is numeric and exists; ``key`` tells rows of ``df`` apart."""
-    known = accounts.select(F.col("accountId").alias("_id"), F.col("accountId").alias(out)).distinct()
+    known = accounts.select(F.col("accountId").alias("_id"), F.col("accountId").alias(out))
+    known = known.repartition(shares(known), "_id").distinct()  # not where a large split of them was read
     return _found(df, account_id(F.col(number) if isinstance(number, str) else number), known, "_id", out, key)
 
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.resolve import custody_candidates, identifier_map, resolve_accounts, resolve_small
+from ..operators.resolve import custody_candidates, identifier_map, resolve_accounts, resolve_small, spread
+from ..tables import shares
 from . import crm, vendor
 
 ISSUES = 20
 
 
-def custody(raw: DataFrame, accounts: DataFrame, securities: DataFrame, positions: DataFrame, cycle: str | None = None) -> DataFrame:
-    """Rows of one cycle (the latest by default): UNKNOWN_ACCOUNT, UNKNOWN_SECURITY, NO_CURATED_POSITION or matched."""
+def custody(raw: DataFrame, accounts: DataFrame, securities: DataFrame, positions: DataFrame, cycle: str | None = None, rows: int | None = None) -> DataFrame:
+    """Rows of one cycle (the latest by default): UNKNOWN_ACCOUNT, UNKNOWN_SECURITY, NO_CURATED_POSITION or matched.
+
+    Rows and positions meet by account and security in as many tasks as they need; ``rows``: how
+    many positions there are at most, else they are counted.  Rows that lack either match nothing and are spread.
+    """
+    tasks = max(shares(raw), shares(positions, rows))
     if cycle is None:
         newest = raw.agg(F.max("POS_BUS_DATE").alias("POS_BUS_DATE"))
         raw = raw.join(F.broadcast(newest), "POS_BUS_DATE", "left_semi")  # one row
@@ -20,8 +26,9 @@ def custody(raw: DataFrame, accounts: DataFrame, securities: DataFrame, position
         raw = raw.filter(F.col("POS_BUS_DATE") == cycle)
     x = resolve_accounts(raw, accounts, "POS_ACCT_NBR", ["REC_ID"])
     x = resolve_small(x, identifier_map(securities), custody_candidates(), ["REC_ID"])
-    pairs = positions.select(F.col("accountId").alias("_a"), F.col("securityId").alias("_s")).distinct().withColumn("_has", F.lit(True))
-    x = x.join(pairs, (F.col("accountId") == F.col("_a")) & (F.col("securityId") == F.col("_s")), "left")
+    pairs = positions.select(F.col("accountId").alias("_a"), F.col("securityId").alias("_s")).repartition(tasks, "_a", "_s").distinct().withColumn("_has", F.lit(True))
+    x = x.withColumn("_of", F.when(F.col("accountId").isNull() | F.col("securityId").isNull(), spread(["REC_ID"])).otherwise(F.col("accountId")))
+    x = x.repartition(tasks, "_of", "securityId").join(pairs, (F.col("_of") == F.col("_a")) & (F.col("securityId") == F.col("_s")), "left")
     reason = F.when(F.col("accountId").isNull(), "UNKNOWN_ACCOUNT").when(F.col("securityId").isNull(), "UNKNOWN_SECURITY").when(F.col("_has").isNull(), "NO_CURATED_POSITION").otherwise("MATCHED")
     return x.select("REC_ID", F.col("POS_BUS_DATE").alias("cycleDate"), "accountId", "securityId", F.col("POS_CUSIP_NBR").alias("cusip"), reason.alias("reason"))
 

@@ -27,7 +27,7 @@ def r1(spark, d):
     """The latest cycle against positions curated from all but every seventh record."""
     raw, acc, sec = _raw(spark, d), S.accounts(spark, d), S.securities(spark, d)
     p = custody.positions(custody.outcomes(raw.filter("seq % 7 <> 0"), acc, sec), now())
-    return reconcile.custody(raw, acc, sec, p).select("REC_ID", "accountId", "securityId", "reason")
+    return reconcile.custody(raw, acc, sec, p, rows=raw.count()).select("REC_ID", "accountId", "securityId", "reason")
 
 
 def _crm(spark, d):
@@ -78,7 +78,7 @@ def r6(spark, d):
 def r7(spark, d):
     raw, acc, sec = _raw(spark, d), S.accounts(spark, d), S.securities(spark, d)
     p = custody.positions(custody.outcomes(raw.filter("seq % 7 <> 0"), acc, sec), now())
-    recon = reconcile.summary(reconcile.custody(raw, acc, sec, p))
+    recon = reconcile.summary(reconcile.custody(raw, acc, sec, p, rows=raw.count()))
     cycle = raw.agg(F.max("POS_BUS_DATE").alias("cycleDate"))
     return ops.release_checks(_counts(spark, d), recon, cycle, _feeds(spark, d), ops.dead_letter_state(_letters(spark, d)), now())
 

@@ -489,3 +489,31 @@ def test_judged_rows_are_written_without_a_sort(spark, tmp_path):
     plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).physicalPlanDescription().find("InsertIntoHadoopFs") >= 0]
     assert plans and "Sort" not in plans[-1]
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_reconciliation_meets_positions_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Rows and positions are dealt to tasks by their number; rows without account and security do not meet in one; accounts are told apart where they are dealt to."""
+    from keelstone import tables
+    from keelstone.operators import resolve
+    from keelstone.plans import reconcile
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    k = F.col("id")
+    accounts = spark.range(1, 41, 1, 1).select(F.concat(F.lit("ACC-"), F.lpad(k.cast("string"), 6, "0")).alias("accountId"))
+    securities = spark.range(1, 51, 1, 1).select(F.concat(F.lit("SEC-"), k).alias("securityId"), F.lpad(k.cast("string"), 9, "0").alias("cusip"), F.lit(None).cast("string").alias("isin"))
+    number = F.when(k < 1000, F.lit("900001")).when(k < 1020, F.lit("000000000001")).otherwise(F.lpad((k % 40 + 1).cast("string"), 12, "0"))
+    cusip = F.when((k < 1000) | (k % 100 == 7), "").otherwise(F.lpad((F.floor(k / 40) % 50 + 1).cast("string"), 9, "0"))
+    raw = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("R-"), k).alias("REC_ID"), F.lit("20240113").alias("POS_BUS_DATE"), number.alias("POS_ACCT_NBR"), cusip.alias("POS_CUSIP_NBR"), F.lit("").alias("POS_ISIN_NBR"))
+    positions = accounts.crossJoin(securities.select("securityId")).filter("securityId <> 'SEC-30'")
+    positions = positions.unionByName(positions)  # two days
+    x = reconcile.custody(raw, accounts, securities, positions)
+    n = {r.reason: r["count"] for r in x.groupBy("reason").count().collect()}
+    assert n == {"UNKNOWN_ACCOUNT": 1000, "UNKNOWN_SECURITY": 10, "NO_CURATED_POSITION": 40, "MATCHED": 950}
+    assert x.select("REC_ID").distinct().count() == 2000
+    tasks = [r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 60 and max(tasks) < 100  # 3,920 positions in 79 tasks
+    assert reconcile.custody(raw, accounts, securities, positions, rows=1900).rdd.getNumPartitions() == 40
+    sides = []
+    monkeypatch.setattr(resolve, "lookup", lambda df: sides.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    resolve.resolve_accounts(raw, accounts, "POS_ACCT_NBR", ["REC_ID"])
+    assert "RepartitionByExpression" in sides[0]
