@@ -132,7 +132,11 @@ def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn",
     """``name``: 1-based place in the total order, by range partitions and their counts; no task sees all rows.  ``keep``: the columns that are stored beside it, all by default.
 
     A table of more than ``TASK_ROWS`` rows a partition is cut into more of them, so what a task sorts does not grow with it.
+    Where every column kept is a key, those behind the last one order only rows that are kept alike: they are neither shuffled nor sorted.
     """
+    names = [c for c, _ in order]
+    if keep and set(keep) <= set(names):
+        order = order[: 1 + max(names.index(c) for c in keep)]
     n, keys = shares(df), [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return places(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*(keep or df.columns)), name)
@@ -141,15 +145,17 @@ def number_rows(df: DataFrame, order: list[tuple[str, bool]], name: str = "rn",
 
 def places(df: DataFrame, name: str = "rn") -> DataFrame:
     """``name``: 1-based place in the order that ``df`` has."""
-    x = stored(df.withColumn("_id", F.monotonically_increasing_id()))  # the order lies in the numbers from here on
-    x = x.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
+    table = stored(df.withColumn("_id", F.monotonically_increasing_id()))  # the order lies in the numbers from here on
+    x = table.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     counts = sorted((r._part, r["count"]) for r in x.groupBy("_part").count().collect())  # a row per partition
     upto, start = 0, []
     for part, n in counts:
         start.append((part, upto))
         upto += n
     offsets = df.sparkSession.createDataFrame(start or [(0, 0)], "_part bigint, _start bigint")
-    return x.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_id", "_part", "_at", "_start")
+    out = x.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_id", "_part", "_at", "_start")
+    out.stored_path = table.stored_path
+    return out
 
 
 def pages(df: DataFrame, order: list[tuple[str, bool]], limit: int) -> DataFrame:

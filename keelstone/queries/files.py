@@ -35,9 +35,9 @@ def s3(spark, d):
 
 
 def s4(spark, d):
-    """Totals and ids of one scan of the files."""
-    scanned = fw.scan(spark, S.wire_files(spark, d))
-    x = fw.manifests(fw.controls(fw.scanned_lines(scanned)), fw.batch_ids(scanned), F.lit(AT))
+    """Totals and ids of one pass over the files, of which a row per split stays."""
+    summed = fw.summaries(spark, S.wire_files(spark, d))
+    x = fw.manifests(fw.controls(summed), fw.batch_ids(summed), F.lit(AT))
     return x.select("batchId", "cycleDate", "fileName", "recordCount", "controlTotalQty", "status", "failReason", "rejectedCount")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.select import number_rows
-from ..tables import TASK_ROWS, load, shared_folder, shares, stored
+from ..tables import TASK_ROWS, discard, load, shared_folder, shares, stored
 
 MONEY = "decimal(18,2)"
 
@@ -171,11 +171,13 @@ def wire_files(spark, d, packed: bool = False) -> str:
     """
     from ..functions.columns import to_zoned
 
-    x = number_rows(load(spark, d, "lineitem"), [(c, True) for c in LINE], keep=["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"])
-    x = x.repartition(shares(load(spark, d, "lineitem")), "l_orderkey").join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    x = stored(x.select("rn", (F.col("rn") % 4).alias("f"), "l_partkey", "l_quantity", "l_extendedprice", "o_custkey"))  # read for the totals and for the lines
-    day = F.concat(F.lit("2024011"), F.col("f"))
-    qty, value, price = F.col("l_quantity").cast("decimal(18,4)"), F.col("l_extendedprice").cast(MONEY), (F.col("l_extendedprice").cast("decimal(18,2)") % 1000)
+    sold = load(spark, d, "lineitem")
+    numbered = number_rows(sold, [(c, True) for c in LINE], keep=["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"])
+    x = numbered.repartition(shares(sold), "l_orderkey").join(load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = stored(x.select("rn", "l_partkey", F.col("l_quantity").cast("decimal(18,4)").alias("qty"), F.col("l_extendedprice").cast(MONEY).alias("value"), "o_custkey"))  # read for the totals and for the lines
+    discard(numbered)
+    f, qty, value = F.pmod("rn", F.lit(4)), F.col("qty"), F.col("value")  # the number of the file
+    day, price = F.concat(F.lit("2024011"), f), value % 1000
     put = lambda c, n: F.rpad(c, n, " ")
     k = F.col("l_partkey")
     cusip = F.when(F.col("rn") % 40 == 1, "").when(k % 4 == 0, "").otherwise(_pad(k, 9))
@@ -186,17 +188,19 @@ def wire_files(spark, d, packed: bool = False) -> str:
         F.lit("03"), day, F.lit("001"), F.lit("0001"), F.lpad(acct, 12, "0"), F.lit("CU"), put(cusip, 9), put(isin, 12), put(F.lit("SECURITY"), 40), F.lit("EQU"), F.lit("R"), F.lit("DTC "),
         to_zoned(qty, 16, 4), to_zoned(F.lit(0), 16, 4), to_zoned(price, 15, 12), to_zoned(value, 15, 2), interest, F.lit("2024010"), F.lit("20240109"), F.lit("N"), F.lit("USD"), put(F.lit("MF01"), 8),
     )
-    short = (F.col("f") == 2) & (F.col("rn") % 1000 == 2)
+    short = (f == 2) & (F.col("rn") % 1000 == 2)
     line = F.coalesce("mark", F.when(short, F.lit("03 short line")).otherwise(line))
     ok = ~short
-    sums = x.groupBy("f", day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(ok, qty)).alias("q"), F.sum(F.when(ok, value)).alias("v"))
+    sums = x.groupBy(f.alias("f")).agg(F.count("*").alias("n"), F.sum(F.when(ok, qty)).alias("q"), F.sum(F.when(ok, value)).alias("v"))
     sums = stored(sums)  # a row per file
-    head = sums.select("f", "day", F.lit(0).cast("bigint").alias("rn"), F.rpad(F.concat(F.lit("01"), "day", F.lit("MF01    20240110000000")), 200, " ").alias("mark"))
-    tail = sums.select("f", "day", F.lit(1 << 60).alias("rn"), F.rpad(F.concat(F.lit("99"), "day", _pad(F.col("n"), 9), to_zoned(F.col("q"), 18, 4), to_zoned(F.col("v") + F.when(F.col("f") == 3, 1).otherwise(0), 18, 2)), 200, " ").alias("mark"))
-    every = x.unionByName(head.unionByName(tail).drop("day"), allowMissingColumns=True).withColumn("file", F.concat(F.lit("CUSTPOS_"), day, F.lit(".dat")))
+    head = sums.select((F.col("f") - 4).alias("rn"), F.rpad(F.concat(F.lit("012024011"), "f", F.lit("MF01    20240110000000")), 200, " ").alias("mark"))
+    tail = sums.select((F.col("f") + (1 << 60)).alias("rn"), F.rpad(F.concat(F.lit("992024011"), "f", _pad(F.col("n"), 9), to_zoned(F.col("q"), 18, 4), to_zoned(F.col("v") + F.when(F.col("f") == 3, 1).otherwise(0), 18, 2)), 200, " ").alias("mark"))
+    every = x.unionByName(head.unionByName(tail), allowMissingColumns=True)
     parts = max(4, -(-sums.agg(F.sum("n")).first()[0] // TASK_ROWS)) if not sums.isEmpty() else 1
     out = f"{shared_folder(spark)}/custody"
-    every.repartitionByRange(parts, "file", "rn").sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.option("compression", "gzip" if packed else "none").partitionBy("file").text(out)
+    every = every.repartitionByRange(parts, f, "rn").withColumn("file", F.concat(F.lit("CUSTPOS_"), day, F.lit(".dat")))  # named behind the shuffle
+    every.sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.option("compression", "gzip" if packed else "none").partitionBy("file").text(out)
+    discard(x, sums)
     return out
 
 

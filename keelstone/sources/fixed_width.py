@@ -66,11 +66,27 @@ def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     content hashes the raw lines, details the lines (``scanned_lines``); the wire files are not
     read again.
     """
-    raw = raw_lines(spark, path, pattern).withColumn("line", _without_return())
-    x = classify(raw).withColumn("kind", F.when(F.trim("line") == "", "blank").otherwise(F.col("kind")))
+    return stored(_judged(raw_lines(spark, path, pattern)))
+
+
+def _judged(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``kind`` (blank, too), the line itself where it is a header or trailer (``mark``), and the decoded amounts of a detail."""
+    x = classify(raw.withColumn("line", _without_return()))
+    x = x.withColumn("kind", F.when(F.trim("line") == "", "blank").otherwise(F.col("kind")))
     line = F.col("line")
     amount = lambda name, scale: F.when(F.col("kind") == "detail", zoned(next(f for f, (n, _) in zip(fields(line, DETAIL), DETAIL) if n == name), scale))
-    return stored(x.select("path", "file", "size", "block", "at", "raw", "kind", F.when(F.col("kind").isin("header", "trailer"), line).alias("mark"), amount("POS_SHR_QTY", 4).alias("qty"), amount("POS_MKT_VALUE", 2).alias("value")))
+    return x.select("path", "file", "size", "block", "at", "raw", "kind", F.when(F.col("kind").isin("header", "trailer"), line).alias("mark"), amount("POS_SHR_QTY", 4).alias("qty"), amount("POS_MKT_VALUE", 2).alias("value"))
+
+
+def summaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """All that ``controls`` and ``batch_ids`` need of a landing folder, by one pass over it that keeps no line.
+
+    A row per split and kind of line in it, and per header or trailer line: how many lines, their
+    amounts, how many have none, and their digests.  Lines are summed where they are read.
+    """
+    missing = F.sum(F.when((F.col("kind") == "detail") & (F.col("qty").isNull() | F.col("value").isNull()), 1).otherwise(0))
+    x = _judged(raw_lines(spark, path, pattern)).groupBy(*SPLIT, "kind", "mark")
+    return stored(x.agg(F.sum("qty").alias("qty"), F.sum("value").alias("value"), missing.alias("undecodable"), *_digests()))
 
 
 def scanned_lines(scanned: DataFrame) -> DataFrame:
@@ -141,19 +157,21 @@ def detail_fields(numbered: DataFrame, *more: str) -> DataFrame:
 
 
 def controls(lines: DataFrame) -> DataFrame:
-    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  Numbers are summed by one hash aggregate; texts, which Spark aggregates only by sorting, come from the header and trailer lines alone.  Amounts that a scan has decoded are not decoded again."""
-    known = {"mark", "qty", "value"} <= set(lines.columns)
+    """Per file: counts, declared and computed totals, and the first failing rule (null: complete).  Numbers are summed by one hash aggregate; texts, which Spark aggregates only by sorting, come from the header and trailer lines alone.  Amounts that a scan has decoded are not decoded again; rows of ``summaries`` stand for many lines each."""
+    known, summed = {"mark", "qty", "value"} <= set(lines.columns), "undecodable" in lines.columns
+    lines = lines.filter("kind <> 'blank'") if summed else lines
     line = F.col("mark" if known else "line")
     at = lambda layout, name: next(f for f, (n, _) in zip(fields(line, layout), layout) if n == name)
     is_ = lambda k: F.col("kind") == k
     first = lambda kind, layout, name: F.min(F.when(is_(kind), at(layout, name)))
     qty, value = (F.col("qty"), F.col("value")) if known else (zoned(at(DETAIL, "POS_SHR_QTY"), 4), zoned(at(DETAIL, "POS_MKT_VALUE"), 2))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    n = lambda c, lines=F.col("lines") if summed else F.lit(1): F.sum(F.when(c, lines).otherwise(0)).cast("bigint")
     lines = lines.withColumns({"_q": qty, "_v": value})  # decoded once a line
     qty, value = F.col("_q"), F.col("_v")
+    undecodable = n(is_("detail"), F.col("undecodable")) if summed else n(is_("detail") & (qty.isNull() | value.isNull()))
     x = lines.groupBy("path", "file").agg(
         n(is_("header")).alias("headers"), n(is_("trailer")).alias("trailers"), n(is_("detail")).alias("recordCount"), n(is_("reject")).alias("rejectedCount"),
-        n(is_("detail") & (qty.isNull() | value.isNull())).alias("undecodable"),
+        undecodable.alias("undecodable"),
         F.coalesce(F.sum(F.when(is_("detail"), qty)), F.lit(0)).cast("decimal(28,4)").alias("totalQty"), F.coalesce(F.sum(F.when(is_("detail"), value)), F.lit(0)).cast("decimal(28,2)").alias("totalValue"),
     )
     marks = lines.filter(F.col("kind").isin("header", "trailer")).groupBy("path").agg(
@@ -208,12 +226,22 @@ def _power(base: int, n: Column) -> Column:
     return out
 
 
-def split_digests(raw: DataFrame) -> DataFrame:
-    """path, file, size, block, lines, d0, d1 ...: a digest of every split's lines, as if the split began the file."""
+#: What a split is known by; the size is that of its part.
+SPLIT = ("path", "file", "size", "block")
+
+
+def _digests() -> list[Column]:
+    """lines, _from, d0, d1 ...: how many raw lines, the place of the first in its task, and their digests from the task's begin on."""
     at, hashed = F.col("at").bitwiseAND(_WITHIN), F.md5("raw")
     part = lambda k: F.conv(F.substring(hashed, 1 + 7 * k, 7), 16, 10).cast("bigint") + 1
     sums = [(F.sum(part(k) * _power(base, at) % PRIME) % PRIME).alias(f"d{k}") for k, base in enumerate(BASES)]
-    x = raw.groupBy("path", "file", "size", "block").agg(F.count("*").alias("lines"), F.min(at).alias("_from"), *sums)  # the size is one of the part
+    return [F.count("*").alias("lines"), F.min(at).alias("_from"), *sums]
+
+
+def split_digests(raw: DataFrame) -> DataFrame:
+    """path, file, size, block, lines, d0, d1 ...: a digest of every split's lines, as if the split began the file; of raw lines or of their ``summaries``."""
+    summed = [F.sum("lines").alias("lines"), F.min("_from").alias("_from"), *[(F.sum(f"d{k}") % PRIME).alias(f"d{k}") for k in range(len(BASES))]]
+    x = raw.groupBy(*SPLIT).agg(*(summed if "undecodable" in raw.columns else _digests()))
     for k, base in enumerate(BASES):  # back by the places before the split in its task
         x = x.withColumn(f"d{k}", F.col(f"d{k}") * _power(pow(base, PRIME - 2, PRIME), F.col("_from")) % PRIME)
     return x.drop("_from")

@@ -61,7 +61,16 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: fixed like a checkpoint, and read by column.  Zstandard takes some two thirds of the default codec's bytes."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote (or ``places``) and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows that a task sorts or writes where the number of tasks follows the table.

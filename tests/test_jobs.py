@@ -517,3 +517,58 @@ def test_reconciliation_meets_positions_in_as_many_tasks_as_they_need(spark, mon
     monkeypatch.setattr(resolve, "lookup", lambda df: sides.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     resolve.resolve_accounts(raw, accounts, "POS_ACCT_NBR", ["REC_ID"])
     assert "RepartitionByExpression" in sides[0]
+
+
+def test_manifests_need_one_pass_and_keep_no_line(spark, tmp_path):
+    """Odd deliveries in small splits: summed once, they have the totals, reasons and ids of their lines, and a row per split, kind and mark is stored."""
+    head, foot = line("01" + "20240110"), line("99" + "20240110" + f"{300:09}" + "3000000".zfill(18) + "30000".zfill(18))
+    good = [head, *[detail(str(k)) for k in range(300)], foot]
+    odd = {"CUSTPOS_20240110": "\n".join(good), "CUSTPOS_20240111": "\r\n".join(good) + "\r\n", "CUSTPOS_20240112": "\n\n".join([head, line("01" + "20240109"), *good[1:200], "03 short", detail(qty="000000000001000X"), foot, foot]) + "\n\n", "CUSTPOS_20240113": "\n \n\n", "CUSTPOS_20240114": ""}
+    for name, body in odd.items():
+        (tmp_path / f"{name}.dat").write_bytes(body.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+    try:
+        summed, raw = fw.summaries(spark, str(tmp_path)), fw.raw_lines(spark, str(tmp_path))
+        for a, b in ((fw.controls(summed), fw.controls(fw.classify(fw.lines_of(raw)))), (fw.batch_ids(summed), fw.batch_ids(raw))):
+            got = sorted(str(r.asDict()) for r in a.collect())
+            assert got == sorted(str(r.asDict()) for r in b.collect()) and len(got) >= 3
+            assert "FileScan text" not in a._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert 10 < summed.count() < 100 and not {"raw", "line"} & set(summed.columns)
+    assert plain_id("CUSTPOS_20240110", odd["CUSTPOS_20240110"].encode()) in {r.batchId for r in fw.batch_ids(summed).collect()}
+
+
+def test_manifests_leave_only_the_wire_files(spark, tmp_path):
+    """Beside the files no table of a row per line is left."""
+    from pathlib import Path
+
+    from keelstone.queries import files
+
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert files.s4(spark, SF).count() == 4
+        lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+        left = [spark.read.parquet(str(p)).count() for p in {p.parent for p in Path(tmp_path).rglob("*.parquet")}]
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
+    assert left and sum(left) < lines / 10
+
+
+def test_numbering_moves_no_key_that_cannot_matter(spark, monkeypatch):
+    """Keys behind the last kept column are not even evaluated; a kept column that is no key keeps them all."""
+    from keelstone import tables
+    from keelstone.operators.select import number_rows
+
+    x = spark.range(0, 600, 1, 3).select((F.col("id") * 7 % 50).alias("a"), (F.col("id") % 4).alias("b"), F.col("id").alias("c"))
+    late = x.withColumn("late", F.when(F.col("c") >= 0, F.raise_error(F.lit("LATE"))).cast("bigint"))
+    order = [("a", True), ("b", False), ("late", True)]
+    want = sorted(((r.a, r.b) for r in x.collect()), key=lambda r: (r[0], -r[1]))
+    for rows in (tables.TASK_ROWS, 40):
+        monkeypatch.setattr(tables, "TASK_ROWS", rows)
+        got = number_rows(late, order, keep=["b", "a"]).collect()
+        assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rn)] == want
+        with pytest.raises(Exception, match="LATE"):
+            number_rows(late, order, keep=["a", "c"]).collect()
