@@ -17,8 +17,8 @@ from .standins import sql
 AT = dt.datetime(2024, 1, 31)
 
 
-def _lines(spark, d):
-    return fw.classify(fw.read_lines(spark, S.wire_files(spark, d)))
+def _lines(spark, d, packed=False):
+    return fw.classify(fw.read_lines(spark, S.wire_files(spark, d, packed)))
 
 
 def s1(spark, d):
@@ -26,7 +26,8 @@ def s1(spark, d):
 
 
 def s2(spark, d):
-    x = fw.details(fw.scanned_lines(fw.scan(spark, S.wire_files(spark, d))))
+    """Details of compressed files; numbering stores their lines alone."""
+    x = fw.details(_lines(spark, d, packed=True))
     return x.select("REC_ID", F.col("POS_ACCT_NBR").cast("bigint").alias("acct"), "POS_ISIN_NBR", "POS_SHR_QTY", "POS_MKT_VALUE")
 
 

@@ -572,3 +572,22 @@ def test_numbering_moves_no_key_that_cannot_matter(spark, monkeypatch):
         assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rn)] == want
         with pytest.raises(Exception, match="LATE"):
             number_rows(late, order, keep=["a", "c"]).collect()
+
+
+def test_sequence_takes_less_disk_than_the_lines(spark, tmp_path):
+    """Compressed files, and of the stored lines no more than their numbering needs: together less than half of the lines' bytes."""
+    from pathlib import Path
+
+    from keelstone.queries import files
+
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        n = files.s2(spark, SF).count()
+        left = [p for p in Path(tmp_path).rglob("*") if p.name.startswith("part-")]
+        columns = {c for p in left if p.suffix == ".parquet" for c in spark.read.parquet(str(p)).columns}
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
+    assert n > 5000 and "line" in columns and not {"qty", "value", "raw"} & columns
+    assert 0 < 2 * sum(p.stat().st_size for p in left) < 201 * n
