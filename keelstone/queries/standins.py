@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.select import number_rows
-from ..tables import TASK_ROWS, discard, load, shared_folder, shares, stored
+from ..tables import TASK_ROWS, discard, load, shared_folder, shares, shuffles_removed, stored
 
 MONEY = "decimal(18,2)"
 
@@ -199,7 +199,8 @@ def wire_files(spark, d, packed: bool = False) -> str:
     parts = max(4, -(-sums.agg(F.sum("n")).first()[0] // TASK_ROWS)) if not sums.isEmpty() else 1
     out = f"{shared_folder(spark)}/custody"
     every = every.repartitionByRange(parts, f, "rn").withColumn("file", F.concat(F.lit("CUSTPOS_"), day, F.lit(".dat")))  # named behind the shuffle
-    every.sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.option("compression", "gzip" if packed else "none").partitionBy("file").text(out)
+    with shuffles_removed(spark):
+        every.sortWithinPartitions("file", "rn").select("file", line.alias("line")).write.option("compression", "gzip" if packed else "none").partitionBy("file").text(out)
     discard(x, sums)
     return out
 

@@ -591,3 +591,23 @@ def test_sequence_takes_less_disk_than_the_lines(spark, tmp_path):
             spark.sparkContext.setCheckpointDir(before)
     assert n > 5000 and "line" in columns and not {"qty", "value", "raw"} & columns
     assert 0 < 2 * sum(p.stat().st_size for p in left) < 201 * n
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Shuffle files go when the write ends; the session's setting and a later run of the same rows are as before."""
+    import time
+    from pathlib import Path
+
+    from keelstone.tables import stored
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, root = spark.conf.get(name), Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {p for p in root.rglob("shuffle_*.data")}
+    old, x = files(), spark.range(5000).repartition(3, "id")
+    assert stored(x).count() == 5000 and spark.conf.get(name) == before
+    for _ in range(50):
+        left = {p for p in files() - old if p.stat().st_size > 5000}  # the count's own are smaller
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and stored(x).count() == x.count() == 5000
