@@ -49,9 +49,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if got.n <= rows and (got.size or 0) <= size else df
 
 
-def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` as the right side of a join that only looks values up: broadcast if it is small, else hashed by partition, so the rows that are looked up are shuffled but never sorted, however wide they are or however many share a key."""
-    x = small(df, rows)
+    x = small(df) if rows is None else small(df, rows)
     return df.hint("shuffle_hash") if x is df else x
 
 
